@@ -11,6 +11,12 @@ from .storage import read_table
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(read_table(spark, sf_dir, "documents")).drop("source")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
