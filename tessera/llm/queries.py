@@ -11,6 +11,12 @@ from .storage import read_table
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_spans
+
+    return pii_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
