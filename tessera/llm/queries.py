@@ -11,6 +11,12 @@ from .storage import read_table
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_languages
+
+    return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pii_spans
 
