@@ -23,6 +23,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_round_trip
+
+    return warc_round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pii_spans
 
@@ -48,5 +54,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+OP5_SQL = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+), m as (
+  select *, max(page_id) over (partition by payload_digest, payload_bytes) as best from p
+)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id <> best then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> best then best end as refers_to
+from m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc_bundles": OP5_SQL}
