@@ -35,6 +35,12 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(read_table(spark, sf_dir, "documents"))
 
 
+def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import fingerprint_with_next
+
+    return fingerprint_with_next(read_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
