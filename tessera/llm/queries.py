@@ -11,6 +11,12 @@ from .storage import read_table
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import tile_benchmark
+
+    return tile_benchmark(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_main_text
 
