@@ -11,6 +11,12 @@ from .storage import read_table
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op2_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import tile_benchmark
 
