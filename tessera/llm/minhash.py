@@ -157,7 +157,11 @@ def _differ(x: str, y: str):
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept."""
+    """One row per document: id, n_shingles, component_id, kept, text_hash and chosen.
+
+    ``kept`` compares ids; ``chosen`` is true only for the one text (id and xxhash64) that stands for its component, and
+    for rows without shingles or id.
+    """
     most = most_sketch_bits(percent / 100)
     signed = materialise(signatures(docs, width, id_col, text_col), "minhash")
     classes = signed.where("n_shingles > 0 and id is not null").groupBy("d0", "d1", "n_shingles").agg(F.min(F.struct("id", "h")).alias("rep"))
@@ -207,11 +211,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         if links.limit(1).count():
             labels = connected_components(edges)
     discard(bodies)
-    rows = signed.select("id", "n_shingles", "d0", "d1").join(classes, ["d0", "d1", "n_shingles"], "left")
-    root = F.col("rep.id")
+    rows = signed.select("id", "h", "n_shingles", "d0", "d1").join(classes, ["d0", "d1", "n_shingles"], "left")
+    root = F.col("rep")
     if labels is not None:
         rows = rows.join(labels.withColumnsRenamed({"node": "_n", "label": "_l"}), F.col("rep") == F.col("_n"), "left")
-        root = F.coalesce("_l.id", "rep.id")
+        root = F.coalesce("_l", "rep")
     own = F.col("id").isNull() | (F.col("n_shingles") == 0)
-    out = rows.select("id", "n_shingles", F.when(own, F.col("id")).otherwise(root).alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    component = F.when(own, F.col("id")).otherwise(root["id"])
+    return rows.select(
+        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
+        F.col("h").alias("text_hash"), (own | F.coalesce((root["id"] == F.col("id")) & (root["h"] == F.col("h")), F.lit(False))).alias("chosen"),
+    )

@@ -14,7 +14,7 @@ TOKENIZER = "word_bpe_49k.json"
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85).drop("text_hash", "chosen")
 
 
 def op2_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
