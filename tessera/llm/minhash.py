@@ -7,8 +7,10 @@ rest are confirmed on their full shingle sets.
 
 Documents with equal sets are one class, found by a digest of the set.  Links join class representatives.  In each of a
 few rounds a representative proposes its nearest bucket leader by sketch, so proposals are linear in the documents however
-large a bucket is; confirmed proposals merge components.  Then only buckets that still hold several components are left,
-and there every pair of different components is tried, so no link that matters to a component is missed.
+large a bucket is; confirmed proposals merge components.  Then only buckets that still hold several components are left.
+There every pair of texts of different components is tried that the sketches allow, so no link that matters to a component is
+missed.  Besides the samples' sketch a text has the parity bitmap of its whole set: differing bits never outnumber differing
+shingles, so that bound drops no link and, on sets up to a few thousand shingles, hardly leaves a pair that is none.
 
 Chances: 24 bands of 5 samples miss a pair at similarity 0.85 once in 1.3 million, and less above; the sketch bound is
 ``SKETCH_SLACK`` samples wide.
@@ -36,9 +38,12 @@ BANDS, ROWS = 24, 5
 SAMPLES = BANDS * ROWS
 SKETCH_WORDS = 8
 SKETCH_BITS = 64 * SKETCH_WORDS
+#: Words of the parity bitmap of a whole set.
+SET_WORDS = 16
 #: Samples by which the differing count of a pair at the threshold may exceed its mean and still pass (5 deviations).
 SKETCH_SLACK = 20
-ROUNDS = 3
+#: Linear rounds at most; they end early when one of them finds no link.
+ROUNDS = 6
 
 
 def minhash(sets: list[np.ndarray]) -> np.ndarray:
@@ -63,6 +68,16 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(">u8").astype(np.uint64)
 
 
+def set_sketch(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of whole sets.  An XOR never has more bits than the sets have differing shingles."""
+    n, bits = len(begin), 64 * SET_WORDS
+    owner = np.zeros(len(flat), np.int64)
+    owner[begin[1:]] = 1
+    bit = (mix(flat * np.uint64(0xD6E8FEB86659FD95)) >> np.uint64(40)).astype(np.int64) % bits
+    counts = np.bincount(bit + np.cumsum(owner) * bits, minlength=n * bits)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(n, bits), axis=1).view(">u8").astype(np.uint64)
+
+
 def band_keys(samples: np.ndarray) -> np.ndarray:
     weight = powers(0xA0761D6478BD642F, ROWS + 2)
     out = np.empty((BANDS, samples.shape[1]), np.uint64)
@@ -91,12 +106,12 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
                 n = len(sets)
                 size = np.array([len(s) for s in sets])
                 some = np.flatnonzero(size)
-                keys, words, d = np.zeros((n, BANDS), np.uint64), np.zeros((n, SKETCH_WORDS), np.uint64), np.zeros((n, 2), np.uint64)
+                keys, words, d = np.zeros((n, BANDS), np.uint64), np.zeros((n, SKETCH_WORDS + SET_WORDS), np.uint64), np.zeros((n, 2), np.uint64)
                 if len(some):
                     full = [sets[i] for i in some]
                     samples = minhash(full)
-                    keys[some], words[some] = band_keys(samples).T, odd_sketch(samples)
                     flat, begin = np.concatenate(full), np.concatenate(([0], np.cumsum(size[some])))[:-1]
+                    keys[some], words[some] = band_keys(samples).T, np.hstack((odd_sketch(samples), set_sketch(flat, begin)))
                     d[some, 0], d[some, 1] = np.add.reduceat(mix(flat), begin), np.add.reduceat(mix(flat + np.uint64(0x9E3779B97F4A7C15)), begin)
                 sizes.append(size), digests.append(d), bands.append(keys), sketches.append(words)
             if not sizes:
@@ -104,7 +119,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
             listed = lambda x, w: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, w), pa.int32()), pa.array(x.ravel().view(np.int64)))
             d = np.concatenate(digests).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), listed(np.concatenate(bands), BANDS), listed(np.concatenate(sketches), SKETCH_WORDS)],
+                [batch.column(0), batch.column(2), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), listed(np.concatenate(bands), BANDS), listed(np.concatenate(sketches), SKETCH_WORDS + SET_WORDS)],
                 ["id", "h", "n_shingles", "d0", "d1", "bands", "sketch"],
             )
 
@@ -152,8 +167,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return rows.select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}")
 
 
-def _differ(x: str, y: str):
-    return sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(1, SKETCH_WORDS)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+def _differ(x: str, y: str, first: int, words: int):
+    return sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(first + 1, first + words)), F.bit_count(F.col(x)[first].bitwiseXOR(F.col(y)[first])))
+
+
+def _close(x: str, y: str, n: str, m: str, most: int, percent: int):
+    """What both bitmaps allow: the samples' up to their slack, the sets' for certain."""
+    apart = F.col(n) + F.col(m)  # 100 * common >= percent * union, so (100 + percent) * differing <= (100 - percent) * both sizes
+    return ((100 + percent) * _differ(x, y, SKETCH_WORDS, SET_WORDS) <= (100 - percent) * apart) & (_differ(x, y, 0, SKETCH_WORDS) <= most)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,11 +189,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = materialise(classes, "minhash-classes")
     # One row of each class carries its bands and sketch on.
     heads = classes.select(F.col("rep.id").alias("id"), F.col("rep.h").alias("h"))
-    reps = signed.join(heads, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select(F.struct("id", "h").alias("id"), "bands", "sketch")
-    member = reps.select("id", "sketch", F.explode("bands").alias("bucket"))
+    reps = signed.join(heads, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select(F.struct("id", "h").alias("id"), "n_shingles", "bands", "sketch")
+    member = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = materialise(member.select("id", "bucket").join(shared, "bucket"), "minhash-members")
-    sketches = materialise(reps.select("id", "sketch").join(members.select("id").distinct(), "id", "left_semi"), "minhash-sketches")
+    members = materialise(member.join(shared, "bucket"), "minhash-members")
+    sketches = materialise(reps.select("id", "n_shingles", "sketch", "bands").join(members.select("id").distinct(), "id", "left_semi"), "minhash-sketches")
     bodies = packed_texts(docs, id_col, text_col).join(sketches.select("id"), "id", "left_semi")
     bodies = materialise(bodies.dropDuplicates(["id"]), "minhash-texts")
     kind, spark = _node(docs, id_col), docs.sparkSession
@@ -185,31 +206,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             return frame.withColumn("label", F.col("id"))
         return frame.join(labels.withColumnsRenamed({"node": "id", "label": "_l"}), "id", "left").withColumn("label", F.coalesce("_l", "id")).drop("_l")
 
-    for k in range(ROUNDS + 1):
+    k, linear = 0, True
+    while True:
         now = labelled(members)
-        first = F.struct(F.xxhash64(F.lit(k), "id"), F.col("id"))
+        # Each bucket has a leader of its own in every round, so a document meets many different ones.
+        first = F.struct(F.xxhash64(F.lit(k), "bucket", "id"), F.col("id"))
         heads = now.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), first).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         heads = materialise(heads.select("bucket", F.col("h.id").alias("head"), F.col("h.label").alias("head_label")), "minhash-heads")
         if not heads.limit(1).count():
             break
-        if k < ROUNDS:
+        if linear:
             asked = now.join(heads, "bucket").where("label <> head_label").select("id", "head").distinct()
-            near = asked.join(sketches.withColumnRenamed("sketch", "s"), "id").join(sketches.withColumnsRenamed({"id": "head", "sketch": "t"}), "head").withColumn("bits", _differ("s", "t")).where(F.col("bits") <= most)
+            x = sketches.select("id", F.col("sketch").alias("s"), F.col("n_shingles").alias("n"))
+            y = sketches.select(F.col("id").alias("head"), F.col("sketch").alias("t"), F.col("n_shingles").alias("m"))
+            near = asked.join(x, "id").join(y, "head").where(_close("s", "t", "n", "m", most, percent)).withColumn("bits", _differ("s", "t", 0, SKETCH_WORDS + SET_WORDS))
             # A document proposes to its nearest leader; all documents of other labels do so side by side.
             pairs = near.groupBy("id").agg(F.min_by("head", F.struct("bits", "head")).alias("head"))
         else:
-            left = now.join(heads.select("bucket"), "bucket", "left_semi").join(sketches, "id")
-            x = left.select("bucket", F.col("id").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("s"))
-            y = left.select(F.col("bucket").alias("bucket2"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("t"))
-            close = (F.col("bucket") == F.col("bucket2")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (_differ("s", "t") <= most)
-            pairs = x.join(y, close).select(F.col("a").alias("id"), F.col("b").alias("head")).distinct()
+            left = now.join(heads.select("bucket"), "bucket", "left_semi")
+            left = left.join(sketches, "id").select("bucket", "band", "id", "label", "sketch", "bands", "n_shingles")
+            x = left.select("bucket", "band", F.col("id").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("s"), F.col("bands").alias("p"), F.col("n_shingles").alias("n"))
+            y = left.select(F.col("bucket").alias("bucket2"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("t"), F.col("bands").alias("q"), F.col("n_shingles").alias("m"))
+            close = (F.col("bucket") == F.col("bucket2")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _close("s", "t", "n", "m", most, percent)
+            once = F.array_position(F.zip_with("p", "q", lambda u, v: u == v), F.lit(True)) == F.col("band") + 1
+            pairs = x.join(y, close & once).select(F.col("a").alias("id"), F.col("b").alias("head"))
         pairs = pairs.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "minhash-pairs")
         tried = tried.union(pairs)
         links = materialise(confirm(pairs, bodies, width, percent), "minhash-links")
         edges = edges.union(links)
-        if links.limit(1).count():
+        found = links.limit(1).count()
+        if found:
             labels = connected_components(edges)
+        if not linear:
+            break
+        k += 1
+        linear = bool(found) and k < ROUNDS
     discard(bodies)
     rows = signed.select("id", "h", "n_shingles", "d0", "d1").join(classes, ["d0", "d1", "n_shingles"], "left")
     root = F.col("rep")
