@@ -14,6 +14,7 @@ earlier start).  The work is split by content so that no task sees more than its
    first in shard order, is stably reordered by the transforms' symbols WINDOW times.  After k rounds rows are in order of
    their first k bytes, and the block borders that appear in round k are the places where the common prefix is k - 1.  Blocks
    left after WINDOW rounds are the repeated intervals: rows whose windows are equal.  No suffix is compared or sorted again.
+   A round here takes two symbols, and snippets go that share neither side of their k-gram with another.
    K-grams with very many different snippets go by a digest of each window instead, aggregated before the shuffle.
 4. Covered ranges meet their documents and the remaining bytes are digested.
 
@@ -38,8 +39,10 @@ from .textvec import batch_slices, prefix_hash, span_hash
 WINDOW, GRAM = 100, 28
 #: Longer texts are cut into pieces of so many windows; positions fit the 24 bits that ``anchors`` leaves for them.
 PIECE = 1 << 23
-#: Bytes of a shard whose transform is built by itself.
-SHARD_BYTES = 1 << 18
+#: Bytes of a shard whose transform is built by itself, and shards that one merge takes together.
+SHARD_BYTES, MERGE_SHARDS = 1 << 18, 8
+#: Bytes of text that the anchor kernel takes at once.
+SLICE = 1 << 20
 #: Different snippets of one k-gram above which its windows are compared by digest.
 MANY = 4_096
 
@@ -79,7 +82,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, window: int = WINDOW, gram: in
 
 def text_pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """(first row, bytes, starts, offset of the bytes in their text) over a column; only a lone long text is cut."""
-    for lo, _, data, starts in batch_slices(column):
+    for lo, _, data, starts in batch_slices(column, SLICE):
         if len(data) <= PIECE + WINDOW:
             yield lo, data, starts, 0
         else:
@@ -146,17 +149,22 @@ def repeated_intervals(shards: list[np.ndarray], depth: int = WINDOW) -> tuple[n
     made = [shard_transform(s) for s in shards]
     offset = np.concatenate(([0], np.cumsum([len(s) for s in shards])))
     symbol = np.concatenate([m[1] for m in made])
-    before = np.concatenate([m[2] + o for m, o in zip(made, offset)])
-    rows = np.arange(offset[-1])  # the interleave: row numbers of the shards' transforms in merged order
-    block = np.zeros(len(rows), np.int64)
-    for _ in range(depth):
-        order = np.argsort(symbol[rows], kind="stable")
-        c, b = symbol[rows][order], block[order]
-        rows = before[rows][order]
-        cut = np.ones(len(rows), bool)  # a common prefix ends here: with the row above it is one shorter than the round
+    before = np.concatenate([m[2] + o for m, o in zip(made, offset)]).astype(np.int32)
+    # Two symbols a round: the transform's symbol and the one before it.  Text has few enough of them for 16 bits.
+    base = int(symbol.max()) + 1
+    pair = symbol[before].astype(np.uint32) * base + symbol
+    pair, twice = pair.astype(np.uint16) if base * base <= 1 << 16 else pair, before[before]
+    rows = np.arange(offset[-1], dtype=np.int32)  # the interleave: row numbers of the shards' transforms in merged order
+    block = np.zeros(len(rows), np.int32)
+    for _ in range(depth // 2):
+        c = pair[rows]
+        order = np.argsort(c, kind="stable").astype(np.int32)
+        c, b = c[order], block[order]
+        rows = twice[rows[order]]
+        cut = np.ones(len(rows), bool)  # a common prefix ends here, within the symbols of this round
         cut[1:] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
         alone = cut & np.append(cut[1:], True)
-        rows, block = rows[~alone], (np.cumsum(cut) - 1)[~alone]
+        rows, block = rows[~alone], (np.cumsum(cut, dtype=np.int32) - 1)[~alone]
         if not len(rows):
             break
     shard = np.searchsorted(offset, rows, "right") - 1
@@ -258,7 +266,7 @@ def compare_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     size, at_h = 0, None
     for batch in batches:
         for item in zip(*(batch.column(c).to_pylist() for c in SNIPPET[1:])):
-            if item[0] != at_h and size > 24 * SHARD_BYTES:  # equal windows have equal k-grams, so whole k-grams suffice
+            if item[0] != at_h and size > MERGE_SHARDS * SHARD_BYTES:  # equal windows have equal k-grams, so whole k-grams suffice
                 yield from _compare(pending)
                 pending, size = [], 0
             at_h = item[0]
@@ -267,7 +275,39 @@ def compare_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield from _compare(pending)
 
 
+def with_partner(grams: np.ndarray, parts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """Which snippets can share a window with another of their k-gram.
+
+    A window holds, besides the k-gram, (window - gram) / 2 bytes just before or just after it.  A snippet that has neither
+    in common with another one of its k-gram has no window in common with any.
+    """
+    half = (window - gram) // 2
+    data, length = np.frombuffer(b"".join(parts), np.uint8), np.array([len(x) for x in parts])
+    end = np.cumsum(length)
+    begin = end - length
+    prefix, at = prefix_hash(data), np.arange(max(0, len(data) - gram + 1))
+    owner = np.searchsorted(end, at, "right")
+    hit = np.flatnonzero((span_hash(prefix, at, at + gram) == grams[owner]) & (at + gram <= end[owner]))
+    mine, first = np.unique(owner[hit], return_index=True)
+    place = np.full(len(parts), -1)
+    place[mine] = hit[first]
+    keep = place < 0  # a k-gram that is not found again would be a fault of its hash: compare it
+    for low, high in ((place - half, place), (place + gram, place + gram + half)):
+        some = np.flatnonzero((place >= 0) & (low >= begin) & (high <= end))
+        side = span_hash(prefix, low[some], high[some])
+        order = np.lexsort((side, grams[some]))
+        g, s = grams[some][order], side[order]
+        same = np.zeros(len(some), bool)
+        same[1:] = (g[1:] == g[:-1]) & (s[1:] == s[:-1])
+        same[:-1] |= same[1:]
+        keep[some[order[same]]] = True
+    return keep
+
+
 def _compare(items: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if items:
+        keep = with_partner(np.array([x[0] for x in items], np.int64).view(np.uint64), [x[5] for x in items])
+        items = [x for x, k in zip(items, keep) if k]
     if len(items) < 2:
         return
     order = sorted(range(len(items)), key=lambda k: items[k][1:4])

@@ -31,7 +31,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 4096)
+        size = 4096 if n <= 4096 else max(n, SLICE_BYTES + 4096)
         have = np.empty(size, np.uint64)
         have[0], filled = 1, 1
         while filled < size:
