@@ -3,7 +3,7 @@
 Pages of a host are ordered by URL path; each is compared with the neighbour whose path is nearest.  The text lines
 (blocks) of both are aligned by their longest common subsequence, and shared lines are deleted.  Lines inside an
 explicit content element (article, main) of both pages are kept: two pages with the same article share its lines without
-their being page furniture.  Lines of menus, headers, footers, sidebars, adverts, forms and reader comments go by markup.
+their being page furniture.  A neighbour with the very same lines is a copy, which tells nothing, and is passed over.  Lines of menus, headers, footers, sidebars, adverts, forms and reader comments go by markup.
 
 Defined results: null html gives an empty text and 0 characters; a null or odd URL puts the page on the empty host; pages
 alone on their host keep all lines that markup leaves; repeated rows get equal results; an empty table gives no rows;
@@ -222,7 +222,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         for batch in batches:
             drops = []
             for host, path, lines, p, n in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "lines", "p", "n"))):
-                beside = [x for x in (p, n) if x and x["host"] == host]
+                beside = [x for x in (p, n) if x and x["host"] == host and x["lines"] != lines]
                 other = max(beside, key=lambda x: path_nearness(path, x["path"]), default=None)
                 gone = shared_lines(np.frombuffer(lines, np.uint64), np.frombuffer(other["lines"], np.uint64)) if other else []
                 drops.append(np.array(gone, np.int32).tobytes())

@@ -43,7 +43,7 @@ SET_WORDS = 16
 #: Samples by which the differing count of a pair at the threshold may exceed its mean and still pass (5 deviations).
 SKETCH_SLACK = 20
 #: Linear rounds at most; they end early when one of them finds no link.
-ROUNDS = 6
+ROUNDS = 3
 
 
 def minhash(sets: list[np.ndarray]) -> np.ndarray:

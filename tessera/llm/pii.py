@@ -107,6 +107,8 @@ DIGIT_WORDS = {
 #: Spoken or bracketed at signs and dots, and the endings that let bare words count as an address.
 AT_WORDS, DOT_WORDS = ("at", "arobase", "arroba", "ät"), ("dot", "point", "punkt", "punto")
 ENDINGS = ("com", "org", "net", "edu", "gov", "mil", "info", "io", "co", "eu", "de", "fr", "es", "uk", "us", "biz", "dev", "app")
+#: Words after a bare "at" that are no domain.
+NO_DOMAINS = "the a an this that these those my our your his her its their each any some no all noon night home work least most last first once".split()
 
 _ODD = re.compile("[" + re.escape("".join(LOOKALIKES) + INVISIBLE) + "]")
 _digit = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
@@ -115,7 +117,7 @@ _SPELLED_HINT = re.compile(rf"(?:{_digit})[ ,.-]{{1,2}}(?:{_digit})[ ,.-]{{1,2}}
 _DIGIT_WORD = re.compile(rf"(?:{_digit})(?!\w)")
 _at, _dot = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 _SIGN = re.compile(rf"[ ]*[\[({{<][ ]*(?:(?P<at>{_at}|@)|(?P<dot>{_dot}|\.))[ ]*[\])}}>][ ]*")
-_BARE = re.compile(rf"(?<![\w.])[a-z0-9][a-z0-9_%+-]*(?: (?:{_dot}) [a-z0-9_%+-]+)*(?P<at> (?:{_at}) )[a-z0-9-]+(?P<dots>(?: (?:{_dot}) [a-z0-9-]+)*) (?:{_dot}) (?:{'|'.join(ENDINGS)})(?!\w)")
+_BARE = re.compile(rf"(?<![\w.])[a-z0-9][a-z0-9_%+-]*(?: (?:{_dot}) [a-z0-9_%+-]+)*(?P<at> (?:{_at}) )(?!(?:{'|'.join(NO_DOMAINS)}) )[a-z0-9-]+(?P<dots>(?: (?:{_dot}) [a-z0-9-]+)*) (?:{_dot}) (?:{'|'.join(ENDINGS)})(?!\w)")
 _DOT_IN = re.compile(rf" (?:{_dot}) ")
 
 

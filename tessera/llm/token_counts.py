@@ -66,8 +66,6 @@ class WordCounter:
                 self.memo.update(zip(part, np.diff(stops, prepend=-1).tolist()))
 
     def learn(self, missing: set[bytes]) -> None:
-        if len(self.memo) + len(missing) > MEMO_WORDS:
-            self.memo.clear()
         plain, tailed, other = set(), [], []
         for w in missing:
             low = w.lower()
@@ -95,15 +93,14 @@ class WordCounter:
                 group.append(texts[at].replace(b"\n", b" ").split(b" "))
                 size += len(texts[at])
                 at += 1
-            for words in group:  # all of a text's words are present when it is summed, even if the memo was emptied
+            for words in group:
                 if missing := set(words).difference(self.memo):
+                    if len(self.memo) + len(missing) > MEMO_WORDS:  # all of this text's words are learned anew
+                        self.memo.clear()
+                        missing = set(words)
                     missing.discard(b"")
-                    self.memo.setdefault(b"", 0)
+                    self.memo[b""] = 0
                     self.learn(missing)
-                    if missing := set(words).difference(self.memo):
-                        missing.discard(b"")
-                        self.memo[b""] = 0
-                        self.learn(missing)
                 out.append(sum(map(self.memo.__getitem__, words)))
         return out
 
