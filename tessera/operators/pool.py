@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 
 def union_pool(frames: list[DataFrame]) -> DataFrame:
     """UNION ALL of samples; source_order and ordinal already carry the order."""
@@ -17,9 +19,10 @@ def number_rows(df: DataFrame, order: list[str], name: str = "train_idx", partit
     """Dense 0-based index in the given order.
 
     Rows are range-partitioned by the order and numbered within their partition; only one count a partition is summed
-    over all of them, so no task holds the whole table.
+    over all of them, so no task holds the whole table.  The partitions are settled first: their borders come from a
+    sample, and the counts must be of the same partitions as the numbers.
     """
-    spread = df.repartitionByRange(*([partitions] if partitions else []), *order).withColumn("_p", F.spark_partition_id())
+    spread = settled(df.repartitionByRange(*([partitions] if partitions else []), *order).withColumn("_p", F.spark_partition_id()), "numbered")
     inside = spread.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     before = spread.groupBy("_p").count().withColumn("_b", F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
     return inside.join(F.broadcast(before.select(F.col("_p"), F.coalesce("_b", F.lit(0)).alias("_b"))), "_p").withColumn(name, F.col("_b") + F.col("_r") - 1).drop("_p", "_r", "_b")
@@ -110,7 +113,7 @@ def overshoot(groups: DataFrame, order: str, size: str, most: int) -> DataFrame:
 
     Sizes are summed within blocks of the order first and only the block sums are summed over all.
     """
-    block = groups.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    block = settled(groups.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "overshoot")
     sums = block.groupBy("_p").agg(F.sum(size).alias("s")).withColumn("_b", F.coalesce(F.sum("s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     run = F.coalesce(F.sum(size).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return block.withColumn("_run", run).join(F.broadcast(sums.select("_p", "_b")), "_p").where(F.col("_run") + F.col("_b") < most).drop("_run", "_b", "_p")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,6 +55,6 @@ def smooth(rows: DataFrame, key: str, order: str, value: str, factor: float = 0.
 def drain(rows: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into the shared folder (or memory in complete mode) and read it back."""
     root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-stream-")).rstrip("/")
-    name = f"{root}/stream-{abs(hash((id(rows), str(rows.schema)))):x}"
+    name = f"{root}/stream-{uuid.uuid4().hex}"
     rows.writeStream.format("parquet").outputMode(mode).option("path", f"{name}/out").option("checkpointLocation", f"{name}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{name}/out")
