@@ -177,3 +177,16 @@ def test_export(spark):
     log = spark.createDataFrame([("1", "A")], "index string, prediction string")
     assert {(r.x, r.prediction) for r in E.export_with_predictions(t, log, "index").collect()} == {("a", "A"), ("b", "")}
     assert X.any_of(F.lit(True), F.lit(False)) is not None
+
+
+def test_tag_proposals(spark):
+    from tessera.operators.proposals import merge_tag_proposals
+
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    found = spark.createDataFrame(
+        [(1, "dog", 0, 0.5, (0.0, 0.0, 10.0, 10.0), ""), (1, "dog", 1, 0.9, (0.0, 0.0, 10.0, 10.0), "big dog"), (1, "cat", 2, 0.8, (0.0, 0.0, 10.0, 10.0), "cat"), (1, "sky", 3, 0.1, (50.0, 0.0, 90.0, 10.0), None), (1, " ", 4, 0.99, (0.0, 0.0, 1.0, 1.0), "")],
+        f"image_id int, tag string, pos int, score double, box {box}, phrase string",
+    )
+    images = spark.createDataFrame([(1,), (2,)], "image_id int")
+    got = {r.image_id: [(p.label, p.score) for p in r.proposals] for r in merge_tag_proposals(images, found).collect()}
+    assert got == {1: [("big dog", 0.9), ("sky", 0.1)], 2: [("[fallback: whole image]", 0.0)]}
