@@ -49,17 +49,18 @@ def _reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with ``reason``: listed as toxic, else holding a whole benchmark item."""
     docs, labels, bench = (table(spark, sf_dir, t) for t in ("documents", "labels", "benchmark"))
     toxic = labels.where("toxic = 1").select("doc_id").distinct().withColumn("toxic", F.lit(True))
-    # An item can only be inside a document that shares its first word pair at some place: an equi-join, then the exact test.
-    pair = lambda c: F.regexp_extract(c, r"^(\S+\s+\S+)", 1)
-    items = bench.where("length(trim(text)) > 0").select(F.col("text").alias("item"), pair(F.ltrim(F.col("text"))).alias("k"))
-    n = bench.count()
-    if n <= 10_000:  # a small benchmark goes to every task and is tested by containment directly
-        hit = docs.join(F.broadcast(items.select("item")), F.contains(F.col("text"), F.col("item")), "left_semi")
+    items = bench.where("length(trim(text)) > 0").select(F.col("text").alias("item"))
+    inside = F.contains(F.col("text"), F.col("item"))
+    if bench.count() <= 10_000:  # a small benchmark goes to every task and is tested by containment directly
+        hit = docs.join(F.broadcast(items), inside, "left_semi")
     else:
-        words = F.split("text", r"\s+")
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 1)), lambda i: F.concat_ws(" ", F.try_element_at(words, i), F.try_element_at(words, i + 1)))
-        spread = docs.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("g"))
-        hit = spread.join(items, F.endswith(F.col("g"), F.regexp_replace("k", r"\s+", " ")) & F.contains(F.col("text"), F.col("item")), "left_semi")
+        # The second and third of four or more words stand whole in any text that holds the item: an equi-join, then the test.
+        words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+        pair = F.concat_ws(" ", F.try_element_at(words("item"), F.lit(2)), F.try_element_at(words("item"), F.lit(3)))
+        long = items.where(F.size(words("item")) >= 4).select("item", pair.alias("key"))
+        grams = F.array_distinct(F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda x, y: F.concat_ws(" ", x, y)))
+        spread = docs.select("doc_id", "text", words("text").alias("w")).select("doc_id", "text", F.explode(grams).alias("key"))
+        hit = spread.join(long, "key").where(inside).select("doc_id", "text").unionByName(docs.join(items.where(F.size(words("item")) < 4), inside, "left_semi").select("doc_id", "text"))
     hit = hit.select("doc_id").distinct().withColumn("leak", F.lit(True))
     out = docs.select("doc_id", "source", "lang").join(toxic, "doc_id", "left").join(hit, "doc_id", "left")
     return out.withColumn("reason", F.when(F.col("toxic"), F.lit("toxic_id")).when(F.col("leak"), F.lit("benchmark"))).drop("toxic", "leak")
