@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .storage import discard, materialise
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """(node, label) with the smallest reachable node as label, for every node that has an edge.
 
+    With ``rounds`` it stops after so many: equal labels are then still connected, but connected nodes may differ.
+
     Each round every node takes the smallest label around it, then the label of its label; rounds grow with the logarithm
     of the longest path.  A node's edges are aggregated before they are shuffled, so a hub is no hot key.
     """
@@ -21,7 +23,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         hooked = labels.join(around, labels.node == around.u).select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))
         up = labels.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
         new = materialise(hooked.join(up, hooked.label == up.n2, "left").select("node", F.least("label", F.coalesce("l2", "label")).alias("label"), "old"), "cc-labels")
-        moved = new.where("label <> old").limit(1).count()
+        if rounds is not None:
+            rounds -= 1
+        moved = rounds != 0 and new.where("label <> old").limit(1).count()
         discard(labels)
         labels = new.select("node", "label")
         if not moved:

@@ -236,13 +236,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         links = materialise(confirm(pairs, bodies, width, percent), "minhash-links")
         edges = edges.union(links)
         found = links.limit(1).count()
-        if found:
-            labels = connected_components(edges)
         if not linear:
             break
+        if found:  # not yet exact: labels that lag behind only leave a pair more to try
+            labels = connected_components(edges, rounds=2)
         k += 1
         linear = bool(found) and k < ROUNDS
     discard(bodies)
+    if labels is not None or edges.limit(1).count():
+        labels = connected_components(edges)
     rows = signed.select("id", "h", "n_shingles", "d0", "d1").join(classes, ["d0", "d1", "n_shingles"], "left")
     root = F.col("rep")
     if labels is not None:
