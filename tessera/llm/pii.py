@@ -104,11 +104,14 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
     "plus": "+", "más": "+",
 }
-#: Spoken or bracketed at signs and dots, and the endings that let bare words count as an address.
+#: Spoken or bracketed at signs and dots.
 AT_WORDS, DOT_WORDS = ("at", "arobase", "arroba", "ät"), ("dot", "point", "punkt", "punto")
+#: Endings that count where no sign but a bare "at" shows a disguise, or after "at ... point", which prose uses too.
 ENDINGS = ("com", "org", "net", "edu", "gov", "mil", "info", "io", "co", "eu", "de", "fr", "es", "uk", "us", "biz", "dev", "app")
 #: Words after a bare "at" that are no domain.
 NO_DOMAINS = "the a an this that these those my our your his her its their each any some no all noon night home work least most last first once".split()
+#: Words before a bare "at" and a plainly written site that are no local part ("visit us at example.com").
+NO_LOCALS = "us me him her them it is are was were be look looking looked found find available online site website page pages visit more hosted live read see here up out and or by".split()
 
 _ODD = re.compile("[" + re.escape("".join(LOOKALIKES) + INVISIBLE) + "]")
 _digit = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
@@ -117,8 +120,90 @@ _SPELLED_HINT = re.compile(rf"(?:{_digit})[ ,.-]{{1,2}}(?:{_digit})[ ,.-]{{1,2}}
 _DIGIT_WORD = re.compile(rf"(?:{_digit})(?!\w)")
 _at, _dot = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 _SIGN = re.compile(rf"[ ]*[\[({{<][ ]*(?:(?P<at>{_at}|@)|(?P<dot>{_dot}|\.))[ ]*[\])}}>][ ]*")
-_BARE = re.compile(rf"(?<![\w.])[a-z0-9][a-z0-9_%+-]*(?: (?:{_dot}) [a-z0-9_%+-]+)*(?P<at> (?:{_at}) )(?!(?:{'|'.join(NO_DOMAINS)}) )[a-z0-9-]+(?P<dots>(?: (?:{_dot}) [a-z0-9-]+)*) (?:{_dot}) (?:{'|'.join(ENDINGS)})(?!\w)")
-_DOT_IN = re.compile(rf" (?:{_dot}) ")
+_B, _C = r"[\s\u200b]", r"[a-z0-9\u200b-]"
+_FRAME = rf"{_B}*+[\[({{<]{_B}*+(?:%s){_B}*+[\])}}>]{_B}*+"
+_DOT = re.compile(rf"(?P<plain>\.)|(?P<framed>{_FRAME % (_dot + "|[.]")})|{_B}++(?P<word>{_dot}){_B}++")
+_DOT_SIGN = re.sub(r"\?P<\w+>", "?:", _DOT.pattern)
+#: An at sign of any form with a domain whose dots have any form.  Signs start at the first of their blanks, which keeps this linear.
+_ADDRESS = re.compile(
+    rf"(?<!{_B})(?:(?P<framed>{_FRAME % f'{_at}|@'})|(?P<at>{_B}++(?P<word>{_at}){_B}++|{_B}*+@{_B}*+))"
+    rf"(?P<domain>{_C}++(?:(?:{_DOT_SIGN}){_C}++)++)"
+)
+_DOMAIN_WORD = re.compile(rf"{_C}++")
+_LOCAL_LOW = frozenset("abcdefghijklmnopqrstuvwxyz0123456789._%+-\u200b")
+
+
+def _dot_before(low: str, end: int, floor: int) -> int:
+    """Where a dot word or a bracketed dot that ends at ``end`` starts, with its blanks; -1 if there is none."""
+
+    def blanks(k: int) -> int:
+        while k > floor and (low[k - 1].isspace() or low[k - 1] == "\u200b"):
+            k -= 1
+        return k
+
+    k = blanks(end)
+    framed = k > floor and low[k - 1] in "])}>"
+    if not framed and k == end:
+        return -1
+    k = blanks(k - 1) if framed else k
+    word = next((w for w in (*DOT_WORDS, *((".",) if framed else ())) if low.endswith(w, floor, k)), "")
+    start = blanks(k - len(word))
+    if not word or not framed and start == k - len(word):
+        return -1
+    if framed:
+        if start <= floor or low[start - 1] not in "[({<":
+            return -1
+        start = blanks(start - 1)
+    return start if start > floor and low[start - 1] in _LOCAL_LOW else -1
+
+
+def address_edits(low: str) -> Iterator[tuple[int, int, str]]:
+    """At signs and dots of addresses with at least one of them as a word, in brackets or set off by blanks.
+
+    Each sign may have its own form.  The longest domain with a fitting ending counts: after an explicit dot any of two
+    letters or more; where only a bare "at" shows the disguise, one of ENDINGS.
+    """
+    floor = 0
+    for m in _ADDRESS.finditer(low):
+        at, end = m.start(), m.start("domain")
+        before = low[at - 1] if at > floor else ""
+        if before not in _LOCAL_LOW or before in ("", "."):
+            continue
+        bare = m.group("at") is not None and m.group("at") != "@"
+        first = _DOMAIN_WORD.match(low, end)
+        if bare and first.group() in NO_DOMAINS and low[first.end()].isspace():
+            continue
+        dots, chosen, explicit = [], [], not bare and m.group("framed") is not None
+        pos = first.end()
+        while pos < m.end():
+            d = _DOT.match(low, pos)
+            word = _DOMAIN_WORD.match(low, d.end())
+            dots.append(d)
+            explicit = explicit or not d.group("plain")
+            ending = word.group().replace("\u200b", "")
+            prose = bare and m.group("word") in (None, "at") and (d.group("word") not in (None, "dot") or not explicit)
+            if len(ending) >= 2 and ending.isalpha() and (ending in ENDINGS if prose else explicit or bare):
+                chosen = list(dots)
+            pos = word.end()
+        start = at
+        while start > floor and low[start - 1] in _LOCAL_LOW:
+            start -= 1
+        if not chosen or bare and all(d.group("plain") for d in chosen) and low[start:at] in NO_LOCALS:
+            continue
+        if m.group("at") != "@":
+            yield at, end, "@"
+        for d in chosen:
+            if not d.group("plain"):
+                yield d.start(), d.end(), "."
+        while start > floor:
+            k = _dot_before(low, start, floor)
+            if k < 0:
+                break
+            yield k, start, "."
+            start = k
+            while start > floor and low[start - 1] in _LOCAL_LOW:
+                start -= 1
+        floor = m.end()
 
 
 def edits(text: str) -> list[tuple[int, int, str]]:
@@ -139,11 +224,7 @@ def edits(text: str) -> list[tuple[int, int, str]]:
         for m in _SIGN.finditer(low):
             if m.group("at") or m.group("dot"):
                 found.append((m.start(), m.end(), "@" if m.group("at") else "."))
-    if any(f" {w} " in low for w in DOT_WORDS):
-        for m in _BARE.finditer(low):
-            found.append((m.start("at"), m.end("at"), "@"))
-            for d in _DOT_IN.finditer(low, m.start(), m.end()):
-                found.append((d.start(), d.end(), "."))
+    found.extend(address_edits(low))
     words = low.replace("-", " ").replace(",", " ").replace(".", " ").split(" ")
     if sum(map(DIGIT_WORDS.__contains__, words)) >= 3 and _SPELLED_HINT.search(low):
         for m in _SPELLED.finditer(low):

@@ -395,6 +395,26 @@ def test_hidden_spans(text, kind, part):
     assert part not in pii.masked(text) and f"[{kind.upper()}]" in pii.masked(text)
 
 
+@pytest.mark.parametrize("address", [
+    "john.doe at example dot com", "john at example.com", "john@example dot com", "john [at] example dot com", "john at example [dot] com", "john at example dot it", "john at example dot museum",
+    "john  at \t example  dot  nl", "john dot a [dot] b at mail.example dot co dot uk", "john @ example dot ch", "john@example (.) be", "john arobase exemple point ca",
+])
+def test_mixed_signs_of_an_address(address):
+    from tessera.llm import pii
+
+    assert [("x " + address + ", y")[a:b] for k, a, b in pii.find_spans("x " + address + ", y")[1] if k == "email"] == [address]
+    assert pii.masked(f"Write {address.upper()}. Then") == "Write [EMAIL]. Then"
+
+
+def test_signs_that_make_no_address():
+    from tessera.llm import pii
+
+    for t in ("visit us at example.com", "it was at one point the case", "see page at foo.html", "Yes. at example dot com", "a at b dot c", "at point dot"):
+        assert pii.hidden_spans(t) == []
+    assert pii.hidden_spans("john@example.com dot it") == [("email", 0, 23)]
+    assert pii.find_spans("john@example.com dot it")[1] == []
+
+
 def test_plain_prose_is_left_alone(prose):
     from tessera.llm import pii
 
