@@ -19,7 +19,7 @@ earlier start).  The work is split by content so that no task sees more than its
 4. Covered ranges meet their documents and the remaining bytes are digested.
 
 Defined results: null and empty texts have 0 bytes; documents order by id, null ids first, equal ids by a hash of the text
-and then as identical rows; texts shorter than WINDOW lose nothing; an empty table gives no rows; other columns are ignored.
+and rows that repeat id and text are one document with one result; texts shorter than WINDOW lose nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -382,7 +382,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bodies, pa.binary())], ["id", "th", "body"])
 
     bodies = flat.mapInArrow(pack, "id bigint, th bigint, body binary")
-    found = flat.mapInArrow(find_occurrences, OCCURRENCE_SCHEMA).repartition(F.when(F.col("kind") == 0, F.col("h")).otherwise(F.xxhash64("id", "s")))
+    # A row that repeats id and text is the same document: its windows are found once, and its covers go to every copy.
+    found = (flat.dropDuplicates(["id", "th"]) if twice else flat).mapInArrow(find_occurrences, OCCURRENCE_SCHEMA).repartition(F.when(F.col("kind") == 0, F.col("h")).otherwise(F.xxhash64("id", "s")))
     settled = materialise(found.mapInArrow(settle_occurrences, OCCURRENCE_SCHEMA), "repeat-occurrences")
     asked = settled.where("kind >= 2").groupBy("id", "th").agg(F.collect_list(F.struct("kind", "h", "s", "n")).alias("asked"))
     fetched = bodies.dropDuplicates(["id", "th"]) if twice else bodies

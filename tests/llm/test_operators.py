@@ -334,6 +334,18 @@ def test_repeats_odd_tables(spark):
     assert got == [(0, first), (5, 300), (5, 300), (6, 300)]
 
 
+def test_repeats_leave_the_first_of_repeated_rows(spark):
+    from tessera.llm import repeats
+
+    rng = random.Random(8)
+    t, u = ("".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(2))
+    rows = spark.createDataFrame([(5, t), (5, t), (7, "x" + t), (8, u), (8, u + u), (8, u + u)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(rows).collect())
+    assert got[:3] == [(5, 150, 0), (5, 150, 0), (7, 151, 150)]
+    assert got[4] == got[5] and got[3][2] + got[4][2] == 300 and got[3][2] in (0, 150)
+    assert [x[:2] for x in got[3:]] == [(8, 150), (8, 300), (8, 300)]
+
+
 def test_merge_of_transforms():
     import numpy as np
 
