@@ -1,12 +1,14 @@
 """Main text of web pages: block structure plus nearest-URL page differencing.
 
-Pages of a host are ordered by URL path; each is compared with the neighbour whose path is nearest.  The text lines
+Pages of a host with equal lines are one page: they get one verdict.  Distinct pages are ordered by URL path; each is
+compared with the neighbour whose path is nearest.  Of neighbours that share at least NEAR_COPY of the text bytes the later
+is a copy of the earlier; a run of copies is passed over whole, up to the next other page.  The text lines
 (blocks) of both are aligned by their longest common subsequence, and shared lines are deleted.  Lines inside an
 explicit content element (article, main) of both pages are kept: two pages with the same article share its lines without
-their being page furniture.  A neighbour with the very same lines is a copy, which tells nothing, and is passed over.  Lines of menus, headers, footers, sidebars, adverts, forms and reader comments go by markup.
+their being page furniture.  Lines of menus, headers, footers, sidebars, adverts, forms and reader comments go by markup.
 
 Defined results: null html gives an empty text and 0 characters; a null or odd URL puts the page on the empty host; pages
-alone on their host keep all lines that markup leaves; repeated rows get equal results; an empty table gives no rows;
+alone on their host, or with copies only, keep all lines that markup leaves; repeated rows get equal results; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -27,6 +29,9 @@ from pyspark.sql import functions as F
 
 from .storage import materialise
 
+#: Neighbours that share at least this part of the longer one's text bytes are copies: what they share is no furniture.
+NEAR_COPY = 0.9
+
 # Element names by what they mean for text, and class, id or role words of page furniture.
 RAW = frozenset("script style textarea title noscript template svg iframe object math select button xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -169,6 +174,18 @@ def shared_lines(mine: np.ndarray, other: np.ndarray) -> list[int]:
     return [i for i, j in pairs if not (int(mine[i]) & int(other[j]) & 1)]
 
 
+def near_copy(a: bytes, a_sizes: bytes, b: bytes, b_sizes: bytes) -> bool:
+    """Whether two pages (line keys and the lines' byte counts) share NEAR_COPY of their text."""
+    if a == b:
+        return True
+    x, y = np.frombuffer(a, np.uint64) >> np.uint64(1), np.frombuffer(b, np.uint64) >> np.uint64(1)
+    m, n = np.frombuffer(a_sizes, np.uint32).astype(np.int64), np.frombuffer(b_sizes, np.uint32).astype(np.int64)
+    most = max(m.sum(), n.sum())
+    if min(m.sum(), n.sum()) < NEAR_COPY * most:
+        return False
+    return bool(min(m[np.isin(x, y)].sum(), n[np.isin(y, x)].sum()) >= NEAR_COPY * most)
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)", url or "")
     return (m[1].lower(), m[2]) if m else ("", url or "")
@@ -190,45 +207,69 @@ def main_text(blocks: list[tuple[bool, str]], dropped: set[int]) -> str:
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars for every page.
 
-    Line keys (8 bytes a line) are sorted by (host, path) over range partitions, so a hot host spreads over many tasks;
-    each partition's first and last page meet their outer neighbour through a table of two rows a partition.
+    Line keys and sizes (12 bytes a line) of distinct pages are sorted by (host, path) over range partitions, so a hot host
+    spreads over many tasks; what lies beyond a partition's ends comes from a table of one row a partition.
     """
     id_type = dict(pages.dtypes)[id_col]
     base = pages.select(F.col(id_col).alias("_id"), F.xxhash64(url_col, html_col).alias("_row"), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html"))
 
     def to_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [np.array([line_key(*b) for b in page_blocks(h or "")], np.uint64).tobytes() for h in batch.column(3).to_pylist()]
+            blocks = [page_blocks(h or "") for h in batch.column(3).to_pylist()]
+            lines = [np.array([line_key(*b) for b in x], np.uint64).tobytes() for x in blocks]
+            sizes = [np.array([len(t.encode("utf-8", "surrogatepass")) for _, t in x], np.uint32).tobytes() for x in blocks]
+            digests = [hashlib.blake2b(x, digest_size=16).digest() for x in lines]
             hosts, paths = zip(*map(split_url, batch.column(2).to_pylist())) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(lines, pa.binary())], ["_id", "_row", "host", "path", "lines"])
+            texts, raws = (pa.array(x, pa.string()) for x in (hosts, paths)), (pa.array(x, pa.binary()) for x in (digests, lines, sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *texts, *raws], ["_id", "_row", "host", "path", "digest", "lines", "sizes"])
 
     # Written first: the range boundaries come from a sample job, which would parse every page once more.
-    keyed = materialise(base.mapInArrow(to_lines, f"_id {id_type}, _row bigint, host string, path string, lines binary"), "page-keys")
-    order = ["host", "path", "_id", "_row"]
-    ranged = materialise(keyed.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()), "page-lines")
-    page = F.struct("host", "path", "lines")
-    place = F.struct(*order)
-    edges = ranged.groupBy("pid").agg(F.min_by(page, place).alias("first"), F.max_by(page, place).alias("last"))
-    line = Window.orderBy("pid")  # two rows a partition
-    edges = edges.select("pid", F.lag("last").over(line).alias("outer_prev"), F.lead("first").over(line).alias("outer_next"))
+    keyed = materialise(base.mapInArrow(to_lines, f"_id {id_type}, _row bigint, host string, path string, digest binary, lines binary, sizes binary"), "page-keys")
+    order = ["path", "_id", "_row"]
+    distinct = keyed.where(F.octet_length("lines") > 0).groupBy("host", "digest").agg(F.min(F.struct(*order)).alias("m"), F.first("lines").alias("lines"), F.first("sizes").alias("sizes"))
+    distinct = distinct.select("host", "m.*", "digest", "lines", "sizes")
+    order = ["host", *order]
+    ranged = materialise(distinct.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()), "page-lines")
+    page, place = F.struct("host", "path", "lines", "sizes"), F.struct(*order)
     within = Window.partitionBy("pid").orderBy(*order)
+    onward, backward = (Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1) for c in (F.col("pid"), F.col("pid").desc()))  # one row a partition
+    ends = ranged.groupBy("pid").agg(F.max_by(page, place).alias("end")).select("pid", F.last("end").over(onward).alias("outer"))
+    beside = ranged.withColumn("p", F.lag(page).over(within)).join(F.broadcast(ends), "pid").withColumn("p", F.coalesce("p", "outer")).drop("outer")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [
+                p is None or p["host"] != host or not near_copy(lines, sizes, p["lines"], p["sizes"])
+                for host, lines, sizes, p in zip(*(batch.column(c).to_pylist() for c in ("host", "lines", "sizes", "p")))
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.bool_())], [*batch.schema.names, "head"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in beside.schema.fields)
+    runs = materialise(beside.mapInArrow(mark, f"{fields}, head boolean"), "page-runs")
+    # A run's pages meet the last page of the run before it and the first page of the run after it.
+    runs = runs.withColumn("last", F.when(F.col("head"), F.col("p"))).withColumn("first", F.when(F.col("head"), page)).drop("p")
+    carried = runs.groupBy("pid").agg(F.max_by("last", F.when(F.col("head"), place)).alias("l"), F.min_by("first", F.when(F.col("head"), place)).alias("f"))
+    carried = carried.select("pid", F.last("l", True).over(onward).alias("outer_last"), F.last("f", True).over(backward).alias("outer_first"))
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    to_come = Window.partitionBy("pid").orderBy(*(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
     near = (
-        ranged.withColumn("p", F.lag(page).over(within)).withColumn("n", F.lead(page).over(within))
-        .join(F.broadcast(edges), "pid")
-        .select("_id", "_row", "host", "path", "lines", F.coalesce("p", "outer_prev").alias("p"), F.coalesce("n", "outer_next").alias("n"))
+        runs.withColumn("p", F.last("last", True).over(so_far)).withColumn("n", F.last("first", True).over(to_come))
+        .join(F.broadcast(carried), "pid")
+        .select("host", "digest", "path", "lines", "sizes", F.coalesce("p", "outer_last").alias("p"), F.coalesce("n", "outer_first").alias("n"))
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             drops = []
-            for host, path, lines, p, n in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "lines", "p", "n"))):
-                beside = [x for x in (p, n) if x and x["host"] == host and x["lines"] != lines]
-                other = max(beside, key=lambda x: path_nearness(path, x["path"]), default=None)
+            for host, path, lines, sizes, p, n in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "lines", "sizes", "p", "n"))):
+                others = [x for x in (p, n) if x and x["host"] == host and not near_copy(lines, sizes, x["lines"], x["sizes"])]
+                other = max(others, key=lambda x: path_nearness(path, x["path"]), default=None)
                 gone = shared_lines(np.frombuffer(lines, np.uint64), np.frombuffer(other["lines"], np.uint64)) if other else []
                 drops.append(np.array(gone, np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drops, pa.binary())], ["_i", "_r", "drops"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drops, pa.binary())], ["host", "digest", "drops"])
 
-    drops = near.mapInArrow(compare, f"_i {id_type}, _r bigint, drops binary").where(F.octet_length("drops") > 0).dropDuplicates(["_i", "_r"])
+    verdicts = near.mapInArrow(compare, "host string, digest binary, drops binary").where(F.octet_length("drops") > 0)
+    drops = keyed.select(F.col("_id").alias("_i"), F.col("_row").alias("_r"), "host", "digest").join(verdicts, ["host", "digest"]).select("_i", "_r", "drops").dropDuplicates(["_i", "_r"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress

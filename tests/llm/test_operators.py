@@ -156,6 +156,23 @@ def test_main_text(spark):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+def test_copies_of_pages_are_passed_over(spark):
+    from tessera.llm.html_text import extract_main_text
+
+    def shell(*lines):
+        return "".join(f"<div>{x}</div>" for x in ("Site menu line", *lines, "Imprint and terms"))
+
+    body = " ".join(f"word{i} of the body" for i in range(30))
+    pages = [(i, "http://a.org/x/1", shell("First own text")) for i in range(1, 6)] + [(6, "http://a.org/x/2", shell("Second own text"))]
+    pages += [(10 + i, f"http://b.org/n/{i:02}", shell(body, f"Printed on day {i}")) for i in range(12)] + [(30, "http://b.org/o", shell("Something else"))]
+    pages += [(40 + i, f"http://c.org/{i}", shell(body, f"Printed on day {i}")) for i in range(3)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    want = {i: "First own text" for i in range(1, 6)} | {6: "Second own text", 30: "Something else"}
+    want |= {10 + i: f"{body}\n\nPrinted on day {i}" for i in range(12)}
+    want |= {40 + i: f"Site menu line\n\n{body}\n\nPrinted on day {i}\n\nImprint and terms" for i in range(3)}
+    assert {r.page_id: r.text for r in extract_main_text(df.repartition(3)).collect()} == want
+
+
 def test_main_text_of_the_table(spark):
     import html as H
 
