@@ -296,6 +296,15 @@ def grit_spans(spark, sf_dir):
     return spans.select("doc_id", (F.col("p") + 1).cast("bigint").alias("i"), phrase.alias("phrase")).where((F.length("phrase") >= 3) & (F.length("phrase") == F.length(raw)))
 
 
+@query()
+def grit_spans_all(spark, sf_dir):
+    """The spans of every word of a text; ``grit_spans`` and its SQL take the first five."""
+    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
+    # A word is its own character span of the text; cutting it out by offset would make long texts quadratic.
+    phrase = X.span_text(F.col("w"), F.lit(0), F.length("w"))
+    return w.select("doc_id", (F.col("p") + 1).cast("bigint").alias("i"), phrase.alias("phrase"), "w").where((F.length("phrase") >= 3) & (F.length("phrase") == F.length("w"))).drop("w")
+
+
 # ---- text functions --------------------------------------------------------------------------------------------------
 
 
@@ -335,6 +344,21 @@ def soft_score(spark, sf_dir):
     return g.select("user_id", r6(X.vqa_soft_score(F.col("top"), F.col("gts"))).alias("score"))
 
 
+@query()
+def soft_score_all(spark, sf_dir):
+    """Over all events of a user; ``soft_score`` and its SQL take the first ten."""
+    e = table(spark, sf_dir, "events")
+    top = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("p")).agg(F.max_by("event_type", F.struct("n", (-F.col("p")).alias("q"))).alias("top"))
+    # One row a user and type, so no user's events are gathered: the matches of X.vqa_soft_score are sums of counts.
+    types = e.where("event_type is not null").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(top))
+    plain, pred = X.plain_blanks(F.col("event_type")), X.plain_blanks(F.col("top"))
+    same = X.normalise_answer(F.col("event_type")) == X.normalise_answer(F.col("top"))
+    hits = lambda c: F.sum(F.when(c, F.col("c")).otherwise(0)).cast("double")
+    g = types.groupBy("user_id").agg(F.sum("c").cast("double").alias("n"), hits(plain == pred).alias("equal"), hits(same).alias("alike"), (F.min(plain) != F.max(plain)).alias("differ"))
+    m, n, one = F.when(F.col("differ"), F.col("alike")).otherwise(F.col("equal")), F.col("n"), F.lit(1.0)
+    return g.select("user_id", r6((m * F.least((m - 1) / 3, one) + (n - m) * F.least(m / 3, one)) / n).alias("score"))
+
+
 @query(r"""select doc_id, nullif(regexp_extract(' ' || regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g') || ' ', ' (yes|no) ', 1), '') as answer from documents""")
 def yes_no(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.nullif(F.regexp_extract(F.lower("text"), r"(?U)(?<![\p{L}\p{N}_])(yes|no)(?![\p{L}\p{N}_])", 1), F.lit("")).alias("answer"))
