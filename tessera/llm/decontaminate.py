@@ -210,14 +210,14 @@ def _by_seed_join(docs: DataFrame, items: DataFrame, width: int, threshold: floa
             ids, texts = batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]
             for i, t in zip(ids, texts):
                 words = Benchmark.build([i], [t], width).words[0]
-                grams = np.unique(gram_hashes(words, min(width, len(words)))) if len(words) else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(grams), batch.schema.field(0).type), pa.array(grams.view(np.int64)), pa.array([len(grams)] * len(grams), pa.int32())], ["item", "seed", "n"])
+                grams, times = np.unique(gram_hashes(words, min(width, len(words))), return_counts=True) if len(words) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(grams), batch.schema.field(0).type), pa.array(grams.view(np.int64)), pa.array(times, pa.int64()), pa.array([len(words)] * len(grams), pa.int32())], ["item", "seed", "times", "n"])
 
     item_type = dict(items.dtypes)["item"]
     left = numbered.select("_no", text_col).mapInArrow(seeds, "no bigint, seed bigint")
-    right = items.mapInArrow(item_seeds, f"item {item_type}, seed bigint, n int")
-    # Seeds that cover a share c of an item of n grams are at least c * n / width of its distinct grams.
-    close = left.join(right, "seed").groupBy("no", "item").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") * width >= F.col("n") * threshold)
+    right = items.mapInArrow(item_seeds, f"item {item_type}, seed bigint, times bigint, n int")
+    # A place of a seed in the item covers at most width of its n tokens; a seed that the item repeats has several places.
+    close = left.join(right, "seed").groupBy("no", "item").agg(F.sum("times").alias("k"), F.first("n").alias("n")).where(F.col("k") * width >= F.col("n") * threshold)
     pairs = close.join(items, "item").join(numbered.select(F.col("_no").alias("no"), F.col(text_col).alias("doc")), "no").select("no", "item", "text", "doc")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,6 +131,19 @@ def test_tiling_by_seed_join_is_the_same(spark, prose, monkeypatch):
     assert not any(v[3] for v in key(T.tile_benchmark(docs, bench.limit(0))).values())
 
 
+def test_seed_join_counts_repeated_grams(spark, monkeypatch):
+    from tessera.llm import decontaminate as T
+
+    item = ["again"] * 80 + [f"only{i}" for i in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "other words that are nowhere else")], "item_id bigint, text string")
+    docs = docs_of(spark, [" ".join(["before"] + item[:80]), " ".join(item[:79]), "nothing of it"])
+    key = lambda d: [tuple(r) for r in d.orderBy("doc_id").collect()]
+    small = key(T.tile_benchmark(docs, bench))
+    assert [(r[0], r[1], r[-1]) for r in small] == [(0, 1, True), (1, 1, False), (2, None, False)]
+    monkeypatch.setattr(T, "BROADCAST_BYTES", 0)
+    assert key(T.tile_benchmark(docs, bench)) == small
+
+
 # ---- web pages
 
 
