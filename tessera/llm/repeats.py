@@ -15,7 +15,9 @@ earlier start).  The work is split by content so that no task sees more than its
    their first k bytes, and the block borders that appear in round k are the places where the common prefix is k - 1.  Blocks
    left after WINDOW rounds are the repeated intervals: rows whose windows are equal.  No suffix is compared or sorted again.
    A round here takes two symbols, and snippets go that share neither side of their k-gram with another.
-   K-grams with very many different snippets go by a digest of each window instead, aggregated before the shuffle.
+   A k-gram with more than MANY different snippets is split by content first, see ``split_snippets``: the windows with half
+   of what they lack of the known bytes to their left go by those bytes, the others by the bytes to the right.  Equal windows
+   stay together, and splits are repeated until a part is small enough to merge; at the last a part is one window.
 4. Covered ranges meet their documents and the remaining bytes are digested.
 
 Defined results: null and empty texts have 0 bytes; documents order by id, null ids first, equal ids by a hash of the text
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialise
-from .textvec import batch_slices, prefix_hash, span_hash
+from .textvec import batch_slices, column_bytes, prefix_hash, span_hash
 
 WINDOW, GRAM = 100, 28
 #: Longer texts are cut into pieces of so many windows; positions fit the 24 bits that ``anchors`` leaves for them.
@@ -43,12 +45,16 @@ PIECE = 1 << 23
 SHARD_BYTES, MERGE_SHARDS = 1 << 18, 8
 #: Bytes of text that the anchor kernel takes at once.
 SLICE = 1 << 20
-#: Different snippets of one k-gram above which its windows are compared by digest.
+#: Different snippets of one k-gram above which it is split by the bytes beside the k-gram.
 MANY = 4_096
+#: Occurrences that a task of stage 2 holds before it keeps only the first of each, and bytes of snippets filtered at once.
+HOLD, FILTER_BYTES = 2_000_000, 12 << 20
+#: An occurrence's windows and the k-gram's place in its snippet, both below 128, share a number.
+PLACE_BITS = 7
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, first window, windows, k-gram hash, snippet digest) of every anchor; windows are relative to their text."""
+    """(row, first window, windows and place, k-gram hash, snippet digest) of every anchor; windows are relative to their text."""
     n = len(data) - window + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
@@ -77,7 +83,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, window: int = WINDOW, gram: in
     count = last - first
     p = pick[first]
     digest = span_hash(prefix_hash(data, 1), first, last - 1 + window, 1) + (p - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return row[first], first - starts[row[first]], count, grams[p], digest
+    return row[first], first - starts[row[first]], count | (p - first) << PLACE_BITS, grams[p], digest
 
 
 def text_pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -172,14 +178,6 @@ def repeated_intervals(shards: list[np.ndarray], depth: int = WINDOW) -> tuple[n
     return shard, position, block
 
 
-def _arrays(batches: Iterator[pa.RecordBatch], names: list[str]) -> dict[str, np.ndarray]:
-    parts: dict[str, list] = {n: [] for n in names}
-    for batch in batches:
-        for n in names:
-            parts[n].append(batch.column(n).to_numpy(zero_copy_only=False))
-    return {n: np.concatenate(p) if p else np.zeros(0, np.int64) for n, p in parts.items()}
-
-
 def _batches(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(columns[0]), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[at : at + 100_000])) for c in columns], names)
@@ -212,6 +210,7 @@ def find_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     zero = np.zeros(len(h), np.int32)
     yield from _batches(OCCURRENCE, zero[first], h[first], d[first], i[first], t[first], s[first], n[first])
     i, t, s, n = (x[~first] for x in (i, t, s, n))
+    n = windows_of(n)
     if len(i):
         order = np.lexsort((t, i))
         i, t, s, n = (x[order] for x in (i, t, s, n))
@@ -222,28 +221,67 @@ def find_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield from _batches(OCCURRENCE, one, blank, blank, i[head][owner], t[head][owner], a, (b - a - WINDOW + 1).astype(np.int32))
 
 
-def settle_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stage 2, over the k-grams of one partition: kind 1 are repeats, kind 2 snippets to compare, kind 3 those of MANY."""
-    x = _arrays(batches, OCCURRENCE)
-    done = x["kind"] == 1
-    yield from _batches(OCCURRENCE, *(x[c][done] for c in OCCURRENCE))
-    h, d, i, t, s, n = (x[c][~done] for c in OCCURRENCE[1:])
-    del x
-    order = np.lexsort((s, t, i, d, h))
-    h, d, i, t, s, n = (v[order] for v in (h, d, i, t, s, n))
-    first = _changes(h, d)
-    rep = ~first
-    yield from _batches(OCCURRENCE, np.ones(rep.sum(), np.int32), np.zeros(rep.sum(), np.int64), np.zeros(rep.sum(), np.int64), i[rep], t[rep], s[rep], n[rep])
-    h, d, i, t, s, n = (v[first] for v in (h, d, i, t, s, n))
-    if len(h):
-        new = _changes(h)
-        count = np.diff(np.append(np.flatnonzero(new), len(h)))[np.cumsum(new) - 1]
-        many = count > 1
-        kind = np.where(count > MANY, 3, 2).astype(np.int32)
-        yield from _batches(OCCURRENCE, kind[many], h[many], np.zeros(many.sum(), np.int64), i[many], t[many], s[many], n[many])
+def windows_of(n):
+    return n & ((1 << PLACE_BITS) - 1)
+
+
+def settle_occurrences(batches: Iterator[pa.RecordBatch], many: int = MANY, hold: int = HOLD) -> Iterator[pa.RecordBatch]:
+    """Stage 2, over the k-grams of one partition: kind 1 are repeats, kind 2 snippets to compare, kind 3 those to split first.
+
+    Whenever ``hold`` rows have gathered only the first of equal snippets is kept.  A k-gram that still has more than ``many`` goes on
+    at once, and so do its later rows, so no k-gram is held whole; what is equal among them is settled with the splits.
+    """
+    held = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.int32)]
+    fresh: list[list[np.ndarray]] = []
+    size, hot = 0, np.zeros(0, np.int64)
+
+    def rows(kind: int, x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        zero = np.zeros(len(x[0]), np.int64)
+        if len(zero):
+            yield from _batches(OCCURRENCE, np.full(len(zero), kind, np.int32), zero if kind == 1 else x[0], zero, x[2], x[3], x[4], windows_of(x[5]) if kind == 1 else x[5])
+
+    def compact() -> Iterator[pa.RecordBatch]:
+        nonlocal held, fresh, size, hot
+        x = [np.concatenate(c) for c in zip(held, *fresh)]
+        order = np.lexsort((x[4], x[3], x[2], x[1], x[0]))
+        x = [c[order] for c in x]
+        first = _changes(x[0], x[1])
+        yield from rows(1, [c[~first] for c in x])
+        x = [c[first] for c in x]
+        over = _group_sizes(x[0]) > many
+        hot = np.union1d(hot, x[0][over])
+        yield from rows(3, [c[over] for c in x])
+        held, fresh, size = [c[~over] for c in x], [], 0
+
+    for batch in batches:
+        c = [batch.column(k).to_numpy() for k in OCCURRENCE]
+        done = c[0] == 1
+        if done.any():
+            yield batch.filter(pa.array(done))
+        c = [v[~done] for v in c[1:]]
+        if len(hot):
+            late = np.isin(c[0], hot)
+            yield from rows(3, [v[late] for v in c])
+            c = [v[~late] for v in c]
+        fresh.append(c)
+        size += len(c[0])
+        if size > hold:
+            yield from compact()
+    yield from compact()
+    several = _group_sizes(held[0]) > 1
+    yield from rows(2, [c[several] for c in held])
+
+
+def _group_sizes(keys: np.ndarray) -> np.ndarray:
+    """Of sorted keys, how many each one has."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    new = _changes(keys)
+    return np.diff(np.append(np.flatnonzero(new), len(keys)))[np.cumsum(new) - 1]
 
 
 SNIPPET = ["kind", "h", "id", "th", "s", "n", "bytes"]
+PART, PART_SCHEMA = SNIPPET[1:], "h bigint, id bigint, th bigint, s bigint, n int, bytes binary"
 COVER = ["id", "th", "s", "n"]
 
 
@@ -254,46 +292,59 @@ def fetch_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for i, t, body, asked in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "body", "asked"))):
             raw = expand(body)
             for a in asked:
-                for c, v in zip(out, (a["kind"], a["h"], i, t, a["s"], a["n"], raw[a["s"] : a["s"] + a["n"] + WINDOW - 1])):
+                for c, v in zip(out, (a["kind"], a["h"], i, t, a["s"], a["n"], raw[a["s"] : a["s"] + windows_of(a["n"]) + WINDOW - 1])):
                     c.append(v)
         types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], SNIPPET)
 
 
-def compare_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compare_snippets(batches: Iterator[pa.RecordBatch], at_once: int = FILTER_BYTES) -> Iterator[pa.RecordBatch]:
     """Stage 3, over whole groups of snippets: repeated windows other than the first of each interval."""
-    pending: list[tuple] = []
-    size, at_h = 0, None
+    parts: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        for item in zip(*(batch.column(c).to_pylist() for c in SNIPPET[1:])):
-            if item[0] != at_h and size > MERGE_SHARDS * SHARD_BYTES:  # equal windows have equal k-grams, so whole k-grams suffice
-                yield from _compare(pending)
-                pending, size = [], 0
-            at_h = item[0]
-            pending.append(item)
-            size += len(item[5])
+        parts.append(batch.select(SNIPPET[1:]))
+        size += batch.column("bytes").nbytes
+        if size > at_once:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            h = table.column("h").to_numpy()
+            cut = int(np.searchsorted(h, h[-1], "left"))  # equal windows have equal k-grams, so whole k-grams suffice
+            yield from _compare_table(table.slice(0, cut))
+            parts = table.slice(cut).to_batches()
+            size = sum(x.column("bytes").nbytes for x in parts)
+    if parts:
+        yield from _compare_table(pa.Table.from_batches(parts).combine_chunks())
+
+
+def _compare_table(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Merges of about MERGE_SHARDS shards each over the snippets that can have a partner."""
+    if table.num_rows < 2:
+        return
+    data, begin = column_bytes(table.column("bytes"))
+    keep = with_partner(table.column("h").to_numpy().view(np.uint64), data, begin, table.column("n").to_numpy() >> PLACE_BITS)
+    items = list(zip(*(c.to_pylist() for c in table.filter(pa.array(keep)).columns)))
+    pending: list[tuple] = []
+    size = 0
+    for k, item in enumerate(items):
+        if size > MERGE_SHARDS * SHARD_BYTES and item[0] != items[k - 1][0]:
+            yield from _compare(pending)
+            pending, size = [], 0
+        pending.append(item)
+        size += len(item[5])
     yield from _compare(pending)
 
 
-def with_partner(grams: np.ndarray, parts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """Which snippets can share a window with another of their k-gram.
+def with_partner(grams: np.ndarray, data: np.ndarray, begin: np.ndarray, place: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """Which snippets can share a window with another of their k-gram, which starts ``place`` bytes into the snippet.
 
     A window holds, besides the k-gram, (window - gram) / 2 bytes just before or just after it.  A snippet that has neither
     in common with another one of its k-gram has no window in common with any.
     """
     half = (window - gram) // 2
-    data, length = np.frombuffer(b"".join(parts), np.uint8), np.array([len(x) for x in parts])
-    end = np.cumsum(length)
-    begin = end - length
-    prefix, at = prefix_hash(data), np.arange(max(0, len(data) - gram + 1))
-    owner = np.searchsorted(end, at, "right")
-    hit = np.flatnonzero((span_hash(prefix, at, at + gram) == grams[owner]) & (at + gram <= end[owner]))
-    mine, first = np.unique(owner[hit], return_index=True)
-    place = np.full(len(parts), -1)
-    place[mine] = hit[first]
-    keep = place < 0  # a k-gram that is not found again would be a fault of its hash: compare it
-    for low, high in ((place - half, place), (place + gram, place + gram + half)):
-        some = np.flatnonzero((place >= 0) & (low >= begin) & (high <= end))
+    prefix, at = prefix_hash(data), begin[:-1] + place
+    keep = np.zeros(len(place), bool)
+    for low, high in ((at - half, at), (at + gram, at + gram + half)):
+        some = np.flatnonzero((low >= begin[:-1]) & (high <= begin[1:]))
         side = span_hash(prefix, low[some], high[some])
         order = np.lexsort((side, grams[some]))
         g, s = grams[some][order], side[order]
@@ -304,10 +355,31 @@ def with_partner(grams: np.ndarray, parts: list[bytes], window: int = WINDOW, gr
     return keep
 
 
+def split_snippets(batches: Iterator[pa.RecordBatch], known: int) -> Iterator[pa.RecordBatch]:
+    """Each snippet in two, by the bytes beside the ``known`` ones that all of its windows hold.
+
+    A window lacks WINDOW - known bytes, and has them left or right of the known ones.  With at least half of them to the
+    left it goes by that half, else by the bytes to the right, which are then half and one at least.  Parts are keyed by the
+    old key and these bytes; equal windows have equal bytes around equal places, and so get equal keys.
+    """
+    lack = WINDOW - known
+    left, right = -(-lack // 2), lack // 2 + 1
+    for batch in batches:
+        out: list[list] = [[] for _ in PART]
+        for h, i, t, s, n, raw in zip(*(batch.column(c).to_pylist() for c in SNIPPET[1:])):
+            count, at = windows_of(n), n >> PLACE_BITS
+            cut = max(0, min(count, at - left + 1))  # windows before the cut go left
+            for a, b, side, more in ((0, cut, b"l", raw[at - left : at] if cut else b""), (cut, count, b"r", raw[at + known : at + known + right])):
+                if a < b:
+                    key = hashlib.blake2b(side + more, digest_size=8, key=h.to_bytes(8, "little", signed=True)).digest()
+                    place = at - a if side == b"r" else at - left
+                    for c, v in zip(out, (int.from_bytes(key, "little", signed=True), i, t, s + a, b - a | place << PLACE_BITS, raw[a : b + WINDOW - 1])):
+                        c.append(v)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], PART)
+
+
 def _compare(items: list[tuple]) -> Iterator[pa.RecordBatch]:
-    if items:
-        keep = with_partner(np.array([x[0] for x in items], np.int64).view(np.uint64), [x[5] for x in items])
-        items = [x for x, k in zip(items, keep) if k]
     if len(items) < 2:
         return
     order = sorted(range(len(items)), key=lambda k: items[k][1:4])
@@ -338,15 +410,6 @@ def _compare(items: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield from _batches(COVER, i[owner], t[owner], s[owner] + a, (b - a - WINDOW + 1).astype(np.int32))
 
 
-def window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two digests of every window of the snippets of k-grams with MANY of them."""
-    for batch in batches:
-        for h, i, t, s, n, raw in zip(*(batch.column(c).to_pylist() for c in SNIPPET[1:])):
-            data, at = np.frombuffer(raw, np.uint8), np.arange(n)
-            w = [span_hash(prefix_hash(data, f), at, at + WINDOW, f).view(np.int64) for f in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(w[0]), pa.array(w[1]), pa.array(np.full(n, i)), pa.array(np.full(n, t)), pa.array(s + at)], ["w0", "w1", "id", "th", "s"])
-
-
 def strip_ranges(batches: Iterator[pa.RecordBatch], with_bytes: bool) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor().decompress
     for batch in batches:
@@ -367,8 +430,34 @@ def strip_ranges(batches: Iterator[pa.RecordBatch], with_bytes: bool) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every document.  Ids are integers."""
+def _split_many(hot: DataFrame, many: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(parts small enough to merge, covers of equal parts) of the snippets of k-grams with too many of them.
+
+    Every round a part's windows have half fewer unknown bytes, so there are seven rounds at most, of which the last leaves
+    parts of one window, equal or alone.
+    """
+    few = equal = None
+    known = GRAM
+    while known < WINDOW and hot.limit(1).count():
+        parts = materialise(hot.mapInArrow(lambda x, known=known: split_snippets(x, known), PART_SCHEMA), "repeat-parts")
+        known += -(-(WINDOW - known) // 2)  # the right side knows one more at times, which is not made use of
+        # Equal parts: the first one stays; others are repeats in full.
+        me, whole = F.struct("id", "th", "s"), ["h", "n", "bytes"]
+        firsts = materialise(parts.groupBy(*whole).agg(F.min(me).alias("f"), F.count(F.lit(1)).alias("c")), "repeat-firsts")
+        again = parts.join(firsts.where("c > 1"), whole).where(me != F.col("f")).select("id", "th", "s", F.expr(f"n & {(1 << PLACE_BITS) - 1}").alias("n"))
+        sizes = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        kept = materialise(firsts.join(sizes, "h").select("h", "f.id", "f.th", "f.s", "n", "bytes", (F.col("_n") > many).alias("many")), "repeat-kept")
+        small = kept.where("not many").select(*PART)
+        few, equal = few.unionByName(small) if few else small, equal.unionByName(again) if equal else again
+        hot = kept.where("many").select(*PART)
+    return few, equal
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, many: int = MANY, hold: int = HOLD, at_once: int = FILTER_BYTES) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every document.  Ids are integers.
+
+    ``many``, ``hold`` and ``at_once`` only bound what a task holds: results are the same for all of their values.
+    """
     low = -(1 << 63)
     flat = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(low)).alias("id"), F.col(text_col).cast("string").alias("text"))
     twice = flat.groupBy("id").count().where("count > 1").limit(1).count()
@@ -384,17 +473,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bodies = flat.mapInArrow(pack, "id bigint, th bigint, body binary")
     # A row that repeats id and text is the same document: its windows are found once, and its covers go to every copy.
     found = (flat.dropDuplicates(["id", "th"]) if twice else flat).mapInArrow(find_occurrences, OCCURRENCE_SCHEMA).repartition(F.when(F.col("kind") == 0, F.col("h")).otherwise(F.xxhash64("id", "s")))
-    settled = materialise(found.mapInArrow(settle_occurrences, OCCURRENCE_SCHEMA), "repeat-occurrences")
+    settled = materialise(found.mapInArrow(lambda x: settle_occurrences(x, many, hold), OCCURRENCE_SCHEMA), "repeat-occurrences")
     asked = settled.where("kind >= 2").groupBy("id", "th").agg(F.collect_list(F.struct("kind", "h", "s", "n")).alias("asked"))
     fetched = bodies.dropDuplicates(["id", "th"]) if twice else bodies
     snippet_schema = "kind int, h bigint, id bigint, th bigint, s bigint, n int, bytes binary"
     snippets = materialise(fetched.join(asked, ["id", "th"]).mapInArrow(fetch_snippets, snippet_schema), "repeat-snippets")
     cover_schema = "id bigint, th bigint, s bigint, n int"
-    few = snippets.where("kind = 2").repartition("h").sortWithinPartitions("h").mapInArrow(compare_snippets, cover_schema)
-    windows = snippets.where("kind = 3").mapInArrow(window_digests, "w0 bigint, w1 bigint, id bigint, th bigint, s bigint")
-    firsts = windows.groupBy("w0", "w1").agg(F.min(F.struct("id", "th", "s")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    many = windows.join(firsts, ["w0", "w1"]).where(F.struct("id", "th", "s") != F.col("f")).select("id", "th", "s", F.lit(1).alias("n"))
-    covers = settled.where("kind = 1").select(*COVER).unionByName(few).unionByName(many)
+    few, equal = _split_many(snippets.where("kind = 3").select(*PART), many)
+    few = snippets.where("kind = 2").select(*PART).unionByName(few) if few else snippets.where("kind = 2").select(*PART)
+    merged = few.repartition("h").sortWithinPartitions("h").mapInArrow(lambda x: compare_snippets(x, at_once), cover_schema)
+    covers = settled.where("kind = 1").select(*COVER).unionByName(merged)
+    covers = covers.unionByName(equal) if equal else covers
     covers = covers.groupBy("id", "th").agg(F.collect_list(F.struct("s", "n")).alias("covers"))
     out = bodies.join(covers, ["id", "th"], "left").mapInArrow(lambda x: strip_ranges(x, with_bytes), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     real = F.when(F.col("id") == low, F.lit(None)).otherwise(F.col("id")).cast("bigint")

@@ -338,17 +338,16 @@ def stripped(texts):
     return out
 
 
-@pytest.mark.parametrize("many", [4096, 1])
-def test_repeats(spark, prose, monkeypatch, many):
+@pytest.mark.parametrize("many, hold", [(4096, 2_000_000), (1, 2_000_000), (3, 500)])
+def test_repeats(spark, prose, many, hold):
     from tessera.llm import repeats
 
-    monkeypatch.setattr(repeats, "MANY", many)
     rng = random.Random(2)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
     line = "".join(rng.choice("xyz ") for _ in range(90))
     texts = ODD + [passage, "left " + passage[:150], passage[50:200] + " right", passage[:120] + "!" + passage[120:], "é" * 90 + "ü" * 90, "q" + "é" * 90 + "ü" * 90, "ab" * 200, "zz" + "ab" * 180, line * 3]
     texts += [f"{i} {line} {rng.random()}" * 2 for i in range(12)] + prose[:70] + [prose[3][:500] + prose[4], prose[3]]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs_of(spark, texts)).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs_of(spark, texts), many=many, hold=hold, at_once=20_000 if many == 3 else 1 << 20).collect()}
     assert [got[i] for i in range(len(texts))] == stripped(texts)
 
 
