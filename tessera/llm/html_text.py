@@ -1,15 +1,20 @@
-"""Main text of web pages: block structure plus nearest-URL page differencing.
+"""Main text of web pages: nearest-URL page differencing over lines of text, with markup in support.
 
 Pages of a host with equal lines are one page: they get one verdict.  Distinct pages are ordered by URL path; each is
 compared with the neighbour whose path is nearest.  Of neighbours that share at least NEAR_COPY of the text bytes the later
-is a copy of the earlier; a run of copies is passed over whole, up to the next other page.  The text lines
-(blocks) of both are aligned by their longest common subsequence, and shared lines are deleted.  Lines inside an
-explicit content element (article, main) of both pages are kept: two pages with the same article share its lines without
-their being page furniture.  Lines of menus, headers, footers, sidebars, adverts, forms and reader comments go by markup.
+is a copy of the earlier; a run of copies is passed over whole, up to the next other page.  The text lines (blocks) of both,
+menus and adverts included, are aligned by their longest common subsequence, and shared lines are deleted.  A page keeps its
+lines inside an explicit content element (article, main): two pages may carry the same article, and an advert may quote one.
+
+Markup decides only where differencing cannot.  Lines that no neighbour shares go if their markup is that of a menu, header,
+footer, sidebar, notice, advert, form or reader comment; and on a page without another page to difference with, lines outside
+its content elements go if it has such elements.  Class, id and role words count only where a whole name consists of them, so
+``has-sidebar`` and ``ad-free`` mean nothing; names of layout (``sidebar``, ``promo``) on an element around a content element
+mean nothing either, and nor does a form around it.  Scripts, styles, and the text of form controls are never lines.
 
 Defined results: null html gives an empty text and 0 characters; a null or odd URL puts the page on the empty host; pages
 alone on their host, or with copies only, keep all lines that markup leaves; repeated rows get equal results; an empty table gives no rows;
-other columns are ignored.
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,63 +38,82 @@ from .storage import materialise
 NEAR_COPY = 0.9
 
 # Element names by what they mean for text, and class, id or role words of page furniture.
-RAW = frozenset("script style textarea title noscript template svg iframe object math select button xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript template svg iframe object select button xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
-FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
+FURNITURE = frozenset("nav footer aside menu dialog".split())
+FORM = frozenset("form fieldset".split())
+#: Names of what is never part of an article, and of places in a layout, which may also hold the article.
 FURNITURE_WORDS = frozenset(
-    "ad ads advert adverts advertisement adbox banner sponsor sponsored promo promotion nav navbar navigation menu menubar sidebar aside rail footer foot masthead topbar "
-    "toolbar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related "
-    "recommended comment comments reply replies respond disqus widget pagination pager copyright contentinfo complementary search skip".split()
+    "ad ads advert adverts advertisement adbox sponsor sponsored nav navbar navigation menu menubar footer masthead topbar toolbar breadcrumb breadcrumbs cookie cookies consent gdpr popup newsletter "
+    "subscribe signup login share sharing social related recommended comment comments reply replies respond disqus pagination pager copyright contentinfo search skip".split()
 )
+LAYOUT_WORDS = frozenset("banner promo promotion sidebar aside rail foot notice notices alert modal overlay widget complementary".split())
+#: Words that name no content by themselves and may stand beside one that does.
+PLAIN_WORDS = frozenset("site page main top bottom left right primary secondary inner outer first second box block container wrapper wrap list item items links link bar area section unit slot text form thread".split())
 CONTENT = frozenset(("article", "main"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.S)
-_ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[a-z]+")
+#: How a line is marked: no furniture, furniture that a content element inside lifts, furniture.
+FREE, LOOSE, FIRM = 0, 1, 2
 
 
-def _furniture(tag: str, attrs: str, content: bool) -> bool:
+def _marked(tag: str, attrs: str, content: bool) -> int:
+    """What an element says of itself."""
     if tag in FURNITURE or tag == "header" and not content:
-        return True
+        return FIRM
+    mark = LOOSE if tag in FORM else FREE
     if not attrs:
-        return False
+        return mark
     if _HIDDEN.search(attrs):
-        return True
-    return tag not in ("html", "body") and any(not FURNITURE_WORDS.isdisjoint(_WORD.findall("".join(m.groups("")).lower())) for m in _ATTR.finditer(attrs))
+        return FIRM
+    if tag in ("html", "body"):
+        return mark
+    for m in _ATTR.finditer(attrs):
+        for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", "".join(m.groups(""))).lower().split():
+            words = set(_WORD.findall(name))
+            if words <= FURNITURE_WORDS | LAYOUT_WORDS | PLAIN_WORDS and (known := words - PLAIN_WORDS):
+                mark = max(mark, LOOSE if known <= LAYOUT_WORDS else FIRM)
+    return mark
 
 
 def clean(raw: str) -> str:
     return " ".join((html.unescape(raw) if "&" in raw else raw).split())
 
 
-def page_blocks(page: str) -> list[tuple[bool, str]]:
-    """(inside a content element, raw text) of every block that is not page furniture, in page order."""
-    out: list[tuple[bool, str]] = []
+def page_blocks(page: str) -> list[tuple[bool, bool, str]]:
+    """(inside a content element, marked as furniture, raw text) of every block with text, in page order."""
+    out: list[tuple[bool, bool, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, inside furniture, inside content
-    skip = content = False
+    aside: list[str] = []  # text of furniture inside the open block
+    stack: list[tuple[str, int, bool]] = []  # tag, mark, inside content
+    skip, content = FREE, False
     low = ""
     at, end = 0, len(page)
 
     def flush() -> None:
-        if parts:
-            out.append((content, "".join(parts)))
-            parts.clear()
+        for marked, text in ((False, parts), (True, aside)):
+            if text:
+                raw = "".join(text)
+                if raw and not raw.isspace():
+                    out.append((content, marked, raw))
+                text.clear()
 
     def cut(k: int) -> None:
         nonlocal skip, content
         del stack[k:]
-        _, skip, content = stack[-1] if stack else ("", False, False)
+        _, skip, content = stack[-1] if stack else ("", FREE, False)
 
     while at < end:
         m = _TOKEN.search(page, at)
-        if not skip and (stop := m.start() if m else end) > at:
-            parts.append(page[at:stop])
+        if (stop := m.start() if m else end) > at:
+            (aside if skip else parts).append(page[at:stop])
         if not m:
             break
         at = m.end()
@@ -99,8 +123,8 @@ def page_blocks(page: str) -> list[tuple[bool, str]]:
         tag = tag.lower()
         if tag in BLOCK:
             flush()
-        elif tag == "br" and not skip:
-            parts.append(" ")
+        elif tag == "br":
+            (aside if skip else parts).append(" ")
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -128,7 +152,9 @@ def page_blocks(page: str) -> list[tuple[bool, str]]:
                     break
         if attrs.endswith("/") and tag not in BLOCK:
             continue
-        skip, content = skip or _furniture(tag, attrs, content), content or tag in CONTENT
+        if tag in CONTENT and not content and skip == LOOSE:
+            skip = FREE
+        skip, content = max(skip, _marked(tag, attrs, content)), content or tag in CONTENT and skip == FREE
         stack.append((tag, skip, content))
     flush()
     return out
@@ -169,9 +195,9 @@ def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def shared_lines(mine: np.ndarray, other: np.ndarray) -> list[int]:
-    """Indices of my lines that the aligned page shares and that are not content in both."""
+    """Indices of my lines that the aligned page shares, without those inside a content element of mine."""
     pairs = common_lines((mine >> np.uint64(1)).tolist(), (other >> np.uint64(1)).tolist())
-    return [i for i, j in pairs if not (int(mine[i]) & int(other[j]) & 1)]
+    return [i for i, _ in pairs if not int(mine[i]) & 1]
 
 
 def near_copy(a: bytes, a_sizes: bytes, b: bytes, b_sizes: bytes) -> bool:
@@ -198,10 +224,12 @@ def path_nearness(a: str, b: str) -> tuple[int, int]:
     return parts, next((k for k, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
 
 
-def main_text(blocks: list[tuple[bool, str]], dropped: set[int]) -> str:
-    """Content elements' blocks if there are any, else all; without the dropped."""
-    inside = any(c and clean(t) for c, t in blocks)
-    return "\n\n".join(filter(None, (clean(t) for i, (c, t) in enumerate(blocks) if i not in dropped and (c or not inside))))
+def main_text(blocks: list[tuple[int, bool, str]], dropped: set[int] | None) -> str:
+    """The free blocks (number, content, text) that differencing did not drop; if there was nothing to difference with, those in content elements if any."""
+    if dropped is None:
+        inside = any(c and clean(t) for _, c, t in blocks)
+        return "\n\n".join(filter(None, (clean(t) for _, c, t in blocks if c or not inside)))
+    return "\n\n".join(filter(None, (clean(t) for i, _, t in blocks if i not in dropped)))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -216,8 +244,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     def to_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blocks = [page_blocks(h or "") for h in batch.column(3).to_pylist()]
-            lines = [np.array([line_key(*b) for b in x], np.uint64).tobytes() for x in blocks]
-            sizes = [np.array([len(t.encode("utf-8", "surrogatepass")) for _, t in x], np.uint32).tobytes() for x in blocks]
+            lines = [np.array([line_key(c, t) for c, _, t in x], np.uint64).tobytes() for x in blocks]
+            # Furniture by markup has no weight: what makes two pages copies is the rest.
+            sizes = [np.array([0 if f else len(t.encode("utf-8", "surrogatepass")) for _, f, t in x], np.uint32).tobytes() for x in blocks]
             digests = [hashlib.blake2b(x, digest_size=16).digest() for x in lines]
             hosts, paths = zip(*map(split_url, batch.column(2).to_pylist())) if batch.num_rows else ((), ())
             texts, raws = (pa.array(x, pa.string()) for x in (hosts, paths)), (pa.array(x, pa.binary()) for x in (digests, lines, sizes))
@@ -264,17 +293,17 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             for host, path, lines, sizes, p, n in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "lines", "sizes", "p", "n"))):
                 others = [x for x in (p, n) if x and x["host"] == host and not near_copy(lines, sizes, x["lines"], x["sizes"])]
                 other = max(others, key=lambda x: path_nearness(path, x["path"]), default=None)
-                gone = shared_lines(np.frombuffer(lines, np.uint64), np.frombuffer(other["lines"], np.uint64)) if other else []
-                drops.append(np.array(gone, np.int32).tobytes())
+                drops.append(np.array(shared_lines(np.frombuffer(lines, np.uint64), np.frombuffer(other["lines"], np.uint64)), np.int32).tobytes() if other else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drops, pa.binary())], ["host", "digest", "drops"])
 
-    verdicts = near.mapInArrow(compare, "host string, digest binary, drops binary").where(F.octet_length("drops") > 0)
+    verdicts = near.mapInArrow(compare, "host string, digest binary, drops binary").where("drops is not null")
     drops = keyed.select(F.col("_id").alias("_i"), F.col("_row").alias("_r"), "host", "digest").join(verdicts, ["host", "digest"]).select("_i", "_r", "drops").dropDuplicates(["_i", "_r"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            packed = [squeeze(json.dumps(page_blocks(h or ""), ensure_ascii=False).encode("utf-8", "surrogatepass")) for h in batch.column(3).to_pylist()]
+            free = ([(i, c, t) for i, (c, f, t) in enumerate(page_blocks(h or "")) if not f] for h in batch.column(3).to_pylist())
+            packed = [squeeze(json.dumps(x, ensure_ascii=False).encode("utf-8", "surrogatepass")) for x in free]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], ["_id", "_row", "_url", "packed"])
 
     packed = base.mapInArrow(pack, f"_id {id_type}, _row bigint, _url string, packed binary")
@@ -284,7 +313,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             texts = [
-                main_text(json.loads(expand(b).decode("utf-8", "surrogatepass")), set(np.frombuffer(d or b"", np.int32).tolist())).encode("utf-8", "replace").decode()
+                main_text(json.loads(expand(b).decode("utf-8", "surrogatepass")), None if d is None else set(np.frombuffer(d, np.int32).tolist())).encode("utf-8", "replace").decode()
                 for b, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [id_col, url_col, "text", "n_chars"])

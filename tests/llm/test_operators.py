@@ -186,6 +186,49 @@ def test_copies_of_pages_are_passed_over(spark):
     assert {r.page_id: r.text for r in extract_main_text(df.repartition(3)).collect()} == want
 
 
+def test_markup_in_support(spark):
+    from tessera.llm.html_text import extract_main_text
+
+    pages = {
+        1: ("<div class='layout has-sidebar'><article><p>Real text</p></article></div>", "Real text"), 2: ("<div id='content' class='ad-free'><p>Real</p></div>", "Real"),
+        3: ("<form id=aspnet><div class='sidebar-wrapper'><main><p>In a form</p></main><div class=site-footer>f</div></div></form>", "In a form"),
+        4: ("<article><p>x <math><mi>y</mi></math> z<button>Send</button></p><div class='commentList'>c</div></article><p>Beside it</p>", "x y z"),
+        5: ("<div class=related><article><p>Other page</p></article></div><p>Own</p>", "Own"), 6: ("<p>Text <span class=ad-box>buy</span> on</p><div class='cookie-bar'>c</div>", "Text on"),
+        7: ("<div class='advertising-policy'><p>What we do</p></div><div role=navigation>n</div>", "What we do"), 8: ("<div data-id='menu'>Soup</div><div hidden>h</div>", "Soup"),
+    }
+    df = spark.createDataFrame([(k, f"http://h{k}.org/", h) for k, (h, _) in pages.items()], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in extract_main_text(df).collect()} == {k: t for k, (_, t) in pages.items()}
+
+
+def test_differencing_decides(spark):
+    """Against a plain form: neighbours in (path, id) order, the one with more of the path in common, lines of both deleted."""
+    import os
+
+    from tessera.llm.html_text import extract_main_text
+
+    rng, pages = random.Random(12), []
+    for k in range(120):
+        host, section, leaf = f"h{rng.randrange(4)}.org", rng.choice("abc"), rng.randrange(40)
+        own = [(False, f"Line {j} of {k} with some words of its own") for j in range(rng.randrange(3, 6))]
+        lines = [(False, f"Menu of {host}"), (False, f"Section {section}"), (False, f"Shelf {leaf // 10}"), *own[:1], (True, "A shared sentence of both articles"), *((True, t) for _, t in own[1:]), (False, f"Legal {host}")]
+        pages.append((k, host, f"/{section}/{leaf // 10}/{leaf}", lines))
+    mark = lambda lines: "".join(f"<article><p>{t}</p></article>" if c else f"<div>{t}</div>" for c, t in lines)
+    df = spark.createDataFrame([(k, f"http://{h}{p}", mark(x)) for k, h, p, x in pages], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(df.repartition(5)).collect()}
+    deleted = 0
+    for k, host, path, lines in pages:
+        line = sorted((q, j) for j, h, q, _ in pages if h == host)
+        at = line.index((path, k))
+        near = [line[i] for i in (at - 1, at + 1) if 0 <= i < len(line)]
+        parts = lambda q: next((n for n, (a, b) in enumerate(zip(path.split("/"), q.split("/"))) if a != b), 4)
+        best = max(near, key=lambda x: (parts(x[0]), len(os.path.commonprefix([path, x[0]]))))
+        other = {t for _, t in pages[best[1]][3]}
+        want = [t for c, t in lines if c or t not in other]
+        deleted += len(lines) - len(want)
+        assert got[k] == "\n\n".join(want)
+    assert deleted > 200
+
+
 def test_main_text_of_the_table(spark):
     import html as H
 
