@@ -1,13 +1,16 @@
 """SpotSigs document fingerprints.
 
-A signature is a common word (the anchor) with the chain of content words that follows it.  A text's fingerprint is the
-number of its distinct signatures and the ``KEEP`` smallest of their 32-bit hashes; texts with few signatures add their
-single words.  Likeness is the Jaccard measure of two fingerprints, and 0 at once where the set lengths alone rule out
-the asked threshold; near-duplicate search compares only sets in the same or the next length partition.
-
-Defined results: null and empty texts have the fingerprint ``0:`` and are like each other only; a text without signatures
-is known by its words, one without words by its bytes; ties in the id order go by a hash of the text; null ids come first;
-the next document of the last row is the first; a single row is its own next document; other columns are ignored.
+A signature is a common word (the anchor) with the chain of up to CHAIN content words that follow it.  A text is known by the
+set of its signatures.  Its printed fingerprint is the size of the set, a digest of it, and the ``KEEP`` smallest of its
+32-bit hashes; likeness never comes from these few but from the full sets.
+
+Likeness is the Jaccard measure, compared by length partition and pruning: sets whose lengths lie in partitions too far apart
+to reach ``least`` are 0 at once, and the walk over two sets stops with 0 where the signatures left cannot lift it to ``least``
+any more.  What is not pruned is exact.  Near-duplicate search compares only sets in the same or the next length partition.
+
+Defined results: null and empty texts have an empty set and are like each other only; a text without signatures is known by its
+words, one without words by its bytes; ties in the id order go by a hash of the text; null ids come first; the next document of
+the last row is the first; a single row is its own next document; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ ANCHORS = (
     "der die das und ist ein eine den von zu mit sich auf für nicht im dem auch es an als werden aus er hat dass sie nach bei um am sind noch wie einem über "
     "el los las y una con por para del lo su al como más pero sus ya o este sí porque esta entre cuando muy sin sobre ser"
 ).split()
-CHAIN, KEEP, FEW = 3, 128, 16
+CHAIN, KEEP = 3, 32
+#: Likeness below this is reported as 0: two texts that share so little are not compared to the end.
+LEAST = 0.05
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -68,14 +73,14 @@ def signature_sets(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         content = np.flatnonzero(~is_anchor & bare)
         spots = np.flatnonzero(is_anchor)
         at = np.searchsorted(content, spots)
-        fits = at + CHAIN <= len(content)
-        spots, at = spots[fits], at[fits]
-        same = row[content[at + CHAIN - 1]] == row[spots] if len(spots) else np.zeros(0, bool)
-        spots, at = spots[same], at[same]
         weight = powers(0xA0761D6478BD642F, CHAIN + 2)
-        sig = words[spots] * weight[1]
-        for k in range(CHAIN):
-            sig += words[content[at + k]] * weight[k + 2]
+        sig, length = words[spots] * weight[1], np.zeros(len(spots), np.uint64)
+        for k in range(CHAIN):  # the chain ends with the text
+            j = content[np.minimum(at + k, max(len(content) - 1, 0))] if len(content) else spots
+            has = (at + k < len(content)) & (row[j] == row[spots])
+            sig += np.where(has, words[j] * weight[k + 2], np.uint64(0))
+            length += has
+        spots, sig = spots[length > 0], sig[length > 0] + length[length > 0]
         sig = (mix(sig) >> np.uint64(32)).astype(np.uint32)
         single = (mix(words + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
         sig_begin = np.concatenate(([0], np.cumsum(row_counts(row[spots], n))))
@@ -83,9 +88,7 @@ def signature_sets(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     for i in range(n):
         if len(first) and word_begin[i + 1] > word_begin[i]:
             mine = sig[sig_begin[i] : sig_begin[i + 1]]
-            if len(mine) < FEW:
-                mine = np.concatenate((mine, single[word_begin[i] : word_begin[i + 1]]))
-            out.append(np.unique(mine))
+            out.append(np.unique(mine if len(mine) else single[word_begin[i] : word_begin[i + 1]]))
         elif starts[i + 1] > starts[i]:
             out.append(np.frombuffer(hashlib.sha256(raw[starts[i] : starts[i + 1]].tobytes()).digest()[:4], np.uint32))
         else:
@@ -100,30 +103,42 @@ def text_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def fingerprint(found: np.ndarray) -> str:
-    """``length:hex`` of the smallest hashes, ascending."""
-    return f"{len(found)}:{found[:KEEP].astype('>u4').tobytes().hex()}"
+    """``length:digest:hex`` with the smallest hashes, ascending."""
+    return f"{len(found)}:{hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest()}:{found[:KEEP].astype('>u4').tobytes().hex()}"
+
+
+def parse_fingerprint(text: str) -> tuple[int, str, np.ndarray]:
+    length, digest, body = text.split(":")
+    return int(length), digest, np.frombuffer(bytes.fromhex(body), ">u4")
 
 
-def parse_fingerprint(text: str) -> tuple[int, np.ndarray]:
-    length, _, body = text.partition(":")
-    return int(length), np.frombuffer(bytes.fromhex(body), ">u4")
+def length_partition(n: int, least: float) -> int:
+    """Partitions are so wide that sets that can reach ``least`` lie in the same or in neighbouring ones."""
+    return int(np.floor(np.log(n) / -np.log(least) + 1e-12))
 
 
-def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard measure from the smallest hashes (exact up to KEEP of them); 0 if the lengths rule out ``least``."""
+def likeness(a: np.ndarray, b: np.ndarray, least: float = LEAST, step: int = 256) -> float:
+    """Jaccard measure of two sorted sets, 0 if it is below ``least``.
+
+    The sets are walked in hash order, ``step`` signatures of the first at a time.  What is left of each set bounds the
+    common signatures still to come; the walk ends when even all of them would not do.
+    """
     n, m = len(a), len(b)
     if not n or not m:
         return float(n == m)
-    if min(n, m) < least * max(n, m):
+    if abs(length_partition(n, least) - length_partition(m, least)) > 1 or min(n, m) < least * max(n, m):
         return 0.0
-    a, b = a[:KEEP], b[:KEEP]
-    both = np.sort(np.concatenate((a, b)))
-    twice = both[1:] == both[:-1]
-    if n <= KEEP and m <= KEEP:
-        hits = int(twice.sum())
-        return hits / (len(both) - hits)
-    union = both[np.concatenate(([True], ~twice))][:KEEP]
-    return int((both[:-1][twice] <= union[-1]).sum()) / len(union)
+    need = least / (1 + least) * (n + m) - 1e-9  # common / (n + m - common) >= least
+    common = j = 0
+    for i in range(0, n, step):
+        if common + min(n - i, m - j) < need:
+            return 0.0
+        part = a[i : i + step]
+        k = m if i + step >= n else int(np.searchsorted(b, part[-1], "right"))
+        common += len(np.intersect1d(part, b[j:k], assume_unique=True))
+        j = k
+    found = common / (n + m - common)
+    return found if found >= least else 0.0
 
 
 def edited_text(text: str, after: str) -> str:
@@ -205,6 +220,8 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(pairs of class representatives with likeness >= threshold over full signature sets, membership of every row).
 
+    For corpora without a signature that very many different texts have among their first: pairs meet there.
+
     Texts with equal sets are one class.  Two sets can only reach the threshold if they share a hash among the first
     n - ceil(threshold * n) + 1 of each and lie in the same or neighbouring length partitions.
     """
@@ -223,11 +240,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     classes = rows.groupBy("class").agg(F.min("id").alias("rep"), F.any_value("sigs").alias("sigs"))
     n = F.size("sigs")
     part = F.expr(f"size(filter(array({','.join(f'{b}L' for b in edges)}), b -> b <= size(sigs)))")
-    index = classes.where(n > 0).select("rep", "sigs", n.alias("n"), part.alias("part"), F.explode(F.slice("sigs", 1, n - F.ceil(n * threshold).cast("int") + 1)).alias("sig"))
-    left = index.select(F.col("rep").alias("a"), F.col("n").alias("na"), "part", "sig", F.col("sigs").alias("sa"))
-    right = index.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "sig", F.col("sigs").alias("sb"))
+    # Postings carry no sets: those are fetched once for each candidate pair.
+    index = classes.where(n > 0).select("rep", n.alias("n"), part.alias("part"), F.explode(F.slice("sigs", 1, n - F.ceil(n * threshold).cast("int") + 1)).alias("sig"))
+    left = index.select(F.col("rep").alias("a"), F.col("n").alias("na"), "part", "sig")
+    right = index.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "sig")
     near = (F.col("na") <= F.col("nb")) & (F.col("na") >= threshold * F.col("nb")) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
-    pairs = left.join(right, ["part", "sig"]).where(near).dropDuplicates(["a", "b"])
+    pairs = materialise(left.join(right, ["part", "sig"]).where(near).select("a", "b").distinct(), "spot-pairs")
+    pairs = pairs.join(classes.select(F.col("rep").alias("a"), F.col("sigs").alias("sa")), "a").join(classes.select(F.col("rep").alias("b"), F.col("sigs").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    pairs = pairs.withColumn("likeness", both / (F.col("na") + F.col("nb") - both)).where(F.col("likeness") >= threshold).select("a", "b", "likeness")
+    pairs = pairs.withColumn("likeness", both / (F.size("sa") + F.size("sb") - both)).where(F.col("likeness") >= threshold).select("a", "b", "likeness")
     return pairs, rows.join(classes.select("class", "rep"), "class").select(F.col("id").alias(id_col), F.col("rep").alias("class_id"))
