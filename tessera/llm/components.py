@@ -31,3 +31,37 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         if not moved:
             discard(both)
             return labels
+
+
+class Components:
+    """Components that grow by batches of edges.
+
+    Edges are kept between labels, not nodes: once two ends have one label their edge is gone, so later batches only pay for
+    what they join.  ``labels`` is (node, label), or None before the first edge.
+    """
+
+    def __init__(self) -> None:
+        self.labels: DataFrame | None = None
+        self.open: DataFrame | None = None
+
+    def _between(self, edges: DataFrame) -> DataFrame:
+        for c in ("a", "b") if self.labels is not None else ():
+            side = self.labels.withColumnsRenamed({"node": "_n", "label": "_l"})
+            edges = edges.join(side, F.col(c) == F.col("_n"), "left").withColumn(c, F.coalesce("_l", c)).drop("_n", "_l")
+        return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def add(self, edges: DataFrame, rounds: int | None = 2) -> None:
+        """Take in (a, b); without ``rounds`` the labels are exact afterwards."""
+        edges = self._between(edges.unionByName(self.open) if self.open is not None else edges)
+        edges = materialise(edges, "cc-open")
+        if not edges.limit(1).count():
+            self.open = None
+            return
+        step = connected_components(edges, rounds=rounds)
+        if self.labels is not None:
+            up = step.withColumnsRenamed({"node": "_n", "label": "_l"})
+            moved = self.labels.join(up, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"))
+            step = moved.unionByName(step.join(self.labels.select("node"), "node", "left_anti"))
+            step = materialise(step, "cc-labels")
+        self.labels = step
+        self.open = edges if rounds is not None else None

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import Components
 from .storage import discard, materialise
 from .textvec import batch_slices, mix, powers, shingle_sets
 
@@ -44,6 +44,8 @@ SET_WORDS = 16
 SKETCH_SLACK = 20
 #: Linear rounds at most; they end early when one of them finds no link.
 ROUNDS = 3
+#: Texts of a bucket that the last round compares with the whole bucket in one task.
+CELL = 256
 
 
 def minhash(sets: list[np.ndarray]) -> np.ndarray:
@@ -197,22 +199,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     bodies = packed_texts(docs, id_col, text_col).join(sketches.select("id"), "id", "left_semi")
     bodies = materialise(bodies.dropDuplicates(["id"]), "minhash-texts")
     kind, spark = _node(docs, id_col), docs.sparkSession
-    edges = spark.createDataFrame([], f"a {kind}, b {kind}")
-    labels = None
+    groups = Components()
     tried = spark.createDataFrame([], f"a {kind}, b {kind}")
 
     def labelled(frame: DataFrame) -> DataFrame:
-        if labels is None:
+        if groups.labels is None:
             return frame.withColumn("label", F.col("id"))
-        return frame.join(labels.withColumnsRenamed({"node": "id", "label": "_l"}), "id", "left").withColumn("label", F.coalesce("_l", "id")).drop("_l")
+        return frame.join(groups.labels.withColumnsRenamed({"node": "id", "label": "_l"}), "id", "left").withColumn("label", F.coalesce("_l", "id")).drop("_l")
 
     k, linear = 0, True
     while True:
         now = labelled(members)
         # Each bucket has a leader of its own in every round, so a document meets many different ones.
         first = F.struct(F.xxhash64(F.lit(k), "bucket", "id"), F.col("id"))
-        heads = now.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), first).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        heads = materialise(heads.select("bucket", F.col("h.id").alias("head"), F.col("h.label").alias("head_label")), "minhash-heads")
+        heads = now.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), first).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+        heads = materialise(heads.select("bucket", F.col("h.id").alias("head"), F.col("h.label").alias("head_label"), "size"), "minhash-heads")
         if not heads.limit(1).count():
             break
         if linear:
@@ -223,28 +224,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             # A document proposes to its nearest leader; all documents of other labels do so side by side.
             pairs = near.groupBy("id").agg(F.min_by("head", F.struct("bits", "head")).alias("head"))
         else:
-            left = now.join(heads.select("bucket"), "bucket", "left_semi")
-            left = left.join(sketches, "id").select("bucket", "band", "id", "label", "sketch", "bands", "n_shingles")
-            x = left.select("bucket", "band", F.col("id").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("s"), F.col("bands").alias("p"), F.col("n_shingles").alias("n"))
-            y = left.select(F.col("bucket").alias("bucket2"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("t"), F.col("bands").alias("q"), F.col("n_shingles").alias("m"))
-            close = (F.col("bucket") == F.col("bucket2")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _close("s", "t", "n", "m", most, percent)
+            # A large bucket is split: one side is dealt over its cells, the other is sent to each of them.
+            cells = F.ceil(F.col("size") / CELL).cast("int")
+            left = now.join(heads.select("bucket", cells.alias("cells")), "bucket")
+            left = left.join(sketches, "id").select("bucket", "band", "id", "label", "sketch", "bands", "n_shingles", "cells")
+            x = left.select("bucket", F.pmod(F.xxhash64("id"), "cells").cast("int").alias("cell"), "band", F.col("id").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("s"), F.col("bands").alias("p"), F.col("n_shingles").alias("n"))
+            y = left.select("bucket", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("t"), F.col("bands").alias("q"), F.col("n_shingles").alias("m"))
             once = F.array_position(F.zip_with("p", "q", lambda u, v: u == v), F.lit(True)) == F.col("band") + 1
-            pairs = x.join(y, close & once).select(F.col("a").alias("id"), F.col("b").alias("head"))
+            pairs = x.join(y, ["bucket", "cell"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _close("s", "t", "n", "m", most, percent) & once)
+            pairs = pairs.select(F.col("a").alias("id"), F.col("b").alias("head"))
         pairs = pairs.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "minhash-pairs")
         tried = tried.union(pairs)
         links = materialise(confirm(pairs, bodies, width, percent), "minhash-links")
-        edges = edges.union(links)
         found = links.limit(1).count()
+        if found:  # not yet exact: labels that lag behind only leave a pair more to try
+            groups.add(links)
         if not linear:
             break
-        if found:  # not yet exact: labels that lag behind only leave a pair more to try
-            labels = connected_components(edges, rounds=2)
         k += 1
         linear = bool(found) and k < ROUNDS
     discard(bodies)
-    if labels is not None or edges.limit(1).count():
-        labels = connected_components(edges)
+    if groups.open is not None:
+        groups.add(spark.createDataFrame([], f"a {kind}, b {kind}"), rounds=None)
+    labels = groups.labels
     rows = signed.select("id", "h", "n_shingles", "d0", "d1").join(classes, ["d0", "d1", "n_shingles"], "left")
     root = F.col("rep")
     if labels is not None:

@@ -509,18 +509,46 @@ def test_plain_prose_is_left_alone(prose):
 # ---- fingerprints
 
 
+def spots(text):
+    """Signatures in the plainest form: an anchor with up to three content words after it."""
+    from tessera.llm.spotsigs import ANCHORS
+
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text)]
+    bare = [w.strip("".join(chr(c) for c in range(128) if not chr(c).isalnum())) for w in words]
+    solid = [bool(re.search(r"[0-9a-z\x80-\U0010ffff]", w)) for w in words]
+    out = set()
+    for i, w in enumerate(bare):
+        if w in ANCHORS:
+            chain = [c for c, s in zip(bare[i + 1 :], solid[i + 1 :]) if s and c not in ANCHORS][:3]
+            out |= {(w, *chain)} if chain else set()
+    return out or {b if s else w for w, b, s in zip(words, bare, solid)} or ({("whole", text)} if text else set())
+
+
 def test_spot_signatures(spark, prose):
-    from tessera.llm.spotsigs import fingerprint_with_next, likeness, near_duplicates, parse_fingerprint, text_sets
+    from tessera.llm.spotsigs import KEEP, fingerprint_with_next, near_duplicates, parse_fingerprint, text_sets
 
-    texts = ODD + prose[:80] + [prose[0], "", "漢字" * 9]
+    rng = random.Random(3)
+    words = "the of and a is red fox dog runs far over hill 'tis (far), end.".split()
+    short = [" ".join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(60)]
+    long = [" ".join(rng.choices(words * 40 + [f"w{i}" for i in range(600)], k=6000)) for _ in range(2)]
+    texts = ODD + prose[:80] + [prose[0], "", "漢字" * 9, "  ", "..", *short, short[0] + " more", *long, long[1] + " and the end"]
     got = {r.doc_id: r for r in fingerprint_with_next(docs_of(spark, texts)).collect()}
+
+    def like(a, b):
+        if not a or not b:
+            return float(not a and not b)
+        found = len(a & b) / len(a | b)
+        return found if found >= 0.05 else 0.0
+
     for i, t in enumerate(texts):
         t, u = t or "", texts[(i + 1) % len(texts)] or ""
         e = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
-        a, b, c = text_sets([t.encode()])[0], text_sets([e.encode()])[0], text_sets([u.encode()])[0]
+        a, b, c = spots(t), spots(e), spots(u)
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
-        assert (got[i].near_edited, got[i].near_next) == (likeness(a, b), likeness(a, c))
-        assert parse_fingerprint(got[i].fingerprint)[0] == len(a) and parse_fingerprint(got[i].edited_fingerprint)[0] == len(b)
+        assert (got[i].near_edited, got[i].near_next) == pytest.approx((like(a, b), like(a, c)), abs=1e-12)
+        n, _, kept = parse_fingerprint(got[i].fingerprint)
+        assert n == len(a) and len(kept) == min(n, KEEP) and parse_fingerprint(got[i].edited_fingerprint)[0] == len(b)
+    assert any(0.3 < r.near_edited < 0.9 for r in got.values()) and max(len(spots(t)) for t in long) > 500
     assert got[len(ODD)].fingerprint == got[len(ODD) + 80].fingerprint
     one = fingerprint_with_next(docs_of(spark, ["a b c d"])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
@@ -528,14 +556,14 @@ def test_spot_signatures(spark, prose):
     rows = spark.createDataFrame([(None, "the red fox"), (3, "x"), (3, "x"), (3, "y")], "doc_id bigint, text string")
     assert sorted((r.doc_id or 0) for r in fingerprint_with_next(rows).collect()) == [0, 3, 3, 3]
     pairs, members = near_duplicates(docs_of(spark, texts), 0.8)
-    sets = text_sets([(t or "").encode() for t in texts])
+    sets = [x.tolist() for x in text_sets([(t or "").encode() for t in texts])]
     rep = {r.doc_id: r.class_id for r in members.collect()}
     assert rep[len(ODD) + 80] == len(ODD)
     want = set()
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             if len(a) and len(b) and rep[i] == i and rep[j] == j and i != j and (len(a), i) < (len(b), j):
-                k = len(set(a.tolist()) & set(b.tolist()))
+                k = len(set(a) & set(b))
                 if k >= 0.8 * (len(a) + len(b) - k):
                     want.add(frozenset((i, j)))
     assert {frozenset((r.a, r.b)) for r in pairs.collect()} == want
