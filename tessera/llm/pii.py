@@ -1,11 +1,13 @@
 """Personal data with offset-preserving deobfuscation.
 
-Plain identifiers are matched in the text itself.  Where a text shows a disguise (look-alike characters, spelled digits,
-at/dot words), a transducer writes a normalised text and keeps for each output character the source range it came from;
-identifiers found there are mapped back and added where they do not overlap a plain one of their kind.
-
-Defined results: null and empty texts have no spans; null ids, repeated rows and other columns pass unharmed; an empty
-table gives no rows.  Offsets are code points of the source text, end exclusive.
+Plain identifiers are matched in the text itself.  Disguises go through a chain of transducers: the first writes ASCII for
+look-alike characters and leaves out invisible ones, the second writes digits for spelled ones, the third signs for spelled,
+bracketed or set-off at signs and dots.  Each reads what the one before it wrote and keeps the source range of every piece it
+writes, so identifiers found in the last text are mapped back through the chain.  They are added unless they lie within a
+plain one of their kind.
+
+Defined results: null and empty texts have no spans; null ids, repeated rows and other columns, whatever their names, pass
+unharmed; an empty table gives no rows.  Offsets are code points of the source text, end exclusive.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 Span = tuple[str, int, int]
+Edit = tuple[int, int, str]
 KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -115,29 +118,33 @@ NO_LOCALS = "us me him her them it is are was were be look looking looked found
 
 _ODD = re.compile("[" + re.escape("".join(LOOKALIKES) + INVISIBLE) + "]")
 _digit = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<!\w)(?:{_digit}|[0-9])(?:[ ,.-]{{1,2}}(?:{_digit}|[0-9]+)){{6,}}(?!\w)")
-_SPELLED_HINT = re.compile(rf"(?:{_digit})[ ,.-]{{1,2}}(?:{_digit})[ ,.-]{{1,2}}(?:{_digit})[ ,.-]")
-_DIGIT_WORD = re.compile(rf"(?:{_digit})(?!\w)")
 _at, _dot = "|".join(AT_WORDS), "|".join(DOT_WORDS)
+_GAP = rf"(?:[ ,.-]{{1,2}}|\s++(?:{_dot})\s++)"
+_SPELLED = re.compile(rf"(?<!\w)(?:{_digit}|[0-9]+)(?:{_GAP}(?:{_digit}|[0-9]+)){{6,}}(?!\w)")
+_SPELLED_HINT = re.compile(rf"(?:{_digit}){_GAP}(?:{_digit}|[0-9])")
+_DIGIT_WORD = re.compile(rf"(?:{_digit})(?!\w)")
+_DOT_WORD = re.compile(rf"\s++(?:{_dot})\s++")
+#: Four numbers with spelled dots between them.
+_QUAD = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:\s++(?:{_dot})\s++|\.)[0-9]{{1,3}}){{3}}(?!\w|\.[0-9])")
 _SIGN = re.compile(rf"[ ]*[\[({{<][ ]*(?:(?P<at>{_at}|@)|(?P<dot>{_dot}|\.))[ ]*[\])}}>][ ]*")
-_B, _C = r"[\s\u200b]", r"[a-z0-9\u200b-]"
+_B, _C = r"\s", r"[a-z0-9-]"
 _FRAME = rf"{_B}*+[\[({{<]{_B}*+(?:%s){_B}*+[\])}}>]{_B}*+"
-_DOT = re.compile(rf"(?P<plain>\.)|(?P<framed>{_FRAME % (_dot + "|[.]")})|{_B}++(?P<word>{_dot}){_B}++")
+_DOT = re.compile(rf"(?P<plain>\.)|(?P<framed>{_FRAME % (_dot + "|[.]")})|{_B}++(?P<word>{_dot}){_B}++|{_B}++(?P<apart>\.){_B}++")
 _DOT_SIGN = re.sub(r"\?P<\w+>", "?:", _DOT.pattern)
 #: An at sign of any form with a domain whose dots have any form.  Signs start at the first of their blanks, which keeps this linear.
 _ADDRESS = re.compile(
-    rf"(?<!{_B})(?:(?P<framed>{_FRAME % f'{_at}|@'})|(?P<at>{_B}++(?P<word>{_at}){_B}++|{_B}*+@{_B}*+))"
+    rf"(?<!{_B})(?:(?P<framed>{_FRAME % f'{_at}|@'}|[\[({{<][aä][\])}}>])|(?P<at>{_B}++(?P<word>{_at}){_B}++|{_B}*+@{_B}*+))"
     rf"(?P<domain>{_C}++(?:(?:{_DOT_SIGN}){_C}++)++)"
 )
 _DOMAIN_WORD = re.compile(rf"{_C}++")
-_LOCAL_LOW = frozenset("abcdefghijklmnopqrstuvwxyz0123456789._%+-\u200b")
+_LOCAL_LOW = frozenset("abcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
 def _dot_before(low: str, end: int, floor: int) -> int:
     """Where a dot word or a bracketed dot that ends at ``end`` starts, with its blanks; -1 if there is none."""
 
     def blanks(k: int) -> int:
-        while k > floor and (low[k - 1].isspace() or low[k - 1] == "\u200b"):
+        while k > floor and low[k - 1].isspace():
             k -= 1
         return k
 
@@ -161,7 +168,8 @@ def address_edits(low: str) -> Iterator[tuple[int, int, str]]:
     """At signs and dots of addresses with at least one of them as a word, in brackets or set off by blanks.
 
     Each sign may have its own form.  The longest domain with a fitting ending counts: after an explicit dot any of two
-    letters or more; where only a bare "at" shows the disguise, one of ENDINGS.
+    letters or more; after a dot between blanks, or where only a bare "at" shows the disguise, one of ENDINGS.  A plain
+    address is not carried on over a dot word after it.
     """
     floor = 0
     for m in _ADDRESS.finditer(low):
@@ -169,19 +177,22 @@ def address_edits(low: str) -> Iterator[tuple[int, int, str]]:
         before = low[at - 1] if at > floor else ""
         if before not in _LOCAL_LOW or before in ("", "."):
             continue
-        bare = m.group("at") is not None and m.group("at") != "@"
+        bare = m.group("word") is not None or m.group("at") not in (None, "@")
         first = _DOMAIN_WORD.match(low, end)
         if bare and first.group() in NO_DOMAINS and low[first.end()].isspace():
             continue
         dots, chosen, explicit = [], [], not bare and m.group("framed") is not None
         pos = first.end()
+        whole = m.group("at") == "@"
         while pos < m.end():
             d = _DOT.match(low, pos)
             word = _DOMAIN_WORD.match(low, d.end())
+            if whole and dots and not d.group("plain") and all(x.group("plain") for x in dots):
+                break
             dots.append(d)
             explicit = explicit or not d.group("plain")
-            ending = word.group().replace("\u200b", "")
-            prose = bare and m.group("word") in (None, "at") and (d.group("word") not in (None, "dot") or not explicit)
+            ending = word.group()
+            prose = d.group("apart") or bare and m.group("word") in (None, "at") and (d.group("word") not in (None, "dot") or not explicit)
             if len(ending) >= 2 and ending.isalpha() and (ending in ENDINGS if prose else explicit or bare):
                 chosen = list(dots)
             pos = word.end()
@@ -206,73 +217,100 @@ def address_edits(low: str) -> Iterator[tuple[int, int, str]]:
         floor = m.end()
 
 
-def edits(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, replacement) of disguises, by start and without overlap."""
+def _lower(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):  # a character that lower-cases to several: keep offsets
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    found: list[tuple[int, int, str]] = []
-    if not text.isascii():
-        for m in _ODD.finditer(text):
-            found.append((m.start(), m.end(), LOOKALIKES.get(m.group(), "")))
-    if found:  # words may be disguised by look-alikes too
-        chars = list(low)
-        for a, _, new in found:
-            chars[a] = new.lower() or "​"
-        low = "".join(chars)
+    return low
+
+
+def look_alikes(text: str) -> list[Edit]:
+    """ASCII for characters that look like it; invisible ones go."""
+    return [] if text.isascii() else [(m.start(), m.end(), LOOKALIKES.get(m.group(), "")) for m in _ODD.finditer(text)]
+
+
+def spelled_digits(text: str) -> list[Edit]:
+    """Digits for runs of at least seven numbers of which three are words; dot words between them are dots."""
+    low, found = _lower(text), []
+    words = low.replace("-", " ").replace(",", " ").replace(".", " ").split(" ")
+    if sum(map(DIGIT_WORDS.__contains__, words)) < 3 or not _SPELLED_HINT.search(low):
+        return found
+    for m in _SPELLED.finditer(low):
+        spelled = list(_DIGIT_WORD.finditer(low, m.start(), m.end()))
+        if len(spelled) < 3:
+            continue
+        at = m.start()
+        for w in spelled:
+            gap = low[at : w.start()]
+            if gap and (dotted := _DOT_WORD.fullmatch(gap)) or gap and not any(map(str.isdigit, gap)):
+                found.append((at, w.start(), "." if dotted else ""))  # blanks and commas between digits
+            found.append((w.start(), w.end(), DIGIT_WORDS[w.group()]))
+            at = w.end()
+    return found
+
+
+def signs(text: str) -> list[Edit]:
+    """At signs and dots that are words, stand in brackets or between blanks."""
+    low, found = _lower(text), []
     if any(c in low for c in "[({<"):
         for m in _SIGN.finditer(low):
             if m.group("at") or m.group("dot"):
                 found.append((m.start(), m.end(), "@" if m.group("at") else "."))
     found.extend(address_edits(low))
-    words = low.replace("-", " ").replace(",", " ").replace(".", " ").split(" ")
-    if sum(map(DIGIT_WORDS.__contains__, words)) >= 3 and _SPELLED_HINT.search(low):
-        for m in _SPELLED.finditer(low):
-            at = m.start()
-            for w in _DIGIT_WORD.finditer(low, m.start(), m.end()):
-                if at < w.start() and not any(c.isdigit() for c in low[at : w.start()]):
-                    found.append((at, w.start(), ""))  # blanks and commas between digits
-                found.append((w.start(), w.end(), DIGIT_WORDS[w.group()]))
-                at = w.end()
-    out, done = [], 0
-    for e in sorted(found, key=lambda e: (e[0], -e[1])):
-        if e[0] >= done and e[0] < e[1]:
-            out.append(e)
-            done = e[1]
-    return out
+    if any(w in low for w in DOT_WORDS):
+        for m in _QUAD.finditer(low):
+            found.extend((d.start(), d.end(), ".") for d in _DOT_WORD.finditer(low, m.start(), m.end()))
+    return found
+
+
+TRANSDUCERS = (look_alikes, spelled_digits, signs)
+
+
+class Transduction:
+    """A text after edits, and the way back: where each piece starts, its source range, and whether it is a copy of it."""
+
+    def __init__(self, text: str, changes: list[Edit]) -> None:
+        parts, self.begins, self.pieces, size, at = [], [], [], 0, 0
+        for a, b, new in [*sorted(changes, key=lambda e: (e[0], -e[1])), (len(text), len(text), "")]:
+            if a < at:  # within an edit that is already made
+                continue
+            for piece, src, same in ((text[at:a], (at, a), True), (new, (a, b), False)):
+                if piece:
+                    parts.append(piece)
+                    self.begins.append(size)
+                    self.pieces.append((*src, same))
+                    size += len(piece)
+            at = b
+        self.text = "".join(parts)
+
+    def source(self, s: int, e: int) -> tuple[int, int]:
+        i, j = bisect_right(self.begins, s) - 1, bisect_right(self.begins, e - 1) - 1
+        (a, _, copied), (c, d, copied_end) = self.pieces[i], self.pieces[j]
+        return a + s - self.begins[i] if copied else a, c + e - self.begins[j] if copied_end else d
 
 
 def hidden_spans(text: str) -> list[Span]:
     """Identifiers that show only in the normalised text, as source ranges."""
-    changes = edits(text)
-    if not changes:
-        return []
-    # Pieces of the normalised text: where each starts there, its source range, and whether it is copied unchanged.
-    parts, begins, pieces, size, at = [], [], [], 0, 0
-    for a, b, new in [*changes, (len(text), len(text), "")]:
-        for piece, src, same in ((text[at:a], (at, a), True), (new, (a, b), False)):
-            if piece:
-                parts.append(piece)
-                begins.append(size)
-                pieces.append((*src, same))
-                size += len(piece)
-        at = b
+    chain: list[Transduction] = []
+    now = text
+    for write in TRANSDUCERS:
+        if changes := write(now):
+            chain.append(Transduction(now, changes))
+            now = chain[-1].text
     out = []
-    for kind, s, e in plain_spans("".join(parts)):
-        i, j = bisect_right(begins, s) - 1, bisect_right(begins, e - 1) - 1
-        (a, _, same_a), (c, d, same_b) = pieces[i], pieces[j]
-        start = a + s - begins[i] if same_a else a
-        end = c + e - begins[j] if same_b else d
-        if i != j or not same_a:
-            out.append((kind, start, end))
+    for kind, s, e in plain_spans(now) if chain else ():
+        a, b = s, e
+        for t in reversed(chain):
+            a, b = t.source(a, b)
+        if text[a:b] != now[s:e]:
+            out.append((kind, a, b))
     return out
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, added spans), each by kind and start."""
     base = plain_spans(text)
-    taken = {k: [(a, b) for kk, a, b in base if kk == k] for k in KINDS}
-    added = [s for s in hidden_spans(text) if not any(a < s[2] and s[1] < b for a, b in taken[s[0]])]
+    added = [s for s in hidden_spans(text) if not any(k == s[0] and a <= s[1] and s[2] <= b for k, a, b in base)]
     return base, sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
@@ -293,7 +331,7 @@ def _join(spans: list[Span]) -> str:
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans (all), n_added."""
-    schema = f"{id_col} {dict(docs.dtypes)[id_col]}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
