@@ -29,6 +29,8 @@ from .textvec import LOWER, batch_slices, mix, powers, prefix_hash, row_counts,
 
 #: A benchmark of up to so many bytes of text goes to every task whole; a larger one is joined by its seeds.
 BROADCAST_BYTES = 8 << 20
+#: Seeds of one document and item above which tiles are found without listing them.
+SEEDS = 1 << 20
 _SOLID = np.zeros(256, bool)
 _SOLID[48:58] = _SOLID[65:91] = _SOLID[97:123] = _SOLID[128:] = True
 
@@ -84,6 +86,28 @@ def tile(item: np.ndarray, doc: np.ndarray, at_item: np.ndarray, at_doc: np.ndar
     return out
 
 
+def tile_rows(item: np.ndarray, doc: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """The same tiles in the memory of one document: for texts that repeat a gram so often that their seeds are too many.
+
+    Row by row of the item, the lengths of the free matches that end at each token of the document; the longest match of all
+    rows is the next tile, of equal ones the first in the item, then in the document.
+    """
+    item_free, doc_free = np.ones(len(item), bool), np.ones(len(doc), bool)
+    out = []
+    while True:
+        best, runs = (0, 0, 0), np.zeros(len(doc) + 1, np.int32)
+        for i, word in enumerate(item):
+            same = (doc == word) & doc_free if item_free[i] else np.zeros(len(doc), bool)
+            runs[1:] = np.where(same, runs[:-1] + 1, 0)
+            if (size := int(runs.max(initial=0))) > best[0]:
+                best = (size, i + 1 - size, int(runs.argmax()) - size)
+        size, a, b = best
+        if size < width:
+            return out
+        out.append((a, b, size))
+        item_free[a : a + size] = doc_free[b : b + size] = False
+
+
 @dataclass
 class Benchmark:
     """Items with tokens, grouped by seed width: (width, sorted seed hashes, item index, position, presence table)."""
@@ -110,8 +134,12 @@ class Benchmark:
             groups.append((w, h[order], item[order], at[order], table))
         return cls(ids, each, groups)
 
-    def hits(self, words: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
-        """(text, item, width, item positions, text positions) of every pair that shares a seed."""
+    def coverages(self, words: np.ndarray, begin: np.ndarray, threshold: float, most: int = SEEDS) -> Iterator[tuple[int, int, float, int]]:
+        """(text, item, coverage, tiles).  Tiles lie within seeds, so seeds that cover too little need no tiling.
+
+        Seeds are listed only for one text and item at a time, and not at all where there are more than ``most``.
+        """
+        size = np.array([len(x) for x in self.words])
         for w, seeds, item, at, table in self.groups:
             grams = gram_hashes(words, w)
             near = np.flatnonzero(table[grams & np.uint64((1 << 20) - 1)])
@@ -120,28 +148,34 @@ class Benchmark:
             text = np.searchsorted(begin, near, "right") - 1
             inside = near + w <= begin[text + 1]
             near, lo, hi, text = near[inside], lo[inside], hi[inside], text[inside]
-            span = hi - lo
-            which = np.repeat(lo - (np.cumsum(span) - span), span) + np.arange(span.sum())
-            text, pos = np.repeat(text, span), np.repeat(near, span)
-            order = np.lexsort((item[which], text))
-            which, text, pos = which[order], text[order], pos[order]
-            edge = np.flatnonzero((np.diff(text) != 0) | (np.diff(item[which]) != 0)) + 1
-            for a, b in zip(np.concatenate(([0], edge)), np.concatenate((edge, [len(text)]))):
-                if b > a:
-                    k = int(text[a])
-                    yield k, int(item[which[a]]), w, at[which[a:b]], pos[a:b] - begin[k]
-
-    def coverages(self, words: np.ndarray, begin: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int]]:
-        """(text, item, coverage, tiles).  Tiles lie within seeds, so seeds that cover too little need no tiling."""
-        for text, item, w, at_item, at_doc in self.hits(words, begin):
-            target = self.words[item]
-            seen = np.zeros(len(target) + 1, np.int64)
-            np.add.at(seen, at_item, 1)
-            np.add.at(seen, at_item + w, -1)
-            if (np.cumsum(seen)[:-1] > 0).sum() < threshold * len(target):
-                continue
-            tiles = tile(target, words[begin[text] : begin[text + 1]], at_item, at_doc, w)
-            yield text, item, sum(t[2] for t in tiles) / len(target), len(tiles)
+            edge = np.flatnonzero(np.diff(text, prepend=-1, append=-1))
+            for a, b in zip(edge, edge[1:]):
+                k = int(text[a])
+                gram, first, times = np.unique(lo[a:b], return_index=True, return_counts=True)
+                span = hi[a:b][first] - gram
+                which = np.repeat(gram - (np.cumsum(span) - span), span) + np.arange(span.sum())
+                order = np.lexsort((at[which], item[which]))
+                which, times = which[order], np.repeat(times, span)[order]
+                items, spots = item[which], at[which]
+                head = np.flatnonzero(np.diff(items, prepend=-1))
+                # Places of an item that seeds cover: each seed's width, less what the next one covers too.
+                reach = np.minimum(w, np.where(np.diff(items, append=-1) == 0, np.diff(spots, append=0), w))
+                enough = np.add.reduceat(reach, head) >= threshold * size[items[head]]
+                total = np.add.reduceat(times, head)
+                ends = np.append(head[1:], len(items))
+                mine = words[begin[k] : begin[k + 1]]
+                for h in np.flatnonzero(enough):
+                    i, target = int(items[head[h]]), self.words[int(items[head[h]])]
+                    if total[h] > most:
+                        tiles = tile_rows(target, mine, w)
+                    else:
+                        own = np.sort(which[head[h] : ends[h]])  # and so in the order of the seeds
+                        here = grams[near[a:b]]
+                        left = np.searchsorted(seeds[own], here, "left")
+                        n = np.searchsorted(seeds[own], here, "right") - left
+                        pick = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        tiles = tile(target, mine, at[own[pick]], np.repeat(near[a:b] - begin[k], n), w)
+                    yield k, i, sum(t[2] for t in tiles) / len(target), len(tiles)
 
 
 def _verdicts(found: Iterator[tuple[int, int, float, int]], ids: list, n: int, threshold: float) -> tuple[list, list, list, list]:
@@ -197,11 +231,13 @@ def _by_seed_join(docs: DataFrame, items: DataFrame, width: int, threshold: floa
             for lo, _, data, starts in batch_slices(batch.column(1)):
                 words, begin = tokens(data, starts)
                 owner, hashes = [], []
-                for w in range(1, width + 1):
+                for w in widths:
                     grams = gram_hashes(words, w)
                     text = np.searchsorted(begin, np.arange(len(grams)), "right") - 1
                     fit = np.arange(len(grams)) + w <= begin[text + 1]
                     owner.append(text[fit] + lo), hashes.append(grams[fit])
+                if not owner:
+                    continue
                 pairs = np.unique(np.stack([np.concatenate(owner).astype(np.uint64), np.concatenate(hashes)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[:, 0].astype(np.int64))), pa.array(pairs[:, 1].view(np.int64))], ["no", "seed"])
 
@@ -214,8 +250,9 @@ def _by_seed_join(docs: DataFrame, items: DataFrame, width: int, threshold: floa
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(grams), batch.schema.field(0).type), pa.array(grams.view(np.int64)), pa.array(times, pa.int64()), pa.array([len(words)] * len(grams), pa.int32())], ["item", "seed", "times", "n"])
 
     item_type = dict(items.dtypes)["item"]
+    right = materialise(items.mapInArrow(item_seeds, f"item {item_type}, seed bigint, times bigint, n int"), "decontaminate-seeds")
+    widths = sorted(r[0] for r in right.select(F.least("n", F.lit(width))).distinct().collect())  # ``width`` of them at most
     left = numbered.select("_no", text_col).mapInArrow(seeds, "no bigint, seed bigint")
-    right = items.mapInArrow(item_seeds, f"item {item_type}, seed bigint, times bigint, n int")
     # A place of a seed in the item covers at most width of its n tokens; a seed that the item repeats has several places.
     close = left.join(right, "seed").groupBy("no", "item").agg(F.sum("times").alias("k"), F.first("n").alias("n")).where(F.col("k") * width >= F.col("n") * threshold)
     pairs = close.join(items, "item").join(numbered.select(F.col("_no").alias("no"), F.col(text_col).alias("doc")), "no").select("no", "item", "text", "doc")

@@ -131,6 +131,61 @@ def test_tiling_by_seed_join_is_the_same(spark, prose, monkeypatch):
     assert not any(v[3] for v in key(T.tile_benchmark(docs, bench.limit(0))).values())
 
 
+def greedy_tiles(item, doc, width):
+    """Greedy string tiling in its plainest form."""
+    free_i, free_d, tiles = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        for a in range(len(item)):
+            for b in range(len(doc)):
+                n = 0
+                while a + n < len(item) and b + n < len(doc) and item[a + n] == doc[b + n] and free_i[a + n] and free_d[b + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, a, b)
+        n, a, b = best
+        if n < width:
+            return tiles
+        tiles.append((a, b, n))
+        for k in range(n):
+            free_i[a + k] = free_d[b + k] = False
+
+
+def test_tiles_equal_plain_tiling():
+    import numpy as np
+
+    from tessera.llm import decontaminate as T
+
+    rng = random.Random(21)
+    for _ in range(150):
+        letters = "ab" if rng.random() < 0.5 else "abcdefg"
+        item = rng.choices(letters, k=rng.randrange(1, 14))
+        docs = [[*rng.choices(letters, k=rng.randrange(0, 10)), *(item[k:] + item[:k] if (k := rng.randrange(len(item))) else item), *rng.choices(letters, k=5)], rng.choices(letters, k=12)]
+        w = min(3, len(item))
+        bench = T.Benchmark.build([1, 2], [" ".join(item).encode(), b"q r s"], 3)
+        data = np.frombuffer(" ".join(docs[0] + ["|"] + docs[1]).encode(), np.uint8)
+        starts = np.array([0, len(" ".join(docs[0])), len(data)])
+        for most in (10**6, 0):
+            got = {k: (c, n) for k, i, c, n in bench.coverages(*T.tokens(data, starts), 0.4, most) if i == 0}
+            for k, d in enumerate(docs):
+                tiles = greedy_tiles(item, d, w)
+                cover = sum(t[2] for t in tiles) / len(item)
+                if cover >= 0.4:
+                    assert got[k] == (cover, len(tiles))
+                else:
+                    assert k not in got or got[k][0] == cover
+            a, b = (np.array([ord(c) for c in x], np.uint64) for x in (item, docs[0]))
+            assert T.tile_rows(a, b, w) == greedy_tiles(item, docs[0], w)
+
+
+def test_long_repetitive_text(spark):
+    from tessera.llm.decontaminate import tile_benchmark
+
+    bench = spark.createDataFrame([(1, "again " * 300), (2, "again " * 40 + " ".join(f"only{i}" for i in range(60)))], "item_id bigint, text string")
+    rows = tile_benchmark(docs_of(spark, ["again " * 60_000, "again " * 100 + "x " * 30_000]), bench).orderBy("doc_id").collect()
+    assert [(r.item_id, r.coverage, r.n_tiles, r.n_items) for r in rows] == [(1, 1.0, 1, 1), (1, 100 / 300, 1, 0)]
+
+
 def test_seed_join_counts_repeated_grams(spark, monkeypatch):
     from tessera.llm import decontaminate as T
 
@@ -469,7 +524,8 @@ def test_base_spans(spark, prose):
 @pytest.mark.parametrize("text, kind, part", [
     ("mail john [at] example (dot) com now", "email", "john [at] example (dot) com"), ("to john dot smith at example dot com.", "email", "john dot smith at example dot com"),
     ("jоhn@exаmple.com!", "email", "jоhn@exаmple.com"), ("ring plus one two three four five six seven eight nine zero", "phone", "plus one two three four five six seven eight nine zero"),
-    ("at １２７.0.0.1 port", "ip", "１２７.0.0.1"), ("four one one one 1 one one one one one one one one one one one.", "card", "four one one one 1 one one one one one one one one one one one"),
+    ("at １２７.0.0.1 port", "ip", "１２７.0.0.1"), ("host 192 dot 168 dot 0 dot 1.", "ip", "192 dot 168 dot 0 dot 1"), ("one nine two dot one six eight dot zero dot one", "ip", "one nine two dot one six eight dot zero dot one"),
+    ("dial plus one 2 three 4 five 6 seven 8 nine", "phone", "plus one 2 three 4 five 6 seven 8 nine"), ("+1 fіve five five 0123 four five six", "phone", "+1 fіve five five 0123 four five six"), ("four one one one 1 one one one one one one one one one one one.", "card", "four one one one 1 one one one one one one one one one one one"),
 ])
 def test_hidden_spans(text, kind, part):
     from tessera.llm import pii
@@ -481,7 +537,7 @@ def test_hidden_spans(text, kind, part):
 
 @pytest.mark.parametrize("address", [
     "john.doe at example dot com", "john at example.com", "john@example dot com", "john [at] example dot com", "john at example [dot] com", "john at example dot it", "john at example dot museum",
-    "john  at \t example  dot  nl", "john dot a [dot] b at mail.example dot co dot uk", "john @ example dot ch", "john@example (.) be", "john arobase exemple point ca",
+    "john  at \t example  dot  nl", "j at example dot ai", "jane at corp dot ch", "joe(a)example.com", "joe @ example . com", "b\u200bob@example.com", "jo\u200be at example dot com", "bоb\u200b [at] example dot com", "john dot a [dot] b at mail.example dot co dot uk", "john @ example dot ch", "john@example (.) be", "john arobase exemple point ca",
 ])
 def test_mixed_signs_of_an_address(address):
     from tessera.llm import pii
@@ -495,8 +551,38 @@ def test_signs_that_make_no_address():
 
     for t in ("visit us at example.com", "it was at one point the case", "see page at foo.html", "Yes. at example dot com", "a at b dot c", "at point dot"):
         assert pii.hidden_spans(t) == []
-    assert pii.hidden_spans("john@example.com dot it") == [("email", 0, 23)]
-    assert pii.find_spans("john@example.com dot it")[1] == []
+    for t in ("john@example.com dot it", "see (a) example.com", "meet @ noon . Bring it", "version 1 dot 2", "one, two, 3, four, 5"):
+        assert pii.hidden_spans(t) == []
+
+
+def test_spans_go_back_through_the_chain():
+    """Against a copy that is carried letter by letter."""
+    from tessera.llm import pii
+
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("abcdef") for _ in range(30))
+        chain, now, where = [], text, [(i, i + 1) for i in range(30)]
+        for _ in range(3):
+            cuts = sorted(rng.sample(range(len(now)), 6))
+            changes = [(a, rng.randint(a, b), rng.choice(["", "x", "yz"])) for a, b in zip(cuts, cuts[1:])]
+            chain.append(pii.Transduction(now, changes))
+            plain, at, spots = "", 0, []
+            for a, b, new in [*changes, (len(now), len(now), "")]:
+                plain, spots = plain + now[at:a] + new, spots + where[at:a] + [(where[a][0], where[b - 1][1]) if b > a else None] * len(new)
+                at = b
+            assert chain[-1].text == plain
+            now, where = plain, spots
+            if None in where:
+                break
+        if None in where or not now:
+            continue
+        s = rng.randrange(len(now))
+        e = rng.randint(s + 1, len(now))
+        a, b = s, e
+        for t in reversed(chain):
+            a, b = t.source(a, b)
+        assert (a, b) == (where[s][0], where[e - 1][1])
 
 
 def test_plain_prose_is_left_alone(prose):
@@ -603,11 +689,28 @@ def test_mixing(spark, real, prose):
     for s in {r.source for r in rows}:
         mine = [r for r in rows if r.source == s]
         assert len({r.target for r in mine}) == 1 and mine[0].source_size == sum(r["size"] for r in mine)
-        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(60, 0.02 * mine[0].target)
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(32, 0.005 * mine[0].target)
     assert abs(sum(r.target for r in {x.source: x for x in rows}.values()) - sum(sizes.values())) < 1e-6 * sum(sizes.values()) + 1e-9
     assert mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_many_sources(spark):
+    """Planned by aggregates as by the driver; small sources get their share in a corpus of any size."""
+    from tessera.llm.mixing import mix_sources
+
+    rng = random.Random(9)
+    rows = [(k, " ".join(["w"] * rng.choice([0, 1, 3, 8, 40, 700])), f"s{rng.randrange(70):02}" if k % 9 else None) for k in range(300)]
+    rows += [(1000 + k, "w " * 4000, "s99") for k in range(40)] + [(None, "a b", "s00"), (None, "a b", "s00"), (5, "x y z", "t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    key = lambda d: sorted(((r.doc_id or -1, r.source or "~", r.size, r.source_size, round(r.target, 6), r.taken) for r in d.collect()))
+    small, many = key(mix_sources(docs)), key(mix_sources(docs, driver_sources=0))
+    assert small == many
+    for s in {r[1] for r in small}:
+        mine = [r for r in small if r[1] == s]
+        assert abs(sum(r[5] for r in mine) - mine[0][4]) <= max(9 if mine[0][4] < 64 else 32, 0.005 * mine[0][4]) and all(r[5] <= 3 * r[2] for r in mine)
+    assert mix_sources(docs.limit(0), driver_sources=-1).count() == 0
+
+
 # ---- token counts
 
 
