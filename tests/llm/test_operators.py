@@ -343,7 +343,8 @@ def test_forward_backward_is_exact():
     from tessera.llm.langid import Crf, forward_backward
 
     rng = np.random.default_rng(0)
-    m = Crf(["a", "b", "c"], np.zeros((2, 3)), rng.normal(size=3), rng.normal(size=(3, 3)))
+    m = Crf.blank(["a", "b", "c"])
+    m.start, m.step = rng.normal(size=3), rng.normal(size=(3, 3))
     e = rng.normal(size=(9, 3))
     prob, pairs = forward_backward(m, e, np.array([0, 4]), np.array([4, 5]), True)
     want, wp = np.zeros((9, 3)), np.zeros((3, 3))
@@ -359,6 +360,23 @@ def test_forward_backward_is_exact():
     assert np.allclose(prob, want) and np.allclose(pairs, wp)
 
 
+def test_every_label_is_learned():
+    from tessera.llm.langid import MODEL_BITS, label_slice, train_crf
+
+    rng = random.Random(2)
+    words = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(12)] for k in range(90)}
+    texts = [" ".join(rng.choices(w, k=40)).encode() for w in words.values() for _ in range(2)]
+    model = train_crf(texts, [k for k in words for _ in range(2)], epochs=8)
+    import numpy as np
+
+    assert len(model.labels) == 90 and model.weights.size <= 1 << (MODEL_BITS + 1)
+    right = 0
+    for k, w in words.items():
+        data = np.frombuffer(" ".join(rng.choices(w, k=20)).encode(), np.uint8)
+        right += model.labels[label_slice(model, data, np.array([0, len(data)]))[2].sum(0).argmax()] == k
+    assert right >= 85
+
+
 def test_code_switched_words(real):
     from tessera.llm.langid import language_runs, train_crf
 
