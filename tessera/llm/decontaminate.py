@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, tidy
 from .textvec import LOWER, batch_slices, mix, powers, prefix_hash, row_counts, span_hash, word_spans
 
 #: A benchmark of up to so many bytes of text goes to every task whole; a larger one is joined by its seeds.
@@ -213,7 +213,7 @@ def tile_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 5, thresh
                     c += new
             yield _result(batch, cols, threshold, item_type)
 
-    return inner.mapInArrow(scan, ", ".join([*fields, f"item_id {item_type}", "coverage double", "n_tiles int", "n_items int", "contaminated boolean"]))
+    return inner.mapInArrow(tidy(scan), ", ".join([*fields, f"item_id {item_type}", "coverage double", "n_tiles int", "n_items int", "contaminated boolean"]))
 
 
 def _result(batch: pa.RecordBatch, cols: list[list], threshold: float, item_type: str) -> pa.RecordBatch:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, tidy
 
 #: Neighbours that share at least this part of the longer one's text bytes are copies: what they share is no furniture.
 NEAR_COPY = 0.9
@@ -253,7 +253,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *texts, *raws], ["_id", "_row", "host", "path", "digest", "lines", "sizes"])
 
     # Written first: the range boundaries come from a sample job, which would parse every page once more.
-    keyed = materialise(base.mapInArrow(to_lines, f"_id {id_type}, _row bigint, host string, path string, digest binary, lines binary, sizes binary"), "page-keys")
+    keyed = materialise(base.mapInArrow(tidy(to_lines), f"_id {id_type}, _row bigint, host string, path string, digest binary, lines binary, sizes binary"), "page-keys")
     order = ["path", "_id", "_row"]
     distinct = keyed.where(F.octet_length("lines") > 0).groupBy("host", "digest").agg(F.min(F.struct(*order)).alias("m"), F.first("lines").alias("lines"), F.first("sizes").alias("sizes"))
     distinct = distinct.select("host", "m.*", "digest", "lines", "sizes")
@@ -306,7 +306,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             packed = [squeeze(json.dumps(x, ensure_ascii=False).encode("utf-8", "surrogatepass")) for x in free]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], ["_id", "_row", "_url", "packed"])
 
-    packed = base.mapInArrow(pack, f"_id {id_type}, _row bigint, _url string, packed binary")
+    packed = base.mapInArrow(tidy(pack), f"_id {id_type}, _row bigint, _url string, packed binary")
     joined = packed.join(drops, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")), "left").select("_id", "_url", "packed", "drops")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,4 +318,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [id_col, url_col, "text", "n_chars"])
 
-    return joined.mapInArrow(unpack, f"`{id_col}` {id_type}, `{url_col}` string, text string, n_chars bigint")
+    return joined.mapInArrow(tidy(unpack), f"`{id_col}` {id_type}, `{url_col}` string, text string, n_chars bigint")

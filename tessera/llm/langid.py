@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import tidy
 from .textvec import LOWER, batch_slices, powers, prefix_hash, row_counts, span_hash, word_spans
 
 SEGMENT, TRAIN_SEGMENT = 1_024, 64
@@ -265,7 +266,7 @@ def predict_languages(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_
                     scores.append(float(min(1.0, total[i, best[i]] / count[i])) if sure else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return inner.mapInArrow(scan, schema)
+    return inner.mapInArrow(tidy(scan), schema)
 
 
 def identify_languages(docs: DataFrame, train_docs: int = 1_600, train_text_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

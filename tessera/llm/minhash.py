@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Components
-from .storage import discard, materialise
+from .storage import discard, materialise, tidy
 from .textvec import batch_slices, mix, powers, shingle_sets
 
 BANDS, ROWS = 24, 5
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
             )
 
     schema = f"id {dict(docs.dtypes)[id_col]}, h bigint, n_shingles bigint, d0 bigint, d1 bigint, bands array<bigint>, sketch array<bigint>"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("h")).mapInArrow(scan, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("h")).mapInArrow(tidy(scan), schema)
 
 
 def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,7 +137,7 @@ def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["id", "body"])
 
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    return docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, f"id {_node(docs, id_col)}, body binary")
+    return docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(pack), f"id {_node(docs, id_col)}, body binary")
 
 
 def _node(docs: DataFrame, id_col: str) -> str:
@@ -166,7 +166,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep)), part.column(1).filter(pa.array(keep))], ["a", "b"])
 
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}")
+    return rows.select("a", "b", "x", "y").mapInArrow(tidy(check), f"a {kind}, b {kind}")
 
 
 def _differ(x: str, y: str, first: int, words: int):

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .storage import tidy
+
 Span = tuple[str, int, int]
 Edit = tuple[int, int, str]
 KINDS = ("email", "ip", "card", "phone")
@@ -346,7 +348,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 cols[6].append(len(added))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string() if i in (4, 5) else pa.int64()) for i, c in enumerate(cols))], [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
-    return docs.select(id_col, text_col).mapInArrow(scan, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(scan), schema)
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -358,4 +360,4 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = pa.array([None if t is None else masked(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(tidy(scan), docs.schema)

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, tidy
 from .textvec import batch_slices, column_bytes, prefix_hash, span_hash
 
 WINDOW, GRAM = 100, 28
@@ -472,8 +472,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     bodies = flat.mapInArrow(pack, "id bigint, th bigint, body binary")
     # A row that repeats id and text is the same document: its windows are found once, and its covers go to every copy.
-    found = (flat.dropDuplicates(["id", "th"]) if twice else flat).mapInArrow(find_occurrences, OCCURRENCE_SCHEMA).repartition(F.when(F.col("kind") == 0, F.col("h")).otherwise(F.xxhash64("id", "s")))
-    settled = materialise(found.mapInArrow(lambda x: settle_occurrences(x, many, hold), OCCURRENCE_SCHEMA), "repeat-occurrences")
+    found = (flat.dropDuplicates(["id", "th"]) if twice else flat).mapInArrow(tidy(find_occurrences), OCCURRENCE_SCHEMA).repartition(F.when(F.col("kind") == 0, F.col("h")).otherwise(F.xxhash64("id", "s")))
+    settled = materialise(found.mapInArrow(tidy(lambda x: settle_occurrences(x, many, hold)), OCCURRENCE_SCHEMA), "repeat-occurrences")
     asked = settled.where("kind >= 2").groupBy("id", "th").agg(F.collect_list(F.struct("kind", "h", "s", "n")).alias("asked"))
     fetched = bodies.dropDuplicates(["id", "th"]) if twice else bodies
     snippet_schema = "kind int, h bigint, id bigint, th bigint, s bigint, n int, bytes binary"
@@ -481,7 +481,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cover_schema = "id bigint, th bigint, s bigint, n int"
     few, equal = _split_many(snippets.where("kind = 3").select(*PART), many)
     few = snippets.where("kind = 2").select(*PART).unionByName(few) if few else snippets.where("kind = 2").select(*PART)
-    merged = few.repartition("h").sortWithinPartitions("h").mapInArrow(lambda x: compare_snippets(x, at_once), cover_schema)
+    merged = few.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(lambda x: compare_snippets(x, at_once)), cover_schema)
     covers = settled.where("kind = 1").select(*COVER).unionByName(merged)
     covers = covers.unionByName(equal) if equal else covers
     covers = covers.groupBy("id", "th").agg(F.collect_list(F.struct("s", "n")).alias("covers"))

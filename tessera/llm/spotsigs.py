@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, tidy
 from .textvec import LOWER, mix, powers, prefix_hash, row_counts, slices, span_hash, word_spans
 
 # Common words that serve as anchors (English, French, German, Spanish).
@@ -213,8 +213,8 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     held, size = held[-1:], len(text)
 
     schema = "k bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    moved = flat.mapInArrow(pack, "pid int, role int, k bigint, h bigint, body binary").repartitionById(parts, F.col("pid")).sortWithinPartitions("pid", "role", "k", "h")
-    return moved.mapInArrow(pair, schema).withColumnRenamed("k", id_col)
+    moved = flat.mapInArrow(tidy(pack), "pid int, role int, k bigint, h bigint, body binary").repartitionById(parts, F.col("pid")).sortWithinPartitions("pid", "role", "k", "h")
+    return moved.mapInArrow(tidy(pair), schema).withColumnRenamed("k", id_col)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

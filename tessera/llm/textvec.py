@@ -23,7 +23,7 @@ SYMBOL = _rng.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2)
 BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95)
 INVERSE = tuple(pow(b, -1, 2**64) for b in BASE)
 #: Texts are handled in slices of about so many bytes; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 

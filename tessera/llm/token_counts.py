@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import scratch_path
+from .storage import scratch_path, tidy
 
 CACHE_SCHEMA = "digest binary, n_tokens bigint"
 #: Distinct words whose counts a worker remembers; the memo is emptied when it is full.
@@ -173,9 +173,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
-    contents = docs.select(F.col(text_col).alias("_text")).mapInArrow(pack, "digest binary, body binary").repartition("digest")
+    contents = docs.select(F.col(text_col).alias("_text")).mapInArrow(tidy(pack), "digest binary, body binary").repartition("digest")
     misses = contents.join(stored().select("digest"), "digest", "left_anti")
-    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    misses.mapInArrow(tidy(encode), CACHE_SCHEMA).write.mode("append").parquet(cache)
     known = stored().groupBy("digest").agg(F.max("n_tokens").alias("_n"))
     rows = docs.select(F.col(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint").alias("n_bytes"), content_digest(F.col(text_col), version).alias("_digest"))
     n = F.coalesce("_n", F.lit(0)).cast("bigint")
