@@ -1,7 +1,12 @@
 """The corpus pipeline: language, near-duplicates, benchmark leaks, personal data, source weights.
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns of documents; the
-last adds size, source_size, target and taken.
+last adds size, source_size, target and taken, in place of input columns of these names.
+
+Defined results: a null, empty or letterless text has no language and goes with the first stage; a null id is a document of
+its own; of rows that repeat id and text one stays, also of texts without words; a null source is a source of its own; of
+equal near-duplicates the one with the smallest id stays; an empty table gives an empty table at every stage; other columns,
+whatever their names, are carried through as they are.
 """
 
 from __future__ import annotations
@@ -16,34 +21,42 @@ from tessera.llm.mixing import mix_sources
 from tessera.llm.pii import mask_pii
 from tessera.llm.storage import materialise, read_table
 
-#: A document goes if no language was found or its best language has less than this mean probability.
-LEAST_LANGUAGE_SCORE = 0.3
+#: A document goes if no language was found, or if its best one does not rise above chance (1 of the languages) by this part of the rest.
+LEAST_ABOVE_CHANCE = 0.2
 #: The language model is fitted on at most so many labelled documents of at most so many bytes each.
 TRAIN_DOCS, TRAIN_TEXT_BYTES = 1_600, 1 << 16
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters and those in no known language."""
-    model = fit(docs, F.lit(True), TRAIN_DOCS, TRAIN_TEXT_BYTES, 64, "doc_id", "text", "lang")
-    known = predict_languages(docs, model, keep=tuple(docs.columns))
-    if model.labels:
-        known = known.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return known.select(*docs.columns)
+    """Drop documents without letters and those in no known language; without labels to learn from, none."""
+    model = fit(docs, F.lit(True), TRAIN_DOCS, TRAIN_TEXT_BYTES, "doc_id", "text", "lang")
+    if not model.labels:
+        return docs
+    # The operator sees the row as one column, so its own columns meet no others.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    known = predict_languages(docs.select(row, F.col("text").alias("text")), model, keep=("_row",))
+    chance = 1 / len(model.labels)
+    known = known.where((F.col("lang_pred") != UND) & (F.col("score") >= chance + LEAST_ABOVE_CHANCE * (1 - chance)))
+    return known.select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity of at least 0.8) stays."""
-    gone = near_duplicates(docs, width=5, percent=80).where(~F.col("chosen")).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
-    kept = docs.join(gone, (F.col("doc_id") == F.col("_i")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():  # rows that repeat id and text
+    # Of rows that repeat id and text one is chosen with its class; a null id meets only itself.
+    key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
+    slim = docs.select("doc_id", "text")
+    gone = near_duplicates(slim, width=5, percent=80).where(~F.col("chosen")).select(F.struct(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).alias("_gone")).distinct()
+    kept = docs.withColumn("_key", key).join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti").drop("_key")
+    if slim.groupBy("doc_id").count().where("count > 1").limit(1).count():  # rows that repeat id and text
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose tiles cover a benchmark item go."""
-    tiled = tile_benchmark(docs, read_table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return tiled.where(~F.col("contaminated")).select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    tiled = tile_benchmark(docs.select(row, F.col("text").alias("text")), read_table(spark, sf_dir, "benchmark"), keep=("_row",))
+    return tiled.where(~F.col("contaminated")).select("_row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +67,12 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix with the words it takes of each, repeats counted."""
-    key = F.struct(F.col("doc_id"), F.xxhash64("text"))
-    mixed = mix_sources(docs.withColumn("_key", key), id_col="_key").where("taken > 0").drop("source").dropDuplicates(["_key"])
-    return docs.withColumn("_key", key).join(mixed, "_key").drop("_key")
+    added = ("size", "source_size", "target", "taken")
+    docs = docs.drop(*added)
+    key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
+    slim = docs.select(key.alias("_key"), F.col("text").alias("text"), F.col("source").alias("source"))
+    mixed = mix_sources(slim, id_col="_key").where("taken > 0").groupBy("_key").agg(*(F.max(c).alias(c) for c in added))
+    return docs.withColumn("_key", key).join(mixed.withColumnRenamed("_key", "_taken"), F.col("_key").eqNullSafe(F.col("_taken"))).drop("_key", "_taken")
 
 
 STAGES = [
