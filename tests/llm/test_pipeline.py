@@ -45,6 +45,29 @@ def test_stages(spark):
         now = spark.createDataFrame(rows, out.schema)
 
 
+def test_odd_rows_and_clashing_columns(spark):
+    """Every stage carries columns of any name through, and handles nulls and repeated rows."""
+    texts = {1: "the quick brown fox jumps over the lazy dog and runs far away from here", 2: "el perro corre por la casa y duerme en el jardín de la abuela", 5: "", 6: None, 7: "1 2 3 . ,"}
+    clash = "score coverage size taken target source_size label id h bands kept lang_pred n_tiles item_id _id _row _i _key".split()
+    rows = [(k, t, "en", "a", len(t or ""), *(f"{c}{k}" for c in clash)) for k, t in [*texts.items(), (1, texts[1]), (None, texts[2] + " hoy"), (None, texts[2] + " hoy"), (9, texts[1])]]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in clash)
+    docs = spark.createDataFrame([(*r[:3], None if r[0] == 2 else r[3], *r[4:]) for r in rows], schema)
+    want = {"language_id": [(None, 2), (1, 2), (2, 1), (9, 1)], "near_dedup": [(None, 1), (1, 1), (2, 1)], "decontamination": [(None, 1), (1, 1), (2, 1)], "pii": [(None, 1), (1, 1), (2, 1)]}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        rows = out.collect()
+        if name in want:
+            assert out.columns == docs.columns
+            counts = {}
+            for r in rows:
+                counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
+            assert sorted(counts.items(), key=str) == sorted(want[name], key=str), name
+        else:
+            assert set(out.columns) == set(docs.columns) and all(isinstance(r.taken, int) for r in rows)
+        assert all(r.score == f"score{r.doc_id or 9}" or r.doc_id is None for r in rows)
+        docs = spark.createDataFrame(rows, out.schema)
+
+
 def test_run_equals_stages(spark):
     a = corpus_pipeline.run(spark, DATA)
     assert a.count() > 100 and a.agg(F.countDistinct("doc_id")).first()[0] == a.count()
