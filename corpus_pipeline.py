@@ -22,7 +22,7 @@ from tessera.llm.pii import mask_pii
 from tessera.llm.storage import materialise, read_table
 
 #: A document goes if no language was found, or if its best one does not rise above chance (1 of the languages) by this part of the rest.
-LEAST_ABOVE_CHANCE = 0.2
+LEAST_ABOVE_CHANCE = 0.1
 #: The language model is fitted on at most so many labelled documents of at most so many bytes each.
 TRAIN_DOCS, TRAIN_TEXT_BYTES = 1_600, 1 << 16
 
@@ -45,8 +45,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # Of rows that repeat id and text one is chosen with its class; a null id meets only itself.
     key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
     slim = docs.select("doc_id", "text")
-    gone = near_duplicates(slim, width=5, percent=80).where(~F.col("chosen")).select(F.struct(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).alias("_gone")).distinct()
-    kept = docs.withColumn("_key", key).join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti").drop("_key")
+    gone = near_duplicates(slim, width=5, percent=80).where(~F.col("chosen")).select(F.struct(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).alias("__pipeline_gone")).distinct()
+    kept = docs.withColumn("__pipeline_key", key).join(gone, F.col("__pipeline_key").eqNullSafe(F.col("__pipeline_gone")), "left_anti").drop("__pipeline_key")
     if slim.groupBy("doc_id").count().where("count > 1").limit(1).count():  # rows that repeat id and text
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept
@@ -70,9 +70,9 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     added = ("size", "source_size", "target", "taken")
     docs = docs.drop(*added)
     key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
-    slim = docs.select(key.alias("_key"), F.col("text").alias("text"), F.col("source").alias("source"))
-    mixed = mix_sources(slim, id_col="_key").where("taken > 0").groupBy("_key").agg(*(F.max(c).alias(c) for c in added))
-    return docs.withColumn("_key", key).join(mixed.withColumnRenamed("_key", "_taken"), F.col("_key").eqNullSafe(F.col("_taken"))).drop("_key", "_taken")
+    slim = docs.select(key.alias("__pipeline_key"), F.col("text").alias("text"), F.col("source").alias("source"))
+    mixed = mix_sources(slim, id_col="__pipeline_key").where("taken > 0").groupBy("__pipeline_key").agg(*(F.max(c).alias(c) for c in added))
+    return docs.withColumn("__pipeline_key", key).join(mixed.withColumnRenamed("__pipeline_key", "__pipeline_taken"), F.col("__pipeline_key").eqNullSafe(F.col("__pipeline_taken"))).drop("__pipeline_key", "__pipeline_taken")
 
 
 STAGES = [
