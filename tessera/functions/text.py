@@ -11,7 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The tables of the public visual question answering evaluator.
-NUMBER_WORDS = dict(zip("none zero one two three four five six seven eight nine ten".split(), "0 0 1 2 3 4 5 6 7 8 9 10".split()))
+NUMBER_WORDS = {
+    "none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10",
+}
 ARTICLES = ("a", "an", "the")
 PUNCTUATION = (";", "/", "[", "]", '"', "{", "}", "(", ")", "=", "+", "\\", "_", "-", ">", "<", "@", "`", ",", "?", "!")
 CONTRACTIONS = {
@@ -36,11 +38,13 @@ CONTRACTIONS = {
     "youd": "you'd", "youd've": "you'd've", "you'dve": "you'd've", "youll": "you'll", "youre": "you're", "youve": "you've",
 }
 #: Words that never name an object in a question.
-OBJECT_STOPWORDS = (
-    "a an the is are was were am be been being do does did you your see there any many much what which who whom whose where when why how this that these those "
-    "in on at of to for with from by as or and not no yes if than have has had can could would should will shall may might must it its he she they we i me my his her "
-    "their our them him us image picture photo pic show shown look like color type kind number count total left right"
-).split()
+OBJECT_STOPWORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "am", "be", "been", "being", "do", "does", "did", "you", "your", "see", "there", "any", "many",
+    "much", "what", "which", "who", "whom", "whose", "where", "when", "why", "how", "this", "that", "these", "those", "in", "on", "at", "of", "to",
+    "for", "with", "from", "by", "as", "or", "and", "not", "no", "yes", "if", "than", "have", "has", "had", "can", "could", "would", "should", "will",
+    "shall", "may", "might", "must", "it", "its", "he", "she", "they", "we", "i", "me", "my", "his", "her", "their", "our", "them", "him", "us",
+    "image", "picture", "photo", "pic", "show", "shown", "look", "like", "color", "type", "kind", "number", "count", "total", "left", "right",
+]
 #: Neutral names given to detected persons, by object index.
 PERSON_NAMES = ("Casey", "Riley", "Jessie", "Jackie", "Avery", "Jaime", "Peyton", "Kerry", "Jody", "Kendall", "Skyler", "Frankie", "Pat", "Quinn")
 
@@ -66,20 +70,22 @@ def first_line(c: Column) -> Column:
     return F.split(c, "\n", 2)[0]
 
 
+_MARKS = "".join(PUNCTUATION)
+_BESIDE_BLANK = "(?<= )[" + "".join("\\" + p for p in PUNCTUATION) + "]|[" + "".join("\\" + p for p in PUNCTUATION) + "](?= )"
+
+
 def process_punctuation(text: Column) -> Column:
-    """Each mark in turn goes, or becomes a blank: which one is decided on the text as it came in."""
-    anywhere = text.rlike(r"\d,\d")
-    out = text
-    for p in PUNCTUATION:
-        touches = anywhere | F.contains(text, F.lit(p + " ")) | F.contains(text, F.lit(" " + p))
-        out = F.replace(out, F.lit(p), F.when(touches, F.lit("")).otherwise(F.lit(" ")))
-    return F.regexp_replace(out, r"\.(?!\d)", "")
+    """Marks that stand beside a blank somewhere in the text go, all of them after a digit pair like 1,2; others become blanks."""
+    touched = F.when(text.rlike(r"\d,\d"), F.lit(_MARKS)).otherwise(F.array_join(F.array_distinct(F.regexp_extract_all(text, F.lit(_BESIDE_BLANK), F.lit(0))), ""))
+    others = F.call_function("translate", F.lit(_MARKS), touched, F.lit(""))
+    return F.regexp_replace(F.call_function("translate", text, F.concat(others, touched), F.repeat(F.lit(" "), F.length(others))), r"\.(?!\d)", "")
 
 
 def process_digit_article(text: Column) -> Column:
-    numbers, contractions = lookup(NUMBER_WORDS), lookup(CONTRACTIONS)
-    kept = F.filter(F.transform(words(F.lower(text)), lambda w: F.coalesce(numbers[w], w)), lambda w: ~w.isin(*ARTICLES))
-    return F.array_join(F.transform(kept, lambda w: F.coalesce(contractions[w], w)), " ")
+    """Listed words are found in a hash set; only those are looked up."""
+    mapped = lambda w, table: F.when(w.isin(*table), lookup(table)[w]).otherwise(w)
+    kept = F.filter(F.transform(words(F.lower(text)), lambda w: mapped(w, NUMBER_WORDS)), lambda w: ~w.isin(*ARTICLES))
+    return F.array_join(F.transform(kept, lambda w: mapped(w, CONTRACTIONS)), " ")
 
 
 def plain_blanks(c: Column) -> Column:

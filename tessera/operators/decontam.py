@@ -1,23 +1,122 @@
-"""Decontamination: Hamming similarity join, cosine nearest neighbours, and what is removed for which reason."""
+"""Decontamination: whole items inside texts, Hamming similarity join, cosine nearest neighbours, and what goes for which reason."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
-#: References of up to so many bytes of hashes or vectors are broadcast; more are joined by bands or in blocks.
-BROADCAST_BYTES = 64 << 20
+#: References of up to so many bytes of hashes or vectors go to every task at once; more go in blocks of this size, one pass each.
+BROADCAST_BYTES = 32 << 20
+#: The same for benchmark items that texts are searched for.
+ITEM_BYTES = 8 << 20
+#: Bands must leave at most this share of all pairs to be worth a shuffle.
+BAND_SHARE = 0.05
 
 
-def hamming_nested(train: DataFrame, refs: DataFrame, limit: int, words: int) -> DataFrame:
-    """(train_id, ref_id, distance) of all pairs within ``limit``; for references of a checked small size."""
-    return train.join(F.broadcast(refs), V.hamming(F.col("train_words"), F.col("ref_words"), words) <= limit).select("train_id", "ref_id", V.hamming(F.col("train_words"), F.col("ref_words"), words).alias("distance"))
+def in_blocks(rows: DataFrame, key: str, size: int, limit: int, scan: Callable[[list], DataFrame]) -> DataFrame:
+    """The union of ``scan(block)`` over blocks of ``rows`` of about ``limit`` bytes each; ``size`` is what all take."""
+    n = max(1, -(-size // limit))
+    if n == 1:
+        return scan(rows.collect())
+    blocks = (rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == b).collect() for b in range(n))
+    return reduce(DataFrame.unionByName, [scan(b) for b in blocks])
+
+
+_searchers: dict[bytes, object] = {}
+
+
+def _searcher(items: list[str]):
+    """An automaton over all items, made once a worker."""
+    import ahocorasick
+
+    name = hashlib.blake2b("\0".join(items).encode(), digest_size=16).digest()
+    if name not in _searchers:
+        _searchers.clear()
+        found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for x in items:
+            found.add_word(x)
+        found.make_automaton()
+        _searchers[name] = found
+    return _searchers[name]
+
+
+def _words(c: Column) -> Column:
+    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+
+def holding(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, limit: int = ITEM_BYTES) -> DataFrame:
+    """Distinct keys of the texts that hold some whole item.
+
+    Items of up to ``limit`` bytes are one automaton that reads each text once.  Of more, those with four or more words are
+    met by the longest pair of neighbouring inner words, which stands whole in any text that holds the item: only keys and
+    pair hashes are shuffled, and a text is fetched once for each item it may hold.  Shorter items go in blocks.
+    """
+    items = items.select(F.col(item).alias("_item")).where(F.length(F.trim("_item")) > 0).distinct()
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    kind = texts.schema["_key"].dataType.simpleString()
+    bytes_of = lambda d: d.agg(F.coalesce(F.sum(F.octet_length("_item") + 64), F.lit(0))).first()[0]
+
+    def search(block: list) -> DataFrame:
+        wanted = sorted(r[0] for r in block)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = _searcher(wanted) if wanted else None
+            for batch in batches:
+                hit = [found is not None and t is not None and next(found.iter(t), None) is not None for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit, pa.bool_()))], ["_key"])
+
+        return texts.mapInArrow(scan, f"_key {kind}")
+
+    size = bytes_of(items)
+    if size <= limit:
+        return search(items.collect()).distinct()
+    long = items.where(F.size(_words(F.col("_item"))) >= 4)
+    inner = F.slice(_words(F.col("_item")), 2, F.size(_words(F.col("_item"))) - 2)
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.struct((-F.length(x) - F.length(y)).alias("l"), F.xxhash64(x, y).alias("h")))
+    keyed = long.select("_item", F.array_min(pairs(inner))["h"].alias("_pair"))
+    grams = texts.select("_key", F.explode(F.array_distinct(F.transform(pairs(_words(F.col("_text"))), lambda p: p["h"]))).alias("_pair"))
+    may = grams.join(keyed.select("_pair").distinct(), "_pair", "left_semi").join(keyed, "_pair").select("_key", "_item").distinct()
+    hit = may.join(texts, "_key").where(F.contains("_text", "_item")).select("_key")
+    short = items.where(F.size(_words(F.col("_item"))) < 4)
+    return hit.unionByName(in_blocks(short, "_item", bytes_of(short), limit, search)).distinct()
+
+
+def hamming_blocks(train: DataFrame, refs: DataFrame, limit: int, words: int, at_once: int = BROADCAST_BYTES) -> DataFrame:
+    """(train_id, ref_id, distance) of all pairs within ``limit``: every training row against blocks of references.
+
+    For radii at which no band is selective; a block is one pass over the training rows, without a shuffle.
+    """
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    left, right = dict(train.dtypes)["train_id"], dict(refs.dtypes)["ref_id"]
+
+    def against(block: list) -> DataFrame:
+        ids = np.array([r.ref_id for r in block], object)
+        held = np.array([r.ref_words for r in block], np.int64).reshape(len(block), words).view(np.uint64)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                mine = np.array(batch.column("train_words").to_pylist(), np.int64).reshape(batch.num_rows, words).view(np.uint64)
+                step = max(1, 4_000_000 // max(1, len(held)))
+                for at in range(0, len(mine), step):
+                    part = mine[at : at + step]
+                    apart = sum(np.bitwise_count(part[:, None, k] ^ held[None, :, k]).astype(np.int32) for k in range(words))
+                    i, j = np.nonzero(apart <= limit)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("train_id").take(pa.array(i + at)), pa.array(ids[j].tolist(), kinds[right]), pa.array(apart[i, j], pa.int32())], ["train_id", "ref_id", "distance"],
+                    )
+
+        return train.select("train_id", "train_words").mapInArrow(scan, f"train_id {left}, ref_id {right}, distance int")
+
+    slim = refs.select("ref_id", "ref_words").where("ref_words is not null")
+    return in_blocks(slim, "ref_id", slim.count() * (8 * words + 64), at_once, against)
 
 
 def hamming_banded(train: DataFrame, refs: DataFrame, limit: int, words: int, bits: int, salts: int = 1) -> DataFrame:
@@ -37,9 +136,12 @@ def hamming_banded(train: DataFrame, refs: DataFrame, limit: int, words: int, bi
 
 
 def hamming_join(train: DataFrame, refs: DataFrame, limit: int, words: int, bits: int) -> DataFrame:
-    """Nested loops over small references (size checked first), else bands."""
-    size = refs.count() * (8 * words + 16)
-    return hamming_nested(train, refs, limit, words) if size <= BROADCAST_BYTES else hamming_banded(train, refs, limit, words, bits)
+    """Bands where they are selective and the references many, else blocks of references."""
+    width = bits // (limit + 1)
+    selective = (limit + 1) * 2.0**-width <= BAND_SHARE
+    if selective and refs.count() * (8 * words + 64) > BROADCAST_BYTES:
+        return hamming_banded(train, refs, limit, words, bits, salts=8)
+    return hamming_blocks(train, refs, limit, words)
 
 
 def knn_columns(train: DataFrame, refs: DataFrame, k: int, digits: int = 9) -> DataFrame:
@@ -49,55 +151,37 @@ def knn_columns(train: DataFrame, refs: DataFrame, k: int, digits: int = 9) -> D
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_blocks(train: DataFrame, refs: DataFrame, k: int, digits: int = 9, block: int = 4_096) -> DataFrame:
-    """Exact neighbours by matrix products over reference blocks.
+def knn_blocks(train: DataFrame, refs: DataFrame, k: int, digits: int = 9, at_once: int = BROADCAST_BYTES) -> DataFrame:
+    """Exact neighbours by matrix products of the training rows with blocks of references of a bounded size.
 
-    References are numbered into blocks of bounded size; each training row meets every block, and a block's best k go on
-    to the final ranking, so the shuffle grows with rows x blocks x k and not with rows x references.
+    Every block is one pass over the training rows; a block's best k go on to the final ranking, so the one shuffle grows
+    with rows x blocks x k and not with rows x references.  That every row meets every reference is the cost of exactness.
     """
-    n = max(1, -(-refs.count() // block))
-    ref_type, train_type = dict(refs.dtypes)["ref_id"], dict(train.dtypes)["train_id"]
-    grouped = refs.groupBy(F.pmod(F.xxhash64("ref_id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("ref_id", "ref_vec")).alias("refs"))
-    parts = max(1, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = train.groupBy(F.pmod(F.xxhash64("train_id"), F.lit(parts)).alias("p")).agg(F.collect_list(F.struct("train_id", "train_vec")).alias("rows")) if n > 1 else None
-
-    def best(ids: list, vecs: np.ndarray, ref_ids: np.ndarray, matrix: np.ndarray) -> Iterator[tuple]:
-        sims = np.round(vecs @ matrix.T, digits)
-        top = min(k, len(ref_ids))
-        for i, s in zip(ids, sims):
-            cut = np.partition(s, len(s) - top)[len(s) - top]
-            near = np.flatnonzero(s >= cut)  # all ties of the last place, so ids can decide
-            order = near[np.lexsort((ref_ids[near], -s[near]))][:top]
-            for j in order:
-                yield i, ref_ids[j], s[j]
-
-    def table(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [[] for _ in names]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    names, types = ["train_id", "ref_id", "similarity"], [kind[train_type], kind[ref_type], pa.float64()]
-    if n == 1:  # one block of checked size goes to every task
-        held = refs.collect()
-        ref_ids, matrix = np.array([r.ref_id for r in held]), np.array([r.ref_vec for r in held], float).reshape(len(held), -1)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows and len(ref_ids):
-                    vecs = np.array(batch.column("train_vec").to_pylist(), float)
-                    yield table(list(best(batch.column("train_id").to_pylist(), vecs, ref_ids, matrix)), names, types)
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    left, right = dict(train.dtypes)["train_id"], dict(refs.dtypes)["ref_id"]
 
-        near = train.select("train_id", "train_vec").mapInArrow(scan, f"train_id {train_type}, ref_id {ref_type}, similarity double")
-    else:
+    def against(block: list) -> DataFrame:
+        ids, matrix = np.array([r.ref_id for r in block]), np.array([r.ref_vec for r in block], float).reshape(len(block), -1)
 
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top = min(k, len(ids))
             for batch in batches:
-                for left, right in zip(batch.column("rows").to_pylist(), batch.column("refs").to_pylist()):
-                    ids, vecs = [x["train_id"] for x in left], np.array([x["train_vec"] for x in left], float)
-                    yield table(list(best(ids, vecs, np.array([x["ref_id"] for x in right]), np.array([x["ref_vec"] for x in right], float))), names, types)
-
-        tiles = rows.join(grouped, F.lit(True), "inner").repartition("p", "b")  # stated query blocks against all reference blocks
-        near = tiles.select("rows", "refs").mapInArrow(meet, f"train_id {train_type}, ref_id {ref_type}, similarity double")
+                if not batch.num_rows or not top:
+                    continue
+                vecs, out = np.array(batch.column("train_vec").to_pylist(), float), []
+                step = max(1, 2_000_000 // len(ids))
+                for at in range(0, len(vecs), step):
+                    for i, s in enumerate(np.round(vecs[at : at + step] @ matrix.T, digits), at):
+                        near = np.flatnonzero(s >= np.partition(s, len(s) - top)[len(s) - top])  # all ties of the last place, so ids can decide
+                        out += [(i, j, s[j]) for j in near[np.lexsort((ids[near], -s[near]))][:top]]
+                i, j, s = (np.array(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([batch.column("train_id").take(pa.array(i)), pa.array(ids[j], kinds[right]), pa.array(s, pa.float64())], ["train_id", "ref_id", "similarity"])
+
+        return train.select("train_id", "train_vec").mapInArrow(scan, f"train_id {left}, ref_id {right}, similarity double")
+
+    slim = refs.select("ref_id", "ref_vec").where("ref_vec is not null")
+    size = slim.agg(F.coalesce(F.sum(F.size("ref_vec") * 8 + 64), F.lit(0))).first()[0]
+    near = in_blocks(slim, "ref_id", size, at_once, against)
     w = Window.partitionBy("train_id").orderBy(F.col("similarity").desc(), "ref_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

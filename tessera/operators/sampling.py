@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Target mix of the pool's sources, and the weight of any other.
+#: Target mix of the pool's sources, and the weight of any other.
 TARGET_MIX = {"visual7w": 0.35, "gqa": 0.30, "vqav2": 0.15, "vcr": 0.10, "aokvqa": 0.10}
 OTHER_WEIGHT = 0.1
-#: Training family of each region source.
+#: Training family of each region source.
 FAMILIES = {"coco": "coco", "refcoco": "refcoco", "refcocog": "refcoco", "refcoco+": "refcoco", "visual_genome": "vg", "grit": "grit"}
 
 
@@ -32,11 +32,24 @@ def mix_weight(source: Column, mix: dict[str, float] = TARGET_MIX) -> Column:
     return F.coalesce(table[source], F.lit(OTHER_WEIGHT))
 
 
+def place_in_group(df: DataFrame, group: str, order: Column, name: str, shards: int = 64) -> DataFrame:
+    """``df`` with its 0-based place in its group by a 64-bit hash ``order``.
+
+    A group is numbered in ``shards`` ranges of the hash side by side, so a hot one is no single task; one count a group and
+    range gives the places before it.
+    """
+    split = df.withColumn("_h", order).withColumn("_s", F.floor((F.col("_h") / 2.0**64 + 0.5) * shards).cast("int"))
+    inside = F.row_number().over(Window.partitionBy(group, "_s").orderBy("_h")) - 1
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = split.groupBy(group, "_s").count().withColumn("_o", before).select(F.col(group).alias("_g"), F.col("_s").alias("_t"), "_o")
+    numbered = split.withColumn("_r", inside).join(offset, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_s") == F.col("_t")))
+    return numbered.withColumn(name, F.col("_o") + F.col("_r")).drop("_h", "_s", "_r", "_g", "_t", "_o")
+
+
 def weighted_draws(df: DataFrame, source: str, key: str, draws: int, weights: dict[str, float], seed: int = 42, by_share: bool = False) -> DataFrame:
     """``draws`` rows with replacement, each with odds of its weight; ``by_share`` divides a source's weight by its count.
 
-    A draw picks a source by its total weight (few sources), then a row number in it; rows are numbered within their
-    source over hash shards, so a hot source is no single task.
+    A draw picks a source by its total weight (few sources), then a row number in it.
     """
     counts = df.groupBy(source).agg(F.count(F.lit(1)).alias("n")).withColumn("w", mix_weight(F.col(source), weights) * (F.lit(1.0) if by_share else F.col("n")))
     order = Window.orderBy(source)
@@ -44,13 +57,7 @@ def weighted_draws(df: DataFrame, source: str, key: str, draws: int, weights: di
     unit = lambda s: F.pmod(F.xxhash64("draw", F.lit(seed + s)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     asked = df.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("u", unit(0)).withColumn("v", unit(1))
     picked = asked.join(F.broadcast(bounds), (F.col("u") * F.col("all") >= F.col("lo")) & (F.col("u") * F.col("all") < F.col("hi"))).select("draw", source, F.floor(F.col("v") * F.col("n")).alias("_k"))
-    shard = F.pmod(F.xxhash64(key), F.lit(64))
-    sharded = df.withColumn("_s", shard)
-    inside = sharded.withColumn("_r", F.row_number().over(Window.partitionBy(source, "_s").orderBy(key)))
-    sizes = sharded.groupBy(source, "_s").count()
-    offset = sizes.withColumn("_o", F.coalesce(F.sum("count").over(Window.partitionBy(source).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    numbered = inside.join(F.broadcast(offset), [source, "_s"]).withColumn("_k", F.col("_o") + F.col("_r") - 1).drop("_o", "_r", "_s")
-    return picked.join(numbered, [source, "_k"]).drop("_k")
+    return picked.join(place_in_group(df, source, F.xxhash64(key), "_k"), [source, "_k"]).drop("_k")
 
 
 def family_of(source: Column) -> Column:
@@ -82,8 +89,7 @@ def balanced_batches(df: DataFrame, family: str, key: str, batch_size: int, batc
     drawn = slots.where("quota > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota") - 1)).alias("slot")).withColumn("_k", F.col("start") + F.col("slot"))
     # The k-th draw of a family is member k mod n of its pass k div n.  A member's place in a pass is a seeded shift of
     # its place by hash, so a pass holds each member once.
-    rank = F.row_number().over(Window.partitionBy(family).orderBy(F.xxhash64(key, F.lit(seed + epoch)), key)) - 1
-    members = df.select(F.col(family).alias("family"), F.col(key).alias(key), rank.alias("_m"))
+    members = place_in_group(df.select(F.col(family).alias("family"), F.col(key).alias(key)), "family", F.xxhash64(key, F.lit(seed + epoch)), "_m")
     turn = F.pmod(F.xxhash64(F.col("family"), F.floor(F.col("_k") / F.col("n")), F.lit(seed + epoch)), F.col("n"))
     drawn = drawn.withColumn("_m", F.pmod(F.col("_k") + turn, F.col("n")))
     return drawn.join(members, ["family", "_m"]).select("batch", "family", "slot", key)

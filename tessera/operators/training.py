@@ -1,11 +1,76 @@
-"""Training logs: smoothing, early stop, accumulation, schedules.  Sequences are folds over ordered arrays of a bounded run."""
+"""Training logs: smoothing, early stop, accumulation, schedules.
+
+Column forms fold an ordered array, for runs of a bounded length.  ``fold_runs`` walks sorted rows with a state instead, for
+runs of any length.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def fold_runs(df: DataFrame, key: str, order: list[str], value: str, start: Callable[[], object], step: Callable, finish: Callable[[object], tuple], schema: str) -> DataFrame:
+    """(key, *finish(state)) of every run: ``state = step(state, value)`` over its rows in order.
+
+    Rows are sorted within the partition of their key and read batch by batch; a task holds one state, however long a run is.
+    """
+    kind = dict(df.dtypes)[key]
+    names = [key, *(x.split()[0] for x in schema.split(", "))]
+    types = {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        run, state, open_run, key_type = None, None, False, None
+
+        def emit() -> pa.RecordBatch:
+            cols = list(zip(*out))
+            kinds = [key_type, *(types[x.split()[1]] for x in schema.split(", "))]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+
+        for batch in batches:
+            key_type = batch.schema.field(0).type
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not open_run or k != run:
+                    if open_run:
+                        out.append((run, *finish(state)))
+                    run, state, open_run = k, start(), True
+                state = step(state, v)
+            if len(out) >= 10_000:
+                yield emit()
+        if open_run:
+            out.append((run, *finish(state)))
+        if out:
+            yield emit()
+
+    rows = df.select(key, F.col(value).cast("double").alias("_v"), *(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)))
+    rows = rows.repartition(key).sortWithinPartitions(key, *(f"_o{i}" for i in range(len(order)))).select(key, "_v")
+    return rows.mapInArrow(walk, f"`{key}` {kind}, {schema}")
+
+
+def ema_runs(df: DataFrame, key: str, order: list[str], value: str, factor: float = 0.98) -> DataFrame:
+    """(key, n, ema) of every run."""
+    return fold_runs(df, key, order, value, lambda: (0, None), lambda s, v: (s[0] + 1, v if s[1] is None else s[1] * factor + v * (1 - factor)), lambda s: s, "n bigint, ema double")
+
+
+def early_stop_runs(df: DataFrame, key: str, order: list[str], value: str, patience: int = 5, least: float = 0.001, factor: float = 0.98) -> DataFrame:
+    """(key, best, stale, stopped_at, seen) of every run, as ``early_stop`` gives them."""
+
+    def step(s: tuple, v: float) -> tuple:
+        mean, best, stale, stopped, seen = s
+        if stopped is not None:
+            return s
+        mean = v if mean is None else mean * factor + v * (1 - factor)
+        stale = 0 if best - mean > least else stale + 1
+        return mean, mean if stale == 0 else best, stale, seen if stale >= patience else None, seen + 1
+
+    return fold_runs(df, key, order, value, lambda: (None, float("inf"), 0, None, 0), step, lambda s: s[1:], "best double, stale int, stopped_at int, seen int")
+
+
 def ordered(value: Column, *order: Column) -> Column:
     """Aggregate: the values of a group in order."""
     return F.transform(F.array_sort(F.collect_list(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), value.alias("v")))), lambda x: x["v"])
@@ -16,17 +81,9 @@ def ema(values: Column, factor: float = 0.98) -> Column:
     return F.aggregate(values, F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x).otherwise(s * factor + x * (1 - factor)))
 
 
-EMA_STATE = "struct<ema:double,all:array<double>>"
-
-
 def ema_series(values: Column, factor: float = 0.98) -> Column:
-    start = F.struct(F.lit(None).cast("double").alias("ema"), F.array().cast("array<double>").alias("all"))
-
-    def step(s: Column, x: Column) -> Column:
-        e = F.when(s["ema"].isNull(), x).otherwise(s["ema"] * factor + x * (1 - factor))
-        return F.struct(e.alias("ema"), F.concat(s["all"], F.array(e)).alias("all"))
-
-    return F.aggregate(values, start, step, lambda s: s["all"])
+    """The mean after each value: every place folds what is before it, so for short runs."""
+    return F.transform(values, lambda _, i: ema(F.slice(values, 1, i + 1), factor))
 
 
 def early_stop(values: Column, patience: int = 5, least: float = 0.001, factor: float = 0.98) -> Column:

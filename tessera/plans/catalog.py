@@ -49,19 +49,7 @@ def _reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with ``reason``: listed as toxic, else holding a whole benchmark item."""
     docs, labels, bench = (table(spark, sf_dir, t) for t in ("documents", "labels", "benchmark"))
     toxic = labels.where("toxic = 1").select("doc_id").distinct().withColumn("toxic", F.lit(True))
-    items = bench.where("length(trim(text)) > 0").select(F.col("text").alias("item"))
-    inside = F.contains(F.col("text"), F.col("item"))
-    if bench.count() <= 10_000:  # a small benchmark goes to every task and is tested by containment directly
-        hit = docs.join(F.broadcast(items), inside, "left_semi")
-    else:
-        # The second and third of four or more words stand whole in any text that holds the item: an equi-join, then the test.
-        words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-        pair = F.concat_ws(" ", F.try_element_at(words("item"), F.lit(2)), F.try_element_at(words("item"), F.lit(3)))
-        long = items.where(F.size(words("item")) >= 4).select("item", pair.alias("key"))
-        grams = F.array_distinct(F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda x, y: F.concat_ws(" ", x, y)))
-        spread = docs.select("doc_id", "text", words("text").alias("w")).select("doc_id", "text", F.explode(grams).alias("key"))
-        hit = spread.join(long, "key").where(inside).select("doc_id", "text").unionByName(docs.join(items.where(F.size(words("item")) < 4), inside, "left_semi").select("doc_id", "text"))
-    hit = hit.select("doc_id").distinct().withColumn("leak", F.lit(True))
+    hit = D.holding(docs, bench, "doc_id", "text", "text").select(F.col("_key").alias("doc_id")).withColumn("leak", F.lit(True))
     out = docs.select("doc_id", "source", "lang").join(toxic, "doc_id", "left").join(hit, "doc_id", "left")
     return out.withColumn("reason", F.when(F.col("toxic"), F.lit("toxic_id")).when(F.col("leak"), F.lit("benchmark"))).drop("toxic", "leak")
 
@@ -148,7 +136,7 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _matches(spark, sf_dir):
     t, r = _split(spark, sf_dir)
-    return D.hamming_nested(t.select("train_id", "train_words"), r.select("ref_id", "ref_words"), _LIMIT, 1)
+    return D.hamming_join(t.select("train_id", "train_words"), r.select("ref_id", "ref_words"), _LIMIT, 1, _BITS)
 
 
 def _neighbours(spark, sf_dir):
@@ -550,8 +538,7 @@ def box_scale(spark, sf_dir):
 s as (select user_id, r, value::double as ema from o where r = 1 union all select o.user_id, o.r, s.ema * 0.98::double + o.value * 0.02::double from s join o on o.user_id = s.user_id and o.r = s.r + 1)
 select user_id, max(r) as n, round(arg_max(ema, r), 6) as ema from s group by 1""")
 def ema_by_user(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(R.ordered(F.col("value"), F.col("ts"), F.col("event_id")).alias("v"))
-    return e.select("user_id", F.size("v").cast("bigint").alias("n"), r6(R.ema(F.col("v"))).alias("ema"))
+    return R.ema_runs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value").select("user_id", "n", r6(F.col("ema")).alias("ema"))
 
 
 @query("""with recursive o as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) as r from events),
@@ -560,9 +547,8 @@ s as (select user_id, r, value::double as ema, value::double as best, 0 as stale
    select o.user_id, o.r, s.ema * 0.98::double + o.value * (1 - 0.98::double) as ema, s.best, s.stale from s join o on o.user_id = s.user_id and o.r = s.r + 1 where s.stale < 5) x)
 select user_id, round(arg_max(best, r), 6) as best, cast(arg_max(stale, r) as bigint) as stale, cast(max(r) as bigint) as seen from s group by 1""")
 def early_stop(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(R.ordered(F.col("value"), F.col("ts"), F.col("event_id")).alias("v"))
-    s = e.select("user_id", R.early_stop(F.col("v")).alias("s"))
-    return s.select("user_id", r6(F.col("s.best")).alias("best"), F.col("s.stale").cast("bigint").alias("stale"), F.col("s.seen").cast("bigint").alias("seen"))
+    s = R.early_stop_runs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    return s.select("user_id", r6(F.col("best")).alias("best"), F.col("stale").cast("bigint").alias("stale"), F.col("seen").cast("bigint").alias("seen"))
 
 
 @query("""select user_id, step, n, round(loss, 6) as loss from (select user_id, (r - 1) // 16 as step, count(*) as n, avg(value) as loss from (select user_id, value, row_number() over (partition by user_id order by event_id) as r from events) s group by 1, 2) g where n = 16""")

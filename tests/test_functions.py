@@ -128,7 +128,7 @@ def test_bands_equal_nested_loops(spark, words, flips):
 
     t = spark.createDataFrame([(i, flip(f)) for i, f in enumerate(flips)], "train_id bigint, train_words array<bigint>")
     r = spark.createDataFrame([(0, words), (1, flip([0, 1, 2, 3, 4, 5, 6]))], "ref_id bigint, ref_words array<bigint>")
-    a = {tuple(x) for x in D.hamming_nested(t, r, 4, 4).collect()}
+    a = {tuple(x) for x in D.hamming_blocks(t, r, 4, 4, at_once=500).collect()}
     for salts in (1, 3):
         rows = [tuple(x) for x in D.hamming_banded(t, r, 4, 4, 256, salts).collect()]
         assert len(rows) == len(set(rows)) and set(rows) == a
@@ -142,7 +142,7 @@ def test_knn_forms_agree(spark):
     rows = lambda d: sorted((x.train_id, x["rank"], x.ref_id) for x in d.collect())
     want = rows(D.knn_columns(t, r, 5))
     assert rows(D.knn_blocks(t, r, 5)) == want
-    assert rows(D.knn_blocks(t, r, 5, block=16)) == want
+    assert rows(D.knn_blocks(t, r, 5, at_once=5_000)) == want
     assert D.knn_blocks(t, r.limit(2), 5).groupBy("train_id").count().agg(F.max("count")).first()[0] == 2  # no padding
 
 
