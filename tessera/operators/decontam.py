@@ -194,6 +194,32 @@ def removed_rows(corrupt: DataFrame, hashes: DataFrame, neighbours: DataFrame, l
     return a.unionByName(b).unionByName(c).groupBy("train_id").agg(*(F.max(x).cast("boolean").alias(x) for x in ("corrupt", "hash", "cosine")))
 
 
+def filter_summary(pool: DataFrame, corrupt: DataFrame, hashes: DataFrame, neighbours: DataFrame, least: float = 0.75) -> DataFrame:
+    """One row: original, hash_matches (match rows, not images), cosine_breaches, corrupt, removed (unique rows), clean."""
+    first = neighbours.where((F.col("rank") == 1) & (F.col("similarity") >= least))
+    gone = removed_rows(corrupt, hashes, neighbours, least)
+    one = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
+    parts = [one(pool, "original"), one(hashes, "hash_matches"), one(first, "cosine_breaches"), one(corrupt, "corrupt"), one(gone, "removed")]
+    row = reduce(DataFrame.crossJoin, parts)  # one row each
+    return row.withColumn("clean", F.col("original") - F.col("removed"))
+
+
+def split_counts(rows: DataFrame, split: str, name: str) -> DataFrame:
+    """Rows with a name in each split, and (split null) the distinct names of all."""
+    named = rows.where(F.coalesce(F.col(name), F.lit("")) != "")
+    whole = named.agg(F.countDistinct(name).alias("n")).select(F.lit(None).cast("string").alias(split), "n")
+    return named.groupBy(split).agg(F.count(F.lit(1)).alias("n")).unionByName(whole)
+
+
+def read_decontamination_log(spark, path: str) -> DataFrame:
+    """A log written by ``write_decontamination_log``, one row a training row."""
+    return spark.read.schema("train_id bigint, hash_matches array<struct<ref_id:bigint,distance:int>>, neighbours array<struct<rank:int,ref_id:bigint,similarity:double>>, corrupt boolean").json(path)
+
+
+def write_decontamination_log(log: DataFrame, path: str) -> None:
+    log.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def distance_histogram(matches: DataFrame) -> DataFrame:
     return matches.groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
 

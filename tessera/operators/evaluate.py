@@ -108,6 +108,23 @@ def export_with_predictions(table: DataFrame, log: DataFrame, key: str) -> DataF
     return table.join(keyed, X.index_key(F.col(key)) == F.col("_k"), "left").drop("_k").withColumn("prediction", F.coalesce("_p", F.lit(""))).drop("_p")
 
 
+def most_common(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """(value, n, first) in the order of a counter listing: by count, and as first seen on ties."""
+    g = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    return g.orderBy(F.desc("n"), "first")
+
+
+def mixed_order(key: Column) -> list[Column]:
+    """Sort keys: whole numbers by value before other texts by code point."""
+    number = F.when(key.rlike(r"^\d+$"), key.try_cast("decimal(38,0)"))
+    return [number.isNull(), number, key]
+
+
+def take_slice(rows: DataFrame, ordinal: str, start: int, end: int | None) -> DataFrame:
+    """Rows start .. end - 1 by ordinal."""
+    return rows.where((F.col(ordinal) >= start) & (F.col(ordinal) < end if end is not None else F.lit(True)))
+
+
 def summary_metric(summary: DataFrame, *paths: str) -> DataFrame:
     """The first of several fields that is present and not null; no summary gives null."""
     found = [F.col(p) for p in paths if p.split(".")[0] in summary.columns]

@@ -22,10 +22,10 @@ def number_rows(df: DataFrame, order: list[str], name: str = "train_idx", partit
     over all of them, so no task holds the whole table.  The partitions are settled first: their borders come from a
     sample, and the counts must be of the same partitions as the numbers.
     """
-    spread = settled(df.repartitionByRange(*([partitions] if partitions else []), *order).withColumn("_p", F.spark_partition_id()), "numbered")
-    inside = spread.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    before = spread.groupBy("_p").count().withColumn("_b", F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-    return inside.join(F.broadcast(before.select(F.col("_p"), F.coalesce("_b", F.lit(0)).alias("_b"))), "_p").withColumn(name, F.col("_b") + F.col("_r") - 1).drop("_p", "_r", "_b")
+    spread = settled(df.repartitionByRange(*([partitions] if partitions else []), *order).withColumn("__part", F.spark_partition_id()), "numbered")
+    inside = spread.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    before = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return inside.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(name, F.col("__before") + F.col("__row") - 1).drop("__part", "__row", "__before")
 
 
 def first_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -135,6 +135,45 @@ def box_audit(df: DataFrame, boxes: str, most: int, width: str, height: str) ->
     )
 
 
+def path_counts(ids: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """One row: unique ids, how many have a file (columns of ``files``: key, path), and how many are missing."""
+    have = files.select(F.col(key).alias("_k")).distinct().withColumn("_there", F.lit(1))
+    j = ids.select(key).distinct().join(have, F.col(key) == F.col("_k"), "left")
+    return j.agg(F.count(F.lit(1)).alias("unique_ids"), F.count("_there").alias("matched"), F.count_if(F.col("_there").isNull()).alias("missing"))
+
+
+def reference_union(frames: dict[str, DataFrame], path: str = "path") -> tuple[DataFrame, DataFrame]:
+    """(distinct paths of all benchmarks, rows of each benchmark and of their union as ``union_unique``)."""
+    every = reduce(DataFrame.unionByName, (f.select(F.lit(k).alias("benchmark"), path) for k, f in frames.items()))
+    unique = every.select(path).distinct()
+    counts = every.groupBy("benchmark").agg(F.count(F.lit(1)).alias("n")).unionByName(unique.agg(F.count(F.lit(1)).alias("n")).select(F.lit("union_unique").alias("benchmark"), "n"))
+    return unique, counts
+
+
+def pool_issues(rows: DataFrame, questions: DataFrame, coco: DataFrame, files: DataFrame) -> DataFrame:
+    """(issue, n) of the audit of a pool against the data it came from; a row stops at the first missing thing.
+
+    rows: question_id, image_id, image_path, boxes; questions: question_id, image_id; coco: image_id, file_name, width, height,
+    boxes; files: path, width, height of the images that exist.
+    """
+    q = questions.select(F.col("question_id").alias("_q"), F.col("image_id").alias("_qi"))
+    f = files.select(F.col("path").alias("_p"), F.col("width").alias("_fw"), F.col("height").alias("_fh"))
+    c = coco.select(F.col("image_id").alias("_c"), "file_name", F.col("width").alias("_cw"), F.col("height").alias("_ch"), F.col("boxes").alias("_live"))
+    j = rows.join(q, F.col("question_id") == F.col("_q"), "left").join(f, F.col("image_path") == F.col("_p"), "left").join(c, F.col("image_id") == F.col("_c"), "left")
+    asked, there, known = F.col("_q").isNotNull(), F.col("_p").isNotNull(), F.col("_c").isNotNull()
+    whole = asked & there & known
+    inside = lambda b: (b["x1"] >= 0) & (b["x1"] < b["x2"]) & (b["x2"] <= F.col("_fw")) & (b["y1"] >= 0) & (b["y1"] < b["y2"]) & (b["y2"] <= F.col("_fh"))
+    issues = {
+        "missing_vqav2_question": ~asked, "question_image_id_mismatch": asked & (F.col("_qi") != F.col("image_id")), "missing_image_file": asked & ~there, "missing_coco_index": asked & there & ~known,
+        "filename_mismatch": whole & (F.element_at(F.split("image_path", "/"), -1) != F.col("file_name")), "size_mismatch_coco_json": whole & ((F.col("_fw") != F.col("_cw")) | (F.col("_fh") != F.col("_ch"))),
+        "boxes_differ_from_live_coco": whole & ~F.col("boxes").eqNullSafe(F.col("_live")), "box_out_of_bounds": whole & F.exists("boxes", lambda b: ~inside(b)),
+    }
+    counted = j.agg(*(F.count_if(v).alias(k) for k, v in issues.items()))
+    unlike = unlike_boxes(rows, "image_id", "boxes").agg(F.count(F.lit(1)).alias("inconsistent_boxes_same_image"))
+    wide = counted.crossJoin(unlike)  # one row each
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(k).alias("issue"), F.col(k).alias("n")) for k in wide.columns))).alias("r")).select("r.*")
+
+
 def resolve_pointers(images: DataFrame, key: str, value: str, depth: int = 12, short: int = 64) -> DataFrame:
     """(key, resolved, hops): values of at most ``short`` characters name another key.  Missing targets and cycles give null.
 

@@ -596,3 +596,6 @@ def balanced_batches(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     rows = streams.stream_table(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "ts")
     return streams.drain(streams.unseen(rows, "event_id", late="3650 days").drop("ts"), spark)
+
+
+from . import formats  # noqa: E402, F401  registers its queries

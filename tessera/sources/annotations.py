@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as X
 
+# Prompts and the order of the pool's sources.
 PROMPT = "Answer the question using a single word or phrase."
 MCQ_PROMPT = "Answer with the best option letter (A, B, C, or D) only."
 MOST_BOXES, LEAST_SIDE = 20, 10.0
@@ -112,18 +113,21 @@ def vqa_samples(questions: DataFrame, annotations: DataFrame, boxes: DataFrame,
 
 
 def aokvqa_samples(rows: DataFrame, boxes: DataFrame, files: DataFrame, excluded: DataFrame) -> DataFrame:
-    """rows: ordinal, question_id, image_id, question, choices, correct_choice_idx, direct_answers.  Choices make an option question."""
+    """rows: ordinal, question_id, image_id, question, choices, correct_choice_idx, direct_answers (or answers).  Choices make an option question."""
+    direct = F.coalesce(*(F.try_element_at(c, F.lit(1)) for c in ("direct_answers", "answers") if c in rows.columns))
     kept = rows.join(excluded.select(F.col("id").alias("question_id")), "question_id", "left_anti").join(boxes, "image_id").join(files.select(F.col("name").alias("file_name"), "path"), "file_name")
     mcq = (F.size("choices") > 0) & F.col("correct_choice_idx").isNotNull()
     question = F.when(mcq, X.choices_prompt(X.strip(F.col("question")), F.col("choices"))).otherwise(F.col("question"))
-    answer = F.when(mcq, X.choices_answer(F.col("choices"), F.col("correct_choice_idx"))).otherwise(F.try_element_at("direct_answers", F.lit(1)))
+    answer = F.when(mcq, X.choices_answer(F.col("choices"), F.col("correct_choice_idx"))).otherwise(direct)
     out = kept.select(*sample(F.col("path"), F.col("boxes"), question, answer, "aokvqa", F.col("question_id"), F.col("image_id"), F.col("ordinal")), mcq.alias("_mcq"))
     return out.where(F.coalesce(F.col("answer"), F.lit("")) != "").withColumn("format_prompt", F.when(F.col("_mcq"), F.lit(MCQ_PROMPT)).otherwise(F.lit(PROMPT))).drop("_mcq")
 
 
-def bbox_of(v: Column) -> Column:
-    """[x1, y1, x2, y2, ...] (variant; or an object holding bbox or box) as a proper box, else null."""
-    inner = F.coalesce(F.try_variant_get(v, "$.bbox", "array<double>"), F.try_variant_get(v, "$.box", "array<double>"), F.try_variant_get(v, "$", "array<double>"))
+def bbox_of(v: Column, depth: int = 4) -> Column:
+    """[x1, y1, x2, y2, ...] (variant; or an object holding bbox or box, also one in another) as a proper box, else null."""
+    for _ in range(depth):
+        v = F.coalesce(F.try_variant_get(v, "$.bbox", "variant"), F.try_variant_get(v, "$.box", "variant"), v)
+    inner = F.try_variant_get(v, "$", "array<double>")
     b = G.box(*(F.try_element_at(inner, F.lit(k)) for k in (1, 2, 3, 4)))
     return F.when((F.size(inner) >= 4) & G.proper(b), b)
 
@@ -144,6 +148,21 @@ def metadata_boxes(boxes: Column, regions: Column) -> Column:
     return F.when(F.size(F.coalesce(first, empty)) > 0, first).otherwise(F.coalesce(second, empty))
 
 
+def vcr_documents(text: DataFrame) -> DataFrame:
+    """(ordinal, value) of the rows of whole JSON documents (column value).
+
+    Rows are the array under ``questions``, else under ``data``, else the document itself; an object gives its values.
+    """
+    v = F.parse_json("value")
+    held = F.coalesce(F.try_variant_get(v, "$.questions", "variant"), F.try_variant_get(v, "$.data", "variant"), v)
+    rows = F.coalesce(F.try_variant_get(held, "$", "array<variant>"), F.map_values(F.try_variant_get(held, "$", "map<string,variant>")))
+    return text.select(F.posexplode(rows).alias("ordinal", "v")).select("ordinal", F.to_json("v").alias("value"))
+
+
+def semantic_type(types: Column) -> Column:
+    return F.coalesce(types["semantic"], F.lit("unknown"))
+
+
 def vcr_rows(text: DataFrame) -> DataFrame:
     """JSON rows (column value, ordinal) -> fields; of id names the first present counts."""
     v = F.parse_json("value")
@@ -194,17 +213,18 @@ def coco_regions(document: DataFrame, files: DataFrame, least: float = LEAST_SID
     """One region an annotation, described by its category."""
     a = document.select(F.posexplode("annotations").alias("o", "a"))
     images = document.select(F.explode("images").alias("i")).select(F.col("i.id").alias("iid"), F.col("i.file_name").alias("name"))
-    names = document.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("cid"), F.col("c.name").alias("category"))
+    names = document.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("cid"), F.col("c.name").alias("category")).distinct()
     b = F.col("a.bbox")
     rows = a.where(G.big_enough(b[2], b[3], least)).join(images, F.col("a.image_id") == F.col("iid")).join(F.broadcast(names), F.col("a.category_id") == F.col("cid")).join(files.select("name", "path"), "name")
     return rows.select(*region(F.col("path"), G.from_xywh(b[0], b[1], b[2], b[3]), F.col("category"), F.lit("coco"), F.col("o")))
 
 
 def refcoco_regions(rows: DataFrame, source: str = "refcoco", split: str = "train", least: float = LEAST_SIDE) -> DataFrame:
-    """rows: ordinal, image_path, bbox [x1,y1,x2,y2], sentences (raw, sent), split.  One region a sentence."""
+    """rows: ordinal, image_path, bbox [x1,y1,x2,y2], sentences (raw, sent; or plain strings), split.  One region a sentence."""
     b = F.col("bbox")
     kept = rows.where((F.col("split") == split) & G.big_enough(b[2] - b[0], b[3] - b[1], least)).select("*", F.posexplode("sentences").alias("j", "s"))
-    said = F.coalesce(F.col("s.raw"), F.col("s.sent"), F.lit(""))
+    plain = dict(rows.dtypes)["sentences"] == "array<string>"
+    said = F.coalesce(F.col("s"), F.lit("")) if plain else F.coalesce(F.col("s.raw"), F.col("s.sent"), F.lit(""))
     out = kept.select(*region(F.col("image_path"), G.box(b[0], b[1], b[2], b[3]), said, F.lit(source), F.col("ordinal") * 1_000 + F.col("j")))
     return out.where("description <> ''")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import scratch
+
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A Parquet folder or file as a stream; event time is a real timestamp."""
@@ -52,9 +52,27 @@ def smooth(rows: DataFrame, key: str, order: str, value: str, factor: float = 0.
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n bigint, ema double", "n bigint, ema double", "update", GroupStateTimeout.NoTimeout)
 
 
+def stop_early(rows: DataFrame, key: str, order: str, value: str, patience: int = 5, least: float = 0.001, factor: float = 0.98) -> DataFrame:
+    """(key, seen, best, stale, stopped) after each batch: the early stop of a training log, with its state kept between batches."""
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mean, best, stale, seen = state.get if state.exists else (None, float("inf"), 0, 0)
+        for x in pd.concat(list(frames)).sort_values(order)[value]:
+            if stale >= patience:
+                break
+            mean = float(x) if mean is None else factor * mean + (1 - factor) * float(x)
+            stale = 0 if best - mean > least else stale + 1
+            best = mean if stale == 0 else best
+            seen += 1
+        state.update((mean, best, stale, seen))
+        yield pd.DataFrame({key: [k[0]], "seen": [seen], "best": [best], "stale": [stale], "stopped": [stale >= patience]})
+
+    kind = dict(rows.dtypes)[key]
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seen bigint, best double, stale int, stopped boolean", "mean double, best double, stale int, seen bigint", "update", GroupStateTimeout.NoTimeout)
+
+
 def drain(rows: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into the shared folder (or memory in complete mode) and read it back."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-stream-")).rstrip("/")
-    name = f"{root}/stream-{uuid.uuid4().hex}"
+    name = scratch(spark, "stream")
     rows.writeStream.format("parquet").outputMode(mode).option("path", f"{name}/out").option("checkpointLocation", f"{name}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{name}/out")

@@ -190,3 +190,78 @@ def test_tag_proposals(spark):
     images = spark.createDataFrame([(1,), (2,)], "image_id int")
     got = {r.image_id: [(p.label, p.score) for p in r.proposals] for r in merge_tag_proposals(images, found).collect()}
     assert got == {1: [("big dog", 0.9), ("sky", 0.1)], 2: [("[fallback: whole image]", 0.0)]}
+
+
+def test_vcr_documents(spark):
+    rows = [{"annot_id": "a", "question": "Is 1 in?", "objects": ["person"], "answer": "yes"}, {"qid": 5, "question": "Why?", "answer": "no"}]
+    for doc in (rows, {"questions": rows}, {"data": rows}, {"questions": {"x": rows[0], "y": rows[1]}}):
+        text = spark.createDataFrame([(json.dumps(doc),)], "value string")
+        got = A.vcr_rows(A.vcr_documents(text)).select("id", A.vcr_question().alias("q")).collect()
+        assert sorted(map(tuple, got)) == [("5", "Why?"), ("a", "Is Casey in?")]
+    v = spark.createDataFrame([('{"box": {"bbox": {"box": [0, 1, 5, 6, 0.9]}}}',), ('{"bbox": null}',), ('"dog"',), ("[3, 3, 1, 1]",)], "j string").select(A.bbox_of(F.parse_json("j")).alias("b")).collect()
+    assert [tuple(r.b) if r.b else None for r in v] == [(0, 1, 5, 6), None, None, None]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(10, "b"), (2, "a"), (7, "c")], "question_id bigint, answer string")
+    S.write_json_array(rows, "question_id", str(tmp_path / "sub"))
+    (part,) = (tmp_path / "sub").glob("part-*")
+    assert json.loads(part.read_text()) == [{"question_id": 2, "answer": "a"}, {"question_id": 7, "answer": "c"}, {"question_id": 10, "answer": "b"}]
+    S.write_audit(spark.createDataFrame([(1, "x", 3)], "train_idx int, train_image string, hamming_distance int"), str(tmp_path / "audit"))
+    (part,) = (tmp_path / "audit").glob("part-*")
+    assert part.read_text().split("\n")[0].split(",") == list(S.MATCH_AUDIT)
+    from tessera.operators import decontam as D
+
+    one = lambda schema, *r: spark.createDataFrame(list(r), schema)
+    log = D.decontamination_log(one("train_id bigint, ref_id bigint, distance int", (1, 5, 2), (1, 4, 3)), one("train_id bigint, rank int, ref_id bigint, similarity double", (1, 1, 9, 0.5), (2, 1, 8, 0.9)), one("train_id bigint", (3,)))
+    D.write_decontamination_log(log, str(tmp_path / "log"))
+    back = {r.train_id: r for r in D.read_decontamination_log(spark, str(tmp_path / "log")).collect()}
+    assert [m.ref_id for m in back[1].hash_matches] == [4, 5] and back[2].neighbours[0].similarity == 0.9 and back[3].corrupt
+
+
+def test_cache_is_keyed_by_its_inputs(spark, tmp_path):
+    from tessera.sources.shared import cached
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    (tmp_path / "a.bin").write_bytes(b"1")
+    key = S.fingerprint(S.inventory(spark, str(tmp_path)))
+    assert cached(spark, "hash", key, make).count() == cached(spark, "hash", key, make).count() == 3 and made == [1]
+    (tmp_path / "b.bin").write_bytes(b"22")
+    assert S.fingerprint(S.inventory(spark, str(tmp_path))) != key
+    assert S.local_or_none(spark, [str(tmp_path / "none"), str(tmp_path / "no")]) is None
+
+
+def test_holding_is_the_same_by_pairs(spark):
+    from tessera.operators import decontam as D
+
+    texts = ["a b c d e", "x alpha beta gamma delta y", "alphabeta", "", None, "one two", "the long beta gamma delta here", "zalpha beta gamma deltaz"]
+    items = ["alpha beta gamma delta", "b c", " ", "one two", "none of these here", "long beta gamma delta her"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    found = spark.createDataFrame([(x,) for x in items], "item string")
+    want = {i for i, t in enumerate(texts) if t and any(x in t for x in items if x.strip())}
+    for limit in (1 << 20, 0, 90):
+        assert {r[0] for r in D.holding(docs, found, "id", "t", "item", limit=max(1, limit)).collect()} == want
+
+
+def test_folds_equal_columns(spark):
+    df = spark.createDataFrame([(k, i, float((i * 7 + k) % 11)) for k in range(4) for i in range(25)], "k bigint, i bigint, v double")
+    arrays = df.groupBy("k").agg(R.ordered(F.col("v"), F.col("i")).alias("v"))
+    want = {r.k: (r.e, r.s) for r in arrays.select("k", R.ema(F.col("v")).alias("e"), R.early_stop(F.col("v"), 3).alias("s")).collect()}
+    emas = {r.k: r for r in R.ema_runs(df, "k", ["i"], "v").collect()}
+    stops = {r.k: r for r in R.early_stop_runs(df, "k", ["i"], "v", 3).collect()}
+    for k, (e, s) in want.items():
+        assert emas[k].n == 25 and abs(emas[k].ema - e) < 1e-12
+        assert (stops[k].best, stops[k].stale, stops[k].stopped_at, stops[k].seen) == tuple(s)
+
+
+def test_stops_beyond_the_cap(spark):
+    from tessera.functions import text as X
+
+    t = spark.createDataFrame([("a." * 40 + "1.5",)], "t string")
+    r = t.select(X.drop_stops(F.col("t")).alias("a"), X.drop_stops(F.col("t"), 32).alias("b"), X.drop_stops(F.col("t"), 50).alias("c")).first()
+    assert r.a == r.c == "a" * 40 + ".1.5" and r.b == "a" * 32 + "a." * 8 + "1.5"
