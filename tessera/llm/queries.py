@@ -91,5 +91,27 @@ from m
 """
 
 
+OP1_SQL = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+), g as (
+  select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w
+), n as (
+  select doc_id, count(*) as n from g group by 1
+), shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+), link as (
+  select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)
+), edge as (
+  select a, b from link union all select b, a from link
+), reach as (
+  select doc_id, doc_id as root from documents union select e.b, r.root from reach r join edge e on e.a = r.doc_id
+), least_root as (
+  select doc_id, min(root) as component_id from reach group by 1
+)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from least_root left join n using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_bundles": OP5_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op5_warc_bundles": OP5_SQL}
