@@ -273,20 +273,9 @@ def id_intersect(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).intersect(table(spark, sf_dir, "orders").select("o_custkey"))
 
 
-@query("""select doc_id, i, w as phrase from (select doc_id, i, string_split(text, ' ')[i] as w from documents, range(1, 6) r(i)) s where w is not null and length(regexp_replace(w, '^\\s+|\\s+$', '', 'g')) >= 3 and regexp_replace(w, '^\\s+|\\s+$', '', 'g') = w""")
+@query("""select doc_id, i, w as phrase from (select doc_id, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as i from documents) s where length(regexp_replace(w, '^\\s+|\\s+$', '', 'g')) >= 3 and regexp_replace(w, '^\\s+|\\s+$', '', 'g') = w""")
 def grit_spans(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.slice(F.split("text", " ", 6), 1, 5).alias("w"))
-    lengths = F.transform("w", F.length)
-    starts = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x + 1))
-    spans = d.select("doc_id", "text", F.posexplode(F.arrays_zip(starts.alias("s"), lengths.alias("l"))).alias("p", "x"))
-    phrase = X.span_text(F.col("text"), F.col("x.s"), F.col("x.s") + F.col("x.l"))
-    raw = F.substring(F.col("text"), F.col("x.s") + 1, F.col("x.l"))
-    return spans.select("doc_id", (F.col("p") + 1).cast("bigint").alias("i"), phrase.alias("phrase")).where((F.length("phrase") >= 3) & (F.length("phrase") == F.length(raw)))
-
-
-@query()
-def grit_spans_all(spark, sf_dir):
-    """The spans of every word of a text; ``grit_spans`` and its SQL take the first five."""
+    """The spans of every word of a text."""
     w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
     # A word is its own character span of the text; cutting it out by offset would make long texts quadratic.
     phrase = X.span_text(F.col("w"), F.lit(0), F.length("w"))
@@ -320,24 +309,14 @@ def normalise_text(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.normalise_answer(F.col("text")).alias("normalised"))
 
 
-@query("""with t as (select user_id, event_type, row_number() over (partition by user_id order by event_id) as r from events),
-p as (select event_type as top from events group by 1 order by count(*) desc, min(event_id) limit 1),
-g as (select user_id, count_if(event_type = top) as m, count(*) as n from t, p where r <= 10 group by 1)
+@query("""with p as (select event_type as top from events group by 1 order by count(*) desc, min(event_id) limit 1),
+g as (select user_id, count_if(event_type = top) as m, count(*) as n from events, p where event_type is not null group by 1)
 select user_id, round((m * least((m - 1) / 3.0::double, 1) + (n - m) * least(m / 3.0::double, 1)) / n, 6) as score from g""")
 def soft_score(spark, sf_dir):
+    """Over all events of a user, as sums of counts: no user's events are gathered."""
     e = table(spark, sf_dir, "events")
     top = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("p")).agg(F.max_by("event_type", F.struct("n", (-F.col("p")).alias("q"))).alias("top"))
-    first = P.top_per_group(e.select("user_id", "event_id", "event_type"), ["user_id"], [F.col("event_id")], 10)
-    g = first.groupBy("user_id").agg(F.collect_list("event_type").alias("gts")).crossJoin(F.broadcast(top))
-    return g.select("user_id", r6(X.vqa_soft_score(F.col("top"), F.col("gts"))).alias("score"))
-
-
-@query()
-def soft_score_all(spark, sf_dir):
-    """Over all events of a user; ``soft_score`` and its SQL take the first ten."""
-    e = table(spark, sf_dir, "events")
-    top = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("p")).agg(F.max_by("event_type", F.struct("n", (-F.col("p")).alias("q"))).alias("top"))
-    # One row a user and type, so no user's events are gathered: the matches of X.vqa_soft_score are sums of counts.
+    # One row a user and type: the matches of X.vqa_soft_score are sums of counts.
     types = e.where("event_type is not null").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(top))
     plain, pred = X.plain_blanks(F.col("event_type")), X.plain_blanks(F.col("top"))
     same = X.normalise_answer(F.col("event_type")) == X.normalise_answer(F.col("top"))
@@ -347,6 +326,12 @@ def soft_score_all(spark, sf_dir):
     return g.select("user_id", r6((m * F.least((m - 1) / 3, one) + (n - m) * F.least(m / 3, one)) / n).alias("score"))
 
 
+@query("""select l_orderkey, round((m * least((m - 1) / 3.0::double, 1) + (n - m) * least(m / 3.0::double, 1)) / n, 6) as score from (select l_orderkey, count_if(l_returnflag = 'N') as m, count(*) as n from lineitem group by 1) g""")
+def soft_score_of_orders(spark, sf_dir):
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("gts"))
+    return g.select("l_orderkey", r6(X.vqa_soft_score(F.lit("N"), F.col("gts"))).alias("score"))
+
+
 @query(r"""select doc_id, nullif(regexp_extract(' ' || regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g') || ' ', ' (yes|no) ', 1), '') as answer from documents""")
 def yes_no(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.nullif(F.regexp_extract(F.lower("text"), r"(?U)(?<![\p{L}\p{N}_])(yes|no)(?![\p{L}\p{N}_])", 1), F.lit("")).alias("answer"))
@@ -509,14 +494,30 @@ def iou_pairs(spark, sf_dir):
     return pairs.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("pairs"), r6(F.max(G.iou(F.col("b"), F.col("c")))).alias("best_iou"))
 
 
-@query()
+_RANKED_SQL = """p as (select l_orderkey as o, row_number() over (partition by l_orderkey order by l_discount desc, l_linenumber, l_partkey) as r, {'l': cast(l_linenumber as varchar), 'x1': l_quantity::double, 'y1': l_tax * 100,
+  'x2': l_quantity + 20.0::double, 'y2': l_tax * 100 + 5 + l_linenumber::double} as b from lineitem)"""
+_INTER = "greatest(0, least(k.x2, p.b.x2) - greatest(k.x1, p.b.x1)) * greatest(0, least(k.y2, p.b.y2) - greatest(k.y1, p.b.y1))"
+_AREA_K, _AREA_P = "((k.x2 - k.x1) * (k.y2 - k.y1))", "((p.b.x2 - p.b.x1) * (p.b.y2 - p.b.y1))"
+
+
+def _greedy_sql(name: str, test: str) -> str:
+    """A walk over each order's proposals by score that keeps those for which no kept one passes the test."""
+    return f"""{name}(o, r, kept) as (select distinct o, 0::bigint, (select list(b) from p where false) from p union all
+  select w.o, w.r + 1, case when len(list_filter(coalesce(w.kept, []), lambda k: {test})) > 0 then w.kept else list_append(coalesce(w.kept, []), p.b) end from {name} w join p on p.o = w.o and p.r = w.r + 1)"""
+
+
+@query(f"""with recursive {_RANKED_SQL}, {_greedy_sql("walk", f"{_INTER} / ({_AREA_K} + {_AREA_P} - {_INTER}) > 0.5")}
+select o as l_orderkey, max(r)::int as n, list_transform(arg_max(kept, r), lambda k: k.l) as kept from walk group by 1""")
 def nms_keep(spark, sf_dir):
     p = _proposals(spark, sf_dir)
     kept = G.suppress(F.col("props"), _PROPOSAL, 0.5)
     return p.select("l_orderkey", F.size("props").alias("n"), F.transform(kept, lambda k: k["label"]).alias("kept"))
 
 
-@query()
+@query(f"""with recursive {_RANKED_SQL}, {_greedy_sql("walk", f"{_INTER} / {_AREA_P} >= 0.85 and {_AREA_P} < {_AREA_K} and {_AREA_P} / {_AREA_K} <= 0.5")},
+{_greedy_sql("nms", f"{_INTER} / ({_AREA_K} + {_AREA_P} - {_INTER}) > 0.95")},
+c as (select o, max(r) as n, len(arg_max(kept, r)) as kept from walk group by 1), f as (select o, least(len(arg_max(kept, r)), 3) as final from nms group by 1)
+select o as l_orderkey, n::int as n, kept::int as kept, final::int as final from c join f using (o)""")
 def containment(spark, sf_dir):
     p = _proposals(spark, sf_dir)
     return p.select("l_orderkey", F.size("props").alias("n"), F.size(G.drop_contained(F.col("props"), _PROPOSAL)).alias("kept"), F.size(G.finish_proposals(F.col("props"), _PROPOSAL, 3)).alias("final"))
