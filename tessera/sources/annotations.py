@@ -134,7 +134,7 @@ def bbox_of(v: Column, depth: int = 4) -> Column:
 
 def metadata_boxes(boxes: Column, regions: Column) -> Column:
     """Boxes that parse; without any, regions by bbox, else by box as xywh."""
-    first = F.filter(F.transform(boxes, bbox_of), lambda b: b.isNotNull())
+    first = F.filter(F.transform(boxes, lambda b: bbox_of(b)), lambda b: b.isNotNull())
 
     def region(r: Column) -> Column:
         v = F.coalesce(F.try_variant_get(r, "$.box", "array<double>"), F.try_variant_get(r, "$.bbox_xywh", "array<double>"))

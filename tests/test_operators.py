@@ -207,7 +207,7 @@ def test_sinks(spark, tmp_path):
     S.write_json_array(rows, "question_id", str(tmp_path / "sub"))
     (part,) = (tmp_path / "sub").glob("part-*")
     assert json.loads(part.read_text()) == [{"question_id": 2, "answer": "a"}, {"question_id": 7, "answer": "c"}, {"question_id": 10, "answer": "b"}]
-    S.write_audit(spark.createDataFrame([(1, "x", 3)], "train_idx int, train_image string, hamming_distance int"), str(tmp_path / "audit"))
+    S.write_audit(spark.createDataFrame([(1, "x", 3)], "train_idx int, train_image string, hamming_distance int").coalesce(1), str(tmp_path / "audit"))
     (part,) = (tmp_path / "audit").glob("part-*")
     assert part.read_text().split("\n")[0].split(",") == list(S.MATCH_AUDIT)
     from tessera.operators import decontam as D
