@@ -4,9 +4,9 @@ A bundle is one file of independent Zstandard frames, each holding a group of WA
 seek table in a skippable frame.  An index maps every record identifier to its bundle, frame and offset in the frame.
 Equal payloads are stored once: the others become revisit records that refer to the stored one.
 
-Defined results: a null payload is empty; equal payloads are compared by SHA-1 and length; ties on the largest id (rows
-repeated with one id) make one of them the response and the others revisits of that id; null ids are written and never
-referred to while another id has the payload; an empty table writes no bundle and gives no rows; other columns are ignored.
+Defined results: ids are integers; a null payload is empty; equal payloads are compared by SHA-1 and length; of rows that
+repeat the largest id all are responses; null ids are written and never referred to while another id has the payload; an empty
+table writes no bundle and gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
     rows = pages.select(F.col(id_col).alias("_id"), F.xxhash64(url_col, html_col).alias("_row"), F.sha1(body).alias("digest"), F.octet_length(body).cast("bigint").alias("size"))
     same = rows.where(F.col("size") >= LEAST_SHARED).groupBy("digest", "size").agg(F.max(F.struct("_id", "_row")).alias("best"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     # Few digests have copies, but one may have most rows: the join is on narrow rows and adaptive execution splits it.
-    first = F.col("_id").eqNullSafe(F.col("best._id")) & (F.col("_row") == F.col("best._row"))
+    first = F.col("_id").eqNullSafe(F.col("best._id"))
     return rows.join(same, ["digest", "size"]).where(~first).select("_id", "_row", F.col("best._id").alias("_to"), F.col("best._row").alias("_to_row"))
 
 
