@@ -224,7 +224,9 @@ def _result(batch: pa.RecordBatch, cols: list[list], threshold: float, item_type
 
 def _by_seed_join(docs: DataFrame, items: DataFrame, width: int, threshold: float, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """The same for a benchmark of any size: seeds of both sides meet by hash, pairs that share enough are tiled."""
-    numbered = materialise(docs.withColumn("_no", F.monotonically_increasing_id()), "decontaminate-docs")
+    # Only the kept columns and the text go on, under names of their own.
+    kept = [F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)]
+    numbered = materialise(docs.select(*kept, F.col(text_col).cast("string").alias("_tile_text")).withColumn("_no", F.monotonically_increasing_id()), "decontaminate-docs")
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,10 +254,10 @@ def _by_seed_join(docs: DataFrame, items: DataFrame, width: int, threshold: floa
     item_type = dict(items.dtypes)["item"]
     right = materialise(items.mapInArrow(item_seeds, f"item {item_type}, seed bigint, times bigint, n int"), "decontaminate-seeds")
     widths = sorted(r[0] for r in right.select(F.least("n", F.lit(width))).distinct().collect())  # ``width`` of them at most
-    left = numbered.select("_no", text_col).mapInArrow(seeds, "no bigint, seed bigint")
+    left = numbered.select("_no", "_tile_text").mapInArrow(seeds, "no bigint, seed bigint")
     # A place of a seed in the item covers at most width of its n tokens; a seed that the item repeats has several places.
     close = left.join(right, "seed").groupBy("no", "item").agg(F.sum("times").alias("k"), F.first("n").alias("n")).where(F.col("k") * width >= F.col("n") * threshold)
-    pairs = close.join(items, "item").join(numbered.select(F.col("_no").alias("no"), F.col(text_col).alias("doc")), "no").select("no", "item", "text", "doc")
+    pairs = close.join(items, "item").join(numbered.select(F.col("_no").alias("no"), F.col("_tile_text").alias("doc")), "no").select("no", "item", "text", "doc")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,5 +273,5 @@ def _by_seed_join(docs: DataFrame, items: DataFrame, width: int, threshold: floa
     best = tiled.groupBy("no").agg(F.min_by(F.struct("item", "coverage", "tiles"), rank).alias("b"), F.count_if(F.col("coverage") >= threshold).alias("c"))
     n = F.coalesce("c", F.lit(0)).cast("int")
     return numbered.join(best, F.col("_no") == F.col("no"), "left").select(
-        *keep, F.col("b.item").alias("item_id"), F.coalesce("b.coverage", F.lit(0.0)).alias("coverage"), F.coalesce("b.tiles", F.lit(0)).alias("n_tiles"), n.alias("n_items"), (n > 0).alias("contaminated"),
+        *(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)), F.col("b.item").alias("item_id"), F.coalesce("b.coverage", F.lit(0.0)).alias("coverage"), F.coalesce("b.tiles", F.lit(0)).alias("n_tiles"), n.alias("n_items"), (n > 0).alias("contaminated"),
     )

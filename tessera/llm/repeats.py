@@ -20,7 +20,7 @@ earlier start).  The work is split by content so that no task sees more than its
    stay together, and splits are repeated until a part is small enough to merge; at the last a part is one window.
 4. Covered ranges meet their documents and the remaining bytes are digested.
 
-Defined results: null and empty texts have 0 bytes; documents order by id, null ids first, equal ids by a hash of the text
+Defined results: ids are integers, and -2^63 counts as null; null and empty texts have 0 bytes; documents order by id, null ids first, equal ids by a hash of the text
 and rows that repeat id and text are one document with one result; texts shorter than WINDOW lose nothing; an empty table gives no rows; other columns are ignored.
 """
 

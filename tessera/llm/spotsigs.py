@@ -8,7 +8,7 @@ Likeness is the Jaccard measure, compared by length partition and pruning: sets
 to reach ``least`` are 0 at once, and the walk over two sets stops with 0 where the signatures left cannot lift it to ``least``
 any more.  What is not pruned is exact.  Near-duplicate search compares only sets in the same or the next length partition.
 
-Defined results: null and empty texts have an empty set and are like each other only; a text without signatures is known by its
+Defined results: ids are integers, and -2^63 counts as null; null and empty texts have an empty set and are like each other only; a text without signatures is known by its
 words, one without words by its bytes; ties in the id order go by a hash of the text; null ids come first; the next document of
 the last row is the first; a single row is its own next document; other columns are ignored.
 """

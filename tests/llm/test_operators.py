@@ -395,7 +395,7 @@ def test_archives(spark):
     from tessera.llm.storage import scratch_path
 
     big = "x" * 1500
-    rows = [(1, "http://a", big), (2, "http://a\r\nb", big), (3, None, "y" * 10), (4, "u", "y" * 10), (5, "u", None), (6, "u", ""), (7, "u", "é" * 600), (8, "v", "é" * 600), (9, "w", big), (9, "w", big), (None, "n", big)]
+    rows = [(1, "http://a", big), (2, "http://a\r\nb", big), (3, None, "y" * 10), (4, "u", "y" * 10), (5, "u", None), (6, "u", ""), (7, "u", "é" * 600), (8, "v", "é" * 600), (9, "w", big), (9, "w", big), (9, "other", big), (None, "n", big)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("digest", F.lit(1))
     got = sorted((r.page_id if r.page_id is not None else -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.warc_round_trip(df).collect())
     sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
@@ -673,6 +673,29 @@ def test_spot_signatures(spark, prose):
     assert {frozenset((r.a, r.b)) for r in pairs.collect()} == want
 
 
+def test_very_long_texts(spark):
+    """Texts of 50,000 words and more, whole."""
+    from tessera.llm import html_text, langid, minhash, pii, repeats, spotsigs
+
+    rng = random.Random(30)
+    words = "the of and to in a is for it red fox dog runs far hill river stone cloud".split()
+    long = " ".join(rng.choice(words) + rng.choice(["", "s", "ed"]) for _ in range(50_000))
+    other = " ".join("el perro corre por la casa verde".split()[rng.randrange(7)] for _ in range(30))
+    texts = [long, long + " write to joe at example dot org", other, long[:1000]]
+    docs = docs_of(spark, texts)
+    assert [r.component_id for r in minhash.near_duplicates(docs).orderBy("doc_id").collect()] == [0, 0, 2, 3]
+    assert [r.spans.split(":")[0] for r in pii.pii_spans(docs).orderBy("doc_id").collect()] == ["", "email", "", ""]
+    spot = spotsigs.fingerprint_with_next(docs).orderBy("doc_id").collect()
+    assert spot[0].near_next > 0.99 and spot[0].n_chars == len(long)
+    got = repeats.remove_repeats(docs).orderBy("doc_id").collect()
+    assert got[0].n_removed < 1000 and got[1].n_bytes - got[1].n_removed < 1000 and got[3].n_removed == 1000
+    model = langid.train_crf([long[:5000].encode(), other.encode()], ["en", "es"])
+    assert [r.lang_pred for r in langid.predict_languages(docs, model, keep=("doc_id",)).orderBy("doc_id").collect()] == ["en", "en", "es", "en"]
+    page = "<article>" + "".join(f"<p>{long[k : k + 200]}</p>" for k in range(0, len(long), 200)) + "</article>"
+    pages = spark.createDataFrame([(1, "http://a/1", page), (2, "http://a/2", "<p>short</p>")], "page_id bigint, url string, html string")
+    assert sorted(r.n_chars > 200_000 for r in html_text.extract_main_text(pages).collect()) == [False, True]
+
+
 # ---- mixing
 
 
