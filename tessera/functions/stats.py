@@ -87,11 +87,16 @@ def chi2_tail(x: float) -> float:
 def _tail(f: Callable[..., float], *columns: Column) -> Column:
     """A stdlib function over a few rows.  Made where it is used: a worker that only imports this module has no session."""
 
-    def run(*series: pd.Series) -> pd.Series:
+    def each(*series: pd.Series) -> pd.Series:
         return pd.Series([f(*x) for x in zip(*series)], dtype=float)
 
-    one = F.pandas_udf(lambda a: run(a), "double", F.PandasUDFType.SCALAR) if len(columns) == 1 else F.pandas_udf(lambda a, b: run(a, b), "double", F.PandasUDFType.SCALAR)
-    return one(*(c.cast("double") for c in columns))
+    def one(a: pd.Series) -> pd.Series:
+        return each(a)
+
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return each(a, b)
+
+    return F.pandas_udf(one if len(columns) == 1 else two, "double")(*(c.cast("double") for c in columns))
 
 
 def t_p_value(t: Column, df: Column) -> Column:
