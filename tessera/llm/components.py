@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialise
+from .storage import discard
+from .storage import materialise as _materialise
+
+materialise = partial(_materialise, codec="none")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:

@@ -23,6 +23,7 @@ others; rows that repeat an id are documents of their own, named by that id; an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Components
-from .storage import discard, materialise, tidy
+from .storage import discard, tidy
+from .storage import materialise as _materialise
 from .textvec import batch_slices, mix, powers, shingle_sets
 
+materialise = partial(_materialise, codec="none")
 BANDS, ROWS = 24, 5
 SAMPLES = BANDS * ROWS
 SKETCH_WORDS = 8

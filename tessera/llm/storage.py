@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4MB"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,13 +33,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    Zstandard takes no direct buffers, which the default codec leaves outside the heap until a collection comes by.
+    ``codec`` none suits many small tables of hashes: they hardly shrink, and a codec's buffers lie outside the heap, where they
+    stay until a collection comes by.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", codec) if codec else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,8 +62,16 @@ def discard(df: DataFrame) -> None:
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES in this session, unless it has a bound of its own: ten thousand texts may be anything."""
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def tidy(kernel: Kernel) -> Kernel:
-    """``kernel`` with its freed memory given back at the end of a partition: workers wait for their next task in little of it."""
+    """``kernel`` on batches of bounded bytes, its freed memory given back at the end of a partition: workers wait in little of it."""
+    if spark := SparkSession.getActiveSession():
+        bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from kernel(batches)
