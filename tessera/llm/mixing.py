@@ -140,16 +140,17 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_rep
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"),
     )
     sized = materialise(sized, "mixing-sizes")  # the words are counted once
-    totals = materialise(sized.groupBy("_source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")), "mixing-totals")
-    if totals.count() <= driver_sources:
-        rows = sorted(totals.collect(), key=lambda r: (r._source is None, r._source or ""))
+    totals = sized.groupBy("_source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs"))
+    rows = totals.limit(max(0, driver_sources) + 1).collect()
+    if len(rows) <= driver_sources:
+        rows.sort(key=lambda r: (r._source is None, r._source or ""))
         sizes = [r.n for r in rows]
         goals = source_targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], max_repeat)
         words = source_words(sizes, goals, block_tokens, max_repeat)
         plan = spark.createDataFrame([(r._source, r.n, r.docs, g, w) for r, g, w in zip(rows, goals, words)], "_source string, n bigint, docs bigint, goal double, words bigint")
         send = F.broadcast
     else:
-        plan, send = plan_many(totals, weights, max_repeat, block_tokens), lambda x: x
+        plan, send = plan_many(materialise(totals, "mixing-totals"), weights, max_repeat, block_tokens), lambda x: x
     n, unit = F.col("n"), F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.floor(F.col("n") / 64)))
     passes = F.when(n > 0, F.least(F.floor(F.col("words") / n), F.lit(max_repeat))).otherwise(0)
     plan = plan.select("_source", n.alias("source_size"), F.col("goal").alias("target"), passes.alias("_passes"), unit.alias("_unit"), F.round((F.col("words") - passes * n) / unit).cast("bigint").alias("_blocks"), F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS), F.ceil(F.col("docs") / SHARD_DOCS))).alias("_shards"))
