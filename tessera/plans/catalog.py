@@ -599,4 +599,4 @@ def stream_dedup(spark, sf_dir):
     return streams.drain(streams.unseen(rows, "event_id", late="3650 days").drop("ts"), spark)
 
 
-from . import formats  # noqa: E402, F401  registers its queries
+from . import documents, formats  # noqa: E402, F401  register their queries

@@ -34,16 +34,27 @@ def sample(image: Column, boxes: Column, question: Column, answer: Column, sourc
     ]
 
 
+# Members of an instances document, for ``files.read_member``.
+COCO_IMAGE = "id bigint, width int, height int, file_name string"
+COCO_ANNOTATION = "image_id bigint, category_id int, bbox array<double>"
+
+
+def boxes_of(images: DataFrame, annotations: DataFrame, least: float = LEAST_SIDE, most: int | None = MOST_BOXES) -> DataFrame:
+    """image_id, boxes, width, height, file_name from rows of images and of annotations (with ``pos``, their place in the file)."""
+    images = images.select(F.col("id").alias("image_id"), "width", "height", "file_name")
+    b = F.col("bbox")
+    fine = annotations.where(G.big_enough(b[2], b[3], least))
+    found = fine.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("pos", G.from_xywh(b[0], b[1], b[2], b[3]).alias("b")))).alias("l"))
+    boxes = F.coalesce(F.transform("l", lambda x: x["b"]), F.array().cast(f"array<{BOX}>"))
+    full = F.when(F.size(boxes) == 0, G.full_frame(F.col("width"), F.col("height"))).otherwise(G.cap_boxes(boxes, most))
+    return images.join(found, "image_id", "left").select("image_id", full.alias("boxes"), "width", "height", "file_name")
+
+
 def coco_boxes(document: DataFrame, least: float = LEAST_SIDE, most: int | None = MOST_BOXES, with_name: bool = True) -> DataFrame:
     """image_id, boxes, width, height (and file_name): boxes in annotation order, capped; none -> the full frame."""
-    images = document.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), F.col("i.width").alias("width"), F.col("i.height").alias("height"), F.col("i.file_name").alias("file_name"))
-    a = document.select(F.posexplode("annotations").alias("pos", "a")).where(G.big_enough(F.col("a.bbox")[2], F.col("a.bbox")[3], least))
-    b = F.col("a.bbox")
-    found = a.groupBy(F.col("a.image_id").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct("pos", G.from_xywh(b[0], b[1], b[2], b[3]).alias("b")))).alias("l"))
-    boxes = F.coalesce(F.transform("l", lambda x: x["b"]), F.array().cast(f"array<{BOX}>"))
-    capped = G.cap_boxes(boxes, most)
-    full = F.when(F.size(boxes) == 0, G.full_frame(F.col("width"), F.col("height"))).otherwise(capped)
-    out = images.join(found, "image_id", "left").select("image_id", full.alias("boxes"), "width", "height", "file_name")
+    images = document.select(F.explode("images").alias("i")).select("i.*")
+    annotations = document.select(F.posexplode("annotations").alias("pos", "a")).select("pos", "a.*")
+    out = boxes_of(images, annotations, least, most)
     return out if with_name else out.drop("file_name")
 
 
