@@ -338,4 +338,4 @@ def read_elements(spark: SparkSession, path: str, field: str | None = None, chun
 
 def parsed(elements: DataFrame, schema: str) -> DataFrame:
     """(offset, key, value) with ``value`` parsed; a malformed element raises."""
-    return elements.withColumn("value", F.from_json("value", schema, {"mode": "FAILFAST"}))
+    return elements.withColumn("value", F.from_json("value", schema, {"mode": "FAILFAST", "maxStringLen": str((1 << 31) - 1)}))
