@@ -119,13 +119,20 @@ def drop_contained(proposals: Column, schema: str, overlap: float = 0.85, most:
     return F.aggregate(_by_score(proposals), start, lambda kept, p: F.when((area(p["box"]) <= 0) | F.exists(kept, lambda k: inside(k, p)), kept).otherwise(F.concat(kept, F.array(p))))
 
 
+def whole_image() -> Column:
+    """What stands for an image in which nothing was proposed."""
+    return F.array(F.struct(F.lit(0.0).alias("score"), box(F.lit(0.0), F.lit(0.0), F.lit(SIDE), F.lit(SIDE)).alias("box"), F.lit("[fallback: whole image]").alias("label")))
+
+
 def finish_proposals(proposals: Column, schema: str, most: int = 20, limit: float = 0.95, contained: bool = False) -> Column:
-    """Suppression, optional containment, then the best ``most``; nothing proposed -> the whole image with score 0."""
+    """Suppression, optional containment, then the best ``most``; nothing proposed -> the whole image with score 0.
+
+    For short lists; ``operators.suppression`` does the same by row.
+    """
     kept = suppress(proposals, schema, limit)
     if contained:
         kept = drop_contained(kept, schema)
-    whole = F.array(F.struct(F.lit(0.0).alias("score"), box(F.lit(0.0), F.lit(0.0), F.lit(SIDE), F.lit(SIDE)).alias("box"), F.lit("[fallback: whole image]").alias("label")))
-    return F.when(F.size(proposals) == 0, whole).otherwise(F.slice(kept, 1, most))
+    return F.when(F.size(proposals) == 0, whole_image()).otherwise(F.slice(kept, 1, most))
 
 
 def prefix_length(regions: Column, global_tokens: int = 576, per_region: int = 16) -> Column:

@@ -1,12 +1,10 @@
-"""Paired statistics: closed forms as Columns, distribution tails as pandas UDFs on one row a benchmark."""
+"""Paired statistics as Columns: closed forms, and distribution tails by fractions and series of a fixed number of steps."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,74 +39,92 @@ def mcnemar_interval(b: Column, c: Column, n: Column, alpha: float = 0.05) -> tu
     return low, high
 
 
-def beta_fraction(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x > (a + 1) / (a + b + 2):
-        return 1 - beta_fraction(b, a, 1 - x)
-    tiny, c, d = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1))
-    total = d
-    for m in range(1, 400):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / ((1 + top * d) or tiny)
-            c = (1 + top / c) or tiny
-            total *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return front * total / a
+# ---- distribution tails: fractions and series of a fixed number of steps, as folds ------------------------------------
 
+#: Steps of the incomplete beta fraction; enough for degrees of freedom up to LARGE_DF, beyond which t is turned into a normal deviate.
+BETA_STEPS, LARGE_DF, ERFC_STEPS, BISECTIONS = 400, 20_000, 80, 70
 
-def t_two_sided(t: float, df: float) -> float:
-    if math.isnan(t) or df <= 0:
-        return NAN
-    return 0.0 if math.isinf(t) else beta_fraction(df / 2, 0.5, df / (df + t * t))
 
+def _steps(n: int, down: bool = False) -> Column:
+    return F.sequence(F.lit(n), F.lit(1), F.lit(-1)) if down else F.sequence(F.lit(1), F.lit(n))
 
-def t_quantile(p: float, df: float) -> float:
-    """Upper quantile for p > 1/2 by bisection on the tail."""
-    if math.isnan(p) or df <= 0:
-        return NAN
-    low, high = 0.0, 1.0
-    while t_two_sided(high, df) / 2 > 1 - p:
-        high *= 2
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if t_two_sided(mid, df) / 2 > 1 - p else (low, mid)
-    return (low + high) / 2
 
+def log_gamma(x: Column) -> Column:
+    """ln Gamma of x > 0: Stirling's series at x + 10, less the logarithm of the product between."""
+    y = x + 10.0
+    between = sum((F.ln(x + float(k)) for k in range(1, 10)), F.ln(x))
+    z = 1.0 / (y * y)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z * (1 / 1188 - z * (691 / 360360)))))) / y
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - between
 
-def chi2_tail(x: float) -> float:
-    """Survival function with one degree of freedom."""
-    return NAN if math.isnan(x) else math.erfc(math.sqrt(x / 2))
 
+def _beta_front(a: Column, b: Column, x: Column) -> Column:
+    """I_x(a, b) by its continued fraction, evaluated from its tail; for x below (a + 1) / (a + b + 2)."""
 
-def _tail(f: Callable[..., float], *columns: Column) -> Column:
-    """A stdlib function over a few rows.  Made where it is used: a worker that only imports this module has no session."""
+    def step(acc: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return 1 + even / (1 + odd / acc)
 
-    def each(*series: pd.Series) -> pd.Series:
-        return pd.Series([f(*x) for x in zip(*series)], dtype=float)
+    inner = F.aggregate(_steps(BETA_STEPS, down=True), F.lit(1.0), lambda acc, m: step(acc, m.cast("double")))
+    first = -(a + b) * x / (a + 1)
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.log1p(-x))
+    return front / a / (1 + first / inner)
 
-    def one(a: pd.Series) -> pd.Series:
-        return each(a)
 
-    def two(a: pd.Series, b: pd.Series) -> pd.Series:
-        return each(a, b)
+def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta function; the fraction is taken on the side where it converges."""
+    near = x <= (a + 1) / (a + b + 2)
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).when(near, _beta_front(a, b, x)).otherwise(1 - _beta_front(b, a, 1 - x))
 
-    return F.pandas_udf(one if len(columns) == 1 else two, "double")(*(c.cast("double") for c in columns))
+
+def erfc(x: Column) -> Column:
+    """Complementary error function of x >= 0: a series below 2.5, its continued fraction from there on."""
+    scale = F.exp(-x * x) / math.sqrt(math.pi)
+    term = F.struct((2 * x).alias("term"), (2 * x).alias("sum"))
+
+    def step(s: Column, k: Column) -> Column:
+        t = s["term"] * 2 * x * x / (2 * k + 1)
+        return F.struct(t.alias("term"), (s["sum"] + t).alias("sum"))
+
+    series = 1 - scale * F.aggregate(_steps(ERFC_STEPS), term, step, lambda s: s["sum"])
+    fraction = scale / F.aggregate(_steps(ERFC_STEPS, down=True), x, lambda acc, k: x + (k.cast("double") / 2) / acc)
+    return F.when(x < 2.5, series).otherwise(fraction)
+
+
+def t_deviate(t: Column, df: Column) -> Column:
+    """The normal deviate with the tail of t, by Hill's expansion: for many degrees of freedom."""
+    a = df - 0.5
+    b = 48 * a * a
+    z = F.sqrt(a * F.log1p(t * t / df))
+    z2 = z * z
+    return z + z * (z2 + 3) / b - z * (((4 * z2 + 33) * z2 + 240) * z2 + 855) / (10 * b * (b + 0.8 * z2 * z2 + 100))
 
 
 def t_p_value(t: Column, df: Column) -> Column:
-    return _tail(t_two_sided, t, df)
+    """Two-sided p of Student's t; above LARGE_DF degrees of freedom that of the normal deviate of the same tail."""
+    exact = incomplete_beta(df / 2, F.lit(0.5), df / (df + t * t))
+    large = erfc(t_deviate(t, df) / math.sqrt(2))
+    return F.when(F.isnan(t) | (df <= 0), F.lit(NAN)).when(F.abs(t) == float("inf"), F.lit(0.0)).when(df > LARGE_DF, large).otherwise(exact)
 
 
 def t_critical(p: Column, df: Column) -> Column:
-    return _tail(t_quantile, p, df)
+    """Upper quantile of Student's t for p > 1/2, by bisection on the tail."""
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(float(1 << 20)).alias("high"))
+
+    def step(s: Column, _: Column) -> Column:
+        # Between far ends the middle is geometric, so that small and large quantiles are found alike.
+        mid = F.when(s["high"] > 4 * s["low"] + 4, F.sqrt((s["low"] + 1e-3) * s["high"])).otherwise((s["low"] + s["high"]) / 2)
+        above = t_p_value(mid, df) / 2 > 1 - p
+        return F.struct(F.when(above, mid).otherwise(s["low"]).alias("low"), F.when(above, s["high"]).otherwise(mid).alias("high"))
+
+    found = F.aggregate(_steps(BISECTIONS), start, step, lambda s: (s["low"] + s["high"]) / 2)
+    return F.when(F.isnan(p) | (df <= 0), F.lit(NAN)).otherwise(found)
 
 
 def chi2_p_value(x: Column) -> Column:
-    return _tail(chi2_tail, x)
+    """Survival function of chi-square with one degree of freedom."""
+    return F.when(F.isnan(x), F.lit(NAN)).otherwise(erfc(F.sqrt(x / 2)))
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:

@@ -86,14 +86,19 @@ def agreement_score(matches: Column) -> Column:
     return F.least(F.lit(1.0), matches / 3)
 
 
-def submission(required: DataFrame, log: DataFrame, order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(answers by id, missing ids, extra ids): of repeated predictions the last counts."""
-    last = log.groupBy(F.col("question_id").cast("bigint").alias("question_id")).agg(F.max_by("answer", order).alias("answer")).withColumn("answer", X.submission_answer(F.col("answer")))
+def last_of(value: str, order: str | Sequence[str]) -> Column:
+    """Aggregate: the value that is last by ``order``; of rows that tie there the greatest, so that reruns agree."""
+    return F.max_by(value, F.struct(*([order] if isinstance(order, str) else order), value))
+
+
+def submission(required: DataFrame, log: DataFrame, order: str | Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answers by id, missing ids, extra ids): of repeated predictions the last counts, of those that tie the greatest answer."""
+    last = log.groupBy(F.col("question_id").cast("bigint").alias("question_id")).agg(last_of("answer", order).alias("answer")).withColumn("answer", X.submission_answer(F.col("answer")))
     need = required.select(F.col("question_id").cast("bigint").alias("question_id")).distinct()
     return need.join(last, "question_id"), need.join(last, "question_id", "left_anti"), last.join(need, "question_id", "left_anti").select("question_id")
 
 
-def check_submission(required: DataFrame, log: DataFrame, order: str) -> DataFrame:
+def check_submission(required: DataFrame, log: DataFrame, order: str | Sequence[str]) -> DataFrame:
     """The answers in id order; raises on missing ids and names the first five."""
     answers, missing, _ = submission(required, log, order)
     first = [r[0] for r in missing.orderBy("question_id").limit(5).collect()]
@@ -102,9 +107,9 @@ def check_submission(required: DataFrame, log: DataFrame, order: str) -> DataFra
     return answers.orderBy("question_id")
 
 
-def export_with_predictions(table: DataFrame, log: DataFrame, key: str) -> DataFrame:
-    """Every table row; no prediction gives ''."""
-    keyed = log.groupBy(X.index_key(F.col(key)).alias("_k")).agg(F.any_value("prediction").alias("_p"))
+def export_with_predictions(table: DataFrame, log: DataFrame, key: str, order: str | Sequence[str] = ()) -> DataFrame:
+    """Every table row; no prediction gives ''.  Of repeated predictions the last by ``order`` counts, then the greatest."""
+    keyed = log.groupBy(X.index_key(F.col(key)).alias("_k")).agg(last_of("prediction", order).alias("_p"))
     return table.join(keyed, X.index_key(F.col(key)) == F.col("_k"), "left").drop("_k").withColumn("prediction", F.coalesce("_p", F.lit(""))).drop("_p")
 
 

@@ -174,17 +174,27 @@ def pool_issues(rows: DataFrame, questions: DataFrame, coco: DataFrame, files: D
     return wide.select(F.explode(F.array(*(F.struct(F.lit(k).alias("issue"), F.col(k).alias("n")) for k in wide.columns))).alias("r")).select("r.*")
 
 
-def resolve_pointers(images: DataFrame, key: str, value: str, depth: int = 12, short: int = 64) -> DataFrame:
+def resolve_pointers(images: DataFrame, key: str, value: str, short: int = 64) -> DataFrame:
     """(key, resolved, hops): values of at most ``short`` characters name another key.  Missing targets and cycles give null.
 
-    A bounded number of self-joins on the narrow pointer rows; payloads are joined once at the end.
+    Chains of any length: each round every open row jumps to where its target has jumped already, so a chain of n is done in
+    about log2(n) rounds; a row whose jumps add up to more than there are pointers walks a cycle.  Of values that repeat a
+    key the greatest counts.  Only keys and jump lengths travel; payloads are joined once at the end.
     """
     base = images.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).cast("string").alias("k"), F.trim(F.col(value).cast("string")).alias("v"))
-    base = base.groupBy("k").agg(F.any_value("v").alias("v"))
-    points = base.where(F.length("v") <= short)
-    state = base.select("k", F.when(F.length("v") <= short, F.col("v")).otherwise(F.col("k")).alias("at"), (F.length("v") <= short).alias("open"), F.lit(0).alias("hops"))
-    step = points.select(F.col("k").alias("_k"), F.col("v").alias("_v"))
-    for _ in range(depth):
-        state = state.join(step, F.col("open") & (F.col("at") == F.col("_k")), "left").select("k", F.coalesce("_v", "at").alias("at"), F.col("_v").isNotNull().alias("open"), (F.col("hops") + F.col("open").cast("int")).alias("hops"))
-    full = base.where(F.length("v") > short).select(F.col("k").alias("at"), F.col("v").alias("resolved"))
-    return state.join(full, "at", "left").select("k", F.when(F.col("open"), F.lit(None)).otherwise(F.col("resolved")).alias("resolved"), "hops")
+    base = settled(base.groupBy("k").agg(F.max("v").alias("v")), "pointer-values")
+    is_pointer = F.length("v") <= short
+    state = settled(base.where(is_pointer).select("k", F.col("v").alias("at"), F.lit(1).cast("bigint").alias("hops"), F.lit(True).alias("open")), "pointers")
+    limit = state.count()
+    while True:
+        # A target that is no pointer (payload or missing) ends the chain.
+        ahead = state.select(F.col("k").alias("_k"), F.col("at").alias("_at"), F.col("hops").alias("_hops"))
+        jumped = state.where("open").join(ahead, F.col("at") == F.col("_k"), "left")
+        more = F.col("_k").isNotNull() & (F.col("hops") + F.coalesce("_hops", F.lit(0)) <= limit)
+        moved = jumped.select("k", F.coalesce("_at", "at").alias("at"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), more.alias("open"))
+        state = settled(state.where(~F.col("open")).unionByName(moved), "pointers")
+        if not state.where("open").limit(1).count():
+            break
+    full = base.where(~is_pointer).select(F.col("k").alias("at"), F.col("v").alias("resolved"))
+    followed = state.join(full, "at", "left").select("k", "resolved", F.when(F.col("hops") <= limit, F.col("hops")).alias("hops"))
+    return followed.unionByName(base.where(~is_pointer).select("k", F.col("v").alias("resolved"), F.lit(0).cast("bigint").alias("hops")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Target mix of the pool's sources, and the weight of any other.
@@ -27,6 +29,57 @@ def per_group_sample(df: DataFrame, group: str, key: str, n: int, seed: int = 42
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+#: The modulus, multiplier and rounds of the keyed permutation, small enough for exact 64-bit products.
+FEISTEL_PRIME, FEISTEL_FACTOR, FEISTEL_ROUNDS = 2147483647, 48271, 6
+
+
+def _mixed(half: Column, seed: int, turn: Column) -> Column:
+    """A keyed function of half a place, below FEISTEL_PRIME; squares stay below 2^62."""
+    prime = F.lit(FEISTEL_PRIME)
+    keyed = F.pmod(half + F.pmod(turn * F.lit(7_919) + F.lit((seed * 1_000_003 + 12_345) % FEISTEL_PRIME), prime), prime)
+    return F.pmod(F.pmod(keyed * keyed, prime) * F.lit(FEISTEL_FACTOR) + half, prime)
+
+
+def _feistel(x: Column, rows: int, columns: int, seed: int, back: bool) -> Column:
+    """One pass over 0 .. rows * columns - 1: rounds add a keyed function of one coordinate to the other, each undone by subtraction."""
+    start = F.struct(F.floor(x / columns).cast("bigint").alias("h"), F.pmod(x, F.lit(columns)).cast("bigint").alias("l"))
+    sign = -1 if back else 1
+
+    def step(s: Column, turn: Column) -> Column:
+        first = F.struct(F.pmod(s["h"] + sign * _mixed(s["l"], seed, turn), F.lit(rows)).alias("h"), s["l"].alias("l"))
+        second = F.struct(s["h"].alias("h"), F.pmod(s["l"] + sign * _mixed(s["h"], seed, turn), F.lit(columns)).alias("l"))
+        return F.when(turn % 2 == 0, first).otherwise(second)
+
+    ends = (FEISTEL_ROUNDS - 1, 0, -1) if back else (0, FEISTEL_ROUNDS - 1, 1)
+    turns = F.sequence(*(F.lit(k).cast("bigint") for k in ends))
+    return F.aggregate(turns, start, step, lambda s: s["h"] * columns + s["l"])
+
+
+def permuted(place: Column, n: int, seed: int = 42, epoch: int = 0, back: bool = False) -> Column:
+    """The item at ``place`` of a seeded order of 0 .. n - 1; ``back`` gives the place of an item.  Null outside of 0 .. n - 1.
+
+    A keyed Feistel permutation: an epoch's order needs no sort, and a resumed run starts at any place.  The domain is the
+    least grid of about root n by root n that holds n; a value beyond n is sent through again until it is below, which ends
+    after at most as many passes as there are values beyond (a permutation's path back to itself), nearly always one.
+    """
+    if n <= 0:
+        return F.lit(None).cast("bigint")
+    columns = math.isqrt(n - 1) + 1 if n > 1 else 1
+    rows = -(-n // columns)
+    key, x = (seed * 31 + epoch * 1_009) % FEISTEL_PRIME, place.cast("bigint")
+    once = _feistel(x, rows, columns, key, back)
+    spare = rows * columns - n
+    if spare:
+        again = lambda s, _: F.when(s < n, s).otherwise(_feistel(s, rows, columns, key, back))
+        once = F.aggregate(F.array(F.lit(0)), once, lambda s, _: F.when(s < n, s).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(spare)), s, again)))
+    return F.when((x >= 0) & (x < n), once)
+
+
+def epoch_slice(spark: SparkSession, n: int, start: int = 0, end: int | None = None, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """(place, item) of an epoch from ``start`` on: what a run that stopped there has still to do."""
+    return spark.range(start, n if end is None else min(end, n)).select(F.col("id").alias("place"), permuted(F.col("id"), n, seed, epoch).alias("item"))
+
+
 def mix_weight(source: Column, mix: dict[str, float] = TARGET_MIX) -> Column:
     table = F.create_map(*(F.lit(x) for kv in mix.items() for x in kv))
     return F.coalesce(table[source], F.lit(OTHER_WEIGHT))

@@ -203,10 +203,10 @@ def majority_event(spark, sf_dir):
     return best.select("user_id", F.col("b.event_type").alias("answer"), F.col("b.n").alias("n"))
 
 
-@query("""select l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 6) as price from (select *, count(*) over (partition by l_orderkey) as n, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber, l_partkey) as r from lineitem) s where n <= 3 or r <= 3""")
+@query("""select l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 6) as price from (select *, count(*) over (partition by l_orderkey) as n, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber, l_partkey, l_suppkey) as r from lineitem) s where n <= 3 or r <= 3""")
 def topk_lines_per_order(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    kept = P.cap_rows(li, ["l_orderkey"], F.col("l_extendedprice"), F.struct("l_linenumber", "l_partkey"), 3)
+    kept = P.cap_rows(li, ["l_orderkey"], F.col("l_extendedprice"), F.struct("l_linenumber", "l_partkey", "l_suppkey"), 3)
     return kept.select("l_orderkey", "l_linenumber", "l_partkey", r6(F.col("l_extendedprice")).alias("price"))
 
 
@@ -384,7 +384,7 @@ select origin as p_partkey, arg_max(place, hops) as root, cast(max(hops) as bigi
 def pointer_resolve(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("k"))
     value = F.when(F.col("k") >= 4, F.floor(F.col("k") / 2).cast("string")).otherwise(F.concat(F.repeat(F.lit("x"), 80), F.col("k").cast("string")))
-    out = P.resolve_pointers(p.select("k", value.alias("v")), "k", "v", depth=30)
+    out = P.resolve_pointers(p.select("k", value.alias("v")), "k", "v")
     return out.select(F.col("k").cast("bigint").alias("p_partkey"), F.regexp_extract("resolved", r"(\d+)$", 1).cast("bigint").alias("root"), F.col("hops").cast("bigint").alias("hops"))
 
 

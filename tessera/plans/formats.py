@@ -21,6 +21,9 @@ from ..sources import annotations as A
 from ..sources import files as L
 from .catalog import _PAIR_SQL, _STOP_SQL, _pairs, _sql_normalise, query, r6, table
 
+#: Tells the lines of an order apart, in their order.
+_LINE_KEY = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
 # ---- answers and prompts ---------------------------------------------------------------------------------------------
 
 _LINE = "regexp_replace(split_part(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), 1), '^\\s+|\\s+$', '', 'g')"
@@ -171,7 +174,7 @@ def coco_region_rows(spark, sf_dir):
     return r.groupBy("image", "description", F.round("box.x2", 4).alias("x2")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {_LINES_SQL}, ans as (select l_orderkey as o, l_returnflag as a, count(*) as n, min(l_linenumber::bigint * 1000000000 + l_partkey) as p from lineitem group by 1, 2),
+@query(f"""with {_LINES_SQL}, ans as (select o, a, count(*) as n, min(k) as p from (select l_orderkey as o, l_returnflag as a, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as k from lineitem) z group by 1, 2),
 best as (select * from (select *, row_number() over (partition by o order by n desc, p) as r from ans) x where r = 1)
 select cast(q.o_orderkey as varchar) as question_id, 'What is ' || o_orderpriority || '?' as question, a as answer, b.n::bigint as n_boxes, area from orders q join best on best.o = q.o_orderkey join boxes b on b.o = q.o_orderkey
 where q.o_orderkey % 7 <> 0 and q.o_orderkey % 11 <> 0 and q.o_orderkey % 13 <> 0""")
@@ -179,7 +182,7 @@ def vqa_rows(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     q = o.select("o_custkey", F.struct(F.col("o_orderkey").alias("question_id"), F.col("o_orderkey").alias("image_id"), F.concat(F.lit(" What is "), F.col("o_orderpriority"), F.lit("? ")).alias("question")).alias("q"))
     questions = q.groupBy("o_custkey").agg(F.collect_list("q").alias("questions"))
-    a = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))), lambda x: F.struct(x["l_returnflag"].alias("answer"))).alias("answers"))
+    a = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(*_LINE_KEY, "l_returnflag"))), lambda x: F.struct(x["l_returnflag"].alias("answer"))).alias("answers"))
     notes = a.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("question_id"), F.col("o_orderkey").alias("image_id"), "answers")).alias("annotations"))
     skip = lambda k: o.where(f"o_orderkey % {k} = 0").select(F.col("o_orderkey").cast("string").alias("id"))
     rows = A.vqa_samples(questions, notes, A.coco_boxes(_document(spark, sf_dir), most=3), _files(spark, sf_dir), skip(11), skip(13))
@@ -216,7 +219,7 @@ def gqa_rows(spark, sf_dir):
 
 
 @query("""select 'w' || o_orderkey as question_id, case when l.l_orderkey is null then 'said' else l.l_returnflag end as answer, case when l.l_orderkey is null then 2400 else round(l_quantity::double * 3, 4) end as area
-from orders left join (select l_orderkey, arg_min(l_returnflag, l_linenumber::bigint * 1000000000 + l_partkey) as l_returnflag, arg_min(l_quantity, l_linenumber::bigint * 1000000000 + l_partkey) as l_quantity from lineitem group by 1) l on l_orderkey = o_orderkey and o_orderkey % 3 = 0
+from orders left join (select l_orderkey, l_returnflag, l_quantity, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as r from lineitem) l on l_orderkey = o_orderkey and r = 1 and o_orderkey % 3 = 0
 where o_orderkey % 7 <> 0 and o_orderkey % 4 <> 3""")
 def visual7w_rows(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -229,7 +232,7 @@ def visual7w_rows(spark, sf_dir):
         F.lit(None).cast("array<double>"), F.lit("Where?"), none, none, none, none,
     ).cast(qa)
     image = F.struct(F.lit("train"), F.concat(F.lit("a/"), key.cast("string"), F.lit(".jpg")), none, F.lit(60.0), F.lit(40.0), key.cast("string")).cast(img)
-    first = F.min_by(F.struct("l_returnflag", "l_quantity"), F.struct("l_linenumber", "l_partkey"))
+    first = F.min_by(F.struct("l_returnflag", "l_quantity"), F.struct(*_LINE_KEY))
     boxes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(first.alias("f")).select(F.col("l_orderkey").alias("box_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("f.l_quantity").cast("double").alias("width"), F.lit(3.0).alias("height"), F.col("f.l_returnflag").alias("name"))
     rows = A.visual7w_samples(o.select(key.alias("ordinal"), pair.alias("qa"), image.alias("img")), boxes, _files(spark, sf_dir), _none(spark))
     answer = F.when(F.col("answer").rlike(r"^\d+$"), F.lit("said")).otherwise(F.col("answer"))
@@ -413,10 +416,10 @@ def allowed_rows(spark, sf_dir):
     return E.take_slice(E.eval_rows(kept, "id", 500), "id", 100, None)
 
 
-@query("select answer, question_id from (select o_orderkey as question_id, coalesce(f, 'unknown') as answer from orders join (select l_orderkey, arg_max(l_returnflag, l_linenumber::bigint * 1000000000 + l_partkey) as f from lineitem group by 1) l on l_orderkey = o_orderkey) x")
+@query("select answer, question_id from (select o_orderkey as question_id, coalesce(f, 'unknown') as answer from orders join (select l_orderkey, l_returnflag as f, row_number() over (partition by l_orderkey order by l_linenumber desc, l_partkey desc, l_suppkey desc, l_extendedprice desc) as r from lineitem) l on l_orderkey = o_orderkey and r = 1) x")
 def submission_rows(spark, sf_dir):
-    log = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("question_id"), F.concat(F.lit(" "), F.col("l_returnflag"), F.lit(".\nmore")).alias("answer"), (F.col("l_linenumber") * F.lit(1_000_000_000).cast("bigint") + F.col("l_partkey")).alias("o"))
-    ok, _, _ = E.submission(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id")), log, "o")
+    log = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("question_id"), F.concat(F.lit(" "), F.col("l_returnflag"), F.lit(".\nmore")).alias("answer"), *_LINE_KEY)
+    ok, _, _ = E.submission(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id")), log, _LINE_KEY)
     return ok.select("question_id", "answer")
 
 

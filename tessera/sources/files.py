@@ -80,9 +80,15 @@ def resolve_first(candidates: DataFrame, files: DataFrame, key: str, path: str =
 
 
 def folder_report(expected: DataFrame, files: DataFrame) -> DataFrame:
-    """name, exists and number of files of each expected folder (columns name, prefix)."""
-    hit = expected.join(files, F.startswith(files["path"], expected["prefix"]), "left")
-    return hit.groupBy("name").agg((F.count("path") > 0).alias("exists"), F.count("path").alias("n_files"))
+    """name, exists and number of files of each expected folder (columns name, prefix); a prefix ends with a slash.
+
+    A path meets the folders above it by equality: it is exploded into its parents, as many as it has slashes.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")))
+    counts = files.where(F.contains("path", F.lit("/"))).select(F.explode(above).alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+    hit = expected.join(counts, "prefix", "left").groupBy("name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
+    return hit.select("name", (F.col("n_files") > 0).alias("exists"), "n_files")
 
 
 def image_id_of(name: Column, prefix: str = "COCO_test2015_") -> Column:
@@ -100,9 +106,15 @@ def decode_image(raw: Column) -> Column:
     return F.unbase64(F.concat(body, F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4)).cast("int"))))
 
 
-def fingerprint(files: DataFrame) -> str:
-    """A digest of a listing (path, length): another set of files gives another one."""
-    return files.agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws(":", "path", F.col("length").cast("string"))))), 256)).first()[0]
+def fingerprint(files: DataFrame, columns: tuple[str, ...] = ("path", "length")) -> str:
+    """A digest of a multiset of rows: another listing gives another one, their order none.
+
+    Row digests are added up lane by lane (eight of 32 bits), so any number of rows is a few numbers a task.
+    """
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    lanes = [F.sum(F.conv(F.substring(row, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"l{i}") for i in range(8)]
+    total = files.agg(F.count(F.lit(1)).alias("n"), *lanes)
+    return total.select(F.sha2(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in total.columns)), 256)).first()[0]
 
 
 def local_or_none(spark: SparkSession, paths: list[str]) -> DataFrame | None:

@@ -101,12 +101,35 @@ def test_clamp(spark):
     assert tuple(one(spark, b)) == pytest.approx((39 * 8.4, 0, 40 * 8.4, 10 * 16.8))
 
 
-def test_tails_against_tables():
-    assert S.t_two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-8)
-    assert S.t_two_sided(12.7062047362, 1) == pytest.approx(0.05, abs=1e-8)
-    assert S.t_quantile(0.975, 30) == pytest.approx(2.042272456, abs=1e-7)
-    assert S.chi2_tail(3.841458821) == pytest.approx(0.05, abs=1e-8)
-    assert math.isnan(S.t_two_sided(float("nan"), 4))
+def test_tails_against_tables(spark):
+    number = lambda c: spark.range(1).select(c.alias("v")).first().v
+    assert number(S.t_p_value(F.lit(2.228138852), F.lit(10.0))) == pytest.approx(0.05, abs=1e-8)
+    assert number(S.t_p_value(F.lit(12.7062047362), F.lit(1.0))) == pytest.approx(0.05, abs=1e-8)
+    assert number(S.t_critical(F.lit(0.975), F.lit(30.0))) == pytest.approx(2.042272456, abs=1e-7)
+    assert number(S.chi2_p_value(F.lit(3.841458821))) == pytest.approx(0.05, abs=1e-8)
+    assert math.isnan(number(S.t_p_value(F.lit(float("nan")), F.lit(4.0))))
+
+
+def test_tails_against_integrals(spark):
+    """Student's t by Simpson's rule over the angle, erfc and log gamma by the standard library."""
+
+    def tail(t, df, n=40_000):
+        a, b = math.atan(t / math.sqrt(df)), math.pi / 2
+        f = lambda x: max(0.0, math.cos(x)) ** (df - 1)
+        s = f(a) + (f(b) if df > 1 else 1.0) + sum((4 if i % 2 else 2) * f(a + i * (b - a) / n) for i in range(1, n))
+        return 2 * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi) * s * (b - a) / n / 3
+
+    cases = [(t, df) for t in (0.01, 1.0, 1.96, 3.0, 12.0) for df in (1.0, 2.0, 7.0, 250.0, 19_999.0, 20_001.0)]
+    got = spark.createDataFrame(cases, "t double, df double").select("t", "df", S.t_p_value(F.col("t"), F.col("df")).alias("p")).collect()
+    assert all(r.p == pytest.approx(tail(r.t, r.df), rel=1e-6, abs=1e-9) for r in got)
+    assert number_of(spark, S.t_p_value(F.lit(float("-inf")), F.lit(4.0))) == 0
+    xs = [(v,) for v in (0.0, 1e-9, 0.3, 1.0, 2.499, 2.5, 4.0, 9.0, 25.0, 60.0)]
+    for r in spark.createDataFrame(xs, "x double").select("x", S.erfc(F.col("x")).alias("e"), S.log_gamma(F.col("x") + 0.5).alias("g")).collect():
+        assert r.e == pytest.approx(math.erfc(r.x), rel=1e-9, abs=1e-15) and r.g == pytest.approx(math.lgamma(r.x + 0.5), abs=1e-11)
+
+
+def number_of(spark, c):
+    return spark.range(1).select(c.alias("v")).first().v
 
 
 @given(st.integers(0, 11), st.integers(0, 11))

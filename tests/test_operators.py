@@ -265,3 +265,104 @@ def test_stops_beyond_the_cap(spark):
     t = spark.createDataFrame([("a." * 40 + "1.5",)], "t string")
     r = t.select(X.drop_stops(F.col("t")).alias("a"), X.drop_stops(F.col("t"), 32).alias("b"), X.drop_stops(F.col("t"), 50).alias("c")).first()
     assert r.a == r.c == "a" * 40 + ".1.5" and r.b == "a" * 32 + "a." * 8 + "1.5"
+
+
+def test_pointers_of_any_length(spark):
+    long = [(f"n{i}", f"n{i + 1}") for i in range(300)] + [("n300", "x" * 70)]
+    cycle = [("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("t", "c0")]
+    df = spark.createDataFrame([*long, *cycle, ("m", "gone"), ("r", "n0"), ("r", "a"), ("s", "s"), (None, "q"), ("q", None)], "k string, v string")
+    got = {r.k: (r.resolved, r.hops) for r in P.resolve_pointers(df, "k", "v").collect()}
+    assert got == {f"n{i}": ("x" * 70, 300 - i) for i in range(301)} | {c: (None, None) for c in ("c0", "c1", "c2", "t", "s")} | {"m": (None, 1), "r": ("x" * 70, 301)}
+    assert P.resolve_pointers(df.limit(0), "k", "v").count() == 0
+
+
+def test_ties_have_one_answer(spark):
+    rows = [("1", a, o, 0) for a in ("b", "c", "a") for o in (1, 2)] + [("2", None, 5, 0), ("2", "x", 4, 0)]
+    samples = spark.createDataFrame([(1,), (2,)], "question_id bigint")
+    for k in range(6):
+        log = spark.createDataFrame(rows[k:] + rows[:k], "question_id string, answer string, o int, z int").repartition(k + 1)
+        assert {(r.question_id, r.answer) for r in E.submission(samples, log, ["o", "z"])[0].collect()} == {(1, "c"), (2, None)}
+    t = spark.createDataFrame([(1,)], "index int")
+    log = spark.createDataFrame([("1", "p", 1), ("1.0", "q", 2), ("1", "r", 2), ("1", "z", 0)], "index string, prediction string, o int")
+    assert E.export_with_predictions(t, log, "index", "o").first().prediction == "r"
+
+
+def test_folder_report_meets_by_parents(spark):
+    paths = ["/a/b/x.jpg", "/a/b/c/y.jpg", "/a/bc/z.jpg", "/d", "plain", None]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    asked = spark.createDataFrame([("ab", "/a/b/"), ("a", "/a/"), ("none", "/q/"), ("two", "/a/b/c/"), ("two", "/a/bc/"), ("root", "/")], "name string, prefix string")
+    assert {tuple(r) for r in S.folder_report(asked, files).collect()} == {("ab", True, 2), ("a", True, 3), ("none", False, 0), ("two", True, 2), ("root", True, 4)}
+
+
+def test_fingerprint_is_of_a_multiset(spark):
+    rows = [("a", 1), ("b", 2), ("b", 2), (None, 3), ("c", None)]
+    frame = lambda r, n: spark.createDataFrame(r, "path string, length bigint").repartition(n)
+    same = {S.fingerprint(frame(rows, 1)), S.fingerprint(frame(rows[::-1], 3))}
+    others = {S.fingerprint(frame(r, 2)) for r in (rows[1:], [*rows, rows[0]], [("a", 2), *rows[1:]], rows[:0], [("a1", None), *rows[1:]])}
+    assert len(same) == 1 and len(others) == 5 and not same & others
+
+
+def test_hash_cache_computes_only_what_is_new(spark, tmp_path):
+    from tessera.sources import hash_cache as H
+
+    asked, cache = [], str(tmp_path / "hashes")
+
+    def hashes(new):
+        asked.append(sorted(r.path for r in new.collect()))
+        return new.where("path not like 'bad%'").select("path", F.array(F.length("path").cast("bigint")).alias("hash"))
+
+    files = lambda *rows: spark.createDataFrame(rows, "path string, length bigint, modified bigint")
+    one, two, bad = ("a", 1, 5), ("bb", 2, 5), ("bad", 3, None)
+    first = H.refresh(files(one, two, bad, bad, (None, 1, 1)), cache, hashes)
+    assert {(r.path, tuple(r.hash) if r.hash else None, r.fresh) for r in first.collect()} == {("a", (1,), True), ("bb", (2,), True), ("bad", None, True)}
+    second = H.refresh(files(one, two, bad, ("ccc", 1, 5)), cache, hashes)
+    assert {(r.path, r.fresh) for r in second.collect()} == {("a", False), ("bb", False), ("bad", False), ("ccc", True)} and asked == [["a", "bad", "bb"], ["ccc"]]
+    assert [r.path for r in H.corrupt(second).collect()] == ["bad"]
+    H.refresh(files(("a", 1, 6)), cache, hashes)
+    assert asked[-1] == ["a"]
+    H.clear(spark, cache)
+    assert {r.fresh for r in H.refresh(files(one), cache, hashes).collect()} == {True}
+
+
+def test_permutation(spark):
+    for n in (1, 2, 3, 5, 10, 16, 17, 100, 997, 5000):
+        rows = spark.range(n).select("id", M.permuted(F.col("id"), n, seed=3).alias("item")).withColumn("back", M.permuted(F.col("item"), n, seed=3, back=True)).collect()
+        assert sorted(r.item for r in rows) == list(range(n)) and all(r.back == r.id for r in rows)
+    order = lambda **k: [r.item for r in M.epoch_slice(spark, 1000, **k).orderBy("place").collect()]
+    whole = order()
+    assert whole[357:] == order(start=357) and whole[10:20] == order(start=10, end=20) and whole != order(epoch=1) != order(seed=1)
+    moved = sum(a != b for a, b in zip(whole, range(1000)))
+    assert moved > 980 and abs(sum(whole[:500]) / 500 - 500) < 50
+    assert spark.range(1).select(M.permuted(F.lit(7), 7).alias("v")).first().v is None
+
+
+def test_suppression_by_row_equals_the_list_form(spark):
+    import random
+
+    from tessera.functions import geometry as G
+    from tessera.operators.proposals import SCHEMA, merge_tag_proposals
+    from tessera.operators.suppression import suppress_rows
+
+    rng, rows = random.Random(4), []
+    for image in range(12):
+        for pos in range(60):
+            x, y, w, h = (rng.choice([0, 1, 2, 5, 30, 31, 100]) for _ in range(4))
+            rows.append((image, f"t{pos % 7}", pos, rng.choice([0.1, 0.2, 0.5, 0.9]), (x * 1.0, y * 1.0, x + w * 1.0 - 1, y + h * 1.0), rng.choice(["", None, "p"])))
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    found = spark.createDataFrame(rows, f"image_id int, tag string, pos int, score double, box {box}, phrase string")
+    images = spark.range(14).select(F.col("id").cast("int").alias("image_id"))
+    for limit, contained, most, per_tag in ((0.5, False, 20, 3), (0.3, True, 50, 60), (0.95, True, 4, 2), (0.0, False, 60, 60)):
+        got = {r.image_id: r.proposals for r in merge_tag_proposals(images, found, per_tag, most, limit, contained).collect()}
+        for image in range(14):
+            mine = [r for r in rows if r[0] == image]
+            kept = []
+            for tag in {r[1] for r in mine}:
+                kept += sorted((r for r in mine if r[1] == tag), key=lambda r: (-r[3], r[2]))[:per_tag]
+            props = [(r[3], r[4], r[5] or r[1]) for r in sorted(kept, key=lambda r: r[2])]
+            df = spark.createDataFrame([(props,)], f"p array<{SCHEMA}>")
+            if image in (0, 5, 13):
+                assert got[image] == df.select(G.finish_proposals(F.col("p"), SCHEMA, most, limit, contained).alias("v")).first().v
+    many = spark.range(50_000).select(F.lit(1).alias("image_id"), (F.col("id") % 997 / 997.0).alias("score"), F.struct(*((F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2000)) / 2.0 + (10.0 if k > 1 else 0.0)).alias(c) for k, c in enumerate(("x1", "y1"))), ).alias("corner"), "id")
+    many = many.select("image_id", "score", "id", F.struct(F.col("corner.x1").alias("x1"), F.col("corner.y1").alias("y1"), (F.col("corner.x1") + 30).alias("x2"), (F.col("corner.y1") + 20).alias("y2")).alias("box"))
+    kept = suppress_rows(many.union(many.withColumn("id", F.col("id") + 50_000)), "image_id", ["id"], 0.4).collect()
+    assert sorted(r.place for r in kept) == list(range(len(kept))) and 1000 < len(kept) < 20_000
