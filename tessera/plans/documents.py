@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..operators import batches as B
+from ..operators import sampling as M
+from ..operators.proposals import merge_tag_proposals
 from ..sources import annotations as A
 from ..sources import files as L
-from ..sources.shared import scratch
-from .catalog import query, table
+from ..sources import hash_cache as H
+from ..sources.shared import scratch, settled
+from ..streaming import runs as streams
+from .catalog import _AREA_K, _AREA_P, _INTER, ORACLE, _greedy_sql, query, r6, table
 from .formats import _LINES_SQL, _area
 
+#: Small here, so that a test table is many ranges.
 CHUNK = 1 << 18
 
 
@@ -35,3 +42,111 @@ def keyed_document_rows(spark, sf_dir):
     L.write_keyed_object(rows, "id", path)
     found = L.read_keyed_object(spark, path, A.GQA_QUESTION, chunk=CHUNK)
     return found.select(F.col("id").alias("question_id"), "value.question", "value.answer")
+
+
+# ---- proposals by row ------------------------------------------------------------------------------------------------
+
+_TAGGED_SQL = """t as (select l_suppkey as o, l_returnflag || l_linenumber as tag, l_extendedprice::double as s, l_orderkey as a, l_linenumber as i, l_partkey as k, l_quantity::double as x1, l_linenumber * 5.0::double as y1,
+  l_quantity + 20.0::double as x2, l_linenumber * 5 + 10.0::double + round(l_discount * 100) as y2 from lineitem where l_suppkey % 7 <> 0),
+p as (select o, row_number() over (partition by o order by s desc, a, i, k) as r, {'l': tag, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} as b
+  from (select *, row_number() over (partition by o, tag order by s desc, a, i, k) as n from t) z where n <= 4)"""
+
+
+@query(f"""with recursive {_TAGGED_SQL}, {_greedy_sql("walk", f"{_INTER} / ({_AREA_K} + {_AREA_P} - {_INTER}) > 0.3")}
+select s_suppkey as image_id, coalesce(list_transform(kept[1:10], lambda k: k.l), ['[fallback: whole image]']) as labels from supplier left join (select o, arg_max(kept, r) as kept from walk group by 1) w on o = s_suppkey""")
+def tag_proposals(spark, sf_dir):
+    """A supplier is an image, flags and line numbers are tags, lines are boxes; every seventh image has nothing found."""
+    li = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 <> 0")
+    q, y = F.col("l_quantity").cast("double"), F.col("l_linenumber") * 5.0
+    found = li.select(F.col("l_suppkey").alias("image_id"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("tag"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("pos"), F.col("l_extendedprice").cast("double").alias("score"), G.box(q, y, q + 20.0, y + 10.0 + F.round(F.col("l_discount").cast("double") * 100)).alias("box"), F.lit("").alias("phrase"))
+    merged = merge_tag_proposals(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id")), found, per_tag=4, most=10, limit=0.3)
+    return merged.select("image_id", F.transform("proposals", lambda p: p["label"]).alias("labels"))
+
+
+# ---- seeded order, batches -------------------------------------------------------------------------------------------
+
+
+def _pass_sql(source: str, key: int) -> str:
+    """One pass of the keyed permutation in integer arithmetic; source has place, x and the scalars r (rows), c (columns)."""
+    m, f, base = M.FEISTEL_PRIME, M.FEISTEL_FACTOR, (key * 1_000_003 + 12_345) % M.FEISTEL_PRIME
+    sql = f"select place, n, r, c, x // c as h, x % c as l from {source}"
+    for turn in range(M.FEISTEL_ROUNDS):
+        half, other, size = ("l", "h", "r") if turn % 2 == 0 else ("h", "l", "c")
+        v = f"(({half} + {(turn * 7919 + base) % m}) % {m})"
+        sql = f"select place, n, r, c, {half}, ({other} + (({v} * {v}) % {m} * {f} + {half}) % {m}) % {size} as {other} from ({sql}) q{turn}"
+    return f"select place, n, r, c, h * c + l as x from ({sql}) e"
+
+
+@query(f"""with recursive z as (select count(*) as n, cast(floor(sqrt(count(*) - 1)) as bigint) + 1 as c from documents), y as (select n, c, (n + c - 1) // c as r from z),
+w as (select * from ({_pass_sql("(select range as place, n, r, c, range as x from y, range(0, (select n from z)))", 42 * 31 + 1009)}) a union all select * from ({_pass_sql("(select * from w where x >= n)", 42 * 31 + 1009)}) b)
+select place, x as doc_id, n_chars from w join documents on doc_id = x where x < n and place >= 100""")
+def epoch_order(spark, sf_dir):
+    """What a run that stopped after 100 documents of its second epoch has still to read."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return M.epoch_slice(spark, d.count(), start=100, epoch=1).join(d, F.col("item") == F.col("doc_id")).select("place", "doc_id", "n_chars")
+
+
+@query("""with l as (select doc_id, len(string_split(trim(coalesce(text, '')), ' ')) as n from documents), b as (select *, case when n <= 64 then 64 when n <= 256 then 256 when n <= 1024 then 1024 else cast(ceil(n / 1024.0) * 1024 as int) end as bucket from l),
+p as (select *, (row_number() over (partition by bucket order by (doc_id * 2654435761 + 42) % 4294967296) - 1) // 32 as batch from b)
+select bucket, batch, count(*) as n, cast(sum(bucket - n) as bigint) as pads, cast(sum(n) as bigint) as ones, list(doc_id order by (doc_id * 2654435761 + 42) % 4294967296) as keys from p where batch < 20 group by 1, 2""")
+def length_batches(spark, sf_dir):
+    words = F.transform(F.split(F.trim(F.coalesce("text", F.lit(""))), " "), F.length)
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
+    batches = B.collate(B.first_batches(B.ragged_batches(rows, "doc_id", "words", 32, edges=(64, 256, 1024), pad=-1), 20), "doc_id", "words")
+    pads = F.aggregate("padded", F.lit(0).cast("bigint"), lambda s, p: s + F.size(F.filter(p, lambda x: x == -1)))
+    ones = F.aggregate("mask", F.lit(0).cast("bigint"), lambda s, m: s + F.size(F.filter(m, lambda x: x == 1)))
+    return batches.select("bucket", "batch", F.size("keys").cast("bigint").alias("n"), pads.alias("pads"), ones.alias("ones"), "keys")
+
+
+@query("""with e as (select vec_id, vec_id // 128 as batch, list_transform(embedding, lambda x: x::double) as a, list_transform(embedding, lambda x, i: case when i % 2 = 0 then x::double else x::double / 2 end) as b from embeddings),
+u as (select vec_id, batch, list_transform(a, lambda x: x / sqrt(list_dot_product(a, a))) as a, list_transform(b, lambda x: x / sqrt(list_dot_product(b, b))) as b from e),
+l as (select p.vec_id, list_dot_product(p.a, p.b) / 0.07::double as own, ln(sum(exp(list_dot_product(p.a, q.b) / 0.07::double))) as lse from u p join u q on p.batch = q.batch group by 1, 2)
+select vec_id, round(own, 6) as logit, round(lse - own, 6) as loss from l""")
+def contrastive_loss(spark, sf_dir):
+    """An embedding and its image with every other component halved are a pair; 128 rows are a batch."""
+    e = table(spark, sf_dir, "embeddings")
+    halved = F.transform("embedding", lambda x, i: F.when(i % 2 == 1, x.cast("double")).otherwise(x.cast("double") / 2))
+    pairs = e.select("vec_id", F.floor(F.col("vec_id") / 128).alias("batch"), "embedding", halved.alias("other"))
+    return B.contrastive_losses(pairs, "batch", "vec_id", "embedding", "other").select("vec_id", r6(F.col("logit")).alias("logit"), r6(F.col("loss")).alias("loss"))
+
+
+@query("""with g as (select vec_id // 8 as g, vec_id % 3 <> 0 as m, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings),
+s as (select g, i, coalesce(avg(x) filter (m), 0) as x from g group by 1, 2) select g, list(round(x, 6) order by i) as mean from s group by 1""")
+def masked_means(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 8).alias("g")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    mean = B.masked_mean(F.transform("v", lambda x: x["embedding"]), F.transform("v", lambda x: F.when(x["vec_id"] % 3 != 0, 1).otherwise(0)))
+    return e.select("g", F.transform(mean, r6).alias("mean"))
+
+
+# ---- caches and streams ----------------------------------------------------------------------------------------------
+
+
+@query("""select 1 as round, count(*) as files, count(*) as computed, count_if(n_chars < 300)::bigint as corrupt from documents where doc_id % 3 <> 0
+union all select 2, count(*), count_if(doc_id % 3 = 0)::bigint, count_if(n_chars < 300)::bigint from documents""")
+def hash_cache_counts(spark, sf_dir):
+    """Documents stand for image files, short ones for files that cannot be decoded; the second round brings new ones."""
+    docs, cache = table(spark, sf_dir, "documents"), scratch(spark, "hashes")
+    listed = docs.select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("length"), F.lit(0).alias("modified"), "doc_id")
+    texts = docs.where("n_chars >= 300").select(F.col("doc_id").cast("string").alias("path"), F.array(F.xxhash64("text")).alias("hash"))
+    rounds = []
+    for i, part in enumerate((listed.where("doc_id % 3 <> 0"), listed), 1):
+        found = H.refresh(part, cache, lambda new: texts.join(new.select("path"), "path", "left_semi"))
+        rounds.append(found.agg(F.count(F.lit(1)).alias("files"), F.count_if("fresh").alias("computed"), F.count_if(F.col("hash").isNull()).alias("corrupt")).select(F.lit(i).alias("round"), "files", "computed", "corrupt"))
+        rounds[-1] = settled(rounds[-1], "hash-round")
+    return rounds[0].unionByName(rounds[1])
+
+
+@query(f"select * from ({ORACLE['ema_by_user']}) e join ({ORACLE['early_stop']}) s using (user_id)")
+def streamed_runs(spark, sf_dir):
+    """Events in four files, read as a stream in two queries of one checkpoint: the second goes on where the first has stopped."""
+    home = scratch(spark, "runs")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    middle = e.select(((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2).cast("bigint").alias("m")).first().m
+    late = F.unix_micros("ts") > F.lit(middle)
+    for half, rows in enumerate((e.where(~late | F.col("ts").isNull()), e.where(late))):
+        for k in (0, 1):  # out of order between the files of a half
+            rows.where(F.col("event_id") % 2 == k).coalesce(1).write.parquet(f"{home}/in/{half}{k}")
+        source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in/*")
+        # The halves lie within one delay of the watermark, so nothing is dropped; timers settle the first half during the second.
+        streams.run_stream(streams.fold_stream(source, "user_id", "ts", "event_id", "value", late="16 days"), f"{home}/out", f"{home}/state")
+    return streams.latest(spark, f"{home}/out", "user_id").select("user_id", "n", r6(F.col("ema")).alias("ema"), r6(F.col("best")).alias("best"), "stale", "seen")
