@@ -1,12 +1,13 @@
 """SpotSigs document fingerprints.
 
 A signature is a common word (the anchor) with the chain of up to CHAIN content words that follow it.  A text is known by the
-set of its signatures.  Its printed fingerprint is the size of the set, a digest of it, and the ``KEEP`` smallest of its
-32-bit hashes; likeness never comes from these few but from the full sets.
+set of its signatures.  Its printed fingerprint is the whole set, as 64-bit hashes, so the likeness of two texts can be
+worked out from their fingerprints alone.
 
-Likeness is the Jaccard measure, compared by length partition and pruning: sets whose lengths lie in partitions too far apart
-to reach ``least`` are 0 at once, and the walk over two sets stops with 0 where the signatures left cannot lift it to ``least``
-any more.  What is not pruned is exact.  Near-duplicate search compares only sets in the same or the next length partition.
+Likeness is the Jaccard measure, compared by length partition and pruning: with a least likeness of interest, sets whose
+lengths lie in partitions too far apart to reach it are 0 at once, and the walk over two sets stops with 0 where the
+signatures left cannot lift it there any more.  The report asks for every likeness (least 0), so only what proves 0 is
+skipped; near-duplicate search compares only sets in the same or the next length partition.
 
 Defined results: ids are integers, and -2^63 counts as null; null and empty texts have an empty set and are like each other only; a text without signatures is known by its
 words, one without words by its bytes; ties in the id order go by a hash of the text; null ids come first; the next document of
@@ -15,6 +16,7 @@ the last row is the first; a single row is its own next document; other columns
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 from math import ceil
@@ -35,9 +37,7 @@ ANCHORS = (
     "der die das und ist ein eine den von zu mit sich auf für nicht im dem auch es an als werden aus er hat dass sie nach bei um am sind noch wie einem über "
     "el los las y una con por para del lo su al como más pero sus ya o este sí porque esta entre cuando muy sin sobre ser"
 ).split()
-CHAIN, KEEP = 3, 32
-#: Likeness below this is reported as 0: two texts that share so little are not compared to the end.
-LEAST = 0.05
+CHAIN = 3
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -52,7 +52,7 @@ _anchors: np.ndarray | None = None
 
 
 def signature_sets(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct 32-bit signature hashes of each text."""
+    """Sorted distinct 64-bit signature hashes of each text."""
     global _anchors
     if _anchors is None:
         _anchors = _anchor_hashes()
@@ -81,8 +81,7 @@ def signature_sets(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
             sig += np.where(has, words[j] * weight[k + 2], np.uint64(0))
             length += has
         spots, sig = spots[length > 0], sig[length > 0] + length[length > 0]
-        sig = (mix(sig) >> np.uint64(32)).astype(np.uint32)
-        single = (mix(words + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
+        sig, single = mix(sig), mix(words + np.uint64(1))
         sig_begin = np.concatenate(([0], np.cumsum(row_counts(row[spots], n))))
         word_begin = np.concatenate(([0], np.cumsum(row_counts(row, n))))
     for i in range(n):
@@ -90,9 +89,9 @@ def signature_sets(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
             mine = sig[sig_begin[i] : sig_begin[i + 1]]
             out.append(np.unique(mine if len(mine) else single[word_begin[i] : word_begin[i + 1]]))
         elif starts[i + 1] > starts[i]:
-            out.append(np.frombuffer(hashlib.sha256(raw[starts[i] : starts[i + 1]].tobytes()).digest()[:4], np.uint32))
+            out.append(np.frombuffer(hashlib.sha256(raw[starts[i] : starts[i + 1]].tobytes()).digest()[:8], np.uint64))
         else:
-            out.append(np.zeros(0, np.uint32))
+            out.append(np.zeros(0, np.uint64))
     return out
 
 
@@ -103,13 +102,13 @@ def text_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def fingerprint(found: np.ndarray) -> str:
-    """``length:digest:hex`` with the smallest hashes, ascending."""
-    return f"{len(found)}:{hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest()}:{found[:KEEP].astype('>u4').tobytes().hex()}"
+    """``length:base64`` of the set, ascending, 8 bytes each, highest first."""
+    return f"{len(found)}:{base64.b64encode(found.astype('>u8').tobytes()).decode()}"
 
 
-def parse_fingerprint(text: str) -> tuple[int, str, np.ndarray]:
-    length, digest, body = text.split(":")
-    return int(length), digest, np.frombuffer(bytes.fromhex(body), ">u4")
+def parse_fingerprint(text: str) -> np.ndarray:
+    """The set behind a fingerprint."""
+    return np.frombuffer(base64.b64decode(text.partition(":")[2]), ">u8").astype(np.uint64)
 
 
 def length_partition(n: int, least: float) -> int:
@@ -117,7 +116,7 @@ def length_partition(n: int, least: float) -> int:
     return int(np.floor(np.log(n) / -np.log(least) + 1e-12))
 
 
-def likeness(a: np.ndarray, b: np.ndarray, least: float = LEAST, step: int = 256) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0, step: int = 256) -> float:
     """Jaccard measure of two sorted sets, 0 if it is below ``least``.
 
     The sets are walked in hash order, ``step`` signatures of the first at a time.  What is left of each set bounds the
@@ -126,7 +125,9 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = LEAST, step: int = 256
     n, m = len(a), len(b)
     if not n or not m:
         return float(n == m)
-    if abs(length_partition(n, least) - length_partition(m, least)) > 1 or min(n, m) < least * max(n, m):
+    if a[-1] < b[0] or b[-1] < a[0]:
+        return 0.0
+    if least > 0 and (abs(length_partition(n, least) - length_partition(m, least)) > 1 or min(n, m) < least * max(n, m)):
         return 0.0
     need = least / (1 + least) * (n + m) - 1e-9  # common / (n + m - common) >= least
     common = j = 0
@@ -234,7 +235,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = text_sets(batch.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "sigs"])
 
     rows = materialise(docs.select(id_col, text_col).mapInArrow(sets, f"id {id_type}, sigs array<bigint>").withColumn("class", F.sha2(F.to_json(F.col("sigs")), 256)), "spot-sets")
     classes = rows.groupBy("class").agg(F.min("id").alias("rep"), F.any_value("sigs").alias("sigs"))

@@ -629,7 +629,7 @@ def spots(text):
 
 
 def test_spot_signatures(spark, prose):
-    from tessera.llm.spotsigs import KEEP, fingerprint_with_next, near_duplicates, parse_fingerprint, text_sets
+    from tessera.llm.spotsigs import fingerprint_with_next, likeness, near_duplicates, parse_fingerprint, text_sets
 
     rng = random.Random(3)
     words = "the of and a is red fox dog runs far over hill 'tis (far), end.".split()
@@ -641,8 +641,7 @@ def test_spot_signatures(spark, prose):
     def like(a, b):
         if not a or not b:
             return float(not a and not b)
-        found = len(a & b) / len(a | b)
-        return found if found >= 0.05 else 0.0
+        return len(a & b) / len(a | b)
 
     for i, t in enumerate(texts):
         t, u = t or "", texts[(i + 1) % len(texts)] or ""
@@ -650,9 +649,11 @@ def test_spot_signatures(spark, prose):
         a, b, c = spots(t), spots(e), spots(u)
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
         assert (got[i].near_edited, got[i].near_next) == pytest.approx((like(a, b), like(a, c)), abs=1e-12)
-        n, _, kept = parse_fingerprint(got[i].fingerprint)
-        assert n == len(a) and len(kept) == min(n, KEEP) and parse_fingerprint(got[i].edited_fingerprint)[0] == len(b)
-    assert any(0.3 < r.near_edited < 0.9 for r in got.values()) and max(len(spots(t)) for t in long) > 500
+        # Likeness follows from the fingerprints alone.
+        mine, edited, following = (parse_fingerprint(x) for x in (got[i].fingerprint, got[i].edited_fingerprint, got[(i + 1) % len(texts)].fingerprint))
+        assert len(mine) == len(a) and len(edited) == len(b) and got[i].fingerprint.startswith(f"{len(a)}:")
+        assert (likeness(mine, edited), likeness(mine, following)) == (got[i].near_edited, got[i].near_next)
+    assert any(0 < r.near_next < 0.05 for r in got.values()) and any(0.3 < r.near_edited < 0.9 for r in got.values()) and max(len(spots(t)) for t in long) > 500
     assert got[len(ODD)].fingerprint == got[len(ODD) + 80].fingerprint
     one = fingerprint_with_next(docs_of(spark, ["a b c d"])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
