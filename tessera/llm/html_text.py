@@ -23,7 +23,6 @@ import hashlib
 import html
 import json
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +56,9 @@ PLAIN_WORDS = frozenset("site page main top bottom left right primary secondary
 CONTENT = frozenset(("article", "main"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.S)
+#: A comment or declaration that nothing closes.
+_UNCLOSED = re.compile(r"<!--.*|<[!?].*", re.S)
+_DECIMAL = re.compile(r"&#([0-9]{8,});?")
 _ATTR = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -83,19 +85,82 @@ def _marked(tag: str, attrs: str, content: bool) -> int:
     return mark
 
 
+def _number(m: re.Match) -> str:
+    """A decimal reference as it stands without leading zeros; one beyond all code points is the replacement character."""
+    digits = m[1].lstrip("0") or "0"
+    return f"&#{digits};" if len(digits) <= 7 else "\ufffd"
+
+
 def clean(raw: str) -> str:
-    return " ".join((html.unescape(raw) if "&" in raw else raw).split())
+    if "&" in raw:
+        raw = html.unescape(_DECIMAL.sub(_number, raw))
+    return " ".join(raw.split())
+
+
+class _Open:
+    """The open elements: each with its mark and whether it lies in a content element, and the places of each name.
+
+    Places are looked up by name, so an end tag that closes nothing costs the same however many elements are open.
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def last(self, tag: str) -> int:
+        held = self.places.get(tag)
+        return held[-1] if held else -1
+
+    def push(self, tag: str, mark: int, content: bool) -> None:
+        k = len(self.stack)
+        self.stack.append((tag, mark, content))
+        self.places.setdefault(tag, []).append(k)
+        if tag in BLOCK:
+            self.blocks.append(k)
+
+    def cut(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def close(self, tag: str) -> bool:
+        """The nearest open element of this name goes with all in it; a stray inline end tag closes no block."""
+        k = self.last(tag)
+        if k < 0 or tag not in BLOCK and self.blocks and k < self.blocks[-1]:
+            return False
+        self.cut(k)
+        return True
+
+    def make_room(self, tag: str) -> bool:
+        """A block ends the paragraph that is open in the nearest block; a list item also the one before it in its list."""
+        if tag == "li":
+            k = max(self.last("p"), self.last("li"))
+            if k < 0 or k < max(self.last("ul"), self.last("ol")):
+                return False
+        else:
+            k = self.blocks[-1] if self.blocks else -1
+            if k < 0 or self.stack[k][0] != "p":
+                return False
+        self.cut(k)
+        return True
+
+    def state(self) -> tuple[int, bool]:
+        return self.stack[-1][1:] if self.stack else (FREE, False)
 
 
 def page_blocks(page: str) -> list[tuple[bool, bool, str]]:
-    """(inside a content element, marked as furniture, raw text) of every block with text, in page order."""
+    """(inside a content element, marked as furniture, raw text) of every block with text, in page order; in linear time."""
     out: list[tuple[bool, bool, str]] = []
     parts: list[str] = []
     aside: list[str] = []  # text of furniture inside the open block
-    stack: list[tuple[str, int, bool]] = []  # tag, mark, inside content
+    opened = _Open()
     skip, content = FREE, False
     low = ""
     at, end = 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends beyond
 
     def flush() -> None:
         for marked, text in ((False, parts), (True, aside)):
@@ -105,18 +170,18 @@ def page_blocks(page: str) -> list[tuple[bool, bool, str]]:
                     out.append((content, marked, raw))
                 text.clear()
 
-    def cut(k: int) -> None:
-        nonlocal skip, content
-        del stack[k:]
-        _, skip, content = stack[-1] if stack else ("", FREE, False)
-
     while at < end:
-        m = _TOKEN.search(page, at)
+        # Beyond the last > only comments and declarations mean anything, and they go on to the end.
+        m = _TOKEN.search(page, at, last) if at < last else _UNCLOSED.search(page, at)
+        if m is None and at < last:
+            m = _UNCLOSED.search(page, last)
         if (stop := m.start() if m else end) > at:
             (aside if skip else parts).append(page[at:stop])
         if not m:
             break
-        at = m.end()
+        at = m.end() if not (m[0].startswith("<!--") and not m[0].endswith("-->")) else end
+        if m.re is _UNCLOSED:
+            break
         closing, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             continue
@@ -126,12 +191,8 @@ def page_blocks(page: str) -> list[tuple[bool, bool, str]]:
         elif tag == "br":
             (aside if skip else parts).append(" ")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    cut(k)
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break  # a stray inline end tag closes no block
+            if opened.close(tag):
+                skip, content = opened.state()
             continue
         if tag in RAW:
             low = low or page.lower()
@@ -142,20 +203,14 @@ def page_blocks(page: str) -> list[tuple[bool, bool, str]]:
             continue
         if tag in VOID:
             continue
-        if tag in BLOCK:  # an open paragraph ends here; so does a list item at the next one
-            for k in range(len(stack) - 1, -1, -1):
-                t = stack[k][0]
-                if t == "p" or tag == "li" and t == "li":
-                    cut(k)
-                    break
-                if t in BLOCK and not (tag == "li" and t not in ("ul", "ol")):
-                    break
+        if tag in BLOCK and opened.make_room(tag):
+            skip, content = opened.state()
         if attrs.endswith("/") and tag not in BLOCK:
             continue
         if tag in CONTENT and not content and skip == LOOSE:
             skip = FREE
         skip, content = max(skip, _marked(tag, attrs, content)), content or tag in CONTENT and skip == FREE
-        stack.append((tag, skip, content))
+        opened.push(tag, skip, content)
     flush()
     return out
 
@@ -165,33 +220,107 @@ def line_key(content: bool, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1 << 1 | content
 
 
+#: Edits up to which two pages are aligned step by step from both ends of what differs; beyond that by rows of bits.
+FEW_EDITS = 64
+#: Bits of all rows that may be held at once (8 MB); a larger table is halved first.
+HELD_BITS = 1 << 26
+
+
+def _few_edits(a: list[int], b: list[int], most: int = FEW_EDITS) -> list[tuple[int, int]] | None:
+    """A longest common subsequence of lists that differ in few places, by furthest reaching paths; none if they differ in more."""
+    n, m = len(a), len(b)
+    reach, trail = {1: 0}, []
+    for d in range(most + 1):
+        trail.append(dict(reach))
+        for k in range(-d, d + 1, 2):
+            x = reach.get(k + 1, 0) if k == -d or k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1) else reach.get(k - 1, -1) + 1
+            y = x - k
+            while x < n and y < m and a[x] == b[y]:
+                x, y = x + 1, y + 1
+            reach[k] = x
+            if x >= n and y >= m:
+                pairs = []
+                for e in range(d, -1, -1):
+                    before, k = trail[e], x - y
+                    back = k + 1 if k == -e or k != e and before.get(k - 1, -1) < before.get(k + 1, -1) else k - 1
+                    px = before.get(back, 0)
+                    py = px - back
+                    while x > px and y > py and e or not e and x and y:
+                        x, y = x - 1, y - 1
+                        pairs.append((x, y))
+                    if e:
+                        x, y = px, py
+                return pairs[::-1]
+    return None
+
+
+def _rows(a: list[int], b: list[int], keep: bool) -> list[int]:
+    """Rows of the table of common lengths as bits: bit j of row i is 0 where the length of a[:i], b[:j + 1] exceeds that of b[:j]."""
+    places: dict[int, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row, rows = full, [full]
+    for x in a:
+        if match := places.get(x, 0):
+            u = row & match
+            row = (row + u | row - u) & full
+        if keep:
+            rows.append(row)
+    return rows if keep else [row]
+
+
+def _lengths(row: int, m: int) -> np.ndarray:
+    """Common lengths with b[:0] .. b[:m] from a row."""
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(m // 8 + 1, "little"), np.uint8), bitorder="little")[:m]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _by_bits(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence in len(a) * len(b) / 64 steps and bounded memory: halves are aligned one after the other."""
+    n, m = len(a), len(b)
+    if not n or not m:
+        return []
+    if n * m > HELD_BITS and n > 1:
+        half = n // 2
+        ahead, behind = _lengths(_rows(a[:half], b, False)[0], m), _lengths(_rows(a[half:][::-1], b[::-1], False)[0], m)
+        k = int(np.argmax(ahead + behind[::-1]))
+        return _by_bits(a[:half], b[:k]) + [(i + half, j + k) for i, j in _by_bits(a[half:], b[k:])]
+    rows = [r.to_bytes(m // 8 + 1, "little") for r in _rows(a, b, True)]
+    pairs, i, j = [], n, m
+    while i and j:
+        at, bit = j - 1 >> 3, 1 << (j - 1 & 7)
+        if rows[i][at] & bit:
+            j -= 1
+        else:
+            i -= 1
+            if rows[i][at] & bit:  # the length grows here only
+                j -= 1
+                pairs.append((i, j))
+    return pairs[::-1]
+
+
 def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence (Hunt-Szymanski; common ends are matched first)."""
+    """Index pairs of a longest common subsequence.
+
+    Common ends are matched first and lines that only one side has are left out.  Pages that differ in few places are aligned
+    in time about proportional to their length, others by rows of bits; both give a longest one.
+    """
     head, tail = 0, 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
+    most = min(len(a), len(b))
+    while head < most and a[head] == b[head]:
         head += 1
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+    while tail < most - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    where: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    links: list[tuple | None] = []
-    for i in range(head, len(a) - tail):
-        for j in where.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, j, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[k], links[k] = j, link
-    middle, link = [], links[-1] if links else None
-    while link:
-        middle.append(link[:2])
-        link = link[2]
+    x, y = range(head, len(a) - tail), range(head, len(b) - tail)
+    both = {a[i] for i in x} & {b[j] for j in y}
+    x, y = [i for i in x if a[i] in both], [j for j in y if b[j] in both]
+    left, right = [a[i] for i in x], [b[j] for j in y]
+    middle = _few_edits(left, right) if left and right else []
+    if middle is None:
+        middle = _by_bits(left, right)
     n, m = len(a), len(b)
-    return [(i, i) for i in range(head)] + middle[::-1] + [(n - t, m - t) for t in range(tail, 0, -1)]
+    return [(i, i) for i in range(head)] + [(x[i], y[j]) for i, j in middle] + [(n - t, m - t) for t in range(tail, 0, -1)]
 
 
 def shared_lines(mine: np.ndarray, other: np.ndarray) -> list[int]:
