@@ -42,13 +42,18 @@ def mcnemar_interval(b: Column, c: Column, n: Column, alpha: float = 0.05) -> tu
 # ---- distribution tails: fractions and series of a fixed number of steps, as folds ------------------------------------
 
 #: Steps of the incomplete beta fraction; enough for degrees of freedom up to LARGE_DF, beyond which t is turned into a normal deviate.
-BETA_STEPS, LARGE_DF, ERFC_STEPS, BISECTIONS = 400, 20_000, 80, 70
+BETA_STEPS, LARGE_DF, ERFC_STEPS, NEWTON_STEPS = 400, 20_000, 80, 8
 
 
 def _steps(n: int, down: bool = False) -> Column:
     return F.sequence(F.lit(n), F.lit(1), F.lit(-1)) if down else F.sequence(F.lit(1), F.lit(n))
 
 
+def _let(f, **values: Column) -> Column:
+    """``f`` of a struct of values, each worked out once a row however often ``f`` names it."""
+    return F.get(F.transform(F.array(F.struct(*(c.cast("double").alias(k) for k, c in values.items()))), f), F.lit(0))
+
+
 def log_gamma(x: Column) -> Column:
     """ln Gamma of x > 0: Stirling's series at x + 10, less the logarithm of the product between."""
     y = x + 10.0
@@ -74,22 +79,31 @@ def _beta_front(a: Column, b: Column, x: Column) -> Column:
 
 def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
     """Regularised incomplete beta function; the fraction is taken on the side where it converges."""
-    near = x <= (a + 1) / (a + b + 2)
-    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).when(near, _beta_front(a, b, x)).otherwise(1 - _beta_front(b, a, 1 - x))
+
+    def value(v: Column) -> Column:
+        a, b, x, y = (v[k] for k in "abxy")
+        near = x <= (a + 1) / (a + b + 2)
+        return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).when(near, _beta_front(a, b, x)).otherwise(1 - _beta_front(b, a, y))
+
+    return _let(value, a=a, b=b, x=x, y=1 - x)
 
 
 def erfc(x: Column) -> Column:
     """Complementary error function of x >= 0: a series below 2.5, its continued fraction from there on."""
-    scale = F.exp(-x * x) / math.sqrt(math.pi)
-    term = F.struct((2 * x).alias("term"), (2 * x).alias("sum"))
 
-    def step(s: Column, k: Column) -> Column:
-        t = s["term"] * 2 * x * x / (2 * k + 1)
-        return F.struct(t.alias("term"), (s["sum"] + t).alias("sum"))
+    def value(v: Column) -> Column:
+        x = v["x"]
+        scale = F.exp(-x * x) / math.sqrt(math.pi)
+
+        def step(s: Column, k: Column) -> Column:
+            t = s["term"] * 2 * x * x / (2 * k + 1)
+            return F.struct(t.alias("term"), (s["sum"] + t).alias("sum"))
 
-    series = 1 - scale * F.aggregate(_steps(ERFC_STEPS), term, step, lambda s: s["sum"])
-    fraction = scale / F.aggregate(_steps(ERFC_STEPS, down=True), x, lambda acc, k: x + (k.cast("double") / 2) / acc)
-    return F.when(x < 2.5, series).otherwise(fraction)
+        series = 1 - scale * F.aggregate(_steps(ERFC_STEPS), F.struct((2 * x).alias("term"), (2 * x).alias("sum")), step, lambda s: s["sum"])
+        fraction = scale / F.aggregate(_steps(ERFC_STEPS, down=True), x, lambda acc, k: x + (k.cast("double") / 2) / acc)
+        return F.when(x < 2.5, series).otherwise(fraction)
+
+    return _let(value, x=x)
 
 
 def t_deviate(t: Column, df: Column) -> Column:
@@ -108,18 +122,27 @@ def t_p_value(t: Column, df: Column) -> Column:
     return F.when(F.isnan(t) | (df <= 0), F.lit(NAN)).when(F.abs(t) == float("inf"), F.lit(0.0)).when(df > LARGE_DF, large).otherwise(exact)
 
 
-def t_critical(p: Column, df: Column) -> Column:
-    """Upper quantile of Student's t for p > 1/2, by bisection on the tail."""
-    start = F.struct(F.lit(0.0).alias("low"), F.lit(float(1 << 20)).alias("high"))
+def t_critical(p: float, df: Column) -> Column:
+    """Upper quantile of Student's t for p > 1/2: closed for one and two degrees of freedom, else Newton steps on the tail.
+
+    They start from the normal quantile's expansion, which lies below the root, where the tail is convex: no step passes it.
+    """
+    z = NormalDist().inv_cdf(p)
+    start = z + (z**3 + z) / (4 * df)
+    one, two = math.tan(math.pi * (p - 0.5)), 2 * (p - 0.5) * math.sqrt(2 / (4 * p * (1 - p)))
+
+    def value(v: Column) -> Column:
+        df = v["df"]
+
+        def step(t: Column, _: Column) -> Column:
+            density = F.exp(v["log_scale"] - (df + 1) / 2 * F.log1p(t * t / df))
+            return t + (t_p_value(t, df) / 2 - (1 - p)) / density
 
-    def step(s: Column, _: Column) -> Column:
-        # Between far ends the middle is geometric, so that small and large quantiles are found alike.
-        mid = F.when(s["high"] > 4 * s["low"] + 4, F.sqrt((s["low"] + 1e-3) * s["high"])).otherwise((s["low"] + s["high"]) / 2)
-        above = t_p_value(mid, df) / 2 > 1 - p
-        return F.struct(F.when(above, mid).otherwise(s["low"]).alias("low"), F.when(above, s["high"]).otherwise(mid).alias("high"))
+        return F.aggregate(_steps(NEWTON_STEPS), v["start"], step)
 
-    found = F.aggregate(_steps(BISECTIONS), start, step, lambda s: (s["low"] + s["high"]) / 2)
-    return F.when(F.isnan(p) | (df <= 0), F.lit(NAN)).otherwise(found)
+    scale = log_gamma((df + 1) / 2) - log_gamma(df / 2) - 0.5 * F.ln(df * math.pi)
+    newton = _let(value, df=df, start=start, log_scale=scale)
+    return F.when(df <= 0, F.lit(NAN)).when(df == 1, F.lit(one)).when(df == 2, F.lit(two)).otherwise(newton)
 
 
 def chi2_p_value(x: Column) -> Column:

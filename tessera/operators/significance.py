@@ -48,7 +48,7 @@ def paired_result(pairs: DataFrame, by: list[str], alpha: float = 0.05) -> DataF
     df = (F.col("n") - 1).cast("double")
     t = F.when(~enough, nan).otherwise(F.col("mean_delta") / F.nullif(F.col("sem"), F.lit(0.0)))
     t = F.when(enough & (F.col("sem") == 0), F.when(F.col("mean_delta") == 0, nan).otherwise(F.signum("mean_delta") * F.lit(float("inf")))).otherwise(t)
-    half = S.t_critical(F.lit(1 - alpha / 2), df) * F.col("sem")
+    half = S.t_critical(1 - alpha / 2, df) * F.col("sem")
     low, high = S.mcnemar_interval(F.col("ok_fail"), F.col("fail_ok"), F.col("n"), alpha)
     p, mp = S.t_p_value(F.col("t_stat"), df), S.mcnemar_p(F.col("ok_fail"), F.col("fail_ok"))
     m = m.withColumn("t_stat", t).withColumn("p_value", p).withColumn("mcnemar_p", F.when(enough, mp).otherwise(nan))
@@ -60,7 +60,7 @@ def paired_result(pairs: DataFrame, by: list[str], alpha: float = 0.05) -> DataF
         F.when(enough, S.mcnemar_chi2(F.col("ok_fail"), F.col("fail_ok"))).otherwise(nan).alias("mcnemar_chi2"), "mcnemar_p", sure("mcnemar_p").alias("mcnemar_significant"),
         F.when(enough, low).otherwise(nan).alias("mcnemar_ci_low_pp"), F.when(enough, high).otherwise(nan).alias("mcnemar_ci_high_pp"),
         ((F.col("ok_fail") + F.col("fail_ok") < S.EXACT_BELOW) & (F.col("ok_fail") + F.col("fail_ok") > 0)).alias("mcnemar_exact"), "both_ok", "ok_fail", "fail_ok", "both_fail",
-        F.when(~enough, F.lit("Insufficient paired items (need n >= 2).")).otherwise(F.lit("")).alias("notes"),
+        F.when(~enough, F.lit("Too few pairs: at least two are needed.")).otherwise(F.lit("")).alias("notes"),
     )
 
 

@@ -452,12 +452,11 @@ def paired_cells(spark, sf_dir):
     return m.select("benchmark", "n", "both_ok", "ok_fail", "fail_ok", "both_fail", *(r6(F.col(c)).alias(c) for c in ("baseline_acc_pct", "final_acc_pct")), r6(100 * F.col("mean_delta")).alias("delta_pp"), r6(S.mcnemar_chi2(F.col("ok_fail"), F.col("fail_ok"))).alias("mcnemar_chi2"), r6(low).alias("ci_low"), r6(high).alias("ci_high"))
 
 
-@query("""with c as (select b, c from range(0, 12) x(b), range(0, 12) y(c) where b + c between 1 and 24)
-select b, c, round(least(1, 2 * (select sum(exp(lgamma(b + c + 1.0::double) - lgamma(k + 1.0::double) - lgamma(b + c - k + 1.0::double) - (b + c) * ln(2.0::double))) from range(0, 12) z(k) where k <= least(b, c))), 6) as p from c""")
+@query("""with c as (select user_id, count_if(event_type = 'error')::bigint as b, count_if(event_type = 'purchase')::bigint as c from events group by 1)
+select user_id, b, c, round(least(1, 2 * (select sum(exp(lgamma(b + c + 1.0::double) - lgamma(k + 1.0::double) - lgamma(b + c - k + 1.0::double) - (b + c) * ln(2.0::double))) from range(0, 400) z(k) where k <= least(b, c))), 6) as p from c""")
 def mcnemar_exact(spark, sf_dir):
-    b, c = spark.range(12).withColumnRenamed("id", "b"), spark.range(12).withColumnRenamed("id", "c")
-    cells = b.crossJoin(c).where("b + c between 1 and 24")
-    return cells.select("b", "c", F.round(S.mcnemar_exact_p(F.col("b"), F.col("c")), 6).alias("p"))
+    cells = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("b"), F.count_if(F.col("event_type") == "purchase").alias("c"))
+    return cells.select("user_id", "b", "c", F.round(S.mcnemar_exact_p(F.col("b"), F.col("c")), 6).alias("p"))
 
 
 @query(f"with {_PAIR_SQL} select benchmark, n, n - 1 as df, round(md / sem, 6) as t_stat from g")
@@ -465,9 +464,27 @@ def paired_ttest(spark, sf_dir):
     return Z.paired_result(_pairs(spark, sf_dir), ["benchmark"]).select("benchmark", "n", F.col("df").cast("bigint").alias("df"), r6(F.col("t_stat")).alias("t_stat"))
 
 
-@query()
+def _tail_sql(t: str, df: str, n: int = 4000) -> str:
+    """Two-sided p of Student's t by Simpson's rule over the angle."""
+    a, h = f"atan(({t}) / sqrt({df}))", f"((pi() / 2 - atan(({t}) / sqrt({df}))) / {n})"
+    terms = f"list_sum(list_transform(range(0, {n + 1}), lambda i: (case when i = 0 or i = {n} then 1 when i % 2 = 1 then 4 else 2 end) * pow(greatest(cos({a} + i * {h}), 0::double), {df} - 1)))"
+    return f"(2 * exp(lgamma(({df} + 1) / 2.0::double) - lgamma({df} / 2.0::double)) / sqrt(pi()) * {h} / 3 * {terms})"
+
+
+_NORMAL_SQL = """(1 - sqrt(2 / pi()) * z / 4000 / 3 * list_sum(list_transform(range(0, 4001), lambda i: (case when i = 0 or i = 4000 then 1 when i % 2 = 1 then 4 else 2 end) * exp(-(i * z / 4000) * (i * z / 4000) / 2))))"""
+_EXACT_SQL = "least(1, 2 * (select sum(exp(lgamma(b + c + 1.0::double) - lgamma(k + 1.0::double) - lgamma(b + c - k + 1.0::double) - (b + c) * ln(2.0::double))) from range(0, 100) q(k) where k <= least(b, c)))"
+
+
+@query(f"""with recursive {_PAIR_SQL}, q as (select benchmark, n - 1.0::double as df, 0.0::double as low, 1000.0::double as high, 0 as turn from g
+  union all select benchmark, df, case when {_tail_sql("(low + high) / 2", "df", 1000)} / 2 > 0.025 then (low + high) / 2 else low end, case when {_tail_sql("(low + high) / 2", "df", 1000)} / 2 > 0.025 then high else (low + high) / 2 end, turn + 1 from q where turn < 45),
+v as (select g.*, md / sem as t, ok_fail as b, fail_ok as c, (abs(ok_fail - fail_ok) - 1) * (abs(ok_fail - fail_ok) - 1) / (ok_fail + fail_ok)::double as chi2, (low + high) / 2 * sem as half from g join q on q.benchmark = g.benchmark and turn = 45),
+w as (select *, sqrt(chi2) as z, case when b + c < {S.EXACT_BELOW} then {_EXACT_SQL} end as exact_p, {_tail_sql("abs(t)", "(n - 1)")} as p from v), x as (select *, case when b + c < {S.EXACT_BELOW} then exact_p else {_NORMAL_SQL} end as mp, 1.959963984540054::double * 100 * sqrt(b + c) / n as reach from w)
+select benchmark, n, round(100 * mb, 6) as baseline_acc_pct, round(100 * mf, 6) as final_acc_pct, round(100 * md, 6) as delta_pp, round(100 * (md - half), 6) as ci_low_pp, round(100 * (md + half), 6) as ci_high_pp, round(t, 6) as t_stat, n - 1 as df,
+  round(p, 6) as p_value, p < 0.05 as significant, round(chi2, 6) as mcnemar_chi2, round(mp, 6) as mcnemar_p, mp < 0.05 as mcnemar_significant, round(100.0::double * (c - b) / n - reach, 6) as mcnemar_ci_low_pp, round(100.0::double * (c - b) / n + reach, 6) as mcnemar_ci_high_pp,
+  b + c between 1 and {S.EXACT_BELOW - 1} as mcnemar_exact, both_ok, ok_fail, fail_ok, both_fail, '' as notes from x""")
 def paired_result(spark, sf_dir):
-    return Z.paired_result(_pairs(spark, sf_dir), ["benchmark"])
+    r = Z.paired_result(_pairs(spark, sf_dir), ["benchmark"])
+    return r.select(*(r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in r.dtypes))
 
 
 # ---- geometry --------------------------------------------------------------------------------------------------------
@@ -558,10 +575,13 @@ def grad_accum(spark, sf_dir):
     return R.accumulate(e, "i", "value", 16, ["user_id"], keep_tail=False).select("user_id", F.col("step").cast("bigint").alias("step"), "n", r6(F.col("loss")).alias("loss"))
 
 
-@query("""select step, round(2e-4::double * case when step < 12 then step / 12.0::double else greatest(0, 0.5::double * (1 + cos(pi() * (step - 12) / 388.0::double))) end, 12) as lr from range(0, 401) r(step)""")
+@query("""with n as (select count(*) as n, floor((count(*) + 15) // 16 * 4 * 0.03::double) as warm, (count(*) + 15) // 16 * 4 as total from documents)
+select doc_id, round(2e-4::double * case when doc_id < warm then doc_id / greatest(1, warm)::double else greatest(0, 0.5::double * (1 + cos(pi() * (doc_id - warm) / greatest(1, total - warm)::double))) end, 12) as lr from documents, n where doc_id <= total""")
 def lr_schedule(spark, sf_dir):
-    total, warm = S.optimiser_steps(1600, 16, 4, 0.03)
-    return spark.range(total + 1).select(F.col("id").alias("step"), F.round(S.cosine_rate(F.col("id"), total, warm, 2e-4), 12).alias("lr"))
+    """The rate at each step of four epochs over the documents, 16 micro-batches a step; a document's id is its step."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    total, warm = S.optimiser_steps(d.count(), 16, 4, 0.03)
+    return d.where(F.col("doc_id") <= total).select("doc_id", F.round(S.cosine_rate(F.col("doc_id"), total, warm, 2e-4), 12).alias("lr"))
 
 
 @query("select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by event_id) as r from events) s where r % 10 = 0")

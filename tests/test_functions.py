@@ -105,7 +105,9 @@ def test_tails_against_tables(spark):
     number = lambda c: spark.range(1).select(c.alias("v")).first().v
     assert number(S.t_p_value(F.lit(2.228138852), F.lit(10.0))) == pytest.approx(0.05, abs=1e-8)
     assert number(S.t_p_value(F.lit(12.7062047362), F.lit(1.0))) == pytest.approx(0.05, abs=1e-8)
-    assert number(S.t_critical(F.lit(0.975), F.lit(30.0))) == pytest.approx(2.042272456, abs=1e-7)
+    for df, t in ((1.0, 12.7062047362), (2.0, 4.3026527297), (3.0, 3.1824463053), (30.0, 2.0422724563), (50_000.0, 1.9600114)):
+        assert number(S.t_critical(0.975, F.lit(df))) == pytest.approx(t, abs=1e-6)
+    assert number(S.t_critical(0.9995, F.lit(3.0))) == pytest.approx(12.92397864, abs=1e-6)
     assert number(S.chi2_p_value(F.lit(3.841458821))) == pytest.approx(0.05, abs=1e-8)
     assert math.isnan(number(S.t_p_value(F.lit(float("nan")), F.lit(4.0))))
 
