@@ -195,16 +195,21 @@ def split_tags(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\|"), strip), lambda t: t != "")
 
 
+def bind(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once a row, however often ``f`` names it, also in inner lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def first_seen(tags: Column) -> Column:
-    """Case-insensitive distinct tags; the first spelling and the first place win."""
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("keys"), none.alias("kept"))
+    """Case-insensitive distinct tags; the first spelling and the first place win.  Sorted twice, so long lists take little time."""
+    keyed = F.transform(tags, lambda t, i: F.struct(F.lower(strip(t)).alias("key"), i.alias("at"), strip(t).alias("tag")))
+    ordered = F.array_sort(F.filter(keyed, lambda x: x["key"] != ""))
 
-    def step(s: Column, t: Column) -> Column:
-        v = strip(t)
-        return F.when((v == "") | F.array_contains(s["keys"], F.lower(v)), s).otherwise(F.struct(F.concat(s["keys"], F.array(F.lower(v))).alias("keys"), F.concat(s["kept"], F.array(v)).alias("kept")))
+    def heads(s: Column) -> Column:
+        return F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["key"] != x["key"]))
 
-    return F.aggregate(tags, start, step, lambda s: s["kept"])
+    placed = F.array_sort(F.transform(bind(ordered, heads), lambda x: F.struct(x["at"].alias("at"), x["tag"].alias("tag"))))
+    return F.transform(placed, lambda x: x["tag"])
 
 
 def merge_tags(*lists: Column) -> Column:
@@ -274,21 +279,22 @@ def resolve_detections(text: Column, objects: Column) -> Column:
 
     The text is cut at number borders, so each number is a part of its own: no Python is needed.
     """
-    names = object_names(objects)
     parts = F.split(text, r"(?U)(?<=\d)(?=\D)|(?<=\D)(?=\d)|\b")
 
-    def resolve(p: Column) -> Column:
-        k = p.try_cast("int")
-        return F.when(p.rlike(r"^\d+$") & (k >= 1) & (k <= F.size(names)), F.try_element_at(names, k)).otherwise(p)
+    def resolved(v: Column) -> Column:
+        names, parts = v["names"], v["parts"]
+
+        # Only numbers standing alone count: neighbours must not be word characters.
+        def alone(p: Column, i: Column) -> Column:
+            left, right = F.coalesce(F.get(parts, i - 1), F.lit("")), F.coalesce(F.get(parts, i + 1), F.lit(""))
+            k = p.try_cast("int")
+            number = p.rlike(r"^\d+$") & (k >= 1) & (k <= F.size(names)) & ~left.rlike(r"(?U)\w$") & ~right.rlike(r"(?U)^\w")
+            return F.when(number, F.try_element_at(names, k)).otherwise(p)
 
-    # Only numbers standing alone count: neighbours must not be word characters.
-    def alone(p: Column, i: Column) -> Column:
-        left = F.when(i > 0, F.try_element_at(parts, i)).otherwise(F.lit(""))
-        right = F.coalesce(F.try_element_at(parts, i + 2), F.lit(""))
-        joined = left.rlike(r"(?U)\w$") | right.rlike(r"(?U)^\w")
-        return F.when(joined, p).otherwise(resolve(p))
+        return F.array_join(F.transform(parts, alone), "")
 
-    return F.when((F.size(objects) > 0) & (text != ""), F.array_join(F.transform(parts, alone), "")).otherwise(text)
+    whole = bind(F.struct(object_names(objects).alias("names"), parts.alias("parts")), resolved)
+    return F.when((F.size(objects) > 0) & (text != ""), whole).otherwise(text)
 
 
 def tokens_text(tokens: Column, objects: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .pool import number_rows
 
 
 def eval_rows(df: DataFrame, ordinal: str, limit: int | None) -> DataFrame:
@@ -125,6 +126,11 @@ def mixed_order(key: Column) -> list[Column]:
     return [number.isNull(), number, key]
 
 
+def text_order(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``place``, 1-based, in the order of ``key`` as text: "10" comes before "2".  Numbered by ranges, not in one task."""
+    return number_rows(rows.withColumn("_key", F.col(key).cast("string")), ["_key"]).withColumn("place", F.col("train_idx") + 1).drop("_key", "train_idx")
+
+
 def take_slice(rows: DataFrame, ordinal: str, start: int, end: int | None) -> DataFrame:
     """Rows start .. end - 1 by ordinal."""
     return rows.where((F.col(ordinal) >= start) & (F.col(ordinal) < end if end is not None else F.lit(True)))

@@ -174,6 +174,17 @@ def pool_issues(rows: DataFrame, questions: DataFrame, coco: DataFrame, files: D
     return wide.select(F.explode(F.array(*(F.struct(F.lit(k).alias("issue"), F.col(k).alias("n")) for k in wide.columns))).alias("r")).select("r.*")
 
 
+def union_ids(frames: list[DataFrame]) -> DataFrame:
+    """Distinct ids of several lists (each with its ids in the first column, whatever its name), as text; nulls are no ids."""
+    ids = [f.select(F.col(f.columns[0]).cast("string").alias("id")).where("id is not null").distinct() for f in frames]
+    return reduce(DataFrame.unionByName, ids).distinct()
+
+
+def without_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose key is not listed; a null key stays."""
+    return rows.join(ids.select(F.col("id").alias("_listed")), F.col(key).cast("string") == F.col("_listed"), "left_anti")
+
+
 def resolve_pointers(images: DataFrame, key: str, value: str, short: int = 64) -> DataFrame:
     """(key, resolved, hops): values of at most ``short`` characters name another key.  Missing targets and cycles give null.
 

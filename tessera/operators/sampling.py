@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import arithmetic_rank
+
 #: Target mix of the pool's sources, and the weight of any other.
 TARGET_MIX = {"visual7w": 0.35, "gqa": 0.30, "vqav2": 0.15, "vcr": 0.10, "aokvqa": 0.10}
 OTHER_WEIGHT = 0.1
@@ -14,11 +16,6 @@ OTHER_WEIGHT = 0.1
 FAMILIES = {"coco": "coco", "refcoco": "refcoco", "refcocog": "refcoco", "refcoco+": "refcoco", "visual_genome": "vg", "grit": "grit"}
 
 
-def arithmetic_rank(key: Column, seed: int = 0) -> Column:
-    """(key * 2654435761 + seed) mod 2**32: the same number in any engine."""
-    return F.pmod(key * F.lit(2654435761) + F.lit(seed), F.lit(4294967296))
-
-
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows of least hash: a bounded top-n, not a sort of the table."""
     return df.orderBy(arithmetic_rank(F.col(key), seed), key).limit(n)

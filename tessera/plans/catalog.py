@@ -258,14 +258,18 @@ def source_union(spark, sf_dir):
     return P.union_pool([c, s]).groupBy("kind", "nationkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select o_custkey as id from orders union select c_custkey from customer")
+@query("select cast(o_custkey as varchar) as id from orders where o_orderstatus = 'F' union select cast(c_custkey as varchar) from customer where c_acctbal > 5000 union select cast(s_suppkey as varchar) from supplier")
 def id_union(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).union(table(spark, sf_dir, "customer").select("c_custkey")).distinct()
+    ids = [table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_custkey"), table(spark, sf_dir, "customer").where("c_acctbal > 5000").select("c_custkey"), table(spark, sf_dir, "supplier").select("s_suppkey")]
+    return P.union_ids(ids)
 
 
-@query("select c_custkey as id from customer except select o_custkey from orders")
+@query("select o_orderkey, o_custkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R') and o_custkey not in (select c_custkey from customer where c_acctbal < 0)")
 def id_except(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    returned = P.union_ids([table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")])
+    owing = P.union_ids([table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")])
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return P.without_ids(P.without_ids(o, "o_orderkey", returned), "o_custkey", owing)
 
 
 @query("select c_custkey as id from customer intersect select o_custkey from orders")

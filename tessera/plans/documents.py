@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import text as X
 from ..operators import batches as B
+from ..operators import evaluate as E
 from ..operators import sampling as M
 from ..operators.proposals import merge_tag_proposals
 from ..sources import annotations as A
@@ -150,3 +152,79 @@ def streamed_runs(spark, sf_dir):
         # The halves lie within one delay of the watermark, so nothing is dropped; timers settle the first half during the second.
         streams.run_stream(streams.fold_stream(source, "user_id", "ts", "event_id", "value", late="16 days"), f"{home}/out", f"{home}/state")
     return streams.latest(spark, f"{home}/out", "user_id").select("user_id", "n", r6(F.col("ema")).alias("ema"), r6(F.col("best")).alias("best"), "stale", "seen")
+
+
+# ---- documents of other layouts --------------------------------------------------------------------------------------
+
+_WORDS3 = "array_to_string(string_split(text, ' ')[1:3], ' ')"
+
+
+@query(f"""select conv_id || '/' || turn as id, case when turn % 2 = 0 then '{X.PERSON_NAMES[0]} said ' || {_WORDS3} else 'Is {X.PERSON_NAMES[0]} near dog?' end as question,
+  case turn % 3 when 0 then 'dog barks ' || role when 1 then role || ' dog' else role end as answer, 10.0::double + turn as x2 from conversations""")
+def vcr_document_rows(spark, sf_dir):
+    """A conversation is a document, its turns are questions, in three layouts; boxes lie as many objects deep as the turn's number and twelve."""
+    c, turn = table(spark, sf_dir, "conversations"), F.col("turn")
+    ids = F.concat(F.col("conv_id").cast("string"), F.lit("/"), turn.cast("string"))
+    first = F.slice(F.split("text", " "), 1, 3)
+    words = F.to_json(first)
+    tokens = F.concat(F.lit('[[0],"said",'), F.substring(words, F.lit(2), F.length(words)))
+    named = lambda key, value: F.concat(F.lit(f'"{key}":'), value)
+    quoted = lambda v: F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", "")
+    question = F.when(turn % 2 == 0, named("question", tokens)).otherwise(F.lit('"question_orig":"Is 1 near 2?","question":"other"'))
+    answer = F.when(turn % 3 == 0, F.concat(F.lit('"answer_choices":[["no"],[[1],"barks",'), quoted(F.col("role")), F.lit(']],"answer_label":1'))).when(turn % 3 == 1, named("answer_orig", quoted(F.concat("role", F.lit(" 2"))))).otherwise(named("answer", quoted(F.col("role"))))
+    deep = (turn + 12).cast("int")
+    box = F.concat(F.repeat(F.lit('{"bbox":{"box":'), deep), F.concat(F.lit("[1,2,"), (turn + 10).cast("string"), F.lit(",9,0.5]")), F.repeat(F.lit("}}"), deep))
+    id_name = F.when(turn % 3 == 0, F.lit("annot_id")).when(turn % 3 == 1, F.lit("qid")).otherwise(F.lit("id"))
+    row = F.concat(F.lit('{"'), id_name, F.lit('":'), quoted(ids), F.lit(',"img_fn":"a.jpg","metadata_fn":"m","objects":["person","Dog"],'), question, F.lit(","), answer, F.lit(',"region":'), box, F.lit("}"))
+    rows = c.select("conv_id", "turn", row.alias("r")).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "r"))), lambda x: x["r"]).alias("l"))
+    listed = F.concat(F.lit("["), F.array_join("l", ","), F.lit("]"))
+    members = F.concat(F.lit("{"), F.array_join(F.transform("l", lambda r, i: F.concat(F.lit('"k'), i.cast("string"), F.lit('":'), r)), ","), F.lit("}"))
+    k = F.col("conv_id") % 3
+    text = rows.select(F.when(k == 0, listed).when(k == 1, F.concat(F.lit('{"info":1,"questions":'), listed, F.lit("}"))).otherwise(F.concat(F.lit('{"data":'), members, F.lit("}"))).alias("value"))
+    documents = A.vcr_documents(text)
+    found = A.vcr_rows(documents).select("id", A.vcr_question().alias("question"), A.vcr_answer().alias("answer"))
+    boxes = documents.select(F.parse_json("value").alias("v")).select(F.coalesce(*(F.try_variant_get("v", f"$.{n}", "string") for n in ("annot_id", "qid", "id"))).alias("id"), A.bbox_of(F.try_variant_get("v", "$.region", "variant"))["x2"].alias("x2"))
+    return found.join(boxes, "id")
+
+
+@query("""select 'q' || o_orderkey as question_id, case when o_orderkey % 5 = 0 then null else o_orderkey || '.jpg' end as filename, coalesce(o_orderpriority, '') as answer from orders""")
+def visual7w_flat_rows(spark, sf_dir):
+    """A customer's orders are one flat document: pairs name their image, and every fifth image is not listed."""
+    o, key, none = table(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string"), F.lit(None).cast("string")
+    qa = "struct<qa_id:string,question_id:string,id:string,type:string,qa_type:string,answer:string,box_xywh:array<double>,question:string,qp:string,multiple_choice_answer:string,image_id:string,image_path:string>"
+    img = f"struct<split:string,filename:string,image_path:string,width:double,height:double,image_id:string,qa_pairs:array<{qa}>>"
+    pair = F.struct(F.concat(F.lit("q"), key), none, none, F.lit("which"), none, F.col("o_orderpriority"), F.lit(None).cast("array<double>"), F.lit("?"), none, none, key, none).cast(qa)
+    image = F.struct(F.lit("train"), F.concat(key, F.lit(".jpg")), none, F.lit(60.0), F.lit(40.0), key, F.lit(None).cast(f"array<{qa}>")).cast(img)
+    documents = o.groupBy("o_custkey").agg(F.collect_list(F.when(F.col("o_orderkey") % 5 != 0, image)).alias("images"), F.collect_list(pair).alias("train"))
+    found = A.visual7w_pairs(documents)
+    return found.select(F.col("qa.qa_id").alias("question_id"), F.col("img.filename").alias("filename"), F.col("qa.answer").alias("answer"))
+
+
+@query("""with v as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as i from lineitem),
+g as (select *, row_number() over (partition by l_orderkey order by ((l_orderkey * 1000 + i) * 2654435761 + 42) % 4294967296, i) as r from v),
+u as (select 0 as stage, 'refcoco' as source, l_quantity::double as w from lineitem where l_quantity >= 10 union all select 1, 'visual_genome', l_quantity::double from g where r <= 3 and l_quantity >= 10 and l_linenumber % 3 <> 0)
+select stage, source, count(*) as n, round(sum(w), 4) as width from u group by 1, 2""")
+def curriculum_regions(spark, sf_dir):
+    """Referring expressions first, then at most three sampled regions of each image, filtered after the sample."""
+    li, order = table(spark, sf_dir, "lineitem"), ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    refs = li.select(F.col("l_orderkey").alias("ordinal"), F.col("l_orderkey").cast("string").alias("image_path"), F.array(F.lit(0.0), F.lit(0.0), F.col("l_quantity").cast("double"), F.lit(30.0)).alias("bbox"), F.array(F.lit("left dog")).alias("sentences"), F.lit("train").alias("split"))
+    region = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("l_quantity").cast("double").alias("width"), F.lit(20.0).alias("height"), F.when(F.col("l_linenumber") % 3 == 0, F.lit(" a ")).otherwise(F.lit("red dog")).alias("phrase"))
+    images = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*order, region.alias("r")))).alias("l")).select(F.col("l_orderkey").alias("ordinal"), F.col("l_orderkey").alias("id"), F.transform("l", lambda x: x["r"]).alias("regions"))
+    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("stem"), F.lit("/i").alias("path"))
+    rows = A.curriculum([("words", [A.refcoco_regions(refs)]), ("regions", [A.genome_regions(images, files, per_image=3)])])
+    return rows.groupBy("stage", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("box.x2"), 4).alias("width"))
+
+
+@query("select doc_id, source from documents where n_chars % 100 >= 30 and source <> 'src1' order by doc_id limit 150")
+def grit_head_rows(spark, sf_dir):
+    """The first 150 captions (the operator's own limit) that are close to their image and name something."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select("doc_id", "source", ((F.col("n_chars") % 100) / 100).alias("clip_similarity_vitl14"), F.when(F.col("source") == "src1", F.array().cast("array<string>")).otherwise(F.array("source")).alias("noun_chunks"))
+    return A.grit_rows(rows, 150, "doc_id").select("doc_id", "source")
+
+
+@query("select key, row_number() over (order by key) as place from (select distinct 'metric_' || (c_custkey % 120) as key from customer) k")
+def metric_key_order(spark, sf_dir):
+    """Metric keys in text order, as their report lists them: 10 before 2."""
+    keys = table(spark, sf_dir, "customer").select(F.concat(F.lit("metric_"), (F.col("c_custkey") % 120).cast("string")).alias("key")).distinct()
+    return E.text_order(keys, "key").select("key", F.col("place").cast("bigint").alias("place"))

@@ -87,19 +87,28 @@ def parsed_boxes(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", "l_partkey", F.size(b).cast("bigint").alias("n"), r6(b[1]["x2"]).alias("x2"), r6(b[1]["y1"]).alias("y1"))
 
 
-@query("""select o_orderkey, case o_orderkey % 4 when 0 then 'is Casey near the dog?' when 1 then '9 and Casey' when 2 then 'x1 has object3' else 'no number' end as said from orders""")
+def _alone(number: int, name: str, text: str) -> str:
+    """A number standing alone becomes a name; twice, as neighbours share the character between them."""
+    for _ in (0, 1):
+        text = f"regexp_replace({text}, '(^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])0*{number}($|[^\\p{{L}}\\p{{N}}\\p{{M}}_])', '\\1{name}\\2', 'g')"
+    return text
+
+
+_SAID = "'turn ' || turn || '/' || (turn + 1) || ' x' || turn || ' ' || turn || ', ' || text || ' 0' || turn || ' ' || turn"
+
+
+@query(f"select conv_id, turn, {_alone(3, 'object3', _alone(2, 'dog', _alone(1, X.PERSON_NAMES[0], _SAID)))} as said from conversations")
 def resolved_detections(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey") % 4
-    text = F.when(k == 0, F.lit("is 1 near the 2?")).when(k == 1, F.lit("9 and 1")).when(k == 2, F.lit("x1 has 3")).otherwise(F.lit("no number"))
-    return o.select("o_orderkey", X.resolve_detections(text, F.array(F.lit("person"), F.lit("Dog"), F.lit(""))).alias("said"))
+    turn = F.col("turn").cast("string")
+    text = F.concat(F.lit("turn "), turn, F.lit("/"), (F.col("turn") + 1).cast("string"), F.lit(" x"), turn, F.lit(" "), turn, F.lit(", "), "text", F.lit(" 0"), turn, F.lit(" "), turn)
+    return _chat(spark, sf_dir).select("conv_id", "turn", X.resolve_detections(text, F.array(F.lit("person"), F.lit("Dog"), F.lit(""))).alias("said"))
 
 
-@query("select o_orderkey, 'Riley saw dog 6' as said from orders")
+@query(f"select conv_id, turn, case turn when 0 then 'dog' when 1 then '{X.PERSON_NAMES[1]}' when 2 then 'dog' else cast(turn + 1 as varchar) end || ' dog ' || text as said from conversations")
 def token_texts(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    tokens = F.try_variant_get(F.parse_json(F.lit('[[1],"saw",[2,5]]')), "$", "array<variant>")
-    return o.select("o_orderkey", X.tokens_text(tokens, F.array(F.lit("dog"), F.lit("person"), F.lit("dog"))).alias("said"))
+    words = F.to_json(F.split("text", " "))
+    tokens = F.try_variant_get(F.parse_json(F.concat(F.lit("[["), F.col("turn").cast("string"), F.lit(",2],"), F.substring(words, F.lit(2), F.length(words)))), "$", "array<variant>")
+    return _chat(spark, sf_dir).select("conv_id", "turn", X.tokens_text(tokens, F.array(F.lit("dog"), F.lit("person"), F.lit("dog"))).alias("said"))
 
 
 @query("select doc_id, case when source = 'src1' then 8 else 32 end::bigint as budget, 576 + 16 * (n_chars % 7) as prefix, case when lang = 'en' then lang else 'unknown' end as kind from documents")

@@ -6,11 +6,14 @@ Region: ordinal, image, box, description, source.  ``ordinal`` is the place in t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
+from ..functions.order import arithmetic_rank
 
 # Prompts and the order of the pool's sources.
 PROMPT = "Answer the question using a single word or phrase."
@@ -134,13 +137,20 @@ def aokvqa_samples(rows: DataFrame, boxes: DataFrame, files: DataFrame, excluded
     return out.where(F.coalesce(F.col("answer"), F.lit("")) != "").withColumn("format_prompt", F.when(F.col("_mcq"), F.lit(MCQ_PROMPT)).otherwise(F.lit(PROMPT))).drop("_mcq")
 
 
-def bbox_of(v: Column, depth: int = 4) -> Column:
-    """[x1, y1, x2, y2, ...] (variant; or an object holding bbox or box, also one in another) as a proper box, else null."""
-    for _ in range(depth):
-        v = F.coalesce(F.try_variant_get(v, "$.bbox", "variant"), F.try_variant_get(v, "$.box", "variant"), v)
-    inner = F.try_variant_get(v, "$", "array<double>")
-    b = G.box(*(F.try_element_at(inner, F.lit(k)) for k in (1, 2, 3, 4)))
-    return F.when((F.size(inner) >= 4) & G.proper(b), b)
+def bbox_of(v: Column) -> Column:
+    """[x1, y1, x2, y2, ...] (variant; or an object holding bbox or box, to any depth) as a proper box, else null.
+
+    Each level of nesting is an opening brace of the value's JSON, so their number bounds the steps.
+    """
+    depth = F.coalesce(F.regexp_count(F.to_json(v), F.lit(r"\{")), F.lit(0))
+    steps = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    flat = F.aggregate(steps, v, lambda held, _: F.coalesce(F.try_variant_get(held, "$.bbox", "variant"), F.try_variant_get(held, "$.box", "variant"), held))
+
+    def proper(inner: Column) -> Column:
+        b = G.box(*(F.try_element_at(inner, F.lit(k)) for k in (1, 2, 3, 4)))
+        return F.when((F.size(inner) >= 4) & G.proper(b), b)
+
+    return X.bind(F.try_variant_get(flat, "$", "array<double>"), proper)
 
 
 def metadata_boxes(boxes: Column, regions: Column) -> Column:
@@ -242,7 +252,7 @@ def refcoco_regions(rows: DataFrame, source: str = "refcoco", split: str = "trai
 
 def genome_regions(rows: DataFrame, files: DataFrame, seed: int = 42, per_image: int = 15, least: float = LEAST_SIDE) -> DataFrame:
     """rows: ordinal, id, regions.  A seeded sample of the regions of each image, then the size and phrase filters."""
-    keyed = F.array_sort(F.transform("regions", lambda r, i: F.struct(F.xxhash64(F.lit(seed), F.col("id"), i).alias("h"), i.alias("i"), r.alias("r"))))
+    keyed = F.array_sort(F.transform("regions", lambda r, i: F.struct(arithmetic_rank(F.col("ordinal") * 1_000 + i, seed).alias("h"), i.alias("i"), r.alias("r"))))
     one = rows.select("ordinal", "id", F.explode(F.slice(keyed, 1, per_image)).alias("k")).select("ordinal", "id", F.col("k.i").alias("i"), "k.r.*")
     kept = one.where(G.big_enough(F.col("width"), F.col("height"), least) & (F.length(X.strip(F.col("phrase"))) >= 3)).join(files.select(F.col("stem").alias("_s"), "path"), F.col("id").cast("string") == F.col("_s"))
     b = G.from_xywh(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
@@ -271,3 +281,9 @@ def seed_rows(document: DataFrame) -> DataFrame:
     """Image questions of types 1..9; a type that is no number drops the row."""
     kind = F.col("question_type_id").cast("string").try_cast("int")
     return document.select(F.posexplode("questions").alias("ordinal", "q")).select("ordinal", "q.*").where((F.col("data_type") == "image") & kind.between(1, 9))
+
+
+def curriculum(stages: list[tuple[str, list[DataFrame]]]) -> DataFrame:
+    """Region pools of the stages of a curriculum, one under the other: (stage, stage_name, the columns of a region)."""
+    parts = [pool.select(F.lit(i).alias("stage"), F.lit(name).alias("stage_name"), "ordinal", "image", "box", "description", "source") for i, (name, pools) in enumerate(stages) for pool in pools]
+    return reduce(DataFrame.unionByName, parts)
