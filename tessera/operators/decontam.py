@@ -1,4 +1,4 @@
-"""Decontamination: whole items inside texts, Hamming similarity join, cosine nearest neighbours, and what goes for which reason."""
+"""Decontamination: whole items inside texts, and what goes for which reason; ``neighbours`` has the similarity joins."""
 
 from __future__ import annotations
 
@@ -6,19 +6,14 @@ import hashlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
-#: References of up to so many bytes of hashes or vectors go to every task at once; more go in blocks of this size, one pass each.
-BROADCAST_BYTES = 32 << 20
-#: The same for benchmark items that texts are searched for.
+#: Benchmark items of up to so many bytes go to every task at once; shorter ones of more go in blocks of this size, one pass each.
 ITEM_BYTES = 8 << 20
-#: Bands must leave at most this share of all pairs to be worth a shuffle.
-BAND_SHARE = 0.05
 
 
 def in_blocks(rows: DataFrame, key: str, size: int, limit: int, scan: Callable[[list], DataFrame]) -> DataFrame:
@@ -89,103 +84,13 @@ def holding(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, l
     return hit.unionByName(in_blocks(short, "_item", bytes_of(short), limit, search)).distinct()
 
 
-def hamming_blocks(train: DataFrame, refs: DataFrame, limit: int, words: int, at_once: int = BROADCAST_BYTES) -> DataFrame:
-    """(train_id, ref_id, distance) of all pairs within ``limit``: every training row against blocks of references.
-
-    For radii at which no band is selective; a block is one pass over the training rows, without a shuffle.
-    """
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    left, right = dict(train.dtypes)["train_id"], dict(refs.dtypes)["ref_id"]
-
-    def against(block: list) -> DataFrame:
-        ids = np.array([r.ref_id for r in block], object)
-        held = np.array([r.ref_words for r in block], np.int64).reshape(len(block), words).view(np.uint64)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                mine = np.array(batch.column("train_words").to_pylist(), np.int64).reshape(batch.num_rows, words).view(np.uint64)
-                step = max(1, 4_000_000 // max(1, len(held)))
-                for at in range(0, len(mine), step):
-                    part = mine[at : at + step]
-                    apart = sum(np.bitwise_count(part[:, None, k] ^ held[None, :, k]).astype(np.int32) for k in range(words))
-                    i, j = np.nonzero(apart <= limit)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("train_id").take(pa.array(i + at)), pa.array(ids[j].tolist(), kinds[right]), pa.array(apart[i, j], pa.int32())], ["train_id", "ref_id", "distance"],
-                    )
-
-        return train.select("train_id", "train_words").mapInArrow(scan, f"train_id {left}, ref_id {right}, distance int")
-
-    slim = refs.select("ref_id", "ref_words").where("ref_words is not null")
-    return in_blocks(slim, "ref_id", slim.count() * (8 * words + 64), at_once, against)
-
-
-def hamming_banded(train: DataFrame, refs: DataFrame, limit: int, words: int, bits: int, salts: int = 1) -> DataFrame:
-    """The same by equal bands: two hashes within ``limit`` agree on one of limit + 1 disjoint bands.
-
-    A pair is kept in the first band it agrees on, so no distinct is needed.  ``salts`` spreads a hot band: training rows
-    take one salt, references all of them.
-    """
-    count = limit + 1
-    t = train.select("train_id", "train_words", F.pmod(F.xxhash64("train_id"), F.lit(salts)).alias("salt"), V.bands(F.col("train_words"), bits, count).alias("tb"))
-    t = t.select("*", F.posexplode("tb").alias("band", "key"))
-    r = refs.select("ref_id", "ref_words", V.bands(F.col("ref_words"), bits, count).alias("rb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
-    r = r.select("*", F.posexplode("rb").alias("band", "key"))
-    d = V.hamming(F.col("train_words"), F.col("ref_words"), words)
-    first = F.array_position(F.zip_with("tb", "rb", lambda x, y: x == y), F.lit(True)) - 1
-    return t.join(r, ["band", "key", "salt"]).where((d <= limit) & (first == F.col("band"))).select("train_id", "ref_id", d.alias("distance"))
-
-
-def hamming_join(train: DataFrame, refs: DataFrame, limit: int, words: int, bits: int) -> DataFrame:
-    """Bands where they are selective and the references many, else blocks of references."""
-    width = bits // (limit + 1)
-    selective = (limit + 1) * 2.0**-width <= BAND_SHARE
-    if selective and refs.count() * (8 * words + 64) > BROADCAST_BYTES:
-        return hamming_banded(train, refs, limit, words, bits, salts=8)
-    return hamming_blocks(train, refs, limit, words)
-
-
 def knn_columns(train: DataFrame, refs: DataFrame, k: int, digits: int = 9) -> DataFrame:
-    """Exact neighbours by expressions only: the form that others are tested against."""
-    pairs = train.join(F.broadcast(refs)).select("train_id", "ref_id", F.round(V.inner_product(F.col("train_vec"), F.col("ref_vec")), digits).alias("similarity"))
+    """Exact neighbours by expressions over all pairs: the form that others are tested against, for small tables."""
+    pairs = train.join(refs).select("train_id", "ref_id", F.round(V.inner_product(F.col("train_vec"), F.col("ref_vec")), digits).alias("similarity"))
     w = Window.partitionBy("train_id").orderBy(F.col("similarity").desc(), "ref_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_blocks(train: DataFrame, refs: DataFrame, k: int, digits: int = 9, at_once: int = BROADCAST_BYTES) -> DataFrame:
-    """Exact neighbours by matrix products of the training rows with blocks of references of a bounded size.
-
-    Every block is one pass over the training rows; a block's best k go on to the final ranking, so the one shuffle grows
-    with rows x blocks x k and not with rows x references.  That every row meets every reference is the cost of exactness.
-    """
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    left, right = dict(train.dtypes)["train_id"], dict(refs.dtypes)["ref_id"]
-
-    def against(block: list) -> DataFrame:
-        ids, matrix = np.array([r.ref_id for r in block]), np.array([r.ref_vec for r in block], float).reshape(len(block), -1)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            top = min(k, len(ids))
-            for batch in batches:
-                if not batch.num_rows or not top:
-                    continue
-                vecs, out = np.array(batch.column("train_vec").to_pylist(), float), []
-                step = max(1, 2_000_000 // len(ids))
-                for at in range(0, len(vecs), step):
-                    for i, s in enumerate(np.round(vecs[at : at + step] @ matrix.T, digits), at):
-                        near = np.flatnonzero(s >= np.partition(s, len(s) - top)[len(s) - top])  # all ties of the last place, so ids can decide
-                        out += [(i, j, s[j]) for j in near[np.lexsort((ids[near], -s[near]))][:top]]
-                i, j, s = (np.array(c) for c in zip(*out))
-                yield pa.RecordBatch.from_arrays([batch.column("train_id").take(pa.array(i)), pa.array(ids[j], kinds[right]), pa.array(s, pa.float64())], ["train_id", "ref_id", "similarity"])
-
-        return train.select("train_id", "train_vec").mapInArrow(scan, f"train_id {left}, ref_id {right}, similarity double")
-
-    slim = refs.select("ref_id", "ref_vec").where("ref_vec is not null")
-    size = slim.agg(F.coalesce(F.sum(F.size("ref_vec") * 8 + 64), F.lit(0))).first()[0]
-    near = in_blocks(slim, "ref_id", size, at_once, against)
-    w = Window.partitionBy("train_id").orderBy(F.col("similarity").desc(), "ref_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def removed_rows(corrupt: DataFrame, hashes: DataFrame, neighbours: DataFrame, least: float = 0.75) -> DataFrame:
     """train_id with flags corrupt, hash, cosine for every removed row: a full outer union of the three reasons."""
     a = corrupt.select("train_id", F.lit(1).alias("corrupt"), F.lit(0).alias("hash"), F.lit(0).alias("cosine"))

@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import decontam as D
 from ..operators import evaluate as E
+from ..operators import neighbours as N
 from ..operators import pool as P
 from ..operators import sampling as M
 from ..operators import significance as Z
@@ -136,12 +137,12 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _matches(spark, sf_dir):
     t, r = _split(spark, sf_dir)
-    return D.hamming_join(t.select("train_id", "train_words"), r.select("ref_id", "ref_words"), _LIMIT, 1, _BITS)
+    return N.hamming_join(t.select("train_id", "train_words"), r.select("ref_id", "ref_words"), _LIMIT, 1, _BITS)
 
 
 def _neighbours(spark, sf_dir):
     t, r = _split(spark, sf_dir)
-    return D.knn_blocks(t.select("train_id", "train_vec"), r.select("ref_id", "ref_vec"), 5)
+    return N.nearest(t.select("train_id", "train_vec"), r.select("ref_id", "ref_vec"), 5)
 
 
 @query(f"with {_HASH_SQL} select train_id, ref_id, cast(distance as bigint) as distance from matches")
@@ -151,9 +152,23 @@ def hamming_matches(spark, sf_dir):
 
 @query(ORACLE["hamming_matches"])
 def hamming_banded(spark, sf_dir):
+    """The same by packed blocks in any case: bands of two bits, which this radius leaves, bring nearly all pairs together."""
     t, r = _split(spark, sf_dir)
-    out = D.hamming_banded(t.select("train_id", "train_words"), r.select("ref_id", "ref_words"), _LIMIT, 1, _BITS)
-    return out.withColumn("distance", F.col("distance").cast("bigint"))
+    return N.hamming_cells(t.select("train_id", "train_words"), r.select("ref_id", "ref_words"), _LIMIT, 1).withColumn("distance", F.col("distance").cast("bigint"))
+
+
+@query("""with v as (select vec_id, embedding::double[] as a, list_transform(embedding::double[], lambda x, i: case when i <= 8 then -x else x end) as b from embeddings),
+h as (select vec_id, list_transform(a, lambda x: case when x > list_aggregate(a, 'median') then 1 else 0 end) as x, list_transform(b, lambda x: case when x > list_aggregate(b, 'median') then 1 else 0 end) as y from v),
+p as (select s.vec_id as train_id, t.vec_id as ref_id, list_sum(list_transform(list_zip(s.x, t.y), lambda p: case when p[1] <> p[2] then 1 else 0 end)) as d from h s, h t where t.vec_id % 3 = 1)
+select train_id, ref_id, cast(d as bigint) as distance from p where d <= 10""")
+def hamming_near(spark, sf_dir):
+    """A radius that an index of wide bands narrows down; every third vector, eight components turned round, is a reference."""
+    e = table(spark, sf_dir, "embeddings")
+    turned = F.transform("embedding", lambda x, i: F.when(i < 8, -x).otherwise(x))
+    train = e.select(F.col("vec_id").alias("train_id"), V.sign_words(F.col("embedding"), _BITS).alias("train_words"))
+    refs = e.where("vec_id % 3 = 1").select(F.col("vec_id").alias("ref_id"), V.sign_words(turned, _BITS).alias("ref_words"))
+    near = N.hamming_indexed(train, refs, 10, 1, _BITS)
+    return near.select("train_id", "ref_id", F.col("distance").cast("bigint").alias("distance"))
 
 
 @query(f"with {_HASH_SQL} select cast(distance as bigint) as distance, count(*) as n from matches group by 1")

@@ -11,6 +11,7 @@ from tessera.functions import stats as S
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import decontam as D
+from tessera.operators import neighbours as N
 
 
 def one(spark, column, **values):
@@ -153,10 +154,33 @@ def test_bands_equal_nested_loops(spark, words, flips):
 
     t = spark.createDataFrame([(i, flip(f)) for i, f in enumerate(flips)], "train_id bigint, train_words array<bigint>")
     r = spark.createDataFrame([(0, words), (1, flip([0, 1, 2, 3, 4, 5, 6]))], "ref_id bigint, ref_words array<bigint>")
-    a = {tuple(x) for x in D.hamming_blocks(t, r, 4, 4, at_once=500).collect()}
-    for salts in (1, 3):
-        rows = [tuple(x) for x in D.hamming_banded(t, r, 4, 4, 256, salts).collect()]
-        assert len(rows) == len(set(rows)) and set(rows) == a
+    near = lambda x, y: sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(x, y))
+    want = sorted((i, j, d) for i, f in enumerate(flips) for j, w in enumerate((words, flip([0, 1, 2, 3, 4, 5, 6]))) if (d := near(flip(f), w)) <= 4)
+    # Rows without a hash match nothing; rows with equal hashes are rows of their own.
+    t, r = t.union(spark.createDataFrame([(99, None)], t.schema)), r.union(spark.createDataFrame([(7, words), (8, None)], r.schema))
+    want = sorted(want + [(i, 7, d) for i, j, d in want if j == 0])
+    for join in (lambda: N.hamming_indexed(t, r, 4, 4, 256), lambda: N.hamming_cells(t, r, 4, 4), lambda: N.hamming_join(t, r, 4, 4, 256)):
+        assert sorted(tuple(x) for x in join().collect()) == want
+
+
+def test_probe_plans_lose_nothing(spark, monkeypatch):
+    import random
+
+    from tessera.operators import neighbours as N
+
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    rows = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 14))) for b in base for _ in range(8)]
+    t = spark.createDataFrame([(i, [signed(v)]) for i, v in enumerate(rows)], "train_id int, train_words array<bigint>")
+    r = spark.createDataFrame([(str(i), [signed(v)]) for i, v in enumerate(base)], "ref_id string, ref_words array<bigint>")
+    monkeypatch.setattr(N, "TRAIN_BLOCK", 7)
+    monkeypatch.setattr(N, "REF_BLOCK", 5)
+    for limit in (0, 1, 3, 7, 10, 12):
+        want = sorted((i, str(j), (v ^ b).bit_count()) for i, v in enumerate(rows) for j, b in enumerate(base) if (v ^ b).bit_count() <= limit)
+        assert sorted(map(tuple, N.hamming_indexed(t, r, limit, 1, 64).collect())) == want
+        assert limit != 10 or sorted(map(tuple, N.hamming_cells(t, r, limit, 1).collect())) == want
+    assert N.probe_plan(64, 22)[2] == 1.0 and N.hamming_cells(t.limit(0), r, 3, 1).count() == 0 and N.hamming_indexed(t, r.limit(0), 3, 1, 64).count() == 0
 
 
 def test_knn_forms_agree(spark):
@@ -166,9 +190,14 @@ def test_knn_forms_agree(spark):
     r = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("ref_id"), v.alias("ref_vec"))
     rows = lambda d: sorted((x.train_id, x["rank"], x.ref_id) for x in d.collect())
     want = rows(D.knn_columns(t, r, 5))
-    assert rows(D.knn_blocks(t, r, 5)) == want
-    assert rows(D.knn_blocks(t, r, 5, at_once=5_000)) == want
-    assert D.knn_blocks(t, r.limit(2), 5).groupBy("train_id").count().agg(F.max("count")).first()[0] == 2  # no padding
+    for pivots in (1, 3, 64):
+        assert rows(N.nearest(t, r, 5, pivots=pivots)) == want
+    assert N.nearest(t, r.limit(2), 5).groupBy("train_id").count().agg(F.max("count")).first()[0] == 2  # no padding
+    assert N.nearest(t, r.limit(0), 5).count() == 0 == N.nearest(t.limit(0), r, 5).count()
+    # Equal vectors tie by id; clusters of their own are skipped by their bounds; rows without a vector have no neighbours.
+    far = [(i, [float(10 * (i % 4 == k)) + 0.001 * (i // 8) for k in range(4)]) for i in range(64)] + [(100, [0.0] * 4), (101, None)]
+    q, p = spark.createDataFrame(far, "train_id int, train_vec array<double>"), spark.createDataFrame(far[:64] + [(200 - i, v) for i, v in far[:20]], "ref_id int, ref_vec array<double>")
+    assert rows(N.nearest(q, p, 3, pivots=8)) == rows(D.knn_columns(q.where("train_vec is not null"), p, 3))
 
 
 def test_median_bits(spark):
