@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import arithmetic_rank, place_in_group
+from .sampling import place_in_group, spread_rank
 
 
 def length_bucket(length: Column, edges: tuple[int, ...]) -> Column:
@@ -20,15 +20,13 @@ def ragged_batches(rows: DataFrame, key: str, values: str, batch_size: int, edge
     """(bucket, batch, slot, key, length, padded, mask, values): rows of like length in batches, in a seeded order.
 
     A row is padded to its bucket, not to the longest of all; its own list stays beside the mask.  Rows of a bucket are
-    numbered in ranges of their order side by side, so a bucket that holds most rows is no single task.  ``key`` is an integer
-    below 2^32 that tells rows apart; a null list is empty.
+    numbered in ranges of their order side by side, so a bucket that holds most rows is no single task.  ``key`` tells rows apart
+    (whole numbers below 2^32, or text); a null list is empty.
     """
     list_type = dict(rows.dtypes)[values]
     held = F.coalesce(F.col(values), F.array().cast(list_type))
     sized = rows.select(F.col(key).alias(key), held.alias(values)).withColumn("length", F.size(values)).withColumn("bucket", length_bucket(F.col("length"), edges))
-    # The rank fills 32 bits; spread over 64 it orders the shards of ``place_in_group``.
-    order = (arithmetic_rank(F.col(key), seed) - F.lit(1 << 31)) * F.lit(1 << 32)
-    placed = place_in_group(sized, "bucket", order, "_place")
+    placed = place_in_group(sized, "bucket", spread_rank(sized, key, seed), "_place")
     spare = F.col("bucket") - F.col("length")
     item = list_type.removeprefix("array<").removesuffix(">")
     padded = F.concat(values, F.array_repeat(F.lit(pad).cast(item), spare))

@@ -47,17 +47,40 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
+def _pair_hashes(words: Column) -> Column:
+    """Hashes of neighbouring words."""
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda x, y: F.xxhash64(x, y))
+
+
+def _bitmap(keys: DataFrame, most_bits: int) -> tuple[Column, int]:
+    """(array of 64-bit words as a literal, number of bits): a bit is set for each key's lowest bits; at least 16 bits a key up to ``most_bits``."""
+    bits = 1 << 12
+    n = keys.count()
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    at = F.pmod("_pair", F.lit(bits))
+    found = keys.groupBy(F.floor(at / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(_pair, 64) as int))")).alias("b")).collect()  # at most bits / 64 numbers
+    held = dict(map(tuple, found))
+    # A literal of many numbers in one expression: parsed once, when the plan is made.
+    return F.from_json(F.lit(str([held.get(w, 0) for w in range(bits // 64)])), "array<bigint>"), bits
+
+
+#: Bits of the filter of item pairs that every task gets: 128 kB.  More items than it can tell apart let more pairs through; the join decides.
+FILTER_BITS = 1 << 20
+
+
 def holding(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, limit: int = ITEM_BYTES) -> DataFrame:
     """Distinct keys of the texts that hold some whole item.
 
-    Items of up to ``limit`` bytes are one automaton that reads each text once.  Of more, those with four or more words are
-    met by the longest pair of neighbouring inner words, which stands whole in any text that holds the item: only keys and
-    pair hashes are shuffled, and a text is fetched once for each item it may hold.  Shorter items go in blocks.
+    An item of four or more words is met by the longest pair of its neighbouring inner words, which stands whole in any text
+    that holds it.  The pairs of all items set bits of a small filter; a text's pairs are hashed and filtered where the text
+    is read, so that only likely hits are exploded and joined, and a text is fetched once for each item it may hold.  Shorter
+    items are few different words and go to every task, in blocks of ``limit`` bytes, as one automaton that reads a text once.
     """
     items = items.select(F.col(item).alias("_item")).where(F.length(F.trim("_item")) > 0).distinct()
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = texts.schema["_key"].dataType.simpleString()
-    bytes_of = lambda d: d.agg(F.coalesce(F.sum(F.octet_length("_item") + 64), F.lit(0))).first()[0]
 
     def search(block: list) -> DataFrame:
         wanted = sorted(r[0] for r in block)
@@ -70,18 +93,25 @@ def holding(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, l
 
         return texts.mapInArrow(scan, f"_key {kind}")
 
-    size = bytes_of(items)
-    if size <= limit:
-        return search(items.collect()).distinct()
-    long = items.where(F.size(_words(F.col("_item"))) >= 4)
-    inner = F.slice(_words(F.col("_item")), 2, F.size(_words(F.col("_item"))) - 2)
-    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.struct((-F.length(x) - F.length(y)).alias("l"), F.xxhash64(x, y).alias("h")))
-    keyed = long.select("_item", F.array_min(pairs(inner))["h"].alias("_pair"))
-    grams = texts.select("_key", F.explode(F.array_distinct(F.transform(pairs(_words(F.col("_text"))), lambda p: p["h"]))).alias("_pair"))
-    may = grams.join(keyed.select("_pair").distinct(), "_pair", "left_semi").join(keyed, "_pair").select("_key", "_item").distinct()
-    hit = may.join(texts, "_key").where(F.contains("_text", "_item")).select("_key")
-    short = items.where(F.size(_words(F.col("_item"))) < 4)
-    return hit.unionByName(in_blocks(short, "_item", bytes_of(short), limit, search)).distinct()
+    words = _words(F.col("_item"))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    rest = F.greatest(F.size(inner) - 1, F.lit(0))
+    longest = F.array_min(F.zip_with(F.slice(inner, 1, rest), F.slice(inner, 2, rest), lambda x, y: F.struct((-F.length(x) - F.length(y)).alias("l"), F.xxhash64(x, y).alias("h"))))["h"]
+    keyed = items.where(F.size(words) >= 4).select("_item", longest.alias("_pair"))
+    hits = []
+    bitmap, bits = _bitmap(keyed.select("_pair").distinct(), FILTER_BITS)
+
+    def likely(filter_words: Column, hashes: Column) -> Column:
+        return F.filter(hashes, lambda h: F.getbit(F.get(filter_words, F.floor(F.pmod(h, F.lit(bits)) / 64).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1)
+
+    grams = texts.select("_key", F.explode(F.array_distinct(likely(bitmap, _pair_hashes(_words(F.col("_text")))))).alias("_pair"))
+    may = grams.join(keyed, "_pair").select("_key", "_item").distinct()
+    hits.append(may.join(texts, "_key").where(F.contains("_text", "_item")).select("_key"))
+    short = items.where(F.size(words) < 4)
+    size = short.agg(F.sum(F.octet_length("_item") + 64)).first()[0]
+    if size:
+        hits.append(in_blocks(short, "_item", size, limit, search))
+    return reduce(DataFrame.unionByName, hits).distinct()
 
 
 def knn_columns(train: DataFrame, refs: DataFrame, k: int, digits: int = 9) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import arithmetic_rank
+from ..functions.order import PRIME, arithmetic_rank, hashed
 
 #: Target mix of the pool's sources, and the weight of any other.
 TARGET_MIX = {"visual7w": 0.35, "gqa": 0.30, "vqav2": 0.15, "vcr": 0.10, "aokvqa": 0.10}
@@ -104,10 +104,17 @@ def weighted_draws(df: DataFrame, source: str, key: str, draws: int, weights: di
     counts = df.groupBy(source).agg(F.count(F.lit(1)).alias("n")).withColumn("w", mix_weight(F.col(source), weights) * (F.lit(1.0) if by_share else F.col("n")))
     order = Window.orderBy(source)
     bounds = counts.withColumn("hi", F.sum("w").over(order)).withColumn("lo", F.col("hi") - F.col("w")).withColumn("all", F.sum("w").over(Window.partitionBy()))
-    unit = lambda s: F.pmod(F.xxhash64("draw", F.lit(seed + s)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    unit = lambda s: hashed(F.col("draw"), 2 * seed + s) / F.lit(float(PRIME))
     asked = df.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("u", unit(0)).withColumn("v", unit(1))
     picked = asked.join(F.broadcast(bounds), (F.col("u") * F.col("all") >= F.col("lo")) & (F.col("u") * F.col("all") < F.col("hi"))).select("draw", source, F.floor(F.col("v") * F.col("n")).alias("_k"))
-    return picked.join(place_in_group(df, source, F.xxhash64(key), "_k"), [source, "_k"]).drop("_k")
+    return picked.join(place_in_group(df, source, spread_rank(df, key, seed), "_k"), [source, "_k"]).drop("_k")
+
+
+def spread_rank(df: DataFrame, key: str, seed: int) -> Column:
+    """A seeded order of ``key`` over 64 bits: arithmetic for whole numbers, so that any engine can repeat it, else by hash."""
+    if dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint"):
+        return (arithmetic_rank(F.col(key), seed) - F.lit(1 << 31)) * F.lit(1 << 32)
+    return F.xxhash64(key, F.lit(seed))
 
 
 def family_of(source: Column) -> Column:
@@ -126,8 +133,20 @@ def balanced_slots(families: DataFrame, batches: int, batch_size: int, seed: int
     ranked = grid.withColumn("_o", F.row_number().over(Window.partitionBy("batch").orderBy(F.xxhash64("batch", "family", F.lit(seed + epoch)), "family")))
     quota = F.floor(F.lit(batch_size) / F.col("f")) + (F.col("_o") <= F.lit(batch_size) % F.col("f")).cast("bigint")
     slots = ranked.withColumn("quota", quota)
-    start = F.coalesce(F.sum("quota").over(Window.partitionBy("family").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return slots.withColumn("start", start).select("batch", "family", "n", "quota", "start")
+    return running_sum(slots, "family", "batch", "quota", "start").select("batch", "family", "n", "quota", "start")
+
+
+def running_sum(rows: DataFrame, group: str, order: str, value: str, name: str, width: int = 4_096) -> DataFrame:
+    """``rows`` with the sum of ``value`` before each row of its group, by a whole-number ``order``.
+
+    Ranges of ``width`` are summed side by side and then over one row a range, so a group with many rows is no single task.
+    """
+    ranged = rows.withColumn("_range", F.floor(F.col(order) / width))
+    totals = ranged.groupBy(group, "_range").agg(F.sum(value).alias("_total"))
+    offsets = totals.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_total").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy(group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = ranged.withColumn("_inside", inside).join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn(name, F.col("_offset") + F.col("_inside")).drop("_range", "_inside", "_g", "_r", "_offset")
 
 
 def balanced_batches(df: DataFrame, family: str, key: str, batch_size: int, batches: int | None = None, seed: int = 42, epoch: int = 0) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 
 def fold_runs(df: DataFrame, key: str, order: list[str], value: str, start: Callable[[], object], step: Callable, finish: Callable[[object], tuple], schema: str) -> DataFrame:
     """(key, *finish(state)) of every run: ``state = step(state, value)`` over its rows in order.
@@ -53,8 +55,22 @@ def fold_runs(df: DataFrame, key: str, order: list[str], value: str, start: Call
 
 
 def ema_runs(df: DataFrame, key: str, order: list[str], value: str, factor: float = 0.98) -> DataFrame:
-    """(key, n, ema) of every run."""
-    return fold_runs(df, key, order, value, lambda: (0, None), lambda s, v: (s[0] + 1, v if s[1] is None else s[1] * factor + v * (1 - factor)), lambda s: s, "n bigint, ema double")
+    """(key, n, ema) of every run; null values are no steps.
+
+    The mean is an affine recurrence: m values turn a mean e into factor^m e plus a sum of the values by their distance from
+    the last.  Rows are range-partitioned by run and order, each partition sums up its segments, and a run's few segments are
+    chained; the first one starts from its first value.  So a run with most of the rows is spread over many tasks.
+    """
+    steps = [f"_o{i}" for i in range(len(order))]
+    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v"), *(F.col(o).alias(s) for o, s in zip(order, steps)))
+    spread = settled(rows.repartitionByRange(key, *steps).withColumn("_part", F.spark_partition_id()), "runs")
+    segment = Window.partitionBy("_part", key)
+    placed = spread.withColumn("_k", F.row_number().over(segment.orderBy(*steps))).withColumn("_m", F.count(F.lit(1)).over(segment))
+    weight = (1 - factor) * F.pow(F.lit(factor), F.col("_m") - F.col("_k"))
+    sums = placed.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("m"), F.sum(weight * F.col("_v")).alias("shift"), F.max(F.when(F.col("_k") == 1, F.col("_v"))).alias("first"))
+    chained = sums.groupBy(key).agg(F.sum("m").alias("n"), F.array_sort(F.collect_list(F.struct("_part", "m", "shift", "first"))).alias("_s"))  # one a partition at most
+    mean = F.aggregate("_s", F.get("_s", F.lit(0))["first"], lambda e, s: F.pow(F.lit(factor), s["m"]) * e + s["shift"])
+    return chained.select(key, "n", mean.alias("ema"))
 
 
 def early_stop_runs(df: DataFrame, key: str, order: list[str], value: str, patience: int = 5, least: float = 0.001, factor: float = 0.98) -> DataFrame:

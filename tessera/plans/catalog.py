@@ -614,10 +614,25 @@ def hash_sample(spark, sf_dir):
     return M.seeded_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50)
 
 
-@query()
+def _hashed_sql(x: str, seed: int) -> str:
+    """``order.hashed`` in integer arithmetic."""
+    from ..functions.order import FACTOR, PRIME
+
+    sql = f"(({x} + {(seed * 7919 + 12345) % PRIME}) % {PRIME})"
+    for turn in (1, 2):
+        sql = f"((({sql} * {sql}) % {PRIME} * {FACTOR} + {sql} + {turn * 1000003}) % {PRIME})"
+    return sql
+
+
+@query(f"""with c as (select source, count(*) as n, count(*) * case source when 'src0' then 0.5::double when 'src1' then 0.3::double else 0.1::double end as w from documents group by 1),
+b as (select *, sum(w) over (order by source) as hi, sum(w) over () as total from c),
+d as (select range as draw, {_hashed_sql("range", 84)} / 2147483647.0::double as u, {_hashed_sql("range", 85)} / 2147483647.0::double as v from range(0, 1000)),
+k as (select draw, source, cast(floor(v * n) as bigint) as k from d join b on u * total >= hi - w and u * total < hi),
+p as (select doc_id, source, row_number() over (partition by source order by (doc_id * 2654435761 + 42) % 4294967296) - 1 as k from documents)
+select draw, source, doc_id from k join p using (source, k)""")
 def weighted_sample(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return M.weighted_draws(d, "source", "doc_id", 1000, {"src0": 0.5, "src1": 0.3})
+    return M.weighted_draws(d, "source", "doc_id", 1000, {"src0": 0.5, "src1": 0.3}).select("draw", "source", "doc_id")
 
 
 @query("""with f as (select source as family, count(*) as n from documents group by 1), b as (select count(*) as f, (select count(*) from documents) // 64 as batches from f)

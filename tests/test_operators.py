@@ -366,3 +366,44 @@ def test_suppression_by_row_equals_the_list_form(spark):
     many = many.select("image_id", "score", "id", F.struct(F.col("corner.x1").alias("x1"), F.col("corner.y1").alias("y1"), (F.col("corner.x1") + 30).alias("x2"), (F.col("corner.y1") + 20).alias("y2")).alias("box"))
     kept = suppress_rows(many.union(many.withColumn("id", F.col("id") + 50_000)), "image_id", ["id"], 0.4).collect()
     assert sorted(r.place for r in kept) == list(range(len(kept))) and 1000 < len(kept) < 20_000
+
+
+def test_running_sum_by_ranges(spark):
+    rows = [(g, i, (i * 7 + g) % 5) for g in (0, 1) for i in range(60)] + [(None, 3, 2), (None, 70, 4)]
+    got = M.running_sum(spark.createDataFrame(rows, "g int, i bigint, v int"), "g", "i", "v", "before", width=16)
+    want = {(g, i): sum(v for h, j, v in rows if h == g and j < i) for g, i, _ in rows}
+    assert {(r.g, r.i): r.before for r in got.collect()} == want
+
+
+def test_means_of_runs_that_span_partitions(spark):
+    rows = [(1, i, float((i * 37) % 101)) for i in range(4000)] + [(2, 0, 5.0), (3, 1, None), (3, 0, 1.0), (3, 2, 2.0), (None, 0, 7.0), (None, 1, 9.0)]
+    df = spark.createDataFrame(rows, "k int, i int, v double").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    got = {r.k: (r.n, r.ema) for r in R.ema_runs(df, "k", ["i"], "v", 0.9).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for k in (1, 2, 3, None):
+        mine = [v for q, _, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]) if v is not None]
+        e = mine[0]
+        for v in mine[1:]:
+            e = 0.9 * e + 0.1 * v
+        assert got[k][0] == len(mine) and abs(got[k][1] - e) < 1e-9
+    assert R.ema_runs(df.limit(0), "k", ["i"], "v").count() == 0
+
+
+def test_holding_random_texts(spark):
+    import random
+
+    from tessera.operators import decontam as D
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) for _ in range(30)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    items = [t[a : a + rng.randint(3, 40)] for t in texts[:30] for a in [rng.randint(0, max(0, len(t) - 3))]] + ["", "  ", "zz zz zz zz zz"]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate([*texts, None])], "id string, t string")
+    found = spark.createDataFrame([(x,) for x in [*items, None]], "item string")
+    want = {str(i) for i, t in enumerate(texts) if any(x in t for x in items if x.strip())}
+    for bits in (1 << 12, 1 << 6):
+        old, D.FILTER_BITS = D.FILTER_BITS, bits
+        assert {r[0] for r in D.holding(docs, found, "id", "t", "item", limit=200).collect()} == want
+        D.FILTER_BITS = old
+    assert D.holding(docs, found.limit(0), "id", "t", "item").count() == 0
