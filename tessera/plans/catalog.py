@@ -653,4 +653,5 @@ def stream_dedup(spark, sf_dir):
     return streams.drain(streams.unseen(rows, "event_id", late="3650 days").drop("ts"), spark)
 
 
-from . import documents, formats  # noqa: E402, F401  register their queries
+from . import formats  # noqa: E402, F401, I001  registers its queries
+from . import documents  # noqa: E402, F401

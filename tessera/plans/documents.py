@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import batches as B
+from ..operators import decontam as D
 from ..operators import evaluate as E
 from ..operators import sampling as M
 from ..operators.proposals import merge_tag_proposals
 from ..sources import annotations as A
 from ..sources import files as L
 from ..sources import hash_cache as H
+from ..sources.json_elements import parsed, read_elements
 from ..sources.shared import scratch, settled
 from ..streaming import runs as streams
-from .catalog import _AREA_K, _AREA_P, _INTER, ORACLE, _greedy_sql, query, r6, table
-from .formats import _LINES_SQL, _area
+from .catalog import _AREA_K, _AREA_P, _HASH_SQL, _INTER, ORACLE, _greedy_sql, _matches, _neighbours, _split, query, r6, table
+from .formats import _LINES_SQL, _area  # its queries are registered first
 
 #: Small here, so that a test table is many ranges.
 CHUNK = 1 << 18
@@ -228,3 +231,83 @@ def metric_key_order(spark, sf_dir):
     """Metric keys in text order, as their report lists them: 10 before 2."""
     keys = table(spark, sf_dir, "customer").select(F.concat(F.lit("metric_"), (F.col("c_custkey") % 120).cast("string")).alias("key")).distinct()
     return E.text_order(keys, "key").select("key", F.col("place").cast("bigint").alias("place"))
+
+
+# ---- files written and read back -------------------------------------------------------------------------------------
+
+
+@query(ORACLE["submission_rows"])
+def submission_file_rows(spark, sf_dir):
+    """The submission as one JSON array in id order, written by ranges and read back by ranges of bytes."""
+    from .formats import submission_rows
+
+    path = scratch(spark, "submission")
+    L.write_json_array(submission_rows(spark, sf_dir), "question_id", path)
+    found = read_elements(spark, f"{path}/part-00000.json", chunk=CHUNK)
+    order = Window.partitionBy(F.spark_partition_id()).orderBy("offset")
+    rows = parsed(found, "question_id bigint, answer string").select("offset", "value.*")
+    # Ids rise along the file: a row that does not exceed the one before it in its range would get no id.
+    rising = F.coalesce(F.col("question_id") > F.lag("question_id").over(order), F.lit(True))
+    return rows.withColumn("ok", rising).select(F.when(F.col("ok"), F.col("question_id")).alias("question_id"), "answer")
+
+
+@query(f"""with {_HASH_SQL}, m as (select train_id, count(*) as n, min(distance) as least from matches group by 1), b as (select train_id, ref_id as best, round(similarity, 6) as similarity from knn where rank = 1)
+select train_id, coalesce(n, 0) as n, cast(least as bigint) as least, best, similarity, train_id % 10 = 0 as corrupt from t left join m using (train_id) left join b using (train_id)""")
+def decontamination_log_file(spark, sf_dir):
+    """The nested log of all training rows as one JSON object by id, written by ranges and read back by ranges of bytes."""
+    path = f"{scratch(spark, 'nested-log')}/log.json"
+    t, _ = _split(spark, sf_dir)
+    log = D.decontamination_log(_matches(spark, sf_dir), _neighbours(spark, sf_dir), t.where("train_id % 10 = 0"))
+    L.write_keyed_object(log.withColumn("key", F.col("train_id").cast("string")), "key", path)
+    back = L.read_keyed_object(spark, path, "train_id bigint, hash_matches array<struct<ref_id:bigint,distance:int>>, neighbours array<struct<rank:int,ref_id:bigint,similarity:double>>, corrupt boolean", chunk=CHUNK).select("id", "value.*")
+    matches, best = F.coalesce("hash_matches", F.array().cast("array<struct<ref_id:bigint,distance:int>>")), F.get("neighbours", F.lit(0))
+    return back.select(
+        F.col("id").cast("bigint").alias("train_id"), F.size(matches).cast("bigint").alias("n"), F.array_min(F.transform(matches, lambda x: x["distance"])).cast("bigint").alias("least"), best["ref_id"].alias("best"),
+        r6(best["similarity"]).alias("similarity"), F.coalesce("corrupt", F.lit(False)).alias("corrupt"),
+    )
+
+
+@query("select p_partkey, p_name || chr(9) || '\"' || p_type || chr(10) || ' x ' as said, case when p_size % 3 = 0 then null else p_brand end as brand from part")
+def tsv_rows(spark, sf_dir):
+    """Fields with tabs, quotes, line feeds and blanks at their ends, as a TSV file and back."""
+    path = scratch(spark, "tsv")
+    p = table(spark, sf_dir, "part")
+    L.write_csv(p.select("p_partkey", F.concat("p_name", F.lit('\t"'), "p_type", F.lit("\n x ")).alias("said"), F.when(F.col("p_size") % 3 != 0, F.col("p_brand")).alias("brand")), path, sep="\t")
+    return L.read_tsv(spark, path).select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "said", "brand")
+
+
+@query("select doc_id, coalesce(octet_length(encode(text)), 0) as n_bytes, md5(coalesce(text, '')) as digest from documents")
+def decoded_images(spark, sf_dir):
+    """Texts stand for image bytes: base64 with and without padding and a data prefix."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    packed = F.regexp_replace(F.base64(F.encode(F.coalesce("text", F.lit("")), "utf-8")), r"[\r\n]", "")
+    raw = F.when(k == 0, packed).when(k == 1, F.concat(F.lit("data:image/png;base64,"), packed)).otherwise(F.regexp_replace(packed, "=+$", ""))
+    image = L.decode_image(raw)
+    return d.select("doc_id", F.coalesce(F.octet_length(image), F.lit(0)).cast("bigint").alias("n_bytes"), F.md5(image).alias("digest"))
+
+
+@query(f"with {_HASH_SQL} select train_id as train_idx, 'r' || ref_id as reference_image, cast(distance as bigint) as hamming_distance from matches where distance <= 20")
+def audit_file_rows(spark, sf_dir):
+    """An audit of matches as a CSV file of the pool's layout, and back."""
+    path = scratch(spark, "audit")
+    m = _matches(spark, sf_dir).where("distance <= 20").select(F.col("train_id").alias("train_idx"), F.concat(F.lit("r"), F.col("ref_id").cast("string")).alias("reference_image"), F.col("distance").alias("hamming_distance"))
+    L.write_audit(m, path, L.POOL_AUDIT)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(F.col("train_idx").cast("bigint").alias("train_idx"), "reference_image", F.col("hamming_distance").cast("bigint").alias("hamming_distance"))
+
+
+@query("select count(*) as total, count(distinct source) as sources, max(n_chars) as longest from documents")
+def summary_file(spark, sf_dir):
+    """A summary as one JSON document, found as the first of the places that hold one, and read back."""
+    path, d = scratch(spark, "summary"), table(spark, sf_dir, "documents")
+    L.write_document(d.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("source").alias("sources"), F.max("n_chars").alias("longest")), path)
+    return L.read_json_document(spark, path, "total bigint, sources bigint, longest bigint", missing_ok=False)
+
+
+@query("select c_custkey, c_nationkey from customer where c_acctbal > 9000")
+def local_first_rows(spark, sf_dir):
+    """Of several places for a table the first that is there is read."""
+    path = scratch(spark, "local")
+    table(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_custkey", "c_nationkey").write.parquet(f"{path}/second")
+    table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").write.parquet(f"{path}/third")
+    return L.local_or_none(spark, [f"{path}/first", f"{path}/second", f"{path}/third"])

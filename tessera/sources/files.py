@@ -51,8 +51,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(row.alias("r")).select("r.*")
 
 
+#: Quotes in quoted fields are doubled, and blanks at a field's ends are its own.
+_QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("sep", "\t").option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    return spark.read.options(**_QUOTING).option("sep", "\t").option("header", True).option("multiLine", True).csv(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -237,7 +241,7 @@ def write_audit(rows: DataFrame, path: str, layout: tuple[str, ...] = MATCH_AUDI
 
 
 def write_csv(rows: DataFrame, path: str, sep: str = ",") -> None:
-    rows.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    rows.write.mode("overwrite").options(**_QUOTING).option("header", True).option("sep", sep).csv(path)
 
 
 def manifest(frame: DataFrame, name: str, value: str) -> DataFrame:
