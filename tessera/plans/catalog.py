@@ -373,19 +373,19 @@ def mcq_prompt(spark, sf_dir):
 _STOP_SQL = "(" + ", ".join(f"'{w}'" for w in X.OBJECT_STOPWORDS) + ")"
 
 
-@query(f"""with w as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) as w, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) as i from documents where lang = 'en'),
+@query(f"""with w as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) as w, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) as i from documents),
 l as (select doc_id, i, lower(w) as w from w where length(w) > 1 and lower(w) not in {_STOP_SQL}),
 s as (select doc_id, i, case when length(w) > 4 and w like '%ies' then w[:-4] || 'y' when length(w) > 3 and w like '%s' and w not like '%ss' then w[:-2] else w end as tag from l),
 f as (select doc_id, tag, min(i) as i from s group by 1, 2)
-select doc_id, count(*) as n_tags, array_to_string(list(tag order by i)[1:10], ' . ') as head from f group by 1""")
+select doc_id, count(*) as n_tags, md5(string_agg(tag, ' . ' order by i)) as prompt_md5 from f group by 1""")
 def tag_merge(spark, sf_dir):
     # One row a word and one a distinct tag: long texts stay linear, where the array form compares all tags of a text.
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("i", "w"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("i", "w"))
     w = d.select("doc_id", "i", F.lower("w").alias("w")).where((F.length("w") > 1) & ~F.col("w").isin(*X.OBJECT_STOPWORDS))
     w = w.withColumn("tag", F.when((F.length("w") > 4) & F.col("w").endswith("ies"), F.concat(F.expr("left(w, length(w) - 3)"), F.lit("y"))).when((F.length("w") > 3) & F.col("w").endswith("s") & ~F.col("w").endswith("ss"), F.expr("left(w, length(w) - 1)")).otherwise(F.col("w")))
     f = w.groupBy("doc_id", "tag").agg(F.min("i").alias("i"))
     g = f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tags"), F.array_sort(F.collect_list(F.struct("i", "tag"))).alias("t"))
-    return g.select("doc_id", "n_tags", F.array_join(F.transform(F.slice("t", 1, 10), lambda x: x["tag"]), " . ").alias("head"))
+    return g.select("doc_id", "n_tags", F.md5(F.array_join(F.transform("t", lambda x: x["tag"]), " . ").cast("binary")).alias("prompt_md5"))
 
 
 @query("select p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'object') as slug from part")

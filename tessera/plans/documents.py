@@ -190,19 +190,37 @@ def vcr_document_rows(spark, sf_dir):
     return found.join(boxes, "id")
 
 
-@query("""select 'q' || o_orderkey as question_id, case when o_orderkey % 5 = 0 then null else o_orderkey || '.jpg' end as filename, coalesce(o_orderpriority, '') as answer from orders""")
-def visual7w_flat_rows(spark, sf_dir):
-    """A customer's orders are one flat document: pairs name their image, and every fifth image is not listed."""
+@query("""select 'q' || o_orderkey as question_id, case when o_custkey % 2 = 1 and o_orderkey % 5 = 0 then null else o_orderkey || '.jpg' end as filename, coalesce(o_orderpriority, '') as answer from orders where o_custkey % 2 = 1 or o_orderkey % 3 <> 0""")
+def visual7w_document_rows(spark, sf_dir):
+    """A customer's orders are one document: flat for every other customer, where pairs name their image and every fifth is not
+    listed, else nested, where an image holds its pairs and every third image is of another split."""
     o, key, none = table(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string"), F.lit(None).cast("string")
     qa = "struct<qa_id:string,question_id:string,id:string,type:string,qa_type:string,answer:string,box_xywh:array<double>,question:string,qp:string,multiple_choice_answer:string,image_id:string,image_path:string>"
     img = f"struct<split:string,filename:string,image_path:string,width:double,height:double,image_id:string,qa_pairs:array<{qa}>>"
+    flat = F.col("o_custkey") % 2 == 1
     pair = F.struct(F.concat(F.lit("q"), key), none, none, F.lit("which"), none, F.col("o_orderpriority"), F.lit(None).cast("array<double>"), F.lit("?"), none, none, key, none).cast(qa)
-    image = F.struct(F.lit("train"), F.concat(key, F.lit(".jpg")), none, F.lit(60.0), F.lit(40.0), key, F.lit(None).cast(f"array<{qa}>")).cast(img)
-    documents = o.groupBy("o_custkey").agg(F.collect_list(F.when(F.col("o_orderkey") % 5 != 0, image)).alias("images"), F.collect_list(pair).alias("train"))
+    split = F.when(~flat & (F.col("o_orderkey") % 3 == 0), F.lit("val")).otherwise(F.lit("train"))
+    image = F.struct(split, F.concat(key, F.lit(".jpg")), none, F.lit(60.0), F.lit(40.0), key, F.when(~flat, F.array(pair))).cast(img)
+    listed = F.when(~flat | (F.col("o_orderkey") % 5 != 0), image)
+    documents = o.groupBy("o_custkey").agg(F.collect_list(listed).alias("images"), F.collect_list(F.when(flat, pair)).alias("train"))
     found = A.visual7w_pairs(documents)
     return found.select(F.col("qa.qa_id").alias("question_id"), F.col("img.filename").alias("filename"), F.col("qa.answer").alias("answer"))
 
 
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_linenumber % 4 = 3 then 1 else 2 end as n, case l_linenumber % 4 when 0 then l_quantity::double + 1 when 1 then l_quantity::double + 2 when 2 then 3 + l_quantity::double else 4 + l_quantity::double end as x2 from lineitem""")
+def metadata_box_rows(spark, sf_dir):
+    """Boxes as lists or in objects; where none parses, regions by corners or by place and size."""
+    li, q = table(spark, sf_dir, "lineitem"), F.col("l_quantity").cast("double").cast("string")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    k = F.col("l_linenumber") % 4
+    plus = lambda n: (F.col("l_quantity").cast("double") + n).cast("string")
+    boxes = F.when(k == 0, text("[[0,0,", plus(1), ',5,0.9],"x",{"bbox":{"box":[0,0,1,1]}},[5,5,1,1]]')).when(k == 1, text('[{"box":[0,0,', plus(2), ',5]},[1,2,3,4]]')).otherwise(F.lit('["none",[1,2]]'))
+    regions = F.when(k == 2, text('[{"bbox":[0,0,', plus(3), ',9]},{"box":[1,1,0,5]},{"box":[1,1,2,2]}]')).when(k == 3, text('[{"bbox_xywh":[4,1,', q, ',2]},{"bbox":[9,9,1,1]}]')).otherwise(F.lit('[{"bbox":[0,0,1,1]}]'))
+    lists = [F.try_variant_get(F.parse_json(c), "$", "array<variant>") for c in (boxes, regions)]
+    found = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", A.metadata_boxes(*lists).alias("b"))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.size("b").alias("n"), F.col("b")[0]["x2"].alias("x2"))
+
+
 @query("""with v as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as i from lineitem),
 g as (select *, row_number() over (partition by l_orderkey order by ((l_orderkey * 1000 + i) * 2654435761 + 42) % 4294967296, i) as r from v),
 u as (select 0 as stage, 'refcoco' as source, l_quantity::double as w from lineitem where l_quantity >= 10 union all select 1, 'visual_genome', l_quantity::double from g where r <= 3 and l_quantity >= 10 and l_linenumber % 3 <> 0)

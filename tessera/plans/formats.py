@@ -452,10 +452,8 @@ def split_row_counts(spark, sf_dir):
 
 @query("select event_type, count(*) as n, row_number() over (order by count(*) desc, min(event_id)) as place from events group by 1")
 def common_types(spark, sf_dir):
-    from pyspark.sql import Window
-
-    m = E.most_common(table(spark, sf_dir, "events"), "event_type", "event_id")  # a handful of types
-    return m.select("event_type", "n", F.row_number().over(Window.orderBy(F.desc("n"), "first")).cast("bigint").alias("place"))
+    m = E.most_common(table(spark, sf_dir, "events"), "event_type", "event_id").withColumn("least", -F.col("n"))
+    return P.number_rows(m, ["least", "first"], "place").select("event_type", "n", (F.col("place") + 1).cast("bigint").alias("place"))
 
 
 @query("""select key, row_number() over (order by case when regexp_matches(key, '^\\d+$') then 0 else 1 end, case when regexp_matches(key, '^\\d+$') then key::bigint end, key) as place from (select distinct case when o_orderkey % 3 = 0 then 'k' || o_orderkey else cast(o_orderkey as varchar) end as key from orders) k""")

@@ -236,7 +236,7 @@ def coco_regions(document: DataFrame, files: DataFrame, least: float = LEAST_SID
     images = document.select(F.explode("images").alias("i")).select(F.col("i.id").alias("iid"), F.col("i.file_name").alias("name"))
     names = document.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("cid"), F.col("c.name").alias("category")).distinct()
     b = F.col("a.bbox")
-    rows = a.where(G.big_enough(b[2], b[3], least)).join(images, F.col("a.image_id") == F.col("iid")).join(F.broadcast(names), F.col("a.category_id") == F.col("cid")).join(files.select("name", "path"), "name")
+    rows = a.where(G.big_enough(b[2], b[3], least)).join(images, F.col("a.image_id") == F.col("iid")).join(names, F.col("a.category_id") == F.col("cid")).join(files.select("name", "path"), "name")
     return rows.select(*region(F.col("path"), G.from_xywh(b[0], b[1], b[2], b[3]), F.col("category"), F.lit("coco"), F.col("o")))
 
 
