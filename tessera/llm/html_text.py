@@ -28,11 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialise, tidy
 
+#: Pages at partition ends that are sent to every task, in bytes of their lines.
+MOST_SENT = 64 << 20
 #: Neighbours that share at least this part of the longer one's text bytes are copies: what they share is no furniture.
 NEAR_COPY = 0.9
 
@@ -361,6 +363,12 @@ def main_text(blocks: list[tuple[int, bool, str]], dropped: set[int] | None) ->
     return "\n\n".join(filter(None, (clean(t) for i, _, t in blocks if i not in dropped)))
 
 
+def sent_whole(rows: DataFrame, size: Column, name: str) -> DataFrame:
+    """``rows`` written, and marked for sending to every task if they take at most MOST_SENT bytes; else they are joined by shuffling."""
+    held = materialise(rows, name)
+    return F.broadcast(held) if (held.agg(F.sum(size)).first()[0] or 0) <= MOST_SENT else held
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars for every page.
 
@@ -391,8 +399,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     page, place = F.struct("host", "path", "lines", "sizes"), F.struct(*order)
     within = Window.partitionBy("pid").orderBy(*order)
     onward, backward = (Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1) for c in (F.col("pid"), F.col("pid").desc()))  # one row a partition
+    weight = lambda *pages: sum((F.coalesce(F.octet_length(f"{p}.lines") + F.octet_length(f"{p}.sizes"), F.lit(0)) for p in pages), F.lit(0))
     ends = ranged.groupBy("pid").agg(F.max_by(page, place).alias("end")).select("pid", F.last("end").over(onward).alias("outer"))
-    beside = ranged.withColumn("p", F.lag(page).over(within)).join(F.broadcast(ends), "pid").withColumn("p", F.coalesce("p", "outer")).drop("outer")
+    beside = ranged.withColumn("p", F.lag(page).over(within)).join(sent_whole(ends, weight("outer"), "page-ends"), "pid").withColumn("p", F.coalesce("p", "outer")).drop("outer")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -412,7 +421,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     to_come = Window.partitionBy("pid").orderBy(*(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
     near = (
         runs.withColumn("p", F.last("last", True).over(so_far)).withColumn("n", F.last("first", True).over(to_come))
-        .join(F.broadcast(carried), "pid")
+        .join(sent_whole(carried, weight("outer_last", "outer_first"), "page-carried"), "pid")
         .select("host", "digest", "path", "lines", "sizes", F.coalesce("p", "outer_last").alias("p"), F.coalesce("n", "outer_first").alias("n"))
     )
 

@@ -77,3 +77,13 @@ def test_pages_of_hostile_lines(spark):
     rows = [(1, "http://h/a/1", lines), (2, "http://h/a/2", "<p>b" + lines), (3, "http://h/a/3", HOSTILE["unclosed tags with quotes"]), (4, "http://h/a/4", HOSTILE["sections that are not open"] + "<p>end")]
     got = {r.page_id: r.n_chars for r in H.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert set(got) == {1, 2, 3, 4} and got[3] > 0 and got[4] >= 3
+
+
+def test_page_ends_that_are_not_sent(spark, monkeypatch):
+    """The same texts whether the pages at partition ends are sent to every task or joined by shuffling."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(120)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    want = sorted(map(tuple, H.extract_main_text(pages).collect()))
+    monkeypatch.setattr(H, "MOST_SENT", -1)
+    assert sorted(map(tuple, H.extract_main_text(pages).collect())) == want
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
