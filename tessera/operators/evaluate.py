@@ -12,13 +12,17 @@ from ..functions import text as X
 from .pool import number_rows
 
 
+def positive(**arguments: float | None) -> None:
+    """Arguments of a run that must be above zero where they are given: limits, batch and step counts, rates."""
+    for name, value in arguments.items():
+        if value is not None and not value > 0:
+            raise ValueError(f"{name} must be positive")
+
+
 def eval_rows(df: DataFrame, ordinal: str, limit: int | None) -> DataFrame:
     """The first ``limit`` rows by ordinal; a limit of 0 or less raises."""
-    if limit is None:
-        return df
-    if limit <= 0:
-        raise ValueError("limit must be positive")
-    return df.where(F.col(ordinal) < limit)
+    positive(limit=limit)
+    return df if limit is None else df.where(F.col(ordinal) < limit)
 
 
 def to_predict(samples: DataFrame, log: DataFrame, key: str, resume: bool = True) -> DataFrame:

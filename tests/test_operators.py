@@ -407,3 +407,10 @@ def test_holding_random_texts(spark):
         assert {r[0] for r in D.holding(docs, found, "id", "t", "item", limit=200).collect()} == want
         D.FILTER_BITS = old
     assert D.holding(docs, found.limit(0), "id", "t", "item").count() == 0
+
+
+def test_positive_arguments():
+    E.positive(limit=None, epochs=1, rate=1e-9)
+    for bad in (0, -1, float("nan")):
+        with pytest.raises(ValueError, match="epochs must be positive"):
+            E.positive(limit=3, epochs=bad)
