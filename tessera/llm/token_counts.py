@@ -10,7 +10,6 @@ an empty table gives no rows; columns besides the id and the text are ignored, w
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -21,97 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import scratch_path, tidy
+from .textvec import slices
+from .words import SLICE_BYTES, word_ids
 
 CACHE_SCHEMA = "digest binary, n_tokens bigint"
-#: Distinct words whose counts a worker remembers; the memo is emptied when it is full.
-MEMO_WORDS = 600_000
-
-
-class WordCounter:
-    """Counts tokens with the tokenizers library, each distinct blank-delimited word once.
-
-    A pretoken of this vocabulary never holds white space and the normaliser maps each character by itself within a
-    blank-delimited word, so a text's count is the sum over its words.  Whether that holds is read off the tokenizer
-    file: ``splits`` is false for any other kind of pretokenizer, and then whole texts are encoded.
-    """
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        spec = json.loads(Path(path).read_text())
-        model = spec["model"]
-        self.splits = model.get("end_of_word_suffix") == "</w>" and not any(
-            t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"]
-        )
-        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
-        for token, i in self.tok.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.memo: dict[bytes, int] = {}
-
-    def whole(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _letters(self, words: list[bytes]) -> None:
-        """Counts of words of a-z only: each is one pretoken, so its tokens end at the next word-end token."""
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = np.array(self.tok.encode(b" ".join(part).decode("ascii"), add_special_tokens=False).ids)
-            stops = np.flatnonzero(self.ends[ids])
-            if len(stops) != len(part):  # not one pretoken each after all
-                self.memo.update(zip(part, self.whole([w.decode("ascii") for w in part])))
-            else:
-                self.memo.update(zip(part, np.diff(stops, prepend=-1).tolist()))
-
-    def learn(self, missing: set[bytes]) -> None:
-        plain, tailed, other = set(), [], []
-        for w in missing:
-            low = w.lower()
-            core = low[:-1] if low[-1:] in (b",", b".") else low
-            if core.isalpha() and core.isascii():
-                plain.add(core)
-                if low is not w or core is not low:
-                    tailed.append((w, core, len(low) - len(core)))
-            else:
-                other.append(w)
-        self._letters([w for w in plain if w not in self.memo])
-        memo = self.memo
-        for w, core, extra in tailed:
-            memo[w] = memo[core] + extra
-        if other:
-            memo.update(zip(other, self.whole([w.decode("utf-8", "replace") for w in other])))
-
-    def counts(self, texts: list[bytes]) -> list[int]:
-        if not self.splits:
-            return self.whole([t.decode("utf-8", "replace") for t in texts])
-        out, at = [], 0
-        while at < len(texts):
-            group, size = [], 0
-            while at < len(texts) and (not group or size < 4_000_000):
-                group.append(texts[at].replace(b"\n", b" ").split(b" "))
-                size += len(texts[at])
-                at += 1
-            for words in group:
-                if missing := set(words).difference(self.memo):
-                    if len(self.memo) + len(missing) > MEMO_WORDS:  # all of this text's words are learned anew
-                        self.memo.clear()
-                        missing = set(words)
-                    missing.discard(b"")
-                    self.memo[b""] = 0
-                    self.learn(missing)
-                out.append(sum(map(self.memo.__getitem__, words)))
-        return out
-
-
-_counters: dict[str, WordCounter] = {}
-
-
-def _counter(path: str) -> WordCounter:
-    if path not in _counters:
-        _counters[path] = WordCounter(path)
-    return _counters[path]
 
 
 def piece_counts(path: str, texts: list[bytes]) -> list[int]:
@@ -123,7 +35,15 @@ def piece_counts(path: str, texts: list[bytes]) -> list[int]:
 
 
 def count_tokens(path: str, texts: list[bytes]) -> list[int]:
-    return piece_counts(path, texts) if path.endswith(".model") else _counter(path).counts(texts)
+    """Tokens of each text, a few MB of texts at a time."""
+    if path.endswith(".model"):
+        return piece_counts(path, texts)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    starts = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+    out: list[int] = []
+    for lo, hi in slices(starts, SLICE_BYTES):
+        out += word_ids(path).counts(data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo]).tolist()
+    return out
 
 
 def tokenizer_version(path: str) -> str:

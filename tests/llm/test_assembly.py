@@ -142,13 +142,14 @@ def test_pack_odd_tables(spark):
 
 def test_whole_text_tokenizer_agrees(spark, prose):
     """The path for tokenizers that are not made of words gives the same ids and nearly the same sentence ends."""
-    from tessera.llm import packing
-    from tessera.llm.textvec import column_bytes
     import pyarrow as pa
 
-    coder = packing.WordIds(tokenizer_path())
+    from tessera.llm import words
+    from tessera.llm.textvec import column_bytes
+
+    coder = words.WordIds(tokenizer_path())
     data, starts = column_bytes(pa.array([*ODD, *prose]))
-    a, b = coder.encode(data, starts), coder._whole(packing._strings(data, starts))
+    a, b = coder.encode(data, starts), coder._whole(words._strings(data, starts))
     assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
     assert len(set(a[2]) ^ set(b[2])) < 0.02 * len(a[2])
 

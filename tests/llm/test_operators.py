@@ -797,8 +797,13 @@ def test_token_cache_encodes_misses_once(spark, prose):
 def test_memo_is_bounded(monkeypatch, prose):
     P = pytest.importorskip("public_tokenizers")
     from tessera.llm import token_counts as C
+    from tessera.llm import words as W
 
-    monkeypatch.setattr(C, "MEMO_WORDS", 50)
-    c = C.WordCounter(P.path("word_bpe_49k.json"))
+    path = P.path("word_bpe_49k.json")
     texts = [t.encode() for t in prose[:30]]
-    assert c.counts(texts) == c.whole([t.decode() for t in texts])
+    want = [len(e.ids) for e in W.word_ids(path).tok.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+    monkeypatch.setattr(W, "MEMO_WORDS", 50)
+    monkeypatch.setattr(C, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(W, "_made", {})
+    assert C.count_tokens(path, texts) == want
+    assert len(W.word_ids(path).known) < len({w for t in texts for w in t.split()})
