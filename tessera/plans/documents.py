@@ -21,8 +21,8 @@ from ..streaming import runs as streams
 from .catalog import _AREA_K, _AREA_P, _HASH_SQL, _INTER, ORACLE, _greedy_sql, _matches, _neighbours, _split, query, r6, table
 from .formats import _LINES_SQL, _area  # its queries are registered first
 
-#: Small here, so that a test table is many ranges.
-CHUNK = 1 << 18
+#: Smaller than the default, so that a document of some MB is several ranges.
+CHUNK = 2 << 20
 
 
 @query(f"with {_LINES_SQL} select o as image_id, n::bigint as n, area from boxes")

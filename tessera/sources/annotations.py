@@ -166,7 +166,8 @@ def metadata_boxes(boxes: Column, regions: Column) -> Column:
 
     second = F.filter(F.transform(regions, region), lambda b: b.isNotNull())
     empty = F.array().cast(f"array<{BOX}>")
-    return F.when(F.size(F.coalesce(first, empty)) > 0, first).otherwise(F.coalesce(second, empty))
+    # The second choice is only worked out where the first, worked out once, is empty.
+    return X.bind(F.coalesce(first, empty), lambda found: F.when(F.size(found) > 0, found).otherwise(F.coalesce(second, empty)))
 
 
 def vcr_documents(text: DataFrame) -> DataFrame:
