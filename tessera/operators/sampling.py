@@ -122,6 +122,10 @@ def family_of(source: Column) -> Column:
     return F.coalesce(table[source], F.lit("other"))
 
 
+#: Batches that one row lays out.
+BATCH_RANGE = 4_096
+
+
 def balanced_slots(families: DataFrame, batches: int, batch_size: int, seed: int = 42, epoch: int = 0) -> DataFrame:
     """(batch, family, quota, start): equal shares, spare slots to the first families of a per-batch seeded order.
 
@@ -129,7 +133,10 @@ def balanced_slots(families: DataFrame, batches: int, batch_size: int, seed: int
     families: (family, n), a handful of rows.
     """
     held = families.select("family", "n", F.count(F.lit(1)).over(Window.partitionBy()).alias("f"))
-    grid = families.sparkSession.range(batches).withColumnRenamed("id", "batch").crossJoin(F.broadcast(held))
+    # A family's batches are laid out range by range, so that a few families still fill many tasks.
+    ranges = held.withColumn("_range", F.explode(F.sequence(F.lit(0), F.lit(max(0, (batches - 1) // BATCH_RANGE))))).repartition("_range", "family")
+    last = F.least((F.col("_range") + 1) * BATCH_RANGE, F.lit(batches)).cast("bigint") - 1
+    grid = ranges.select("family", "n", "f", F.explode(F.sequence((F.col("_range") * BATCH_RANGE).cast("bigint"), last)).alias("batch")) if batches > 0 else ranges.select("family", "n", "f", F.lit(0).cast("bigint").alias("batch")).where("false")
     ranked = grid.withColumn("_o", F.row_number().over(Window.partitionBy("batch").orderBy(F.xxhash64("batch", "family", F.lit(seed + epoch)), "family")))
     quota = F.floor(F.lit(batch_size) / F.col("f")) + (F.col("_o") <= F.lit(batch_size) % F.col("f")).cast("bigint")
     slots = ranked.withColumn("quota", quota)
