@@ -697,6 +697,29 @@ def test_very_long_texts(spark):
     assert sorted(r.n_chars > 200_000 for r in html_text.extract_main_text(pages).collect()) == [False, True]
 
 
+def test_very_long_rows_of_the_others(spark):
+    """A page and texts of some MB in archives, mixing and token counts."""
+    from tessera.llm import mixing, token_counts, warc
+
+    rng = random.Random(31)
+    long = " ".join(rng.choice("red fox dog runs far hill river stone cloud,".split()) for _ in range(300_000))
+    pages = spark.createDataFrame([(1, "http://a/1", long), (2, "http://a/2", long), (3, "http://a/3", "é" * 700_000), (4, "http://a/4", None)], "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in warc.warc_round_trip(pages).collect()}
+    assert [(got[i].payload_bytes, got[i].record_type, got[i].refers_to) for i in (1, 2, 3, 4)] == [(len(long), "revisit", 2), (len(long), "response", None), (1_400_000, "response", None), (0, "response", None)]
+    assert got[3].payload_digest == hashlib.sha1(("é" * 700_000).encode()).hexdigest()
+    docs = docs_of(spark, [long, "one two three", long[:500_000], None])
+    mixed = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
+    assert mixed[0].size == 300_000 and all(r.taken <= 3 * r.size for r in mixed.values())
+    assert abs(sum(r.taken for r in mixed.values()) - mixed[0].target) < 50
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    counts = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, path).collect()}
+    assert counts == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate([long, "one two three", long[:500_000], None])}
+
+
 # ---- mixing
 
 
