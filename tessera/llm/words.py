@@ -31,9 +31,9 @@ _MARK[ord("'")] = False
 class WordIds:
     """Token ids of texts and the sentence ends among them, each distinct word encoded once.
 
-    Where the tokenizer file shows that pretokens hold no white space the ids of a text
-    are those of its blank-delimited words in a row.  If it also lower-cases, and a letter and a mark never share a pretoken,
-    words are lower-cased and cut before a mark first, which leaves far fewer of them.  Any other tokenizer encodes whole texts.
+    Where the tokenizer file shows that pretokens hold no white space, the ids of a text are those of its blank-delimited words
+    in a row.  If it also lower-cases, and a letter and a mark never share a pretoken, words are lower-cased and cut before a
+    mark first, which leaves far fewer of them.  Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,7 +56,7 @@ class WordIds:
         self.forget()
 
     def _ids(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without offsets
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -85,7 +85,7 @@ class WordIds:
                 plain = []
         rest = [w for w in words if not w.isalpha()] if plain else words
         if rest:
-            ids = [e.ids for e in self.tok.encode_batch(rest, add_special_tokens=False)]
+            ids = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
             size = np.array([len(x) for x in ids], np.int64)
             ends = np.array([w == "\n" or w.rstrip(_QUOTES)[-1:] in _ENDERS and w != "" for w in rest], bool)
             self._store(rest, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum())), size, ends)
@@ -105,13 +105,15 @@ class WordIds:
         lists = pc.split_pattern(pc.replace_substring(_strings(data, starts), "\n", " \n "), " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        missing = [w for w in words if w not in self.known]
+        codes = list(map(self.known.get, words))
+        missing = [w for w, c in zip(words, codes) if c is None]
         if len(self.known) + len(missing) > MEMO_WORDS:
             self.forget()
             missing = words
         if missing:
             self._learn(missing)
-        word = np.array([self.known[w] for w in words], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+            codes = list(map(self.known.__getitem__, words))
+        word = np.array(codes, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
         return lists.offsets.to_numpy(), word
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
