@@ -163,6 +163,7 @@ def pool_issues(rows: DataFrame, questions: DataFrame, coco: DataFrame, files: D
     asked, there, known = F.col("_q").isNotNull(), F.col("_p").isNotNull(), F.col("_c").isNotNull()
     whole = asked & there & known
     inside = lambda b: (b["x1"] >= 0) & (b["x1"] < b["x2"]) & (b["x2"] <= F.col("_fw")) & (b["y1"] >= 0) & (b["y1"] < b["y2"]) & (b["y2"] <= F.col("_fh"))
+    # Names of the issues.
     issues = {
         "missing_vqav2_question": ~asked, "question_image_id_mismatch": asked & (F.col("_qi") != F.col("image_id")), "missing_image_file": asked & ~there, "missing_coco_index": asked & there & ~known,
         "filename_mismatch": whole & (F.element_at(F.split("image_path", "/"), -1) != F.col("file_name")), "size_mismatch_coco_json": whole & ((F.col("_fw") != F.col("_cw")) | (F.col("_fh") != F.col("_ch"))),

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..functions import text as X
 
+# Fixed value: the note on results of fewer than two pairs.
+TOO_FEW = "Insufficient paired items (need n >= 2)."
+
 
 def yes_no_score(prediction: Column, label: Column) -> Column:
     """1 or 0; null, and so not scored, unless both are yes or no."""
@@ -22,8 +25,8 @@ def option_score(correct: Column, prediction: Column, answer: Column) -> Column:
 
 
 def scores_by_key(rows: DataFrame, key: Column, score: Column, order: str) -> DataFrame:
-    """(key, score): unscored rows go, of repeated keys the last counts."""
-    return rows.select(key.cast("string").alias("key"), score.alias("score"), F.col(order).alias("_o")).where("score is not null").groupBy("key").agg(F.max_by("score", "_o").alias("score"))
+    """(key, score): unscored rows go, of repeated keys the last counts, of those that tie the greater score."""
+    return rows.select(key.cast("string").alias("key"), score.alias("score"), F.col(order).alias("_o")).where("score is not null").groupBy("key").agg(F.max_by("score", F.struct("_o", "score")).alias("score"))
 
 
 def merge_paired(baseline: DataFrame, final: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def paired_result(pairs: DataFrame, by: list[str], alpha: float = 0.05) -> DataF
         F.when(enough, S.mcnemar_chi2(F.col("ok_fail"), F.col("fail_ok"))).otherwise(nan).alias("mcnemar_chi2"), "mcnemar_p", sure("mcnemar_p").alias("mcnemar_significant"),
         F.when(enough, low).otherwise(nan).alias("mcnemar_ci_low_pp"), F.when(enough, high).otherwise(nan).alias("mcnemar_ci_high_pp"),
         ((F.col("ok_fail") + F.col("fail_ok") < S.EXACT_BELOW) & (F.col("ok_fail") + F.col("fail_ok") > 0)).alias("mcnemar_exact"), "both_ok", "ok_fail", "fail_ok", "both_fail",
-        F.when(~enough, F.lit("Too few pairs: at least two are needed.")).otherwise(F.lit("")).alias("notes"),
+        F.when(~enough, F.lit(TOO_FEW)).otherwise(F.lit("")).alias("notes"),
     )
 
 
