@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def arithmetic_rank(key: Column, seed: int = 0) -> Column:
-    """(key * 2654435761 + seed) mod 2**32."""
-    return F.pmod(key * F.lit(2654435761) + F.lit(seed), F.lit(4294967296))
+    """(key * 2654435761 + seed) mod 2**32, for any 64-bit key: it is reduced and multiplied in halves of 16 bits, so no product overflows."""
+    factor, half, whole = F.lit(2654435761), F.lit(65536), F.lit(4294967296)
+    rest = F.pmod(key.cast("bigint"), whole)
+    high, low = F.shiftright(rest, 16), F.pmod(rest, half)
+    return F.pmod(F.pmod(high * factor, half) * half + low * factor + F.pmod(F.lit(seed), whole), whole)
 
 
 #: A prime below 2^31 and a multiplier, so that products and squares stay exact in 64 bits.

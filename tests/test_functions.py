@@ -203,3 +203,12 @@ def test_knn_forms_agree(spark):
 def test_median_bits(spark):
     got = one(spark, V.sign_words(F.col("v"), 4), v=[1.0, 4.0, 2.0, 3.0])
     assert got == [0b0101]
+
+
+def test_arithmetic_rank_of_any_key(spark):
+    """Keys whose product with the multiplier passes 64 bits, as those of nine million orders do."""
+    from tessera.functions.order import arithmetic_rank
+
+    keys = [0, 1, 149_999_006, 8_999_999_006, 2**32 + 7, 2**63 - 1, -3, -(2**63)]
+    rows = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    assert {r.k: r.h for r in rows.select("k", arithmetic_rank(F.col("k"), 42).alias("h")).collect()} == {k: (k * 2654435761 + 42) % 2**32 for k in keys}
