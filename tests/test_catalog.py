@@ -66,6 +66,14 @@ def test_soft_score_of_all_events(spark, tmp_path):
     assert want[1] == 1.0
 
 
+def test_rounding_keeps_the_sign_of_zero(spark, tmp_path):
+    rows = [(1, [-4e-7, 4e-7, -0.25]), (2, [-4e-7, 0.0, -0.5])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = duckdb.execute(catalog.ORACLE["masked_means"].replace("from embeddings", f"from '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
+    (got,) = catalog.QUERIES["masked_means"](spark, tmp_path).collect()
+    assert repr([(got.g, list(got["mean"]))]) == repr(want) and repr(got["mean"][0]) == "-0.0"
+
+
 def test_nms_equals_a_plain_loop(spark):
     from tessera.functions import geometry as G
 
