@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 
 def median(v: Column) -> Column:
-    s, n = F.sort_array(v), F.size(v)
-    low, high = F.element_at(s, F.floor((n + 1) / 2).cast("int")), F.element_at(s, F.floor(n / 2 + 1).cast("int"))
-    return (low + high) / 2
+    n = F.size(v)
+    low, high = F.floor((n + 1) / 2).cast("int"), F.floor(n / 2 + 1).cast("int")
+    return F.get(F.transform(F.array(F.sort_array(v)), lambda s: (F.element_at(s, low) + F.element_at(s, high)) / 2), F.lit(0))
 
 
 def sign_words(v: Column, bits: int) -> Column:
-    """Bits v[i] > median(v), packed into 64-bit words, first bit highest."""
-    m = median(F.transform(v, lambda x: x.cast("double")))
+    """Bits v[i] > median(v), packed into 64-bit words, first bit highest; the median is worked out once a vector, not once a bit."""
 
-    def word(start: int) -> Column:
-        return F.aggregate(F.slice(v, start + 1, 64), F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x.cast("double") > m, F.lit(1)).otherwise(F.lit(0)).cast("bigint")))
+    def packed(m: Column) -> Column:
+        def word(start: int) -> Column:
+            return F.aggregate(F.slice(v, start + 1, 64), F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x.cast("double") > m, F.lit(1)).otherwise(F.lit(0)).cast("bigint")))
 
-    return F.array(*(word(s) for s in range(0, bits, 64)))
+        return F.array(*(word(s) for s in range(0, bits, 64)))
+
+    return F.get(F.transform(F.array(median(F.transform(v, lambda x: x.cast("double")))), packed), F.lit(0))
 
 
 def hamming(a: Column, b: Column, words: int) -> Column:

@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..sources.shared import settled
+from ..sources.shared import bounded_batches, settled
 
 #: The index is used if it brings at most this share of all pairs together, with at most so many probes a band and reference.
 INDEX_SHARE, MOST_PROBES = 0.02, 400
 #: Rows of a packed block.
 TRAIN_BLOCK, REF_BLOCK = 4_096, 4_096
+#: Rows of a batch that a task sends on: a training row may go to every cell.
+SENT_ROWS = 8_192
 #: Cells of references for the vector bounds; their centres and radii are what every task gets (at most so many vectors).
 PIVOTS = 64
 TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -130,6 +132,7 @@ def hamming_cells(train: DataFrame, refs: DataFrame, limit: int, words: int) ->
                     lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, len(z) * words + 1, words), pa.int32()), pa.array(m[z].ravel(), pa.int64())) for m, z in ((a[at : at + step], x), (b, y))]
                     yield pa.RecordBatch.from_arrays([*lists, pa.array(apart[x, y], pa.int32())], ["tw", "rw", "distance"])
 
+    bounded_batches(cells.sparkSession)
     pairs = cells.select("t_values", "r_values").mapInArrow(scan, "tw array<bigint>, rw array<bigint>, distance int")
     return _rows_of(pairs, train, refs)
 
@@ -150,16 +153,21 @@ def _best_of(cells: DataFrame, k: int, digits: int, left: str, right: str) -> Da
                 floors = np.asarray(asked.field("floor"), float)
                 vecs = np.asarray(asked.field("vec").flatten(), float).reshape(len(asked), -1)
                 matrix = _matrix(batch, "r_values", i, float)
-                top, rows, cols, sims = min(k, len(ids)), [], [], []
-                for at in range(0, len(vecs), max(1, 2_000_000 // len(ids))):
-                    for j, s in enumerate(np.round(vecs[at : at + max(1, 2_000_000 // len(ids))] @ matrix.T, digits), at):
-                        near = np.flatnonzero(s >= max(np.partition(s, len(s) - top)[len(s) - top], floors[j]))  # all ties of the last place, so ids can decide
-                        near = near[np.lexsort((ids[near], -s[near]))][:top]
-                        rows += [j] * len(near)
-                        cols += near.tolist()
-                        sims += s[near].tolist()
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(rows, pa.int64())), pa.array(ids[cols].tolist() if cols else [], TYPES[right]), pa.array(sims, pa.float64())], ["train_id", "ref_id", "similarity"])
-
+                top, found = min(k, len(ids)), []
+                step = max(1, 1_000_000 // len(ids))
+                for at in range(0, len(vecs), step):
+                    s, least = np.round(vecs[at : at + step] @ matrix.T, digits), floors[at : at + step]
+                    if not np.isfinite(least).all():  # without a floor the k-th best of the block is one
+                        least = np.maximum(least, np.partition(s, len(ids) - top, axis=1)[:, len(ids) - top])
+                    x, y = np.nonzero(s >= least[:, None])  # all ties of the last place, so ids can decide
+                    order = np.lexsort((ids[y], -s[x, y], x))
+                    x, y = x[order], y[order]
+                    first = np.arange(len(x)) - np.searchsorted(x, x) < top
+                    found.append((x[first] + at, y[first], s[x[first], y[first]]))
+                rows, cols, sims = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(rows, pa.int64())), pa.array(ids[cols].tolist(), TYPES[right]), pa.array(sims, pa.float64())], ["train_id", "ref_id", "similarity"])
+
+    bounded_batches(cells.sparkSession)
     return cells.select("t_keys", "t_values", "r_keys", "r_values").mapInArrow(scan, f"train_id {left}, ref_id {right}, similarity double")
 
 
@@ -209,9 +217,10 @@ def nearest(train: DataFrame, refs: DataFrame, k: int, digits: int = 9, pivots:
                 all_bounds, floors = bounds(vecs), np.asarray(batch.column("floor"), float)
                 open_ = all_bounds >= floors[:, None] - 10.0**-digits
                 open_[np.arange(len(vecs)), all_bounds.argmax(1)] = False
-                i, c = np.nonzero(open_ & np.isfinite(radius)[None])
-                at = pa.array(i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(c, pa.int32())], ["train_id", "train_vec", "floor", "cell"])
+                rows, others = np.nonzero(open_ & np.isfinite(radius)[None])
+                for k in range(0, len(rows), SENT_ROWS):
+                    at, c = pa.array(rows[k : k + SENT_ROWS]), others[k : k + SENT_ROWS]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(c, pa.int32())], ["train_id", "train_vec", "floor", "cell"])
 
     schema = f"train_id {left}, train_vec array<double>, floor double, cell int"
 

@@ -212,3 +212,22 @@ def test_arithmetic_rank_of_any_key(spark):
     keys = [0, 1, 149_999_006, 8_999_999_006, 2**32 + 7, 2**63 - 1, -3, -(2**63)]
     rows = spark.createDataFrame([(k,) for k in keys], "k bigint")
     assert {r.k: r.h for r in rows.select("k", arithmetic_rank(F.col("k"), 42).alias("h")).collect()} == {k: (k * 2654435761 + 42) % 2**32 for k in keys}
+
+
+def test_block_scans_take_small_batches(spark):
+    """Packed blocks are megabytes a row: the session gets a bound on batches, also a scan that meets many cells."""
+    from tessera.sources.shared import BATCH_BYTES, BATCH_DEFAULT, BATCH_KEY
+
+    before = spark.conf.get(BATCH_KEY, BATCH_DEFAULT)
+    spark.conf.set(BATCH_KEY, BATCH_DEFAULT)
+    rows = [(i, [float((i * p) % 7) for p in (1, 2, 3)]) for i in range(40)]
+    t, r = spark.createDataFrame(rows, "train_id bigint, train_vec array<double>"), spark.createDataFrame(rows, "ref_id bigint, ref_vec array<double>")
+    got = sorted((x.train_id, x["rank"], x.ref_id) for x in N.nearest(t, r, 4, pivots=5).collect())
+    assert spark.conf.get(BATCH_KEY) == BATCH_BYTES
+    assert got == sorted((x.train_id, x["rank"], x.ref_id) for x in D.knn_columns(t, r, 4).collect())
+    spark.conf.set(BATCH_KEY, before)
+
+
+def test_median_is_sorted_once_a_vector(spark):
+    rows = spark.createDataFrame([([1.0, 4.0, 2.0, 3.0],)], "v array<double>").select(V.sign_words(F.col("v"), 64).alias("w"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("sort_array(") == 1
