@@ -74,6 +74,24 @@ def test_rounding_keeps_the_sign_of_zero(spark, tmp_path):
     assert repr([(got.g, list(got["mean"]))]) == repr(want) and repr(got["mean"][0]) == "-0.0"
 
 
+def test_soft_score_of_orders_counts_rows_without_a_flag(spark, tmp_path):
+    flags = {1: ["N"] * 4 + ["R"], 2: [None, None], 3: ["N", None], 4: ["N"] * 3, 5: ["The N!", "n", "N", "R"]}
+    spark.createDataFrame([(o, f) for o, fs in flags.items() for f in fs], "l_orderkey bigint, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_orderkey: r.score for r in catalog.QUERIES["soft_score_of_orders"](spark, tmp_path).collect()}
+    want = dict(duckdb.execute(catalog.ORACLE["soft_score_of_orders"].replace("from lineitem", f"from '{tmp_path}/lineitem.parquet/*.parquet'")).fetchall())
+    assert {o: got[o] for o in (1, 2, 3, 4)} == {o: want[o] for o in (1, 2, 3, 4)} and got[3] == 0.166667
+    assert got[5] == 0.75  # normalised, since they differ: three of four agree
+
+
+def test_tags_are_made_without_a_shuffle(spark):
+    assert "Exchange" not in catalog.QUERIES["tag_merge"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_answers_without_a_box_have_keys_of_their_own(spark):
+    """No null keys, which would all meet in one task."""
+    assert "no box: " in catalog.QUERIES["visual7w_rows"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nms_equals_a_plain_loop(spark):
     from tessera.functions import geometry as G
 
