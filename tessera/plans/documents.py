@@ -33,9 +33,9 @@ def coco_document_boxes(spark, sf_dir):
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     bbox = F.array(F.lit(1.0), F.lit(2.0), F.col("l_quantity").cast("double"), F.col("l_discount").cast("double") * 200)
     notes = li.select(*order, F.col("l_orderkey").alias("image_id"), F.lit(1).alias("category_id"), bbox.alias("bbox"))
-    L.write_json_object({"images": (images, ["id"]), "annotations": (notes, order), "categories": (images.where("id < 0"), ["id"])}, path)
-    read = lambda field, schema: L.read_member(spark, path, field, schema, chunk=CHUNK)
-    b = A.boxes_of(read("images", A.COCO_IMAGE), read("annotations", A.COCO_ANNOTATION), most=3)
+    L.write_json_object({"images": (images, ["id"]), "annotations": (notes, order, ["image_id", "category_id", "bbox"]), "categories": (images.where("id < 0"), ["id"])}, path)
+    read = L.read_members(spark, path, {"images": A.COCO_IMAGE, "annotations": A.COCO_ANNOTATION}, chunk=CHUNK)
+    b = A.boxes_of(read["images"], read["annotations"], most=3)
     return b.select("image_id", F.size("boxes").cast("bigint").alias("n"), _area(F.col("boxes")).alias("area"))
 
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .json_elements import CHUNK, parsed, read_elements
+from .json_elements import CHUNK, parsed, read_containers, read_elements
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -35,11 +35,17 @@ def read_keyed_object(spark: SparkSession, path: str, value_schema: str, chunk:
 
 def read_member(spark: SparkSession, path: str, field: str, schema: str, missing_ok: bool = True, chunk: int = CHUNK) -> DataFrame:
     """(pos, the columns of ``schema``) of the array under ``field`` of a JSON file, read by ranges of ``chunk`` bytes."""
+    return read_members(spark, path, {field: schema}, missing_ok, chunk)[field]
+
+
+def read_members(spark: SparkSession, path: str, schemas: dict[str, str], missing_ok: bool = True, chunk: int = CHUNK) -> dict[str, DataFrame]:
+    """``read_member`` of several fields, by one index of the document."""
     if not exists(spark, path):
         if not missing_ok:
             raise FileNotFoundError(path)
-        return spark.createDataFrame([], f"pos bigint, {schema}")
-    return parsed(read_elements(spark, path, field, chunk), f"struct<{schema}>").select(F.col("offset").alias("pos"), "value.*")
+        return {field: spark.createDataFrame([], f"pos bigint, {schema}") for field, schema in schemas.items()}
+    found = read_containers(spark, path, list(schemas), chunk)
+    return {field: parsed(found[field], f"struct<{schema}>").select(F.col("offset").alias("pos"), "value.*") for field, schema in schemas.items()}
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -197,12 +203,14 @@ def write_joined(parts: list[tuple[str, DataFrame | str]], path: str) -> list[st
     return manifest
 
 
-def json_parts(rows: DataFrame, order: list[str], name: str = "rows", key: str | None = None) -> list[tuple[str, DataFrame | str]]:
+def json_parts(rows: DataFrame, order: list[str], name: str = "rows", key: str | None = None, fields: list[str] | None = None) -> list[tuple[str, DataFrame | str]]:
     """Pieces of one JSON array of all rows in order (``order`` tells all rows apart), for ``write_joined``; with ``key`` of one object by it.
 
+    Elements have ``fields``, or all columns but ``key``.
+
     Rows are range-partitioned by ``order`` and each is led by a comma, so no task needs to know the first or the last one.
     """
-    item = F.to_json(F.struct(*(c for c in rows.columns if c != key)), {"ignoreNullFields": "false"})
+    item = F.to_json(F.struct(*(fields or (c for c in rows.columns if c != key))), {"ignoreNullFields": "false"})
     if key:
         item = F.concat(F.substring(F.to_json(F.array(F.col(key).cast("string"))), F.lit(2), F.length(F.to_json(F.array(F.col(key).cast("string")))) - 2), F.lit(":"), item)
     ranged = rows.select(F.struct(*order).alias("_o"), item.alias("_item")).repartitionByRange("_o").sortWithinPartitions("_o")
@@ -221,12 +229,12 @@ def write_keyed_object(rows: DataFrame, key: str, path: str) -> list[str]:
     return write_joined(json_parts(rows, [key], key=key), path)
 
 
-def write_json_object(members: dict[str, tuple[DataFrame, list[str]]], path: str) -> list[str]:
-    """One file with one JSON object whose members are arrays of rows in order."""
+def write_json_object(members: dict[str, tuple], path: str) -> list[str]:
+    """One file with one JSON object whose members are arrays of (rows, order[, fields]), see ``json_parts``."""
     parts: list[tuple[str, DataFrame | str]] = []
-    for i, (name, (rows, order)) in enumerate(members.items()):
+    for i, (name, (rows, order, *fields)) in enumerate(members.items()):
         parts.append((f"m{i}-name", ("{" if i == 0 else ",") + json.dumps(name) + ":"))
-        parts += json_parts(rows, order, f"m{i}")
+        parts += json_parts(rows, order, f"m{i}", None, *fields)
     return write_joined([*parts, ("end", "}")], path)
 
 

@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CHUNK = 8 << 20
+#: Bytes looked at together; ranges are longer where a document has more than so many of them, as the driver chains them all.
+BLOCK, MOST_RANGES = 1 << 20, 512
 _QUOTE, _ESCAPE, _COMMA, _COLON = ord('"'), ord("\\"), ord(","), ord(":")
 _DELTA = np.zeros(256, np.int8)
 _DELTA[[ord("{"), ord("[")]] = 1
 _DELTA[[ord("}"), ord("]")]] = -1
+_MARK = _DELTA != 0
+_MARK[[_QUOTE, _COMMA, _COLON]] = True
 _BLANK = b" \t\r\n"
 _KEY = re.compile(rb'[ \t\r\n]*("(?:[^"\\]|\\.)*")[ \t\r\n]*:', re.S)
 
@@ -54,22 +58,25 @@ def _escaped_before(file: pa.NativeFile, at: int) -> bool:
     return run % 2 == 1
 
 
-def quote_parity(data: np.ndarray, escaped: bool) -> np.ndarray:
-    """For each byte, how many unescaped quotes stand before it (an opening quote is still outside, a closing one inside)."""
-    quotes = data == _QUOTE
-    if escaped and len(data):
-        quotes[0] = False
+def structure(data: np.ndarray, escaped: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places and bytes of unescaped quotes, and of brackets, commas and colons."""
+    places = np.flatnonzero(_MARK[data])
     slashes = np.flatnonzero(data == _ESCAPE)
+    hidden = np.zeros(0, np.int64)
     if len(slashes):
         # A run of backslashes escapes what follows it if its length is odd.
-        first = np.concatenate(([True], np.diff(slashes) > 1))
-        starts, sizes = slashes[first], np.diff(np.append(np.flatnonzero(first), len(slashes)))
-        if escaped and starts[0] == 0:
-            sizes[0] -= 1
-        after = slashes[np.flatnonzero(first) + np.diff(np.append(np.flatnonzero(first), len(slashes))) - 1] + 1
-        after = after[(sizes % 2 == 1) & (after < len(data))]
-        quotes[after] = False
-    return np.cumsum(quotes, dtype=np.int64) - quotes
+        first = np.flatnonzero(np.concatenate(([True], np.diff(slashes) > 1)))
+        lengths = np.diff(np.append(first, len(slashes)))
+        after, odd = slashes[first] + lengths, lengths % 2 == 1
+        if escaped and slashes[0] == 0:
+            odd[0] = not odd[0]
+        hidden = after[odd & (after < len(data))]
+    if escaped and len(data):
+        hidden = np.append(0, hidden)
+    hidden = hidden[data[hidden] == _QUOTE]
+    if len(hidden):
+        places = np.delete(places, np.searchsorted(places, hidden))
+    return places, data[places]
 
 
 class _Range(InputPartition):
@@ -79,18 +86,28 @@ class _Range(InputPartition):
 
 def _ranges(path: str, chunk: int) -> list[tuple[int, int]]:
     size = open_file(path)[1]
+    chunk = max(chunk, -(-size // MOST_RANGES))
     return [(a, min(size, a + chunk)) for a in range(0, size, chunk)]
 
 
+class _PlannedReader(DataSourceReader):
+    """A reader whose tasks get their own range: the list of all ranges stays with the planner."""
+
+    states: list = []
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "states"}
+
+
 class JsonIndex(DataSource):
-    """One row a range: quotes, and the depth it adds if it starts outside or inside a string."""
+    """One row a range: quotes, and the depth it adds and the least depth (from its start) if it starts outside or inside a string."""
 
     @classmethod
     def name(cls) -> str:
         return "json_index"
 
     def schema(self) -> str:
-        return "begin bigint, end bigint, quotes bigint, outside bigint, inside bigint"
+        return "begin bigint, end bigint, quotes bigint, outside bigint, inside bigint, low_outside bigint, low_inside bigint"
 
     def reader(self, schema) -> DataSourceReader:
         return _IndexReader(self.options)
@@ -105,14 +122,20 @@ class _IndexReader(DataSourceReader):
 
     def read(self, part: InputPartition) -> Iterator[tuple]:
         file, _ = open_file(self.path)
-        data = np.frombuffer(file.read_at(part.end - part.begin, part.begin), np.uint8)
-        escaped = _escaped_before(file, part.begin)
-        before = quote_parity(data, escaped)
-        delta = _DELTA[data]
-        closing = data[-1] == _QUOTE and not _escaped_before(file, part.end - 1)
-        total = int(before[-1]) + int(closing)
-        even = before % 2 == 0
-        yield part.begin, part.end, total, int(delta[even].sum(dtype=np.int64)), int(delta[~even].sum(dtype=np.int64))
+        quotes, depths, lows = 0, [0, 0], [0, 0]
+        for at in range(part.begin, part.end, BLOCK):
+            data = np.frombuffer(file.read_at(min(BLOCK, part.end - at), at), np.uint8)
+            _, kinds = structure(data, _escaped_before(file, at))
+            passed = np.cumsum(kinds == _QUOTE)
+            delta = _DELTA[kinds]
+            brackets = np.flatnonzero(delta)
+            odd, delta = (passed[brackets] + quotes) % 2, delta[brackets]
+            for inside in (0, 1):
+                if len(steps := np.cumsum(delta[odd == inside], dtype=np.int64)):
+                    lows[inside] = min(lows[inside], depths[inside] + int(steps.min()))
+                    depths[inside] += int(steps[-1])
+            quotes += int(passed[-1]) if len(passed) else 0
+        yield part.begin, part.end, quotes, *depths, *lows
 
 
 class JsonElements(DataSource):
@@ -135,28 +158,31 @@ class _Walk:
     def __init__(self, file: pa.NativeFile, size: int, at: int, inside: bool, depth: int) -> None:
         self.file, self.size, self.at, self.inside, self.depth = file, size, at, inside, depth
 
-    def block(self, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """(bytes, depth after each byte, outside strings) of the next block; none at the end of the file."""
+    def block(self, most: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """(bytes, and of its structural bytes: places, kinds, depth after each, outside strings) of the next block; none at the end of the file."""
         n = min(most, self.size - self.at)
         if n <= 0:
             return None
-        data = np.frombuffer(self.file.read_at(n, self.at), np.uint8)
-        parity = quote_parity(data, _escaped_before(self.file, self.at)) + self.inside
-        outside = parity % 2 == 0
-        depth = self.depth + np.cumsum(np.where(outside, _DELTA[data], 0), dtype=np.int64)
-        closing = data[-1] == _QUOTE and not _escaped_before(self.file, self.at + n - 1)
-        self.at, self.inside, self.depth = self.at + n, bool((parity[-1] + closing) % 2), int(depth[-1])
-        return data, depth, outside
-
-
-class _ElementReader(DataSourceReader):
+        raw = self.file.read_at(n, self.at)
+        places, kinds = structure(np.frombuffer(raw, np.uint8), _escaped_before(self.file, self.at))
+        quotes = kinds == _QUOTE
+        passed = np.cumsum(quotes) + self.inside
+        outside = (passed - quotes) % 2 == 0
+        depth = self.depth + np.cumsum(np.where(outside, _DELTA[kinds], 0), dtype=np.int64)
+        self.at += n
+        if len(places):
+            self.inside, self.depth = bool(passed[-1] % 2), int(depth[-1])
+        return raw, places, kinds, depth, outside
+
+
+class _ElementReader(_PlannedReader):
     def __init__(self, options: dict) -> None:
         self.path, self.states = options["path"], json.loads(options["states"])
         self.level, self.begin, self.end = int(options["level"]), int(options["begin"]), int(options["end"])
         self.keyed = options["keyed"] == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [_Range(*s) for s in self.states if s[1] > self.begin and s[0] <= self.end] or [_Range(0, 0)]
+        return [_Range(*s) for s in self.states] or [_Range(0, 0)]
 
     def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
         """Elements whose separator (the container's opening bracket or a comma) lies in the range."""
@@ -168,22 +194,21 @@ class _ElementReader(DataSourceReader):
         done = part.end <= part.begin
         while not done:
             at = walk.at
-            got = walk.block(part.end - at if at < part.end else 1 << 20)
+            got = walk.block(min(BLOCK, part.end - at) if at < part.end else BLOCK)
             if got is None:
                 raise MalformedDocument(f"{self.path}: the document ends inside an element at byte {start}")
-            data, depth, outside = got
-            raw = data.tobytes()
-            opens = outside & (_DELTA[data] == 1) & (depth == self.level)
-            closes = outside & (_DELTA[data] == -1) & (depth == self.level - 1)
-            marks = np.flatnonzero((outside & (data == _COMMA) & (depth == self.level)) | opens | closes)
-            marks = marks[(marks + at >= self.begin) & (marks + at <= self.end)]
+            raw, places, kinds, depth, outside = got
+            delta = _DELTA[kinds]
+            closes = outside & (delta == -1) & (depth == self.level - 1)
+            marks = closes | (outside & (depth == self.level) & ((kinds == _COMMA) | (delta == 1)))
+            marks &= (places + at >= self.begin) & (places + at <= self.end)
             last = 0
-            for m in marks.tolist():
+            for m, closed in zip(places[marks].tolist(), closes[marks].tolist()):
                 if start is not None:
                     body = b"".join(held) + raw[last:m]
                     out.append((start, body))
                     held, start = [], None
-                if closes[m] and m + at != self.end:
+                if closed and m + at != self.end:
                     raise MalformedDocument(f"{self.path}: closed at byte {m + at}")
                 if m + at == self.end or m + at >= part.end:
                     done = True
@@ -223,45 +248,48 @@ class _ElementReader(DataSourceReader):
 
 
 class JsonMembers(DataSource):
-    """For one member of a top-level object: where its value starts and what ends it, as seen by each range."""
+    """For members of a top-level object: where their values start and what ends them, as seen by each range that comes up to that level."""
 
     @classmethod
     def name(cls) -> str:
         return "json_members"
 
     def schema(self) -> str:
-        return "begin bigint, at bigint, stop bigint"
+        return "begin bigint, field string, at bigint, stop bigint"
 
     def reader(self, schema) -> DataSourceReader:
         return _MemberReader(self.options)
 
 
-class _MemberReader(DataSourceReader):
+class _MemberReader(_PlannedReader):
     def __init__(self, options: dict) -> None:
-        self.path, self.states, self.field = options["path"], json.loads(options["states"]), options["field"]
+        self.path, self.states, self.fields = options["path"], json.loads(options["states"]), json.loads(options["fields"])
 
     def partitions(self) -> list[InputPartition]:
         return [_Range(*s) for s in self.states] or [_Range(0, 0)]
 
     def read(self, part: InputPartition) -> Iterator[tuple]:
-        """(range, place of the colon after the member's name or null, first comma or close after it, or of the range)."""
+        """(range, member, place of the colon after its name, first comma or close after it); without member and colon: the first of the range."""
         if part.end <= part.begin:
             return
         file, size = open_file(self.path)
-        data, depth, outside = _Walk(file, size, part.begin, part.inside, part.depth).block(part.end - part.begin)
-        top = outside & (depth == 1)
-        stops = np.flatnonzero((top & (data == _COMMA)) | (outside & (depth == 0) & (_DELTA[data] == -1))) + part.begin
-        name = json.dumps(self.field).encode(), json.dumps(self.field, ensure_ascii=False).encode()
-        hits = []
-        for c in (np.flatnonzero(top & (data == _COLON)) + part.begin).tolist():
-            before = file.read_at(min(c, 4096 + len(name[0])), max(0, c - 4096 - len(name[0]))).rstrip(_BLANK)
-            if before.endswith(name):
-                hits.append(c)
-        first = int(stops[0]) if len(stops) else None
-        yield part.begin, None, first
-        for c in hits:
-            later = stops[stops > c]
-            yield part.begin, c, int(later[0]) if len(later) else None
+        walk = _Walk(file, size, part.begin, part.inside, part.depth)
+        stops, colons = [], []
+        while walk.at < part.end:
+            at = walk.at
+            _, places, kinds, depth, outside = walk.block(min(BLOCK, part.end - at))
+            top = outside & (depth == 1)
+            stops.append(places[(top & (kinds == _COMMA)) | (outside & (depth == 0) & (_DELTA[kinds] == -1))] + at)
+            colons.append(places[top & (kinds == _COLON)] + at)
+        stops = np.concatenate(stops)
+        names = {name: field for field in self.fields for name in (json.dumps(field).encode(), json.dumps(field, ensure_ascii=False).encode())}
+        longest = max(map(len, names))
+        yield part.begin, None, None, int(stops[0]) if len(stops) else None
+        for c in np.concatenate(colons).tolist():
+            before = file.read_at(min(c, 4096 + longest), max(0, c - 4096 - longest)).rstrip(_BLANK)
+            for field in {field for name, field in names.items() if before.endswith(name)}:
+                later = np.searchsorted(stops, c)
+                yield part.begin, field, c, int(stops[later]) if later < len(stops) else None
 
 
 def _first_solid(path: str, at: int, size: int) -> tuple[int, int]:
@@ -295,45 +323,65 @@ def read_elements(spark: SparkSession, path: str, field: str | None = None, chun
     gives no rows.  Unclosed strings or brackets, trailing text and empty elements raise; what is inside an element is the
     parser's to judge.
     """
+    return read_containers(spark, path, [field], chunk)[field]
+
+
+def read_containers(spark: SparkSession, path: str, fields: list[str | None], chunk: int = CHUNK) -> dict[str | None, DataFrame]:
+    """``read_elements`` of each of ``fields``: the document is indexed once, and only ranges that come up to its top level are searched for members."""
     for source in (JsonIndex, JsonElements, JsonMembers):
         spark.dataSource.register(source)
     size = open_file(path)[1]
     begin, opening = _first_solid(path, 0, size)
     end, closing = _last_solid(path, size)
-    states, inside, depth = [], False, 0
+    states, tops, inside, depth = [], [], False, 0
     index = spark.read.format("json_index").option("chunk", chunk).load(path).collect()  # a few numbers a range
     for r in sorted(index, key=lambda r: r.begin):
         states.append((r.begin, r.end, inside, depth))
+        if depth + (r.low_inside if inside else r.low_outside) <= 1:
+            tops.append(states[-1])
         depth += r.inside if inside else r.outside
         inside ^= bool(r.quotes % 2)
         if depth < 0 or depth == 0 and not inside and begin < r.end <= end:
             raise MalformedDocument(f"{path}: closed before byte {r.end}")
     if inside or depth or (opening, closing) not in ((ord("["), ord("]")), (ord("{"), ord("}"))):
         raise MalformedDocument(f"{path}: strings or brackets do not close")
-    level, keyed = 1, opening == ord("{")
-    if field is not None:
-        if not keyed:
-            raise MalformedDocument(f"{path}: not an object")
-        seen = spark.read.format("json_members").options(states=json.dumps(states), field=field).load(path).collect()  # one row a range and hit
-        hits = sorted((r for r in seen if r["at"] is not None), key=lambda r: r["at"])
-        if not hits:
-            return spark.createDataFrame([], JsonElements({}).schema())
-        at, stop = hits[-1]["at"], hits[-1]["stop"]
-        if stop is None:
-            stop = min(r["stop"] for r in seen if r["stop"] is not None and r["begin"] > at)
-        begin, opening = _first_solid(path, at + 1, size)
-        file, _ = open_file(path)
-        if opening not in b"[{":
-            if file.read_at(stop - at - 1, at + 1).strip(_BLANK) == b"null":
-                return spark.createDataFrame([], JsonElements({}).schema())
-            raise MalformedDocument(f"{path}: {field} holds no array or object")
-        level, keyed, end = 2, opening == ord("{"), stop - 1
-        while file.read_at(1, end) in (b" ", b"\t", b"\r", b"\n"):
-            end -= 1
-        if file.read_at(1, end) != (b"}" if keyed else b"]"):
-            raise MalformedDocument(f"{path}: {field} does not close")
-    options = {"states": json.dumps(states), "level": level, "begin": begin, "end": end, "keyed": str(keyed).lower()}
-    return spark.read.format("json_elements").options(**options).load(path)
+    named = [f for f in fields if f is not None]
+    if named and opening != ord("{"):
+        raise MalformedDocument(f"{path}: not an object")
+    seen = spark.read.format("json_members").options(states=json.dumps(tops), fields=json.dumps(named)).load(path).collect() if named else []  # one row a range and hit
+    found: dict[str | None, DataFrame] = {}
+    for field in fields:
+        span = (1, begin, end, opening == ord("{")) if field is None else _member_span(path, size, field, seen)
+        if span is None:
+            found[field] = spark.createDataFrame([], JsonElements({}).schema())
+            continue
+        level, first, last, keyed = span
+        own = [s for s in states if s[1] > first and s[0] <= last]
+        options = {"states": json.dumps(own), "level": level, "begin": first, "end": last, "keyed": str(keyed).lower()}
+        found[field] = spark.read.format("json_elements").options(**options).load(path)
+    return found
+
+
+def _member_span(path: str, size: int, field: str, seen: list) -> tuple[int, int, int, bool] | None:
+    """(level, opening bracket, closing bracket, whether an object) of a member's container; none if it is absent or null."""
+    hits = sorted((r for r in seen if r["field"] == field), key=lambda r: r["at"])
+    if not hits:
+        return None
+    at, stop = hits[-1]["at"], hits[-1]["stop"]
+    if stop is None:
+        stop = min(r["stop"] for r in seen if r["field"] is None and r["stop"] is not None and r["begin"] > at)
+    begin, opening = _first_solid(path, at + 1, size)
+    file, _ = open_file(path)
+    if opening not in b"[{":
+        if file.read_at(stop - at - 1, at + 1).strip(_BLANK) == b"null":
+            return None
+        raise MalformedDocument(f"{path}: {field} holds no array or object")
+    keyed, end = opening == ord("{"), stop - 1
+    while file.read_at(1, end) in (b" ", b"\t", b"\r", b"\n"):
+        end -= 1
+    if file.read_at(1, end) != (b"}" if keyed else b"]"):
+        raise MalformedDocument(f"{path}: {field} does not close")
+    return 2, begin, end, keyed
 
 
 def parsed(elements: DataFrame, schema: str) -> DataFrame:

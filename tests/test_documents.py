@@ -1,12 +1,14 @@
 """JSON documents by byte ranges, ordered sinks."""
 
 import json
+import pickle
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.sources import files as S
+from tessera.sources import json_elements as J
 from tessera.sources.json_elements import MalformedDocument, read_elements
 
 WORDS = ["", "a", '"', "\\", '\\"', "{", "}]", ",", ":", "é漢😀", '","x":[', "\\\\", "\n\t", "null"]
@@ -95,6 +97,39 @@ def test_large_document_is_many_tasks(spark, tmp_path):
     assert order == [*range(n), -1]
 
 
+def test_ranges_do_not_carry_each_other(spark, tmp_path):
+    """A task gets its own range, not the list of all; a large document has a bounded number of ranges."""
+    reader = lambda n: J._ElementReader({"path": "p", "states": json.dumps([(i, i + 1, False, 1) for i in range(n)]), "level": 1, "begin": 0, "end": n, "keyed": "false"})
+    assert len(pickle.dumps(reader(5000))) == len(pickle.dumps(reader(4999))) and len(reader(5000).partitions()) == 5000
+    with (tmp_path / "sparse").open("wb") as f:
+        f.truncate(40 << 30)
+    found = J._ranges(str(tmp_path / "sparse"), 2 << 20)
+    assert len(found) <= J.MOST_RANGES and found[-1][1] == 40 << 30
+
+
+def test_two_members_by_one_index(spark, tmp_path, monkeypatch):
+    """Blocks of a few bytes inside ranges, escapes and brackets in strings; only ranges at the top level are searched."""
+    monkeypatch.setattr(J, "BLOCK", 7)
+    rng, path = random.Random(3), tmp_path / "two.json"
+    for chunk in (5, 30, 1000):
+        doc = {"a": [value(rng) for _ in range(20)], "x": {"b": [1], "a": 2}, "b": [value(rng) for _ in range(20)], "c": [[i] for i in range(30)]}
+        path.write_text(json.dumps(doc), encoding="utf-8")
+        index = J._IndexReader({"path": str(path), "chunk": str(chunk)})
+        states, tops, inside, depth = [], [], False, 0
+        for begin, end, quotes, *depths, low, low_inside in (r for p in index.partitions() for r in index.read(p)):
+            states.append((begin, end, inside, depth))
+            tops += [begin] if depth + (low_inside if inside else low) <= 1 else []
+            depth, inside = depth + depths[inside], inside ^ (quotes % 2 == 1)
+        assert depth == 0 and not inside and (chunk > 30 or len(tops) < len(states) / 2)
+        first, last = path.read_text().index("[", path.read_text().index('"c": ')), len(path.read_text()) - 2
+        read = J._ElementReader({"path": str(path), "states": json.dumps(states), "level": 2, "begin": first, "end": last, "keyed": "false"})
+        assert [json.loads(v) for p in read.partitions() for b in read.read(p) for v in b.column("value").to_pylist()] == doc["c"]
+        found = J.read_containers(spark, str(path), ["a", "b", "none"], chunk)
+        for field in ("a", "b"):
+            assert [json.loads(r.value) for r in sorted(found[field].collect(), key=lambda r: r.offset)] == doc[field]
+        assert found["none"].count() == 0
+
+
 def test_ordered_sinks(spark, tmp_path):
     rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.concat(F.lit('"a,\n'), F.col("id").cast("string")).alias("answer"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("n"))
     want = [{"k": r.k, "answer": r.answer, "n": r.n} for r in rows.orderBy("k").collect()]
