@@ -87,6 +87,11 @@ def test_tags_are_made_without_a_shuffle(spark):
     assert "Exchange" not in catalog.QUERIES["tag_merge"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["vqa_rows", "aokvqa_rows", "coco_box_lists", "coco_region_rows"])
+def test_documents_are_not_gathered_by_customer(spark, name):
+    assert "o_custkey" not in catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_answers_without_a_box_have_keys_of_their_own(spark):
     """No null keys, which would all meet in one task."""
     assert "no box: " in catalog.QUERIES["visual7w_rows"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
