@@ -143,17 +143,20 @@ def hash_cache_counts(spark, sf_dir):
 
 @query(f"select * from ({ORACLE['ema_by_user']}) e join ({ORACLE['early_stop']}) s using (user_id)")
 def streamed_runs(spark, sf_dir):
-    """Events in four files, read as a stream in two queries of one checkpoint: the second goes on where the first has stopped."""
+    """Events in four sets of files, read as a stream in two queries of one checkpoint: the second goes on where the first has stopped."""
     home = scratch(spark, "runs")
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    middle = e.select(((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2).cast("bigint").alias("m")).first().m
-    late = F.unix_micros("ts") > F.lit(middle)
+    first, last = e.select(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    late = F.unix_micros("ts") > F.lit(None if first is None else (first + last) // 2)
+    # The halves lie within one delay of the watermark, so nothing is dropped; the first half is settled during the second.
+    delay = f"{0 if first is None else (last - first) // 2_000_000 + 86_400} seconds"
     for half, rows in enumerate((e.where(~late | F.col("ts").isNull()), e.where(late))):
-        for k in (0, 1):  # out of order between the files of a half
-            rows.where(F.col("event_id") % 2 == k).coalesce(1).write.parquet(f"{home}/in/{half}{k}")
-        source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in/*")
-        # The halves lie within one delay of the watermark, so nothing is dropped; timers settle the first half during the second.
-        streams.run_stream(streams.fold_stream(source, "user_id", "ts", "event_id", "value", late="16 days"), f"{home}/out", f"{home}/state")
+        files = 1
+        for k in (0, 1):  # out of order between the sets of a half
+            rows.where(F.coalesce(F.pmod("event_id", F.lit(2)), F.lit(0)) == k).write.parquet(f"{home}/in/{half}{k}")
+            files = max(files, len(spark.read.parquet(f"{home}/in/{half}{k}").inputFiles()))
+        source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(f"{home}/in/*")
+        streams.run_stream(streams.fold_stream(source, "user_id", "ts", "event_id", "value", late=delay), f"{home}/out", f"{home}/state")
     return streams.latest(spark, f"{home}/out", "user_id").select("user_id", "n", r6(F.col("ema")).alias("ema"), r6(F.col("best")).alias("best"), "stale", "seen")
 
 
