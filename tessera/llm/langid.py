@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import tidy
+from .storage import tidy, trim
 from .textvec import LOWER, batch_slices, powers, prefix_hash, row_counts, span_hash, word_spans
 
 SEGMENT, TRAIN_SEGMENT = 1_024, 64
@@ -233,7 +233,10 @@ def fit(docs: DataFrame, usable: Column, train_docs: int, train_text_bytes: int,
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in per.items() for x in (k, int(min(1.0, max(2 * quota, 20) / n) * (1 << 30))))), F.col("l"))
     place = F.row_number().over(Window.partitionBy("l").orderBy("d", F.xxhash64("t")))
     got = rows.where(F.col("d") < share).withColumn("r", place).where(F.col("r") <= quota).orderBy("l", "r").collect()
-    return train_crf([g.t.encode() for g in got], [g.l for g in got])
+    model = train_crf([g.t.encode() for g in got], [g.l for g in got])
+    del got
+    trim()  # the driver goes on with the model alone
+    return model
 
 
 def _has_letter(raw: bytes) -> bool:

@@ -217,10 +217,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         first = F.struct(F.xxhash64(F.lit(k), "bucket", "id"), F.col("id"))
         heads = now.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), first).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
         heads = materialise(heads.select("bucket", F.col("h.id").alias("head"), F.col("h.label").alias("head_label"), "size"), "minhash-heads")
-        if not heads.limit(1).count():
+        if heads.isEmpty():
             break
         if linear:
-            asked = now.join(heads, "bucket").where("label <> head_label").select("id", "head").distinct()
+            asked = now.join(heads, "bucket").where("label <> head_label").select("id", "head").repartition("id").distinct()  # dealt as the next join needs it
             x = sketches.select("id", F.col("sketch").alias("s"), F.col("n_shingles").alias("n"))
             y = sketches.select(F.col("id").alias("head"), F.col("sketch").alias("t"), F.col("n_shingles").alias("m"))
             near = asked.join(x, "id").join(y, "head").where(_close("s", "t", "n", "m", most, percent)).withColumn("bits", _differ("s", "t", 0, SKETCH_WORDS + SET_WORDS))
@@ -240,13 +240,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         pairs = materialise(pairs, "minhash-pairs")
         tried = tried.union(pairs)
         links = materialise(confirm(pairs, bodies, width, percent), "minhash-links")
-        found = links.limit(1).count()
-        if found:  # not yet exact: labels that lag behind only leave a pair more to try
-            groups.add(links)
+        found = not links.isEmpty()
+        if found:  # exact only at the end: labels that lag behind only leave a pair more to try
+            groups.add(links, rounds=2 if linear else None)
         if not linear:
             break
         k += 1
-        linear = bool(found) and k < ROUNDS
+        linear = found and k < ROUNDS
     discard(bodies)
     if groups.open is not None:
         groups.add(spark.createDataFrame([], f"a {kind}, b {kind}"), rounds=None)

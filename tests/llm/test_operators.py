@@ -830,3 +830,28 @@ def test_memo_is_bounded(monkeypatch, prose):
     monkeypatch.setattr(W, "_made", {})
     assert C.count_tokens(path, texts) == want
     assert len(W.word_ids(path).known) < len({w for t in texts for w in t.split()})
+
+
+def test_component_labels_stay_off_the_driver(spark):
+    """Labels and edges are joined where they lie, however small they are; edge batches end in the exact components."""
+    from tessera.llm import components as C
+
+    edges = [(k, k + 1) for k in range(40, 60)] + [(7, k) for k in range(20, 40)] + [(3, 7), (60, 61), (61, 60), (5, 5)]
+    want = {k: 40 for k in range(40, 62)} | {k: 3 for k in (3, 7, *range(20, 40))} | {5: 5}
+    joins, stored = [], C.materialise
+
+    def watched(df, name):
+        joins.extend(line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line or "Broadcast" in line)
+        return stored(df, name)
+
+    C.materialise = watched
+    try:
+        got = C.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"))
+        assert {r.node: r.label for r in got.collect()} == want
+        groups, some = C.Components(), spark.createDataFrame(edges[:-1], "a bigint, b bigint")
+        groups.add(some.where("a % 2 = 0"))
+        groups.add(some.where("a % 2 = 1"), rounds=None)
+    finally:
+        C.materialise = stored
+    assert groups.open is None and {r.node: r.label for r in groups.labels.collect()} == {k: v for k, v in want.items() if k != 5}
+    assert joins and all("SortMergeJoin" in j for j in joins), joins
